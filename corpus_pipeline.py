@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import decontaminate, langid, secrets, sentencepieces
+from turnloom.llm import decontaminate, jaccard, langid, secrets, sentencepieces
 from turnloom.llm.common import materialize, shared_dir, table
 from turnloom.llm.queries import tokenizer
 
@@ -14,6 +14,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.keep_known(docs, langid.fit(langid.training(docs)))
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.representatives(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -31,6 +36,7 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", known_language),
+    ("jaccard_join", without_near_copies),
     ("decontamination", without_benchmark),
     ("secret_scan", without_secrets),
     ("sentencepiece", as_pieces),

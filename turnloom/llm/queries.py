@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, secrets, sentencepieces, tokenfiles
+from . import chat, chunks, decontaminate, jaccard, langid, neighbours, secrets, sentencepieces, tokenfiles, toxicity
 from .common import table
 
 #: The id that ends each document in the token files.
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,6 +56,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations(chat.from_turns(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_files, op4_decontamination, op7_language_id, op8_sentencepiece, op9_chat_format)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.by_document(table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_neighbours, op2_secret_scan, op3_token_files, op4_decontamination, op5_toxicity,
+    op6_jaccard_join, op7_language_id, op8_sentencepiece, op9_chat_format, op10_substring_dedup,
+)
+QUERIES = {f.__name__: f for f in ALL}
 
 ORACLE_SQL: dict[str, str] = {}

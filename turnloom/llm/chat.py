@@ -101,11 +101,11 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     leaves = rooted.join(parents, rooted.tree.eqNullSafe(parents.t) & (rooted.msg == parents.m), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "msg"))
     best = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
-    marked = best.select("tree", F.col("msg").alias("leaf"), "rank", "depth", "msg")
+    marked = materialize(best.select("tree", F.col("msg").alias("leaf"), "rank", "depth", "msg"), "marked", folder)
     for k, level in enumerate(levels[:-1]):
         up = level.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("msg").alias("m"), "up")
         more = marked.join(up, marked.tree.eqNullSafe(up.t) & (marked.msg == up.m)).select("tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("msg"))
-        marked = marked.unionByName(more)
+        marked = materialize(marked.unionByName(more), f"marked{k}", folder)  # else the plan doubles each time
     return marked
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import measures, text_rules, timeline
+from .queries.base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = measures.flagship_wer.__name__
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "measures", "text_rules", "timeline"]

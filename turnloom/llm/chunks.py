@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, slices, texts
+from .common import code_points, materialize, slices, texts
 
 #: A cut where the hash's top BITS bits are zero and were not in the QUIET bytes before; at least every MOST bytes.
 BITS, QUIET, MOST = 4, 11, 512
@@ -131,17 +131,17 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """All chunks with a repeated digest, each with its first occurrence (first_doc, first_a)."""
-    rows = chunk_rows(docs).join(counted(docs), "digest", "left_semi")
+    rows = materialize(chunk_rows(docs).join(counted(docs), "digest", "left_semi"), "repeated")
     first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "a")).alias("first"))
     return rows.join(first, "digest").select("doc_id", "a", "b", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.a").alias("first_a"))
 
 
-def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def passages(docs: DataFrame, least: int = LEAST, repeated: DataFrame | None = None) -> DataFrame:
     """Repeated passages: (doc_id, start, end) in code points, bytes, first_doc (smallest document
     that holds its first chunk), removable (characters whose first occurrence is elsewhere)."""
     w = Window.partitionBy("doc_id").orderBy("a", "b")
     # Repeated rows of one document hold the same chunks.
-    rows = repeated_chunks(docs).dropDuplicates(["doc_id", "a", "b"])
+    rows = (repeated_chunks(docs) if repeated is None else repeated).dropDuplicates(["doc_id", "a", "b"])
     island = F.sum(F.when(F.col("a") == F.lag("b").over(w), 0).otherwise(1)).over(w)
     rows = rows.withColumn("island", island)
     kept = (F.col("first_doc").eqNullSafe(F.col("doc_id"))) & (F.col("first_a") == F.col("a"))
@@ -163,8 +163,9 @@ def by_document(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, text): all rows with text, without the chunks of passages whose first occurrence is elsewhere."""
-    rows = repeated_chunks(docs).dropDuplicates(["doc_id", "a", "b"])
-    long = passages(docs).select(F.col("doc_id").alias("d"), "start", "end")
+    every = repeated_chunks(docs)
+    rows = every.dropDuplicates(["doc_id", "a", "b"])
+    long = passages(docs, repeated=every).select(F.col("doc_id").alias("d"), "start", "end")
     kept = F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_a") == F.col("a"))
     gone = rows.where(~kept).join(long, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("a") >= F.col("start")) & (F.col("b") <= F.col("end")), "left_semi")
     gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone"))

@@ -185,4 +185,4 @@ def rendered(s: str, pauses: list[tuple[int | None, float]]) -> str:
 @vectorized("string")
 def with_pauses(s: pd.Series, pauses: pd.Series) -> pd.Series:
     """The text with markers; pauses: array of struct(token, seconds) in order of time."""
-    return pd.Series([rendered(x or "", [(p["token"], p["seconds"]) for p in (ps if ps is not None else [])]) for x, ps in zip(s, pauses, strict=True)])
+    return pd.Series([rendered(x or "", [(None if pd.isna(p["token"]) else int(p["token"]), p["seconds"]) for p in (ps if ps is not None else [])]) for x, ps in zip(s, pauses, strict=True)])

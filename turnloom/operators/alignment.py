@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits, names, spoken
 from ..functions import text as T
+from .spread import spread
 
 # Votes, the least similarity of texts without common times, and labels that say nothing here.
 EXACT, INEXACT, TIMED, SPEAKER = 4, 1, 3, 2
@@ -199,7 +200,7 @@ def align_source(turns: DataFrame, segments: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["project_id", "turn_id", "source", "text", "segment_idx", "speaker", "confidence"]).astype({"segment_idx": "Int32", "confidence": "float64"})
 
     schema = "project_id string, turn_id int, source string, text string, segment_idx int, speaker string, confidence double"
-    return turns.groupBy("project_id").cogroup(segments.groupBy("project_id")).applyInPandas(step, schema)
+    return spread(turns, "project_id").groupBy("project_id").cogroup(spread(segments, "project_id").groupBy("project_id")).applyInPandas(step, schema)
 
 
 def align_all(turns: DataFrame, segments: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def align_all(turns: DataFrame, segments: DataFrame) -> DataFrame:
         return pd.DataFrame({**out, "gold_label": label})
 
     schema = "project_id string, turn_id int, zoom_text string, chatgpt_text string, gold_text string, gold_label string"
-    return turns.groupBy("project_id").cogroup(segments.groupBy("project_id")).applyInPandas(step, schema)
+    return spread(turns, "project_id").groupBy("project_id").cogroup(spread(segments, "project_id").groupBy("project_id")).applyInPandas(step, schema)
 
 
 def source_chunks(segments: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions import names as N
 from ..functions import spoken
 from ..functions import text as T
 from . import alignment as A
+from .spread import spread
 
 PROMPT = re.compile(N.PROMPT)
 VERSIONS = ("final_text", "zoom_text", "chatgpt_text", "model_text", "gold_text")
@@ -289,7 +290,7 @@ def resolve(turns: DataFrame, segments: DataFrame, projects: DataFrame) -> DataF
         })
 
     schema = "project_id string, turn_id int, speaker_raw string, speaker string, gold_speaker string, mapping map<string,string>"
-    return joined.groupBy("project_id").cogroup(segments.groupBy("project_id")).applyInPandas(step, schema)
+    return spread(joined, "project_id").groupBy("project_id").cogroup(spread(segments, "project_id").groupBy("project_id")).applyInPandas(step, schema)
 
 
 def profiles(turns: DataFrame) -> DataFrame:

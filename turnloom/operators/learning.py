@@ -138,10 +138,11 @@ class Fitted:
         return df.withColumn("p_ens", mix).drop("x_")
 
 
-def fit(rows: DataFrame, trees: int = 31, iterations: int = 200) -> Fitted:
+def fit(rows: DataFrame, trees: int = 31, iterations: int = 50) -> Fitted:
+    """Three models on at most MOST_ROWS rows: one partition holds them, so passes over them cost no shuffle."""
     means, deviations = scaler(rows)
     weights = class_weights(rows).select(F.col("label"), F.col("weight"))
-    data = rows.join(F.broadcast(weights), "label").select(F.col("label").cast("double").alias("label"), "weight", array_to_vector(scaled(F.col("features"), means, deviations)).alias("x_"))
+    data = rows.join(F.broadcast(weights), "label").select(F.col("label").cast("double").alias("label"), "weight", array_to_vector(scaled(F.col("features"), means, deviations)).alias("x_")).coalesce(1).persist()
     common = {"featuresCol": "x_", "labelCol": "label", "weightCol": "weight"}
     svm = LinearSVC(maxIter=iterations, regParam=0.01, **common)
     models = {
@@ -168,10 +169,10 @@ def check(rows: DataFrame) -> None:
         raise ValueError(f"training needs {LEAST_ROWS} rows and 2 classes; there are {r.n} and {r.k}")
 
 
-def compare(rows: DataFrame, trees: int = 21) -> tuple[DataFrame, Fitted]:
+def compare(rows: DataFrame, trees: int = 21, iterations: int = 50) -> tuple[DataFrame, Fitted]:
     """(model, accuracy, macro_f1, balanced_accuracy, selection, selected) by repeated holdout, and the models
     fitted on all capped rows, whose votes follow the holdout's selection scores."""
-    rows = capped(valid_rows(rows)).persist()
+    rows = capped(valid_rows(rows)).coalesce(1).persist()
     check(rows)
     repeats = 3 if rows.count() <= 600 else 2
     parts, votes = [], {}
@@ -180,7 +181,7 @@ def compare(rows: DataFrame, trees: int = 21) -> tuple[DataFrame, Fitted]:
         train, test = s.where("NOT held").drop("held"), s.where("held").drop("held")
         if train.select("label").distinct().count() < 2 or test.isEmpty():
             train = test = rows
-        parts.append(scored(fit(train, trees), test))
+        parts.append(scored(fit(train, trees, iterations), test).persist())
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -188,7 +189,7 @@ def compare(rows: DataFrame, trees: int = 21) -> tuple[DataFrame, Fitted]:
     found = {x["model"]: x.asDict() for x in mean.collect()}  # four rows
     votes = {k: max(0.05, found[m]["selection"]) ** 2 for m, k in zip(MODELS, ("lr", "svm", "rf"), strict=False)}
     best = max(MODELS, key=lambda m: (found[m]["selection"], found[m]["macro_f1"], found[m]["accuracy"]))
-    fitted = fit(rows)
+    fitted = fit(rows, iterations=iterations)
     fitted.votes = votes
     table = rows.sparkSession.createDataFrame(
         [(m, *(float(found[m][c]) for c in ("accuracy", "macro_f1", "balanced_accuracy", "selection")), m == best) for m in MODELS],

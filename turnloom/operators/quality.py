@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import edits, spoken
 from ..functions import text as T
+from .spread import spread
 
 # The features in their order, and the limits of scores.
 FEATURES = (
@@ -38,7 +39,7 @@ def freeze_target(turns: DataFrame) -> DataFrame:
     best = edits.best_text(F.col("model_text"), F.col("chatgpt_text"), F.col("zoom_text"))
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
     chosen = F.coalesce(some(F.col("quality_target_text")), some(best), some(F.col("model_text")), some(F.col("final_text")), F.lit(""))
-    return turns.withColumn("quality_target_text", chosen)
+    return spread(turns, "project_id", "turn_id").withColumn("quality_target_text", chosen)
 
 
 def detect(turns: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def detect(turns: DataFrame) -> DataFrame:
 
 def features(turns: DataFrame) -> DataFrame:
     """Turns with their 15 features, and what consensus needs (exact_majority, present)."""
-    t = turns.withColumn("a_", edits.source_agreement(F.col("zoom_text"), F.col("chatgpt_text"), F.col("model_text"))).withColumn("q_", spoken.text_flags(target_text()))
+    t = spread(turns, "project_id", "turn_id").withColumn("a_", edits.source_agreement(F.col("zoom_text"), F.col("chatgpt_text"), F.col("model_text"))).withColumn("q_", spoken.text_flags(target_text()))
     normal = lambda c, x: F.when(F.col(c).isNull(), 0.55).otherwise(T.clamp(x))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
     made = {

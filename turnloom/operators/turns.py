@@ -90,6 +90,10 @@ def consolidate(turns: DataFrame, speaker_label: Column | None = None) -> tuple[
 # --- events ---------------------------------------------------------------------------------------
 
 
+def without(c: str, *keys: str) -> Column:
+    return F.map_filter(c, lambda k, v: ~k.isin(*keys))
+
+
 def remap_events(events: DataFrame, ids: DataFrame) -> DataFrame:
     """Events that were not detected in audio, with turn ids old to new, also in their details."""
     m = ids.select("project_id", F.col("old_id").alias("turn_id"), "new_id")
@@ -98,7 +102,7 @@ def remap_events(events: DataFrame, ids: DataFrame) -> DataFrame:
     for k in ("previous_turn_id", "following_turn_id"):
         d = ids.select("project_id", F.col("old_id").cast("string").alias("k_"), F.col("new_id").cast("string").alias("v_"))
         out = out.withColumn("k_", F.col("details")[k]).join(d, ["project_id", "k_"], "left")
-        swap = F.map_concat(F.map_filter("details", lambda a, b, k=k: a != k), F.create_map(F.lit(k), F.col("v_")))
+        swap = F.map_concat(without("details", k), F.create_map(F.lit(k), F.col("v_")))
         out = out.withColumn("details", F.when(~automatic & F.col("v_").isNotNull(), swap).otherwise(F.col("details"))).drop("k_", "v_")
     return out.select(*events.columns)
 
@@ -157,7 +161,7 @@ def reassociate(events: DataFrame, turns: DataFrame) -> DataFrame:
     target = lambda kind, turn, details: F.when(kind == "silent_pause", turn).when(kind == "response_gap", details["following_turn_id"].cast("int"))
     same = F.col("event_type").eqNullSafe(F.col("type_")) & F.col("turn_id").eqNullSafe(F.col("turn_")) & target(F.col("event_type"), F.col("turn_id"), F.col("details")).eqNullSafe(target(F.col("type_"), F.col("turn_"), F.col("details_")))
     j = j.withColumn("invalidated", F.col("live_") & ~same)
-    old = F.map_filter("details", lambda k, v: ~k.isin("association", "previous_turn_id", "following_turn_id", "token_position_estimated"))
+    old = without("details", "association", "previous_turn_id", "following_turn_id", "token_position_estimated")
     pick = lambda new, c: F.when(F.col("live_"), F.col(new)).otherwise(F.col(c)).alias(c)
     swapped = {
         "turn_id": pick("turn_", "turn_id"), "event_type": pick("type_", "event_type"), "token_start": pick("at_", "token_start"), "token_end": pick("at_", "token_end"),

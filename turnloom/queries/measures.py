@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import edits
 from ..operators import alignment, evaluation, evidence, identity, learning, quality
+from ..operators.spread import spread
 from .base import TURNS, query, table, turns, words_sql
 
 #: Hypotheses by construction: every 7th word is missing, or every 5th is alien; then counts are certain.
@@ -30,7 +31,7 @@ def g1_edit_counts(spark, sf):
 
 @query()
 def g2_char_edits(spark, sf):
-    return turns(spark, sf).withColumn("e", edits.char_edits(F.col("gold"), F.col("cut"))).select("project_id", "turn_id", "e.*")
+    return spread(turns(spark, sf), "project_id", "turn_id").withColumn("e", edits.char_edits(F.col("gold"), F.col("cut"))).select("project_id", "turn_id", "e.*")
 
 
 def _evaluated(spark, sf):
@@ -189,10 +190,10 @@ def l4_splits(spark, sf):
 
 @query()
 def l9_compare(spark, sf):
-    return learning.compare(_records(spark, sf), trees=5)[0]
+    return learning.compare(_records(spark, sf), trees=5, iterations=5)[0]
 
 
-_FEATURES = [f"(event_id % {k + 2}) / {float(k + 1)}" for k in range(15)]
+_FEATURES = [f"CAST(event_id % {k + 2} AS DOUBLE) / {k + 1}" for k in range(15)]
 
 
 @query("WITH f AS (SELECT event_id, " + ", ".join(f"least(1.0, {x}) AS {n}" for x, n in zip(_FEATURES, quality.FEATURES, strict=True)) + """ FROM events)
@@ -200,7 +201,8 @@ _FEATURES = [f"(event_id % {k + 2}) / {float(k + 1)}" for k in range(15)]
     + 0.07 * (1.0 - word_disagreement_rate) + 0.08 * speech_rate_normality + 0.07 * snr_normality + 0.05 * volume_normality - 0.12 * overlap_penalty - 0.18 * unclear_penalty
     - 0.04 * least(1.0, repetition_rate * 5.0))), 9) AS score FROM f""")
 def q2_rule_score(spark, sf):
-    f = F.struct(*(F.least(F.lit(1.0), F.expr(x).cast("double")).alias(n) for x, n in zip(_FEATURES, quality.FEATURES, strict=True)))
+    part = lambda k: (F.col("event_id") % (k + 2)) / F.lit(float(k + 1))
+    f = F.struct(*(F.least(F.lit(1.0), part(k)).alias(n) for k, n in enumerate(quality.FEATURES)))
     return table(spark, sf, "events").withColumn("f", f).select("event_id", F.round(quality.rule_score(F.col("f")), 9).alias("score"))
 
 
@@ -224,7 +226,7 @@ def q6_score(spark, sf):
 
 @query()
 def a14_initial_text(spark, sf):
-    return turns(spark, sf).select("project_id", "turn_id", edits.best_text(F.col("gold"), F.col("cut"), F.col("alien")).alias("text"))
+    return spread(turns(spark, sf), "project_id", "turn_id").select("project_id", "turn_id", edits.best_text(F.col("gold"), F.col("cut"), F.col("alien")).alias("text"))
 
 
 def _segments(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits, grammar, names, spoken
 from ..functions import text as T
+from ..operators.spread import spread
 from ..sinks import files
 from .base import TURNS, query, table, turns, words_sql
 
@@ -111,7 +112,7 @@ def f17_word_difference(spark, sf):
 
 @query()
 def f18_similarity(spark, sf):
-    t = turns(spark, sf)
+    t = spread(turns(spark, sf), "project_id", "turn_id")
     return t.select("project_id", "turn_id", edits.text_similarity(F.col("gold"), F.col("cut")).alias("similarity"))
 
 
@@ -231,7 +232,7 @@ def d1_grammar_evidence(spark, sf):
     return t.select("project_id", "turn_id", "e.*").drop("rationale")
 
 
-@query("""SELECT event_id, CASE WHEN value >= 90 THEN '--:--' ELSE lpad(CAST(floor(value * 60) // 60 AS BIGINT)::VARCHAR, 2, '0') || ':' || lpad(CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.00' END AS label FROM events WHERE value < 60 OR value >= 90""")
+@query("""SELECT event_id, CASE WHEN value >= 90 THEN '--:--' ELSE lpad(CAST(CAST(floor(value * 60) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.00' END AS label FROM events WHERE value < 60 OR value >= 90""")
 def v6_time_label(spark, sf):
     e = table(spark, sf, "events").where("value < 60 OR value >= 90")
     return e.select("event_id", T.time_label(F.when(F.col("value") < 90, F.floor(F.col("value") * 60).cast("double"))).alias("label"))

@@ -8,24 +8,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SEGMENTS = T.StructType.fromDDL(
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<double>": T.ArrayType(T.DoubleType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def ddl(text: str) -> T.StructType:
+    """A schema from `name type, ...`, without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in text.split(", "))])
+
+
+SEGMENTS = ddl(
     "project_id string, source string, seg_idx int, start double, end double, speaker string, text string, confidence double"
 )
-TURNS = T.StructType.fromDDL(
+TURNS = ddl(
     "project_id string, turn_id int, start double, end double, speaker_raw string, speaker string, "
     "zoom_text string, chatgpt_text string, model_text string, gold_text string, gold_speaker string, final_text string, "
     "quality_target_text string, model_confidence double, agreement_score double, quality_score double, quality_label string, "
     "hebrew_switch boolean, hesitation_or_repetition boolean, self_correction boolean, unclear_speech boolean, "
     "overlapping_speech boolean, manual_review boolean, speech_rate_wpm double, volume_dbfs double, noise_snr_db double, notes string"
 )
-EVENTS = T.StructType.fromDDL(
+EVENTS = ddl(
     "project_id string, event_id int, turn_id int, event_type string, start double, end double, text string, confidence double, "
     "source string, token_start int, token_end int, reviewed boolean, details map<string,string>"
 )
-TRAINING = T.StructType.fromDDL(
+TRAINING = ddl(
     "schema_version int, label_target string, feature_names array<string>, features array<double>, label int, target_wer double, example_id string"
 )
-PROJECTS = T.StructType.fromDDL(
+PROJECTS = ddl(
     "project_id string, title string, learner_id string, session_number string, conversation_type string, audio_file string, "
     "zoom_file string, chatgpt_file string, gold_file string, created string, updated string"
 )

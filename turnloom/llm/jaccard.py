@@ -236,8 +236,9 @@ def join(docs: DataFrame) -> DataFrame:
     families = families.unionAll(families.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("gid"), F.col("root").alias("family"))
     # Members of one group are a family even if the group has no partner.
     families = members.join(families, "gid", "left").select(F.coalesce("family", "gid").alias("family"), "node")
+    families = materialize(families.distinct(), "members2", folder)
     sizes = families.groupBy("family").agg(F.count("*").alias("k")).where("k > 1")
-    families = materialize(families.join(sizes, "family").select("node", "family", "k").dropDuplicates(["node", "family"]), "family", folder)
+    families = materialize(families.join(sizes, "family").select("node", "family", "k"), "family", folder)
 
     links = verified(docs, families, folder)
     found = components(links, folder, "links")
@@ -256,7 +257,8 @@ def verified(docs: DataFrame, families: DataFrame, folder: str) -> DataFrame:
             ends = np.cumsum([0] + [len(s) for s in found]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "family", "k", "tokens"])
 
-    needed = rows_of(docs).where("text IS NOT NULL").withColumnRenamed("doc_id", "node").join(families, "node").select("node", "family", "k", "text")
+    # The ids grow with the corpus: they are never broadcast, so one plan serves all sizes.
+    needed = rows_of(docs).where("text IS NOT NULL").withColumnRenamed("doc_id", "node").join(families.hint("merge"), "node").select("node", "family", "k", "text")
     whole = materialize(needed.mapInArrow(build, "node long, family long, k long, tokens array<long>"), "whole", folder)
     blocks = F.expr(f"(k + {BLOCK - 1}) div {BLOCK}")
     whole = whole.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
@@ -281,4 +283,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     without a doc_id, which stay if any has no partner with one.
     """
     keep = join(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(materialize(keep, "keep"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi")
+    # As above: ids grow with the corpus and are not broadcast, whatever their number here.
+    return docs.join(materialize(keep, "keep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi")

@@ -44,6 +44,8 @@ def _folding() -> tuple[dict[str, str], dict[str, str]]:
 
 
 _ONE, _MANY = _folding()
+#: Characters whose folding is not all letters: words must be found before they are folded.
+_MARKED = "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if chr(c).isalpha() and not all(x.isalpha() for x in chr(c).casefold()))
 _MANY = {k: v for k, v in _MANY.items() if k not in _ONE}
 
 
@@ -69,7 +71,8 @@ def casefold(c) -> Column:
 def words(c) -> Column:
     """Comparable words in order: runs of letters, digits, underscores and apostrophes, case-folded."""
     found = F.regexp_extract_all(F.replace(casefold(c), F.lit("’"), F.lit("'")), F.lit(WORD), F.lit(0))
-    return found
+    first = F.transform(F.regexp_extract_all(text(c), F.lit(WORD), F.lit(0)), lambda x: F.replace(casefold(x), F.lit("’"), F.lit("'")))
+    return F.when(text(c).rlike(f"[{_MARKED}]"), first).otherwise(found)
 
 
 def word_count(c) -> Column:

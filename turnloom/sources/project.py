@@ -41,7 +41,7 @@ def problems(raw: object) -> list[str]:
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of project documents below a path; ValueError names the first document that is not one."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
     out: dict[str, list] = {k: [] for k in PARTS}
     for r in files.toLocalIterator():  # a document is one conversation
         try:

@@ -84,17 +84,15 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     nodes = nodes.join(known, nodes.tree.eqNullSafe(known.t) & (nodes.parent == known.m), "left").select("tree", "msg", F.col("m").alias("up"), "score")
     # far: how many steps `up` is away; total: scores from the message to just below `up`.
     jumps = materialize(nodes.withColumn("far", F.lit(1).cast("long")).withColumn("total", F.col("score")), "jump0", folder)
-    levels, k = [jumps], 0
-    while not jumps.where("up IS NOT NULL").isEmpty():
-        if k > 40:
-            break  # only cycles are left
+    levels, k, n = [jumps], 0, jumps.count()
+    while (1 << k) <= n and not jumps.where("up IS NOT NULL").isEmpty():  # beyond, only cycles are left
         b = jumps.select(F.col("tree").alias("t"), F.col("msg").alias("m"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("total").alias("total2"))
-        j = jumps.join(b, jumps.tree.eqNullSafe(b.t) & (jumps.up == b.m), "left")
+        # Messages that have reached their root are done; only the others go on.
+        open_ = jumps.where("up IS NOT NULL")
+        j = open_.join(b, open_.tree.eqNullSafe(b.t) & (open_.up == b.m))
         k += 1
-        jumps = materialize(
-            j.select("tree", "msg", F.col("up2").alias("up"), "score", (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")),
-            f"jump{k}", folder,
-        )
+        j = j.select("tree", "msg", F.col("up2").alias("up"), "score", (F.col("far") + F.col("far2")).alias("far"), (F.col("total") + F.col("total2")).alias("total"))
+        jumps = materialize(jumps.where("up IS NULL").unionByName(j), f"jump{k}", folder)
         levels.append(jumps)
     rooted = jumps.where("up IS NULL").select("tree", "msg", (F.col("far") - 1).alias("depth"), "total")
     parents = levels[0].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("m")).distinct()

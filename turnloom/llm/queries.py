@@ -66,4 +66,41 @@ ALL = (
 )
 QUERIES = {f.__name__: f for f in ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+# --- SQL ------------------------------------------------------------------------------------------
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "coalesce(regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+_OP4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+  b AS (SELECT item_id, w, least(10, len(w)) AS m FROM (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark) WHERE len(w) > 0),
+  bw AS (SELECT item_id, m, array_to_string(w[i + 1 : i + m], ' ') AS s FROM (SELECT *, unnest(range(len(w) - m + 1)) AS i FROM b)),
+  dw AS (SELECT r, m, i, array_to_string(w[i + 1 : i + m], ' ') AS s FROM (SELECT r, w, m, unnest(range(len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM b) WHERE len(w) >= m)),
+  h AS (SELECT r, i, m, item_id FROM dw JOIN bw USING (m, s)),
+  p AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + m)) AS k FROM h) GROUP BY r),
+  t AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+  FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)"""
+
+_OP6 = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+  x AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+  g AS (SELECT min(doc_id) AS doc_id, list_sort(s) AS s FROM x WHERE len(s) > 0 GROUP BY list_sort(s)),
+  e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM g),
+  q AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+  l AS (SELECT a, b FROM q WHERE 100 * c >= 90 * (na + nb - c) UNION SELECT g.doc_id, x.doc_id FROM x JOIN g ON list_sort(x.s) = g.s WHERE x.doc_id <> g.doc_id),
+  y AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  z AS (SELECT DISTINCT a AS doc_id, a AS root FROM y UNION SELECT y.b, z.root FROM z JOIN y ON y.a = z.doc_id),
+  m AS (SELECT doc_id, min(root) AS root FROM z GROUP BY doc_id)
+  SELECT x.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, x.doc_id) AS component_id FROM x LEFT JOIN m USING (doc_id)"""
+
+_SAID = "'\\### Assistant: </turn> ok'"
+_ESCAPED = "length(replace(replace(replace({0}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\t'))"
+_OP9 = f"""WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID}),
+  f AS (SELECT *, 13 + {_ESCAPED.format("role")} + length(role) - length(replace(replace(role, ':', ''), chr(10), '')) + {_ESCAPED.format("text")} + 1 AS n FROM c)
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+  FROM f GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {op4_decontamination.__name__: _OP4, op6_jaccard_join.__name__: _OP6, op9_chat_format.__name__: _OP9}

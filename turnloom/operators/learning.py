@@ -65,8 +65,8 @@ def capped(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 def class_weights(rows: DataFrame) -> DataFrame:
     """(label, n, weight): N / (classes * n), from 0.35 to 4."""
     n = rows.groupBy("label").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    return n.crossJoin(F.broadcast(total)).select("label", "n", T.clamp(F.col("total") / (F.col("k") * F.col("n")), 0.35, 4.0).alias("weight"))
+    every = n.agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.collect_list(F.struct("label", "n")).alias("each"))  # a row for each class
+    return every.select("total", "k", F.inline("each")).select("label", "n", T.clamp(F.col("total") / (F.col("k") * F.col("n")), 0.35, 4.0).alias("weight"))
 
 
 def scales(rows: DataFrame) -> DataFrame:
@@ -96,6 +96,8 @@ def splits(rows: DataFrame, repeat: int, share: float = 0.25) -> DataFrame:
 
 def confusion_scores(predictions: DataFrame, *by: str) -> DataFrame:
     """Accuracy, macro F1, balanced accuracy over the labels that occur, and their blend for selection."""
+    if not by:
+        return confusion_scores(predictions.withColumn("all_", F.lit(0)), "all_").drop("all_")
     cells = predictions.groupBy(*by, "label", "prediction").agg(F.count("*").alias("n"))
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     total = cells.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(hit).alias("right"))
@@ -103,8 +105,7 @@ def confusion_scores(predictions: DataFrame, *by: str) -> DataFrame:
     given = cells.groupBy(*by, F.col("prediction").cast("int").alias("klass")).agg(F.sum("n").alias("given"))
     per = actual.withColumn("klass", F.col("klass").cast("int")).join(given, [*by, "klass"], "left").na.fill(0, ["given"])
     per = per.groupBy(*by).agg(F.avg(2.0 * F.col("tp") / (F.col("actual") + F.col("given"))).alias("macro_f1"), F.avg(F.col("tp") / F.col("actual")).alias("balanced_accuracy"))
-    j = per.join(total, list(by)) if by else per.crossJoin(total)
-    j = j.withColumn("accuracy", F.col("right") / F.col("total"))
+    j = per.join(total, list(by)).withColumn("accuracy", F.col("right") / F.col("total"))
     return j.select(*by, "accuracy", "macro_f1", "balanced_accuracy", (0.70 * F.col("macro_f1") + 0.20 * F.col("balanced_accuracy") + 0.10 * F.col("accuracy")).alias("selection"))
 
 

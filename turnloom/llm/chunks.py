@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, materialize, slices, texts
+from .common import code_points, materialize, shared_dir, slices, texts
 
 #: A cut where the hash's top BITS bits are zero and were not in the QUIET bytes before; at least every MOST bytes.
 BITS, QUIET, MOST = 4, 11, 512
@@ -131,8 +131,10 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """All chunks with a repeated digest, each with its first occurrence (first_doc, first_a)."""
-    rows = materialize(chunk_rows(docs).join(counted(docs), "digest", "left_semi"), "repeated")
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "a")).alias("first"))
+    # Sums are written before they are joined: a join whose sides both come from plain exchanges can split a hot digest.
+    folder = shared_dir(docs.sparkSession)
+    rows = materialize(chunk_rows(docs).join(materialize(counted(docs), "digests", folder), "digest", "left_semi"), "repeated", folder)
+    first = materialize(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "a")).alias("first")), "first", folder)
     return rows.join(first, "digest").select("doc_id", "a", "b", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.a").alias("first_a"))
 
 

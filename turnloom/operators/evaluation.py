@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits
 from ..functions import text as T
+from .spread import spread
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -49,7 +50,7 @@ def error_aggregates() -> list[Column]:
 def evaluate(turns: DataFrame) -> DataFrame:
     """All metrics of each project that has a gold text; counts before rates."""
     gold = ~blank("gold_text")
-    t = pair_counts(turns.where(gold), "gold_text", "final_text")
+    t = pair_counts(spread(turns.where(gold), "project_id", "turn_id"), "gold_text", "final_text")
     t = t.withColumn("e", edits.matched_events(F.col("gold_text"), F.col("final_text"))).withColumn("g", edits.grammar_words(F.col("gold_text"), F.col("final_text")))
     t = t.withColumn("gs", T.evaluation_label(T.normalized(F.col("gold_speaker")))).withColumn("hs", T.evaluation_label(T.normalized(F.col("speaker"))))
     named = F.col("gs") != ""
@@ -75,7 +76,7 @@ def by_source(turns: DataFrame) -> DataFrame:
         "project_id", "gold_text",
         F.expr("stack(4, 'Final', final_text, 'Zoom', zoom_text, 'ChatGPT', chatgpt_text, 'Model', model_text) AS (source, text)"),
     )
-    return pair_counts(long.where(~blank("text")), "gold_text", "text").groupBy("project_id", "source").agg(F.count("*").alias("turns"), *error_aggregates())
+    return pair_counts(spread(long.where(~blank("text")), "project_id", "gold_text"), "gold_text", "text").groupBy("project_id", "source").agg(F.count("*").alias("turns"), *error_aggregates())
 
 
 def sum_grammar(counts: DataFrame, *by: str) -> DataFrame:

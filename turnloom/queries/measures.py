@@ -18,14 +18,14 @@ _COUNTED = "WITH " + TURNS + """, c AS (SELECT project_id, turn_id, n, n // 7 AS
 @query(_COUNTED + """ SELECT project_id, CAST(sum(n) AS BIGINT) AS ref_words, CAST(sum(d) AS BIGINT) AS deletions, CAST(sum(d) AS DOUBLE) / sum(n) AS wer FROM c GROUP BY project_id""")
 def flagship_wer(spark, sf):
     """Word errors of a hypothesis that lacks every 7th word, per conversation."""
-    t = turns(spark, sf).where("n > 0").withColumn("e", edits.word_edits(F.col("gold"), F.col("cut")))
+    t = spread(turns(spark, sf).where("n > 0"), "project_id", "turn_id").withColumn("e", edits.word_edits(F.col("gold"), F.col("cut")))
     s = F.sum("e.reference")
     return t.groupBy("project_id").agg(s.alias("ref_words"), F.sum("e.deletions").alias("deletions"), (F.sum(evaluation.errors("e")) / s).alias("wer"))
 
 
 @query(_COUNTED + """ SELECT project_id, turn_id, CAST(s AS BIGINT) AS substitutions, CAST(0 AS BIGINT) AS deletions, CAST(0 AS BIGINT) AS insertions, CAST(n - s AS BIGINT) AS correct FROM c""")
 def g1_edit_counts(spark, sf):
-    t = turns(spark, sf).where("n > 0").withColumn("e", edits.word_edits(F.col("gold"), F.col("alien")))
+    t = spread(turns(spark, sf).where("n > 0"), "project_id", "turn_id").withColumn("e", edits.word_edits(F.col("gold"), F.col("alien")))
     return t.select("project_id", "turn_id", "e.substitutions", "e.deletions", "e.insertions", "e.correct")
 
 

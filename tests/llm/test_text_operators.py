@@ -53,6 +53,27 @@ def test_layers_are_unwrapped_and_mapped():
     assert secrets.all_spans(b"100%25%25 plain %zz \\u12", None)[0] == []
 
 
+def test_nested_binary_and_misaligned_layers_are_unwrapped(monkeypatch):
+    said = b"password=hunter2xyz"
+    pack, b64 = gzip.compress, base64.b64encode
+    hexed = lambda lead, d: b"".join(lead + b"%02x" % c for c in d)
+    for wrapped in (
+        b64(pack(pack(said))), b64(pack(zlib.compress(said))), hexed(b"%", pack(said)), hexed(b"\\x", pack(said)), hexed(b"%", zlib.compress(said)),
+        b64(pack(b"first member ") + pack(said)), b64(pack(b"a\x00b\x01 \xe9 " + said)), b64(b"\x00\xff\xe9 " + said),
+        b"path/to/" + b64(said), b"key-" + b64(pack(said)), b"a_b+" + b64(said), *(b"x" * k + b64(pack(pack(said))) for k in range(1, 5)),
+        b64(pack(b64(pack(b"\x00" + said)))),
+    ):
+        _, found, layers, _ = secrets.all_spans(wrapped, None)
+        inside = [f for f in found if f[1] == 0]
+        assert inside and layers > 1 and all(0 <= a < b <= len(wrapped) for a, _, b in inside), wrapped
+    monkeypatch.setattr(secrets, "MAX_LAYER", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for at in (0, 4990, 9895, 30000):
+        _, found, _, cut = secrets.all_spans(b64(pack(b"." * at + said + b"." * 7000)), None)
+        assert found and cut == 1, at
+    assert secrets.all_spans(b"an ordinary sentence with ordinaryandratherlongwords in it", None)[1:] == (set(), 1, 0)
+
+
 def test_redaction_keeps_columns_and_clean_rows(spark):
     rows = [(1, "é my password: hunter2xyz ok"), (2, "clean"), (3, None)]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}

@@ -1,20 +1,22 @@
 """Secret scans: a recursive decoding worklist over every whole text.
 
 Each text is a first layer. A layer is scanned for three kinds of secret, then everything in it
-that is encoded (percent escapes, backslash Unicode escapes, base64, gzip or zlib data inside
-base64) is unwrapped into further layers until none yields a new one. A layer whose digest has
+that is encoded (percent escapes, backslash escapes, base64 at any alignment, gzip or zlib data of
+any number of members at any place) is unwrapped into further layers, binary ones too, until none
+yields a new one. A layer whose digest has
 been seen for this text ends there, so cycles end. Every layer carries, byte by byte, the span of
 the original text that it came from, so that what is found in it points at the original.
 
 Cases: null text is empty and has no span; an empty table gives an empty result; repeated rows
 give repeated rows; a null doc_id stays null; other columns of the input are not read by `scan`
-and pass unchanged through `redact`. One decompressed layer is read up to MAX_LAYER bytes, which
-bounds memory against compression bombs; `n_cut` counts layers that were longer.
+and pass unchanged through `redact`. Decompressed data of over MAX_LAYER bytes is read whole, in
+windows that overlap, which bounds memory; `n_cut` counts it, as what is encoded in it across two
+windows is read in parts.
 """
 
 from __future__ import annotations
 
-import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -35,14 +37,19 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-#: Most bytes of one decompressed layer.
-MAX_LAYER = 64 << 20
+#: Bytes of decompressed data that are read at a time, and those that two such windows share.
+MAX_LAYER, OVERLAP = 64 << 20, 1 << 20
+#: Bytes of compressed data that are fed at a time.
+PIECE = 1 << 16
 #: Shortest base64 run that is tried.
 BASE64_LEAST = 16
 
 PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(rb"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(rb"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+BASE64 = re.compile(rb"[A-Za-z0-9+/]{16,}={0,2}")
+BASE64_URL = re.compile(rb"[A-Za-z0-9_-]{16,}={0,2}")
+GZIP = b"\x1f\x8b"
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 RUN_TABLE = np.zeros(256, bool)
 RUN_TABLE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
 CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
@@ -102,15 +109,34 @@ class Layer:
         return Layer(b"".join(parts), np.concatenate(s), np.concatenate(e))
 
 
-def inflated(data: bytes) -> tuple[bytes, bool] | None:
-    """What gzip or zlib data holds, and whether it was longer than a layer may be."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
+def inflated(data: bytes, at: int) -> Iterator[tuple[bytes, bool, int]]:
+    """What gzip or zlib data at a place holds, all its members in a row, in windows of MAX_LAYER bytes
+    that share OVERLAP; whether it is of two windows or more (told once), and where its last whole member ends.
+
+    What precedes an error or the end of cut data counts.
+    """
+    held, end, windows = bytearray(), 0, 0
+    unpack = zlib.decompressobj(47)
     try:
-        unpack = zlib.decompressobj(47)
-        return unpack.decompress(data, MAX_LAYER), bool(unpack.unconsumed_tail)
+        while at < len(data):
+            rest = data[at : at + PIECE]
+            at += len(rest)
+            while rest and not unpack.eof:
+                held += unpack.decompress(rest, MAX_LAYER - len(held))
+                rest = unpack.unconsumed_tail
+                if len(held) >= MAX_LAYER:
+                    windows += 1
+                    yield bytes(held), windows == 2, end
+                    del held[:-OVERLAP]
+            if unpack.eof:
+                end = at = at - len(unpack.unused_data)
+                if data[at : at + 2] != GZIP:
+                    break
+                unpack = zlib.decompressobj(47)
     except zlib.error:
-        return None
+        pass
+    if held and (not windows or len(held) > OVERLAP):
+        yield bytes(held), windows == 1, end
 
 
 def readable(data: bytes) -> bool:
@@ -121,63 +147,98 @@ def readable(data: bytes) -> bool:
     return bool(data) and not CONTROL.search(data)
 
 
-def base64_layers(layer: Layer, runs: list[tuple[int, int]] | None) -> Iterator[tuple[Layer, bool]]:
-    """Layers of what base64 runs hold: readable text, or text that was compressed."""
-    if runs is None:
-        runs = [m.span() for m in BASE64.finditer(layer.data)]
-    for a, b in runs:
-        run = layer.data[a:b].rstrip(b"=")
-        if len(run) < BASE64_LEAST or len(run) % 4 == 1:
+def spread(layer: Layer, a: int, b: int, data: bytes) -> Layer:
+    """Data each of whose bytes comes from the layer's bytes a to b as a whole."""
+    s, e = layer.origin(a, b)
+    return Layer(data, np.broadcast_to(np.int64(s), len(data)), np.broadcast_to(np.int64(e), len(data)))
+
+
+def compressed_layers(layer: Layer) -> Iterator[tuple[Layer, bool, bool]]:
+    """What gzip or zlib data anywhere in the layer holds."""
+    done = 0
+    for m in PACKED.finditer(layer.data):
+        if m.start() < done:
             continue
-        raw = base64.urlsafe_b64decode(run.replace(b"+", b"-").replace(b"/", b"_") + b"=" * (-len(run) % 4))
-        if more := inflated(raw):
-            data, cut = more
-            if data and (readable(data) or cut):
-                s, e = layer.origin(a, b)
-                yield Layer(data, np.full(len(data), s), np.full(len(data), e)), cut
-        elif readable(raw):
-            starts, ends = layer.maps()
+        for data, cut, end in inflated(layer.data, m.start()):
+            done = max(done, end)
+            yield spread(layer, m.start(), end or len(layer.data), data), cut, end > 0 or readable(data)
+
+
+def base64_runs(data: bytes) -> list[tuple[int, int]]:
+    """The maximal runs of either base64 alphabet."""
+    return sorted({m.span() for pattern in (BASE64, BASE64_URL) for m in pattern.finditer(data)})
+
+
+def base64_layers(layer: Layer, runs: list[tuple[int, int]] | None) -> Iterator[tuple[Layer, bool, bool]]:
+    """What base64 runs hold, read from each of their first four letters, as data may follow other letters."""
+    for a, b in base64_runs(layer.data) if runs is None else runs:
+        run = layer.data[a:b].rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
+        for k in range(4):
+            part = run[k : len(run) - (len(run) - k) % 4] if (len(run) - k) % 4 == 1 else run[k:]
+            if len(part) < BASE64_LEAST - 3:
+                break
+            raw = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
             at = np.arange(len(raw))
-            first = a + at // 3 * 4 + at % 3
-            yield Layer(raw, starts[first], ends[np.minimum(first + 1, b - 1)]), False
+            first = a + k + at // 3 * 4 + at % 3
+            last = np.minimum(first + 1, b - 1)
+            if layer.start is not None:
+                first, last = layer.start[first], layer.end[last]
+            else:
+                last = last + 1
+            yield Layer(raw, first, last), False, readable(raw)
 
 
-def unwrapped(layer: Layer, runs: list[tuple[int, int]] | None = None) -> Iterator[tuple[Layer, bool]]:
+def unwrapped(layer: Layer, runs: list[tuple[int, int]] | None = None) -> Iterator[tuple[Layer, bool, bool]]:
+    """All that is encoded in a layer, whether it is longer than a layer may be, and whether it is surely no chance."""
     if b"%" in layer.data:
         edits = []
         for m in PERCENT.finditer(layer.data):
             edits.append((m.start(), m.end(), bytes.fromhex(m[0].replace(b"%", b"").decode()), 3))
         if edits:
-            yield layer.rewritten(edits), False
+            yield layer.rewritten(edits), False, True
     if b"\\" in layer.data:
-        edits = []
+        edits, raw = [], []
         for m in UNICODE.finditer(layer.data):
             code = int(m[1] or m[2] or m[3] or m[4], 16)
             if code <= 0x10FFFF:
                 edits.append((m.start(), m.end(), chr(code).encode("utf-8", "replace"), 0))
+                raw.append((*edits[-1][:2], bytes([code]) if m[4] else edits[-1][2], 0))
         if edits:
-            yield layer.rewritten(edits), False
+            yield layer.rewritten(edits), False, True
+        if raw != edits:  # \\x may stand for a byte as well as for a character
+            yield layer.rewritten(raw), False, True
+    if layer.start is not None:  # the original is UTF-8, which compressed data is not
+        yield from compressed_layers(layer)
     yield from base64_layers(layer, runs)
 
 
 def all_spans(data: bytes, runs: list[tuple[int, int]] | None = None) -> tuple[list, set, int, int]:
-    """Base spans, all spans as (start, kind, end) in the original's bytes, layers, layers cut."""
+    """Base spans, all spans as (start, kind, end) in the original's bytes, layers, layers cut.
+
+    Every decoded byte string is scanned and unwrapped further; those that may be chance (letters that
+    happen to be base64) count as layers only if something is found in them.
+    """
     base = base_spans(data)
-    found, seen, n_cut = set(base), {hashlib.blake2b(data, digest_size=16).digest()}, 0
-    work = [(Layer(data), runs)]
+    found, seen, n_layers, n_cut = set(base), {hashlib.blake2b(data, digest_size=16).digest()}, 1, 0
+    work = [unwrapped(Layer(data), runs)]  # innermost last, so that one window of each is held
     while work:
-        layer, known = work.pop()
-        for new, cut in unwrapped(layer, known):
-            key = hashlib.blake2b(new.data, digest_size=16).digest()
-            n_cut += cut
-            if key in seen:
-                continue
-            seen.add(key)
-            for a, kind, b in base_spans(new.data):
-                s, e = new.origin(a, b)
-                found.add((s, kind, e))
-            work.append((new, None))
-    return base, found, len(seen), n_cut
+        step = next(work[-1], None)
+        if step is None:
+            work.pop()
+            continue
+        new, cut, sure = step
+        n_cut += cut
+        key = hashlib.blake2b(new.data, digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        spans = base_spans(new.data)
+        for a, kind, b in spans:
+            s, e = new.origin(a, b)
+            found.add((s, kind, e))
+        n_layers += bool(sure or spans)
+        work.append(unwrapped(new))
+    return base, found, n_layers, n_cut
 
 
 def encoded_runs(docs: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -198,12 +259,13 @@ def encoded_runs(docs: list[bytes]) -> list[list[tuple[int, int]]]:
 
 
 def mixed(docs: list[bytes], runs: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Splits runs that hold letters of both base64 alphabets, as the pattern does."""
+    """Splits runs that hold letters of both base64 alphabets into the runs of each."""
     for doc, own in zip(docs, runs, strict=True):
-        for k, (a, b) in enumerate(own):
+        for k in range(len(own) - 1, -1, -1):
+            a, b = own[k]
             part = doc[a:b]
             if (b"-" in part or b"_" in part) and (b"+" in part or b"/" in part):
-                own[k : k + 1] = [(a + m.start(), a + m.end()) for m in BASE64.finditer(part)]
+                own[k : k + 1] = [(a + x, a + y) for x, y in base64_runs(part)]
     return runs
 
 
@@ -237,15 +299,9 @@ def found_in(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list, list, in
     runs = mixed(docs, encoded_runs(docs))
     may = suspects(array)
     for i, doc in enumerate(docs):
-        if may[i]:
-            base, found, layers, cut = all_spans(doc, runs[i])
-        elif runs[i]:
-            first = list(base64_layers(Layer(doc), runs[i]))
-            if not first:
-                continue
-            base, found, layers, cut = all_spans(doc, runs[i])
-        else:
+        if not may[i] and not runs[i]:
             continue
+        base, found, layers, cut = all_spans(doc, runs[i])
         if found or layers > 1:
             yield i, doc, base, sorted(found), layers, cut
 

@@ -245,6 +245,23 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_jaccard_join_tells_rows_without_an_id_apart(spark):
+    rng = random.Random(12)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    a, b, c, e, f = (text() for _ in range(5))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    plain = " ".join
+    rows = [(1, plain(a)), (None, near(a)), (None, plain(b)), (None, near(b)), (None, near(b)), (None, plain(c)), (None, None), (None, " ")]
+    rows += [(7, plain(e)), (7, plain(f)), (7, None), (9, near(f)), (8, plain(e)), (8, plain(e))]
+    n, key = 58, lambda r: tuple(-1 if v is None else v for v in r)
+    got = sorted((key((r["doc_id"], r["component_id"], r["n_shingles"])) for r in jaccard.join(docs(spark, rows)).collect()))
+    want = [(1, 1, n), (None, 1, n), *[(None, None, n)] * 4, *[(None, None, 0)] * 2, (7, 7, n), (7, 7, n), (7, 7, 0), (9, 7, n), (8, 7, n), (8, 7, n)]
+    assert got == sorted(map(key, want))
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.representatives(docs(spark, rows)).collect()]
+    assert len(kept) == 7 and {(1, plain(a)), (None, plain(c)), (None, None), (None, " "), (7, None)} < set(kept)
+    assert sum(t in (plain(b), near(b)) for _, t in kept) == 1 and sum(t in (plain(e), plain(f)) for i, t in kept if i == 7) == 1
+
+
 def test_passages_are_found_and_clean_texts_left(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))

@@ -18,7 +18,8 @@ than BLOCK sets are verified by pairs of blocks, so no task holds more than two.
 Cases: null, empty and wordless texts have an empty set, link with nothing and are their own
 component; fewer than three words are one shingle; exact copies are one set, so ties and repeated
 rows change nothing; rows of one doc_id are one document to the components, each with its own
-n_shingles; a null doc_id is the last of its component, and null if alone; an empty table gives no
+n_shingles; a null doc_id is the last of its component, and rows without one are each a document of
+their own, whose component_id is null where none in the component has an id; an empty table gives no
 rows; other columns are ignored by `join` and kept by `representatives`.
 """
 
@@ -91,7 +92,9 @@ def prefix_length(n: int) -> int:
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text_key, text): texts of one doc_id, or of none, are told apart by the key."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
@@ -125,13 +128,13 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, digest, prefix) of every row."""
+    """(doc_id, text_key, n, digest, prefix) of every row."""
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, digest, prefix = [], [], []
-            for doc in texts(batch.column(1)):
+            for doc in texts(batch.column(2)):
                 found = shingles(doc)
                 size = len(found)
                 n.append(size)
@@ -147,9 +150,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 prefix.append(np.sort(found[:keep]).view(np.int64))
             ends = np.cumsum([0] + [len(p) for p in prefix]).astype(np.int32)
             flat = pa.array(np.concatenate(prefix)) if prefix else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "text_key", "n", "digest", "prefix"])
 
-    return rows_of(docs).mapInArrow(step, "doc_id long, n int, digest binary, prefix array<long>")
+    return rows_of(docs).mapInArrow(step, "doc_id long, text_key long, n int, digest binary, prefix array<long>")
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -208,12 +211,18 @@ def spanning(nodes: list[int], sets: list[np.ndarray], sides: np.ndarray | None
     return links
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, text_key, n, digest), distinct sets (digest, doc_id and text_key of one row that
+    holds it, root, and of one row of its component), and (doc_id, text_key) of rows that repeat.
+
+    Each distinct set is a node of its own, whatever ids its rows have; ids come in at the end alone.
+    """
     folder = shared_dir(docs.sparkSession)
     rows = materialize(prefixes(docs, sketch(docs)), "prefixes", folder)
-    sets = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets, "sets", folder)
+    copies = materialize(rows.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "copies", folder)
+    sets = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # The numbers are written once, so they stay as they are.
+    sets = materialize(sets.select("digest", "low.doc_id", "low.text_key", "n", "prefix", F.monotonically_increasing_id().alias("node")), "sets", folder)
     grouped = sets.where(F.size("prefix") > 0).groupBy("n", "prefix").agg(F.min("node").alias("gid"))
     groups = materialize(grouped, "groups", folder)
     members = materialize(sets.join(groups, ["n", "prefix"]).select("gid", "node", "n"), "members", folder)
@@ -240,15 +249,36 @@ def join(docs: DataFrame) -> DataFrame:
     sizes = families.groupBy("family").agg(F.count("*").alias("k")).where("k > 1")
     families = materialize(families.join(sizes, "family").select("node", "family", "k"), "family", folder)
 
-    links = verified(docs, families, folder)
-    found = components(links, folder, "links")
-    nodes = rows.join(sets.select("digest", "node"), "digest", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
-    out = nodes.join(found, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("component"))
+    families = families.join(sets.select("node", "doc_id", "text_key"), "node")
+    links = verified(docs, families, copies, folder)
+    # Sets of one doc_id are one document.
+    several = rows.where(f"n > 0 AND doc_id <> {NO_ID}").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id")
+    several = rows.where("n > 0").join(materialize(several, "several", folder), "doc_id").join(sets.select("digest", "node"), "digest").select("doc_id", "node")
+    several = materialize(several.distinct(), "several2", folder)
+    least = several.groupBy("doc_id").agg(F.min("node").alias("a"))
+    found = components(links.unionAll(several.join(least, "doc_id").select("a", F.col("node").alias("b"))), folder, "links")
+
+    own = sets.select("digest", "doc_id", "text_key", "node").join(found, "node", "left")
+    own = materialize(own.select("digest", "doc_id", "text_key", F.coalesce("root", "node").alias("root")), "roots", folder)
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    own = own.join(materialize(first, "firsts", folder), "root")
+    return rows.drop("prefix"), materialize(own, "own", folder), copies
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    rows, sets, _ = joined(docs)
+    out = rows.join(sets.select("digest", F.col("first.doc_id").alias("component")), "digest", "left")
+    # Wordless rows of a doc_id that has words in another row are in that one's component.
+    bare = rows.where(f"n = 0 AND doc_id <> {NO_ID}").select("doc_id").distinct()
+    named = out.where("n > 0").join(bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("other"))
+    worded, wordless = out.where("n > 0").select("doc_id", "n", "component"), out.where("n = 0").join(named, "doc_id", "left")
+    out = worded.unionAll(wordless.select("doc_id", "n", F.coalesce("other", "doc_id")))
     none = F.lit(NO_ID)
     return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.nullif("component", none).alias("component_id"))
 
 
-def verified(docs: DataFrame, families: DataFrame, folder: str) -> DataFrame:
+def verified(docs: DataFrame, families: DataFrame, copies: DataFrame, folder: str) -> DataFrame:
     """(a, b): links that span the verified components of each family."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +288,9 @@ def verified(docs: DataFrame, families: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "family", "k", "tokens"])
 
     # The ids grow with the corpus: they are never broadcast, so one plan serves all sizes.
-    needed = rows_of(docs).where("text IS NOT NULL").withColumnRenamed("doc_id", "node").join(families.hint("merge"), "node").select("node", "family", "k", "text")
+    needed = rows_of(docs).where("text IS NOT NULL").join(families.hint("merge"), ["doc_id", "text_key"]).select("node", "family", "k", "text")
+    if not copies.isEmpty():  # written first, so that a row with many repeats can be split
+        needed = materialize(needed, "needed", folder).dropDuplicates(["node"])
     whole = materialize(needed.mapInArrow(build, "node long, family long, k long, tokens array<long>"), "whole", folder)
     blocks = F.expr(f"(k + {BLOCK - 1}) div {BLOCK}")
     whole = whole.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
@@ -277,11 +309,19 @@ def verified(docs: DataFrame, families: DataFrame, folder: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """All columns of one document of each component: the one with the smallest doc_id.
+    """All columns of one row of each component: one of those with the smallest doc_id, if any has one.
 
-    Documents without words are each kept; rows of one doc_id stay or go together; so do rows
-    without a doc_id, which stay if any has no partner with one.
+    Rows without words are each kept.
     """
-    keep = join(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("kept_")).distinct()
+    rows, sets, copies = joined(docs)
+    folder = shared_dir(docs.sparkSession)
+    kept = sets.where("doc_id = first.doc_id AND text_key = first.text_key").select("doc_id", "text_key", F.lit(True).alias("worded_"))
+    kept = kept.unionAll(rows.where("n = 0").select("doc_id", "text_key", F.lit(False)).distinct())
+    kept = materialize(kept.withColumnsRenamed({"doc_id": "kept_", "text_key": "key_"}), "keep", folder)
+    doc_id, text_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.col("text").cast("string"))
     # As above: ids grow with the corpus and are not broadcast, whatever their number here.
-    return docs.join(materialize(keep, "keep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi")
+    out = docs.join(kept.hint("merge"), (doc_id == F.col("kept_")) & (text_key == F.col("key_")))
+    if not copies.isEmpty():  # of equal rows one stays; written first, as above
+        out = materialize(out, "kept", folder)
+        out = out.where("NOT worded_").unionAll(out.where("worded_").dropDuplicates(["kept_", "key_"]))
+    return out.select(docs.columns)

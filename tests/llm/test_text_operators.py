@@ -149,6 +149,20 @@ def test_token_files_match_the_library(spark, tmp_path):
     assert shard.get(9)[-1] == 2 and shard.get(123456) is None
 
 
+def test_token_ids_of_added_tokens_are_the_library_s_default(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    rows = [(1, "a <|endoftext|> b"), (2, "plain  text"), (3, "<|endoftext|><|endoftext|>"), (4, "x<|endoftext|"), (5, "é <|endoftext|>\n 's"), (6, "<|endoftext|")]
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.digest(docs(spark, rows), path, 2).collect()}
+    t, at = Tokenizer.from_file(path), 0
+    assert 50256 in t.encode(rows[0][1], add_special_tokens=False).ids
+    for i, s in rows:
+        ids = t.encode(s, add_special_tokens=False).ids + [2]
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_perfect_hash_is_minimal():
     keys = tokenfiles.key_hash(np.arange(5000), np.zeros(5000, np.int64))
     h = tokenfiles.PerfectHash.build(keys)

@@ -160,12 +160,16 @@ def open_shard(folder: str, name: str) -> Shard:
     return Shard(index, system.open_input_file(f"{path}/{name}.ids"))
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
-    """Writes the shards; returns the manifest (shard, name, n_docs, n_ids, start), a row for each shard."""
+def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, added: bool = False) -> DataFrame:
+    """Writes the shards; returns the manifest (shard, name, n_docs, n_ids, start), a row for each shard.
+
+    With `added`, strings of added tokens get their ids, as is the library's default; else they are ordinary text.
+    """
     spark = docs.sparkSession
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(ByteLevel, tokenizer)
+        encode = coder.encode_added if added else coder.encode
         if end_id >= 1 << 8 * coder.dtype.itemsize:
             raise ValueError("the end id does not fit the ids' width")
         end = np.array([end_id], coder.dtype).tobytes()
@@ -175,7 +179,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
         keys, sizes, out = [], [], None
         for batch in slices(batches):
             out = out or system.open_output_stream(f"{path}/{name}.ids")
-            ids = [coder.encode(doc.decode()) + end for doc in texts(batch.column(1))]
+            ids = [encode(doc.decode()) + end for doc in texts(batch.column(1))]
             keys.append(batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
             sizes += [len(x) // coder.dtype.itemsize for x in ids]
             out.write(b"".join(ids))
@@ -225,6 +229,6 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes all documents to a new shared folder and returns what is read back."""
+    """Writes all documents, encoded by the library's default, to a new shared folder and returns what is read back."""
     folder = shared_dir(docs.sparkSession)
-    return read(write(docs, tokenizer, end_id, folder), folder)
+    return read(write(docs, tokenizer, end_id, folder, added=True), folder)

@@ -2,7 +2,7 @@
 
 Both tokenizers split a text before every single space in any case, so a text's ids are its chunks'
 ids in a row. A worker keeps the ids of chunks that it has met, up to CACHE_ENTRIES of them, and asks
-the library only for new ones.
+the library only for new ones. Texts that hold an added token go through the library as a whole.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def byte_letters() -> list[str]:
 
 
 class ByteLevel:
-    """A byte-level BPE tokenizer file (tokenizers library). Special tokens' strings are ordinary text."""
+    """A byte-level BPE tokenizer file (tokenizers library). `encode` takes special tokens' strings as ordinary text, `encode_added` as their ids."""
 
     def __init__(self, path: str):
         import regex
@@ -39,6 +39,7 @@ class ByteLevel:
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         # Fixed value: the pre-tokenizer's pattern.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -73,6 +74,12 @@ class ByteLevel:
                     out[i] = ids
         return b"".join(out)
 
+    def encode_added(self, text: str) -> bytes:
+        """The ids as the library gives them by default: an added token's string is its id."""
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.encode(text)
+
 
 class Pieces:
     """A SentencePiece BPE model with byte fallback and no text normalization."""

@@ -127,17 +127,16 @@ def test_search_matches_brute_force(spark, monkeypatch):
 # --- token files
 
 
-def test_token_files_match_the_library(spark, tmp_path):
+def test_token_files_match_the_library(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     rows = [(5, "Hello  world"), (3, None), (3, ""), (9, "naïve\n\n text 12.5 <|endoftext|>"), (None, "a"), (-4, "日本 x" * 50)]
     folder = f"file://{tmp_path}/t"
     (tmp_path / "t").mkdir()
-    manifest = tokenfiles.write(docs(spark, rows), path, 2, folder)
+    manifest = tokenfiles.write(docs(spark, rows), path, 2, folder, added=True)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.read(manifest, folder).collect())
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want, at = [], 0
     for i, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""))):
         ids = t.encode(s or "", add_special_tokens=False).ids + [2]
@@ -147,6 +146,8 @@ def test_token_files_match_the_library(spark, tmp_path):
     name = next(r["name"] for r in manifest.collect() if 9 in tokenfiles.open_shard(folder, r["name"]).doc_ids)
     shard = tokenfiles.open_shard(folder, name)
     assert shard.get(9)[-1] == 2 and shard.get(123456) is None
+    monkeypatch.setattr(tokenfiles, "mixed", lambda keys, seed, real=tokenfiles.mixed: real(keys, seed) * np.uint64(seed != 999))  # all fingerprints agree
+    assert tokenfiles.open_shard(folder, name).get(9) is None and all(shard.get(k) is None for k in range(1000, 3000))
 
 
 def test_token_ids_of_added_tokens_are_the_library_s_default(spark):
@@ -163,6 +164,24 @@ def test_token_ids_of_added_tokens_are_the_library_s_default(spark):
         at += len(ids)
 
 
+def test_ids_of_all_kinds_of_gaps_match_the_libraries():
+    from turnloom.llm.tokens import ByteLevel, Pieces
+
+    rng = random.Random(21)
+    bits = ["a", "Word", " ", "  ", "\n", "\t", "\u00a0", "\u0085", "\u2003", "\u3000", "\u1680", "\x1c", "\x7f", "é", "日本", "'s", "12", "!?", "𝒳", "<|endoftext|>", "▁"]
+    some = ["", " ", "\n ", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(3000)), "long " * 60_000]
+    for coder in (ByteLevel(P.path("byte_bpe_50k.json")), Pieces(P.path("piece_bpe_32k.model"))):
+        for part in (some[:1500], some[1500:], some[:50]):
+            data = [s.encode() for s in part]
+            ids, ends = coder.encode(data, True) if isinstance(coder, ByteLevel) else coder.encode(data)
+            got = [x.tolist() for x in np.split(ids, ends[:-1])]
+            want = [coder.tokenizer.encode(s, add_special_tokens=False).ids for s in part] if isinstance(coder, ByteLevel) else coder.model.encode(part)
+            assert got == want
+    coder = ByteLevel(P.path("byte_bpe_50k.json"))
+    ids, ends = coder.encode([s.encode() for s in some], False)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [coder.plain.encode(s, add_special_tokens=False).ids for s in some]
+
+
 def test_perfect_hash_is_minimal():
     keys = tokenfiles.key_hash(np.arange(5000), np.zeros(5000, np.int64))
     h = tokenfiles.PerfectHash.build(keys)
@@ -176,21 +195,34 @@ def test_perfect_hash_is_minimal():
 def test_scan_by_chunks_equals_the_library(spark, monkeypatch):
     from turnloom.llm.tokens import Pieces
 
-    pieces = Pieces(P.path("piece_bpe_32k.model"))
+    path = P.path("piece_bpe_32k.model")
+    pieces = Pieces(path)
     rng = random.Random(6)
-    some = ["", " ", "a  b ", "the" * 400, "a" * 700, "日本語テキスト" * 60, "".join(rng.choice("abcdeé hin \n") for _ in range(3000))]
+    some = ["", " ", "a  b ", "the" * 400, "a" * 700, "日本語テキスト" * 60, "".join(rng.choice("abcdeé hin \n") for _ in range(3000)), "x" + " " * 900 + "▁ ▁y", "one two " * 300]
     for s in some:
         want = pieces.model.encode(s)
-        assert np.frombuffer(pieces.encode(s), pieces.dtype).tolist() == want
         for size in (37, 500):
-            assert np.frombuffer(sentencepieces.scan_text(pieces, s, size), pieces.dtype).tolist() == want
-    monkeypatch.setattr(sentencepieces, "GIANT", 500)
-    rows = [(i, s) for i, s in enumerate(some)] + [(4, some[4]), (None, None), (77, "word " * 9000)]
-    out = sentencepieces.encode(docs(spark, rows), P.path("piece_bpe_32k.model")).collect()
-    assert sorted((str(r["doc_id"]), r["ids"]) for r in out) == sorted((str(i), pieces.model.encode(s or "")) for i, s in rows)
-    assert all(r["restored"] for r in out)
-    ids = spark.createDataFrame([(1, pieces.model.encode("Hé  x"))], "doc_id long, ids array<int>")
-    assert sentencepieces.decode(ids, P.path("piece_bpe_32k.model")).first()["text"] == "Hé  x"
+            assert sentencepieces.scan_text(path, s, size) == want
+    rows = [(i, s) for i, s in enumerate(some)] + [(4, some[4]), (4, some[4]), (None, None), (None, some[6]), (77, "word " * 9000)]
+    want = sorted((str(i), pieces.model.encode(s or "")) for i, s in rows)
+    for chunk, fan in ((500, 64), (100, 4), (1, 64)):  # the last: every text, character by character
+        monkeypatch.setattr(sentencepieces, "CHUNK", chunk)
+        monkeypatch.setattr(sentencepieces, "FAN", fan)
+        own = rows if chunk > 1 else [r for r in rows if len(r[1] or "") < 500]
+        out = sentencepieces.encode(docs(spark, own), path).collect()
+        assert sorted((str(r["doc_id"]), r["ids"]) for r in out) == (want if chunk > 1 else sorted((str(i), pieces.model.encode(s or "")) for i, s in own))
+        assert all(r["restored"] == (r["doc_id"] != 7) and r["n_ids"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in out)
+    ids = spark.createDataFrame([(1, pieces.model.encode("Hé  x")), (2, [None, -3, 1, 10**8, 259]), (3, None)], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in sentencepieces.decode(ids, path).collect()} == {1: "Hé  x", 2: " ", 3: ""}
+
+
+def test_products_of_matrices_are_associative():
+    rng = random.Random(13)
+    states = [(i, "x") for i in range(4)]
+    some = [{i: {j: rng.choice([0.0, -1.0, -2.0]) for j in rng.sample(states, 3)} for i in rng.sample(states, 3)} for _ in range(3)]
+    a, b, c = some
+    clean = lambda m: {i: row for i, row in m.items() if row}
+    assert clean(sentencepieces.product(sentencepieces.product(a, b), c)) == clean(sentencepieces.product(a, sentencepieces.product(b, c)))
 
 
 # --- chat

@@ -3,8 +3,9 @@
 Documents are dealt by ranges of their keys, so that shard after shard, and within a shard, they
 ascend. A task writes two files for its shard: the raw payload (little-endian ids in a row) and an
 index: a minimal perfect hash (levels of bit maps: a key takes the first level on which it is alone,
-and its rank among all set bits is its slot) with, per slot, a stored fingerprint of the key and the
-ids' offset. `Shard.get` costs a few probes however many keys there are.
+and its rank among all set bits is its slot) with, per slot, a stored fingerprint of the key, the key
+itself, which is compared where the fingerprint agrees, and the ids' offset. `Shard.get` costs a few
+probes however many keys there are.
 
 File names carry a random part and only names in the manifest that Spark has committed are read, so
 retried or lost tasks leave nothing that counts. Ids take 2 bytes where the vocabulary allows.
@@ -33,6 +34,8 @@ from .tokens import ByteLevel, loaded
 #: Bits of a level's map for each key that is left.
 SPREAD = 2.0
 LEVELS = 48
+#: Bytes of text that are encoded at a time, and keys that are read at a time.
+ENCODED_BYTES, READ_KEYS = 8 << 20, 4096
 MAGIC = b"TLIX1\0\0\0"
 NULL_KEY = -(1 << 63)
 
@@ -92,17 +95,14 @@ class PerfectHash:
 
 
 def index_bytes(doc_ids: np.ndarray, ordinals: np.ndarray, offsets: np.ndarray, width: int) -> bytes:
-    """An index file: header, level sizes, bit map, then per slot fingerprint, offset and count, then keys in order."""
+    """An index file: header, level sizes, bit map, then by slot the fingerprints, offsets, counts and keys."""
     hashes = key_hash(doc_ids, ordinals)
     found = PerfectHash.build(hashes)
-    slots = found.slots(hashes)
-    n = len(hashes)
-    prints, begin, count = np.zeros(n, "<u4"), np.zeros(n, "<u8"), np.zeros(n, "<u8")
-    prints[slots] = (mixed(hashes, 999) >> np.uint64(32)).astype("<u4")
-    begin[slots] = offsets[:-1]
-    count[slots] = np.diff(offsets)
-    head = MAGIC + struct.pack("<QQQ", n, len(found.sizes), width) + np.array(found.sizes, "<u8").tobytes()
-    return head + np.packbits(found.bits).tobytes() + prints.tobytes() + begin.tobytes() + count.tobytes() + doc_ids.astype("<i8").tobytes() + ordinals.astype("<i8").tobytes()
+    order = np.argsort(found.slots(hashes))
+    prints = (mixed(hashes, 999) >> np.uint64(32)).astype("<u4")
+    head = MAGIC + struct.pack("<QQQ", len(hashes), len(found.sizes), width) + np.array(found.sizes, "<u8").tobytes()
+    columns = (prints, offsets[:-1].astype("<u8"), np.diff(offsets).astype("<u8"), doc_ids.astype("<i8"), ordinals.astype("<i8"))
+    return head + np.packbits(found.bits).tobytes() + b"".join(c[order].tobytes() for c in columns)
 
 
 class Shard:
@@ -126,11 +126,13 @@ class Shard:
         self.dtype, self.payload = np.dtype(f"<u{width}"), payload
 
     def places(self, doc_ids: np.ndarray, ordinals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offset, count) of each key in ids; (-1, 0) where the fingerprint says that it is not there."""
-        hashes = key_hash(np.asarray(doc_ids, np.int64), np.asarray(ordinals, np.int64))
+        """(offset, count) of each key in ids; (-1, 0) for a key that is not there."""
+        doc_ids, ordinals = np.asarray(doc_ids, np.int64), np.asarray(ordinals, np.int64)
+        hashes = key_hash(doc_ids, ordinals)
         slots = self.hash.slots(hashes)
         ok = slots >= 0
         ok[ok] = self.prints[slots[ok]] == (mixed(hashes[ok], 999) >> np.uint64(32)).astype("<u4")
+        ok[ok] = (self.doc_ids[slots[ok]] == doc_ids[ok]) & (self.ordinals[slots[ok]] == ordinals[ok])
         begin, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         begin[ok], count[ok] = self.begin[slots[ok]], self.count[slots[ok]]
         return begin, count
@@ -146,11 +148,18 @@ class Shard:
         return None if begin[0] < 0 else self.read(int(begin[0]), int(count[0]))
 
 
+#: Names that Spark's file systems have besides those that Arrow knows them by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
 def store(folder: str):
     """The file system and path of a folder's URI."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    scheme, colon, rest = folder.partition(":")
+    if not colon:
+        return fs.FileSystem.from_uri(f"file://{folder}")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def open_shard(folder: str, name: str) -> Shard:
@@ -169,27 +178,25 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, added: bool
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(ByteLevel, tokenizer)
-        encode = coder.encode_added if added else coder.encode
         if end_id >= 1 << 8 * coder.dtype.itemsize:
             raise ValueError("the end id does not fit the ids' width")
-        end = np.array([end_id], coder.dtype).tobytes()
         shard = TaskContext.get().partitionId()
         name = f"{shard:06d}-{uuid.uuid4().hex[:12]}"
         system, path = store(folder)
         keys, sizes, out = [], [], None
-        for batch in slices(batches):
+        for batch in slices(batches, most=ENCODED_BYTES):
             out = out or system.open_output_stream(f"{path}/{name}.ids")
-            ids = [encode(doc.decode()) + end for doc in texts(batch.column(1))]
+            ids, ends = coder.encode(texts(batch.column(1)), added)
             keys.append(batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
-            sizes += [len(x) // coder.dtype.itemsize for x in ids]
-            out.write(b"".join(ids))
+            sizes.append(np.diff(ends, prepend=0) + 1)
+            out.write(np.insert(ids, ends, end_id).tobytes())
         if out:
             out.close()
             doc_ids = np.concatenate(keys).astype(np.int64)
             place = np.arange(len(doc_ids))
             new = np.concatenate([[True], doc_ids[1:] != doc_ids[:-1]])
             ordinals = place - np.maximum.accumulate(np.where(new, place, 0))
-            offsets = np.cumsum([0, *sizes]).astype(np.int64)
+            offsets = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int64)
             with system.open_output_stream(f"{path}/{name}.idx") as f:
                 f.write(index_bytes(doc_ids, ordinals, offsets, coder.dtype.itemsize))
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(doc_ids)], "n_ids": [int(offsets[-1])]})
@@ -213,12 +220,15 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = open_shard(folder, row["name"])
-                for at in range(0, len(shard.doc_ids), 4096):
-                    doc_ids, ordinals = shard.doc_ids[at : at + 4096], shard.ordinals[at : at + 4096]
+                order = np.argsort(shard.begin)
+                for part in (order[at : at + READ_KEYS] for at in range(0, len(order), READ_KEYS)):
+                    doc_ids, ordinals = shard.doc_ids[part], shard.ordinals[part]
                     begin, count = shard.places(doc_ids, ordinals)
                     if (begin < 0).any():
                         raise ValueError("a key is missing from its index")
-                    crc = [zlib.crc32(shard.read(b, n).astype("<u4").tobytes()) for b, n in zip(begin.tolist(), count.tolist(), strict=True)]
+                    first = int(begin[0])  # keys in the order of their ids lie next to each other
+                    raw = memoryview(shard.read(first, int(begin[-1] + count[-1]) - first).astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((begin - first).tolist(), (begin - first + count).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc_ids, mask=doc_ids == NULL_KEY), pa.array(begin + row["start"]), pa.array(count), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -1,90 +1,155 @@
-"""Token ids of whole texts, through caches of space-delimited chunks.
+"""Token ids of whole texts, through the distinct chunks between their spaces.
 
-Both tokenizers split a text before every single space in any case, so a text's ids are its chunks'
-ids in a row. A worker keeps the ids of chunks that it has met, up to CACHE_ENTRIES of them, and asks
-the library only for new ones. Texts that hold an added token go through the library as a whole.
+Both tokenizers split a text before a space that a word follows in any case, so a text's ids are its
+chunks' ids in a row. The chunks of a batch of texts are told apart by Arrow, the ids of distinct ones
+come from the library or from a worker's bounded cache, and NumPy gathers them into texts again.
 """
 
 from __future__ import annotations
 
-import re
+import os
 
 import numpy as np
-
-#: Chunks whose ids a worker keeps; beyond that it starts anew. Bounds memory, not results.
-CACHE_ENTRIES = 500_000
-
-GAP = re.compile(r" \s")
-GAP_CUT = re.compile(r" (?=\S)")
-SPACE_RUNS = re.compile(r" *[^ ]+| +")
-
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
-class ByteLevel:
-    """A byte-level BPE tokenizer file (tokenizers library). `encode` takes special tokens' strings as ordinary text, `encode_added` as their ids."""
+import pyarrow as pa
+
+#: Chunks whose ids a worker keeps, in two generations of half as many. Bounds memory, not results.
+CACHE_ENTRIES = 1_200_000
+#: Chunks that the library is asked for at a time, and chunks that it is given as one text.
+ASKED, JOINED = 20_000, 400
+
+
+def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a flat array, in the order `at`; and where each ends in the result."""
+    each = sizes[at]
+    ends = np.cumsum(each)
+    if not len(ends):
+        return flat[:0], ends
+    return flat[np.repeat(begins[at] - (ends - each), each) + np.arange(ends[-1])], ends
+
+
+class ChunkIds:
+    """Ids of chunks, kept from batch to batch. Subclasses ask their library for new ones."""
+
+    dtype: np.dtype
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def asked(self, chunks: list[bytes]) -> list[bytes]:
+        raise NotImplementedError
+
+    def known(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        out = list(map(self.young.get, chunks))
+        lost = [i for i, ids in enumerate(out) if ids is None]
+        if len(self.young) + len(lost) > CACHE_ENTRIES // 2:
+            self.old, self.young = self.young, {}
+        new = []
+        for i in lost:
+            ids = out[i] = self.old.get(chunks[i])
+            if ids is None:
+                new.append(i)
+            else:
+                self.young[chunks[i]] = ids
+        for a in range(0, len(new), ASKED):
+            part = new[a : a + ASKED]
+            for i, ids in zip(part, self.asked([chunks[i] for i in part]), strict=True):
+                out[i] = self.young[chunks[i]] = ids
+        return out
+
+    def of_chunks(self, whole: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and where each chunk's end; `starts` ascend from 0."""
+        if not len(starts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        offsets = np.append(starts, len(whole)).astype(np.int64)
+        array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+        told = array.dictionary_encode()
+        ids = self.known(told.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        return gathered(np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes, sizes, told.indices.to_numpy())
+
+
+def per_text(ends: np.ndarray, chunks_before: np.ndarray) -> np.ndarray:
+    """Where each text's ids end, from where its chunks' do."""
+    return np.concatenate([[0], ends])[chunks_before]
+
+
+class ByteLevel(ChunkIds):
+    """A byte-level BPE tokenizer file (tokenizers library)."""
 
     def __init__(self, path: str):
-        import regex
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.letters = {i: c for i, c in enumerate(byte_letters())}
-        # Fixed value: the pre-tokenizer's pattern.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= CACHE_ENTRIES // 2:
-                self.words.clear()
-            ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
-            self.words[word] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.word, self.pattern.findall(chunk)))
-
-    def encode(self, text: str) -> bytes:
-        """The ids, as little-endian integers of `dtype`."""
-        if not text:
-            return b""
-        parts = GAP_CUT.split(text) if GAP.search(text) else text.split(" ")
-        out = list(map(self.chunks.get, parts))
-        out[0] = self.chunk(parts[0])
-        if None in out:
-            if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
-            for i, ids in enumerate(out):
-                if ids is None:
-                    p = parts[i]
-                    ids = self.chunks.get(p)
-                    if ids is None:
-                        ids = self.chunks[p] = self.chunk(" " + p)
-                    out[i] = ids
-        return b"".join(out)
-
-    def encode_added(self, text: str) -> bytes:
-        """The ids as the library gives them by default: an added token's string is its id."""
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return self.encode(text)
-
-
-class Pieces:
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)  # a letter for each byte
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def asked(self, chunks: list[bytes]) -> list[bytes]:
+        """The library's ids. Chunks that start with a space and a visible ASCII character are asked for in a row, as
+        the texts that they make are cut there; how many bytes each id stands for tells them apart."""
+        out: list[bytes] = [b""] * len(chunks)
+        alone = [i for i, c in enumerate(chunks) if not (len(c) > 1 and c[0] == 0x20 and 0x20 < c[1] < 0x7F)]
+        taken = set(alone)
+        rows = [i for i in range(len(chunks)) if i not in taken]
+        groups = [rows[a : a + JOINED] for a in range(0, len(rows), JOINED)] + [[i] for i in alone]
+        found = self.plain.encode_batch_fast([b"".join([chunks[i] for i in g]).decode() for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, self.dtype)
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunks[i]) for i in g])) + 1
+            raw, at = ids.tobytes(), 0
+            for i, to in zip(g, (last * self.dtype.itemsize).tolist(), strict=True):
+                out[i] = raw[at:to]
+                at = to
+        return out
+
+    @staticmethod
+    def starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+        """Where chunks start: at each text, and at each space that a visible character of its text follows."""
+        lead = data[1:]
+        second = np.append(data[2:], 0)
+        # No character that may be white space: not cutting there is always right.
+        seen = (lead > 0x20) & (lead != 0x7F)
+        seen &= ~((lead == 0xC2) & ((second == 0x85) | (second == 0xA0))) & ~((lead == 0xE1) & (second == 0x9A))
+        seen &= ~((lead == 0xE2) & ((second == 0x80) | (second == 0x81))) & ~((lead == 0xE3) & (second == 0x80))
+        hit = np.zeros(len(data) + 1, bool)
+        hit[: len(data) - 1] = (data[:-1] == 0x20) & seen
+        hit[np.maximum(text_starts - 1, 0)] = False  # a text's last character
+        hit[text_starts] = True
+        return np.flatnonzero(hit[: len(data)])
+
+    def encode(self, docs: list[bytes], added: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end.
+
+        With `added` the strings of added tokens are their ids, as by the library's default (texts that hold
+        one go to it whole); else they are ordinary text.
+        """
+        special = {i: doc for i, doc in enumerate(docs) if added and any(t in doc for t in self.added)}
+        plain = [b"" if i in special else doc for i, doc in enumerate(docs)] if special else docs
+        whole = b"".join(plain)
+        bounds = np.cumsum([0, *map(len, plain)])
+        starts = self.starts(np.frombuffer(whole, np.uint8), bounds[:-1][np.diff(bounds) > 0]) if whole else np.zeros(0, np.int64)
+        ids, chunk_ends = self.of_chunks(whole, starts)
+        ends = per_text(chunk_ends, np.searchsorted(starts, bounds[1:]))
+        if not special:
+            return ids, ends
+        parts = np.split(ids, ends[:-1])
+        for i, doc in special.items():
+            parts[i] = np.array(self.tokenizer.encode(doc.decode(), add_special_tokens=False).ids, self.dtype)
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+
+class Pieces(ChunkIds):
     """A SentencePiece BPE model with byte fallback and no text normalization."""
 
     def __init__(self, path: str):
+        super().__init__()
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -100,52 +165,54 @@ class Pieces:
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == 6}
         if len(self.byte_ids) != 256 or any("▁" in p.lstrip("▁") for p in self.ids):
             raise ValueError("byte pieces, and no piece with a space inside, are needed")
-        self.surfaces = [b""] * len(spec.pieces)
+        surfaces = [b""] * len(spec.pieces)
         for p, i in self.ids.items():
-            self.surfaces[i] = p.replace("▁", " ").encode()
+            surfaces[i] = p.replace("▁", " ").encode()
         for b, i in self.byte_ids.items():
-            self.surfaces[i] = bytes([b])
+            surfaces[i] = bytes([b])
+        self.surfaces = np.frombuffer(b"".join(surfaces), np.uint8)
+        self.surface_sizes = np.array([len(s) for s in surfaces], np.int64)
+        self.surface_begins = np.cumsum(self.surface_sizes) - self.surface_sizes
         self.longest = max(map(len, self.ids))
         self.dtype = np.dtype("<u2" if len(spec.pieces) <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
 
-    def asked(self, chunks: list[str]) -> list[bytes]:
+    def asked(self, chunks: list[bytes]) -> list[bytes]:
         """The library's ids of chunks that start with the one space that it adds itself."""
         bare = np.array([self.ids["▁"]], self.dtype).tobytes()
-        got = self.model.encode([c[1:] for c in chunks], num_threads=1)
-        return [np.array(ids, self.dtype).tobytes() if c != " " else bare for c, ids in zip(chunks, got, strict=True)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids, as little-endian integers of `dtype`."""
-        if not text:
-            return b""
-        return self.run(" " + text)
-
-    def run(self, spaced: str) -> bytes:
-        """Ids of text that starts with a space and ends before one, or at the text's end."""
-        if "  " in spaced or spaced[-1] == " ":
-            parts = SPACE_RUNS.findall(spaced)
-        else:
-            parts = spaced[1:].split(" ")
-            parts[0] = parts[0] or ""
-            return self.looked_up(parts, " ")
-        return self.looked_up(parts, "")
-
-    def looked_up(self, parts: list[str], lead: str) -> bytes:
-        known = self.chunks
-        keys = parts if lead else [p[1:] if p[0] == " " and len(p) > 1 and p[1] != " " else "\0" + p for p in parts]
-        out = list(map(known.get, keys))
-        if None in out:
-            if len(known) >= CACHE_ENTRIES:
-                known.clear()
-            new = list({k: lead + p for k, p, ids in zip(keys, parts, out, strict=True) if ids is None}.items())
-            known.update(zip([k for k, _ in new], self.asked([p for _, p in new]), strict=True))
-            out = [known[k] if ids is None else ids for k, ids in zip(keys, out, strict=True)]
-        return b"".join(out)
+        got = self.model.encode([c[1:].decode() for c in chunks], num_threads=1)
+        return [np.array(ids, self.dtype).tobytes() if c != b" " else bare for c, ids in zip(chunks, got, strict=True)]
+
+    def spaced(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts in a row, and where each part's end; each part starts with a space, or is empty,
+        and ends before a run of spaces or at its text's end."""
+        whole = b"".join(parts)
+        bounds = np.cumsum([0, *map(len, parts)])
+        if not whole:
+            return np.zeros(0, self.dtype), np.zeros(len(parts), np.int64)
+        data = np.frombuffer(whole, np.uint8)
+        space = data == 0x20
+        hit = np.append(space, False)
+        hit[1:-1] &= ~space[:-1]
+        if "▁".encode() in whole:  # the library takes it for a space
+            same = np.flatnonzero((data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2)) + 3
+            hit[same] = False
+        hit[bounds[:-1]] = True
+        starts = np.flatnonzero(hit[:-1])
+        ids, chunk_ends = self.of_chunks(whole, starts)
+        return ids, per_text(chunk_ends, np.searchsorted(starts, bounds[1:]))
+
+    def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end."""
+        return self.spaced([b" " + d if d else b"" for d in docs])
+
+    def surface(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids stand for, in a row, and where each id's end."""
+        data, ends = gathered(self.surfaces, self.surface_begins, self.surface_sizes, ids.astype(np.int64))
+        return data.tobytes(), ends
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes: pieces' surfaces in a row without the space added in front."""
-        data = b"".join(map(self.surfaces.__getitem__, ids.tolist()))
+        data = self.surface(ids)[0]
         return data[1:] if data[:1] == b" " else data
 
 

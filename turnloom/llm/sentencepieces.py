@@ -1,19 +1,21 @@
-"""SentencePiece encoding and decoding, with giant documents encoded in parallel chunks.
+"""SentencePiece encoding and decoding by a max-plus scan over chunks of texts.
 
 The model is a BPE one: a sequence of pieces is a text's encoding if and only if each two adjacent
 pieces are the encoding of their own concatenation. So encoding is a best-path problem in the
 max-plus semiring over states "piece that covers the last character", with weight 0 between
 compatible pieces and minus infinity between others; exactly one path has weight 0.
 
-A giant document (over GIANT characters) is cut into chunks of CHUNK characters anywhere, also
-inside pieces. Each chunk yields the transfer matrix from the states at its left edge to those at
-its right edge, on its own; the matrices are combined associatively by prefix; then each chunk is
-backtraced on its own from its known states. Between the first and the last place in a chunk that
-no piece can cross (before a space), the matrix has rank one and the ids come from the library.
-Other documents are encoded in one go.
+Texts are cut into chunks of CHUNK characters anywhere, also inside pieces, and written once. Each
+chunk yields, on its own, the transfer matrix from the states at its left edge to those at its right
+edge. Matrices are combined by their associative product in a tree, FAN at a time, one level after
+another; on the way down each node learns the states at its edges from those of its parent, so no task
+holds more than FAN matrices of a text. Then each chunk is backtraced on its own from its known states.
+Between the first and the last place in a chunk that no piece can cross (before a space), the matrix
+has rank one, and the library gives the ids of its path. A text of one chunk has nothing to combine.
 
 Cases: null and empty texts have no ids and decode to the empty text; ties and repeated rows give
-equal rows; a null doc_id stays null; other columns are ignored.
+equal rows; a null doc_id stays null; in `decode`, null ids and ids that the model lacks stand for
+nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +24,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import materialize, shared_dir, slices, texts
 from .tokens import Pieces, loaded
 
-#: Characters beyond which a document is encoded by chunks, and a chunk's characters.
-GIANT = 1 << 16
-CHUNK = 1 << 14
+#: A chunk's characters, and matrices that are combined at a time.
+CHUNK = 1 << 13
+FAN = 64
+#: Answers that a worker's lattice keeps of each kind.
+KNOWN = 300_000
 
 NEVER = float("-inf")
 SPACE = "▁"
@@ -40,9 +46,11 @@ SPACE = "▁"
 class Lattice:
     """Paths of compatible pieces through a text."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.scores, self.longest = pieces, pieces.scores, pieces.longest
+    def __init__(self, path: str):
+        self.pieces = loaded(Pieces, path)
+        self.scores, self.longest = self.pieces.scores, self.pieces.longest
         self.known: dict[tuple[str, str], bool] = {}
+        self.wholes: dict[str, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text: best-scored merge first, leftmost of equals."""
@@ -62,11 +70,20 @@ class Lattice:
         key = a, b
         ok = self.known.get(key)
         if ok is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             ok = self.known[key] = self.merged(a + b) == [a, b]
         return ok
 
+    def whole(self, p: str) -> bool:
+        """Whether a piece is its own encoding."""
+        ok = self.wholes.get(p)
+        if ok is None:
+            if len(self.wholes) > KNOWN:
+                self.wholes.clear()
+            ok = self.wholes[p] = self.merged(p) == [p]
+        return ok
+
     def starting(self, text: str, at: int) -> Iterator[str]:
         """Pieces at a place; a character that the model lacks is a piece of its own."""
         yield text[at]
@@ -78,7 +95,7 @@ class Lattice:
         """The states at a cut: pieces (with their start) that cover the character before it."""
         out = []
         for at in range(max(0, cut - self.longest), cut):
-            out += [(at, p) for p in self.starting(text, at) if at + len(p) >= cut and self.merged(p) == [p]]
+            out += [(at, p) for p in self.starting(text, at) if at + len(p) >= cut and self.whole(p)]
         return out
 
     def onward(self, text: str, state: tuple[int, str] | None, start: int, stop: int) -> dict[int, tuple[int, str]]:
@@ -94,26 +111,35 @@ class Lattice:
             if at in todo:
                 last = todo.pop(at)
                 for p in self.starting(text, at):
-                    if (last is None and self.merged(p) == [p]) or (last is not None and self.fit(last, p)):
+                    if self.whole(p) if last is None else self.fit(last, p):
                         ends[at + len(p)] = (at, p)
                         todo[at + len(p)] = p
             at += 1
         return ends
 
 
-def walls(text: str) -> list[int]:
-    """Places that no piece crosses: before a space that follows something else."""
-    return [i for i in range(1, len(text)) if text[i] == SPACE and text[i - 1] != SPACE]
+def wall_from(text: str, at: int) -> int:
+    """The first place from `at` on that no piece crosses, before a space that follows something else; the length if none."""
+    while (at := text.find(SPACE, at)) > 0 and text[at - 1] == SPACE:
+        at += 1
+    return at if at >= 0 else len(text)
+
+
+def wall_to(text: str, at: int) -> int:
+    """The last such place up to `at`; 0 if none."""
+    while (at := text.rfind(SPACE, 0, at + 1)) > 0 and text[at - 1] == SPACE:
+        at -= 1
+    return max(at, 0)
 
 
 class Chunk:
-    """One chunk: `text` holds the characters from `left` on; the chunk is [start, stop) in the document."""
+    """One chunk: `raw` holds the characters from `left` on; the chunk is [start, stop) in the text with its leading space."""
 
-    def __init__(self, lattice: Lattice, text: str, left: int, start: int, stop: int, last: bool):
-        self.lattice, self.text, self.left = lattice, text, left
+    def __init__(self, lattice: Lattice, raw: str, left: int, start: int, stop: int, last: bool):
+        self.lattice, self.raw, self.text, self.left = lattice, raw, raw.replace(" ", SPACE), left
         self.a, self.b, self.last = start - left, stop - left, last
-        places = walls(text)
-        self.walls = [w for w in places if self.a + lattice.longest <= w <= self.b - lattice.longest]
+        first, final = wall_from(self.text, max(1, self.a + lattice.longest)), wall_to(self.text, self.b - lattice.longest)
+        self.walls = (first, final) if first <= final else ()
 
     def shown(self, state: tuple[int, str]) -> tuple[int, str]:
         return state[0] + self.left, state[1]
@@ -156,28 +182,22 @@ class Chunk:
             to = at
         return out[::-1]
 
-    def trace(self, entry: tuple[int, str] | None, leave: tuple[int, str]) -> bytes:
-        """Ids of the pieces after the entry state up to the leaving one."""
-        if entry == leave:
-            return b""
+    def trace(self, entry: tuple[int, str] | None, leave: tuple[int, str]) -> tuple[list[str], bytes, list[str], bytes]:
+        """What comes after the entry state up to the leaving one: first pieces, the text between the walls, last pieces;
+        and the whole text of these."""
         begin = 0 if entry is None else entry[0] + len(entry[1]) - self.left
-        entry = entry and self.held(entry)
         to = leave[0] + len(leave[1]) - self.left
+        if entry == leave:
+            return [], b"", [], b""
+        entry, own = entry and self.held(entry), self.raw[begin:to].encode()
         if not self.walls:
-            return self.ids(self.path(self.lattice.onward(self.text, entry, self.a, self.b), to, begin))
-        first, final = self.walls[0], self.walls[-1]
+            return self.path(self.lattice.onward(self.text, entry, self.a, self.b), to, begin), b"", [], own
+        first, final = self.walls
         head = self.path(self.lattice.onward(self.text, entry, self.a, first), first, begin)
         tail = self.path(self.lattice.onward(self.text, None, final, self.b), to, final)
-        middle = self.lattice.pieces.run(self.text[first:final].replace(SPACE, " ")) if final > first else b""
-        return self.ids(head) + middle + self.ids(tail)
-
-    def ids(self, parts: list[str]) -> bytes:
-        p, out = self.lattice.pieces, []
-        for x in parts:
-            out += [p.ids[x]] if x in p.ids else [p.byte_ids[b] for b in x.encode()]
-        return np.array(out, p.dtype).tobytes()
-
+        return head, self.text[first:final].replace(SPACE, " ").encode(), tail, own
 
+State = tuple[int, str] | None  # a piece with its start; None: the text's start
 Matrix = dict  # {entry state: {leaving state: weight}}
 
 
@@ -192,152 +212,210 @@ def product(m: Matrix, n: Matrix) -> Matrix:
     return out
 
 
-def edges(matrices: list[Matrix]) -> list[tuple]:
-    """For each chunk its (entry, leaving) states on the one path of weight 0."""
-    n = len(matrices)
-    if not n:
-        return []
-    suffix: list[Matrix] = [None] * n
-    suffix[-1] = matrices[-1]
-    for k in range(n - 2, -1, -1):
-        after = {s: max(row.values()) for s, row in suffix[k + 1].items() if row}
-        suffix[k] = {i: {j: w + after[j] for j, w in row.items() if j in after} for i, row in matrices[k].items()}
-        suffix[k] = {i: row for i, row in suffix[k].items() if row}
-    out, state = [], None
-    for k in range(n):
-        row = suffix[k][state]
-        to = max(row, key=lambda j: row[j])
-        out.append((state, to))
-        state = to
+def as_matrix(entries) -> Matrix:
+    out: Matrix = {}
+    for i, j, w in entries:
+        out.setdefault(i, {})[j] = w
     return out
 
 
-def cut(text: str, longest: int, size: int = CHUNK) -> Iterator[tuple[int, int, int, int, bool, str]]:
+def edges(matrices: list[Matrix], entry: State, leave: State) -> list[tuple[State, State]]:
+    """For each of some matrices in a row its (entry, leaving) states on the best path from `entry` to `leave`."""
+    reached: list[dict] = [{entry: 0.0}]
+    for m in matrices:
+        to: dict = {}
+        for i, w in reached[-1].items():
+            for j, v in m.get(i, {}).items():
+                to[j] = max(w + v, to.get(j, NEVER))
+        reached.append(to)
+    out, state = [], leave
+    for m, before in zip(reversed(matrices), reversed(reached[:-1]), strict=True):
+        at = max((i for i in before if state in m.get(i, {})), key=lambda i: before[i] + m[i][state])
+        out.append((at, state))
+        state = at
+    return out[::-1]
+
+
+def cut(text: str, longest: int, size: int) -> Iterator[tuple[int, int, int, int, bool, str]]:
     """(index, left, start, stop, last, characters with a margin on both sides) of each chunk."""
-    full = SPACE + text.replace(" ", SPACE)
+    full = " " + text
     n = len(full)
     for k, start in enumerate(range(0, n, size)):
         stop, left = min(n, start + size), max(0, start - longest)
         yield k, left, start, stop, stop == n, full[left : stop + longest]
 
 
-def scan_text(pieces: Pieces, text: str, size: int = CHUNK) -> bytes:
+def traces(pieces: Pieces, found: list[tuple[list[str], bytes, list[str], bytes]]) -> tuple[list[np.ndarray], list[bool]]:
+    """The ids of chunks' traces, and whether they decode to the texts of these."""
+    middle, ends = pieces.spaced([m for _, m, _, _ in found])
+    out, back = [], []
+    for (head, _, tail, own), ids in zip(found, np.split(middle, ends[:-1]), strict=True):
+        named = [np.array([i for x in part for i in ([pieces.ids[x]] if x in pieces.ids else [pieces.byte_ids[b] for b in x.encode()])], pieces.dtype) for part in (head, tail)]
+        out.append(np.concatenate([named[0], ids, named[1]]))
+        back.append(pieces.surface(out[-1])[0] == own)
+    return out, back
+
+
+def scan_text(path: str, text: str, size: int) -> list[int]:
     """The whole scan of one text in one place (for tests)."""
     if not text:
-        return b""
-    lattice = Lattice(pieces)
-    chunks = [Chunk(lattice, t, left, a, b, last) for _, left, a, b, last, t in cut(text, pieces.longest, size)]
+        return []
+    lattice = loaded(Lattice, path)
+    chunks = [Chunk(lattice, t, left, a, b, last) for _, left, a, b, last, t in cut(text, lattice.longest, size)]
     tables = [as_matrix(c.matrix()) for c in chunks]
-    return b"".join(c.trace(i, j) for c, (i, j) in zip(chunks, edges(tables), strict=True))
+    whole = tables[0]
+    for m in tables[1:]:
+        whole = product(whole, m)
+    (leave,) = whole[None]
+    return np.concatenate(traces(lattice.pieces, [c.trace(*e) for c, e in zip(chunks, edges(tables, None, leave), strict=True)])[0]).tolist()
 
 
-def as_matrix(entries) -> Matrix:
-    out: Matrix = {}
-    for i, j, w in entries:
-        out.setdefault(i, {})[j] = w
-    return out
+CHUNK_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("left", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
+STATE = pa.struct([("s", pa.int64()), ("p", pa.string())])
+MATRIX = "array<struct<i: struct<s: long, p: string>, j: struct<s: long, p: string>, w: double>>"
 
 
-def giant_chunks(path: str, giants: DataFrame) -> DataFrame:
+def chunked(path: str, docs: DataFrame) -> DataFrame:
+    """All chunks of (doc_id, text); `row` tells rows apart, so this is written before it is used."""
+    size = CHUNK
+
     def step(batches):
-        longest = loaded(Pieces, path).longest
+        longest, row = loaded(Pieces, path).longest, TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            for row, doc in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                for k, left, a, b, last, t in cut(doc.decode(), longest):
-                    yield pa.RecordBatch.from_pydict({"row": [row], "k": [k], "left": [left], "a": [a], "b": [b], "last": [last], "text": [t]}, CHUNK_SCHEMA)
+            found = []
+            for doc_id, doc in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                found += [(row, doc_id, *c) for c in cut(doc.decode(), longest, size)]
+                row += 1
+            columns = zip(*found, strict=True) if found else [[] for _ in CHUNK_SCHEMA]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CHUNK_SCHEMA, strict=True)], schema=CHUNK_SCHEMA)
 
-    return giants.mapInArrow(step, "row string, k long, left long, a long, b long, last boolean, text string")
+    return docs.mapInArrow(step, "row long, doc_id long, k long, left long, a long, b long, last boolean, text string")
 
 
-CHUNK_SCHEMA = pa.schema([("row", pa.string()), ("k", pa.int64()), ("left", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
-STATE = "s long, p string"
-MATRIX = f"array<struct<i: struct<s: long, p: string>, j: struct<s: long, p: string>, w: double>>"
+def chunk_of(path: str, r: dict) -> Chunk:
+    return Chunk(loaded(Lattice, path), r["text"], r["left"], r["a"], r["b"], r["last"])
 
 
-def chunk_of(path: str, r: dict) -> Chunk:
-    return Chunk(Lattice(loaded(Pieces, path)), r["text"], r["left"], r["a"], r["b"], r["last"])
+def shown_state(x: State) -> dict | None:
+    return None if x is None else {"s": x[0], "p": x[1]}
+
+
+def held_state(x: dict | None) -> State:
+    return None if x is None else (int(x["s"]), x["p"])
+
+
+def shown_matrix(m: Matrix) -> list[dict]:
+    return [{"i": shown_state(i), "j": shown_state(j), "w": w} for i, row in m.items() for j, w in row.items()]
+
+
+def held_matrix(entries) -> Matrix:
+    return as_matrix((held_state(e["i"]), held_state(e["j"]), e["w"]) for e in entries)
 
 
 def transfer(path: str, chunks: DataFrame) -> DataFrame:
-    kind = pa.list_(pa.struct([("i", pa.struct([("s", pa.int64()), ("p", pa.string())])), ("j", pa.struct([("s", pa.int64()), ("p", pa.string())])), ("w", pa.float64())]))
+    """(row, k, m): each chunk's transfer matrix."""
+    kind = pa.list_(pa.struct([("i", STATE), ("j", STATE), ("w", pa.float64())]))
 
     def step(batches):
         for batch in slices(batches):
             rows = batch.to_pylist()
-            found = [[{"i": i and {"s": i[0], "p": i[1]}, "j": {"s": j[0], "p": j[1]}, "w": w} for i, j, w in chunk_of(path, r).matrix()] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in rows], pa.string()), pa.array([r["k"] for r in rows], pa.int64()), pa.array(found, kind)], names=["row", "k", "m"])
+            found = [shown_matrix(as_matrix(chunk_of(path, r).matrix())) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], names=["row", "k", "m"])
+
+    return chunks.mapInArrow(step, f"row long, k long, m {MATRIX}")
+
 
-    return chunks.mapInArrow(step, f"row string, k long, m {MATRIX}")
+def combined(matrices: DataFrame) -> DataFrame:
+    """(row, k, m) of the next level: products of FAN neighbours."""
 
+    def step(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        tables = [held_matrix(m) for m in group.sort_values("k")["m"]]
+        whole = tables[0]
+        for m in tables[1:]:
+            whole = product(whole, m)
+        return pd.DataFrame({"row": [key[0]], "k": [key[1]], "m": [shown_matrix(whole)]})
 
-def chosen_edges(matrices: DataFrame) -> DataFrame:
-    """Combines each document's matrices (a few entries a chunk) and yields each chunk's states."""
-    import pandas as pd
+    return matrices.groupBy("row", F.expr(f"k div {FAN}").alias("up")).applyInPandas(step, f"row long, k long, m {MATRIX}")
+
+
+EDGES = "row long, k long, entry struct<s: long, p: string>, leave struct<s: long, p: string>"
+
+
+def parted(matrices: DataFrame, parents: DataFrame) -> DataFrame:
+    """(row, k, entry, leave) of a level, from its matrices and the edges of the level above."""
 
     def step(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
-        state = lambda x: None if x is None else (int(x["s"]), x["p"])
-        tables = [as_matrix((state(e["i"]), state(e["j"]), e["w"]) for e in m) for m in group["m"]]
-        found = edges(tables)
-        return pd.DataFrame({
-            "row": group["row"], "k": group["k"],
-            "es": pd.array([None if i is None else i[0] for i, _ in found], dtype="Int64"), "ep": [None if i is None else i[1] for i, _ in found],
-            "ls": [j[0] for _, j in found], "lp": [j[1] for _, j in found],
-        })
+        first = group.iloc[0]
+        found = edges([held_matrix(m) for m in group["m"]], held_state(first["entry"]), held_state(first["leave"]))
+        return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": [shown_state(i) for i, _ in found], "leave": [shown_state(j) for _, j in found]})
+
+    own = matrices.withColumn("up", F.expr(f"k div {FAN}"))
+    return own.join(parents.withColumnRenamed("k", "up"), ["row", "up"]).groupBy("row", "up").applyInPandas(step, EDGES)
 
-    return matrices.groupBy("row").applyInPandas(step, "row string, k long, es long, ep string, ls long, lp string")
+
+def chosen_edges(matrices: DataFrame, folder: str) -> DataFrame:
+    """Each chunk's states on its text's one path: up the tree by products, and down again."""
+    levels = [matrices]
+    while (levels[-1].agg(F.max("k")).first()[0] or 0) > 0:  # a level for each power of FAN
+        levels.append(materialize(combined(levels[-1]), f"level{len(levels)}", folder))
+    found = levels.pop().select("row", "k", F.expr("m[0].i").alias("entry"), F.expr("m[0].j").alias("leave"))
+    while levels:
+        found = materialize(parted(levels.pop(), found), f"edges{len(levels)}", folder)
+    return found
 
 
 def traced(path: str, chunks: DataFrame) -> DataFrame:
+    """(row, doc_id, k, ids, restored) of chunks with their states."""
+
     def step(batches):
+        pieces = loaded(Pieces, path)
         for batch in slices(batches):
             rows = batch.to_pylist()
-            ids = [chunk_of(path, r).trace(None if r["es"] is None else (r["es"], r["ep"]), (r["ls"], r["lp"])) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in rows], pa.string()), pa.array([r["k"] for r in rows], pa.int64()), pa.array(ids, pa.binary())], names=["row", "k", "ids"])
+            ids, back = traces(pieces, [chunk_of(path, r).trace(held_state(r["entry"]), held_state(r["leave"])) for r in rows])
+            kept = {n: batch.column(batch.schema.get_field_index(n)) for n in ("row", "doc_id", "k")}
+            yield pa.RecordBatch.from_pydict({**kept, "ids": pa.array([x.tobytes() for x in ids], pa.binary()), "restored": pa.array(back, pa.bool_())})
 
-    return chunks.mapInArrow(step, "row string, k long, ids binary")
+    return chunks.mapInArrow(step, "row long, doc_id long, k long, ids binary, restored boolean")
 
 
-def digests(path: str, docs: list[bytes], ids: list[bytes]) -> dict[str, pa.Array]:
-    """Counts and checksums, and whether the ids decode to the text."""
-    pieces = loaded(Pieces, path)
-    n, crc, back = [], [], []
-    for doc, raw in zip(docs, ids, strict=True):
-        own = np.frombuffer(raw, pieces.dtype)
-        n.append(len(own))
-        crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-        back.append(pieces.decode(own) == doc)
-    return {"n_ids": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "restored": pa.array(back, pa.bool_())}
+def result(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, restored: list[bool], with_ids: bool) -> pa.RecordBatch:
+    """Rows of the result, from all texts' ids in a row and where each text's end."""
+    raw = memoryview(ids.astype("<u4").tobytes())
+    bounds = np.concatenate([[0], ends]).tolist()
+    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])]  # noqa: B905
+    out = {"doc_id": doc_ids, "n_ids": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64()), "restored": pa.array(restored, pa.bool_())}
+    if with_ids:
+        out["ids"] = pa.ListArray.from_arrays(pa.array(np.array(bounds, np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_pydict(out)
 
 
 def encoded(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
-    names = ["doc_id", "n_ids", "ids_crc32", "restored", *["ids"] * with_ids]
+    folder = shared_dir(docs.sparkSession)
     schema = "doc_id long, n_ids long, ids_crc32 long, restored boolean" + ", ids array<int>" * with_ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def step(batches):
+    def alone(batches):
         pieces = loaded(Pieces, path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=8 << 20):
             data = texts(batch.column(1))
-            ids = [bytes(x) if x is not None else None for x in batch.column(2).to_pylist()] if batch.num_columns > 2 else [None] * len(data)
-            ids = [pieces.encode(doc.decode()) if raw is None else raw for doc, raw in zip(data, ids, strict=True)]
-            out = [batch.column(0), *digests(path, data, ids).values()]
-            if with_ids:
-                flat = np.frombuffer(b"".join(ids), pieces.dtype).astype(np.int32)
-                ends = np.cumsum([0] + [len(x) // pieces.dtype.itemsize for x in ids]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    small = docs.where(F.length("text") <= GIANT).mapInArrow(step, schema)
-    # Giant rows are told apart by a digest, so repeated keys and repeated rows do no harm.
-    giants = docs.where(F.length("text") > GIANT).select(F.sha2("text", 256).alias("row"), "text", "doc_id")
-    chunks = giant_chunks(path, giants.select("row", "text")).dropDuplicates(["row", "k"])
-    states = chosen_edges(transfer(path, chunks))
+            ids, ends = pieces.encode(data)
+            said, id_ends = pieces.surface(ids)
+            to = np.concatenate([[0], id_ends])[ends].tolist()
+            yield result(batch.column(0), ids, ends, [said[a + 1 : b] == d for a, b, d in zip([0, *to], to, data, strict=False)], with_ids)
+
+    def together(batches):
+        kind = loaded(Pieces, path).dtype
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            data = [np.frombuffer(b"".join(p["ids"] for p in parts), kind) for parts in batch.column(1).to_pylist()]
+            yield result(batch.column(0), np.concatenate(data), np.cumsum([len(x) for x in data]), batch.column(2).to_pylist(), with_ids)
+
+    small = docs.where(F.length("text") < CHUNK).mapInArrow(alone, schema)  # with the leading space one chunk
+    chunks = materialize(chunked(path, docs.where(F.length("text") >= CHUNK)), "chunks", folder)
+    states = chosen_edges(materialize(transfer(path, chunks), "matrices", folder), folder)
     parts = traced(path, chunks.join(states, ["row", "k"]))
-    joined = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
-    joined = joined.select("row", F.expr("aggregate(p, CAST('' AS BINARY), (s, x) -> concat(s, x.ids))").alias("ids"))
-    large = giants.join(joined, "row").select("doc_id", "text", "ids").mapInArrow(step, schema)
-    return small.unionByName(large)
+    texts_ = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("restored").alias("restored"))
+    return small.unionByName(texts_.select("doc_id", "parts", "restored").mapInArrow(together, schema))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -356,7 +434,10 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     def step(batches):
         pieces = loaded(Pieces, path)
         for batch in batches:
-            out = [pieces.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            out = []
+            for ids in batch.column(1).to_pylist():
+                known = np.array([i for i in ids or [] if i is not None and 0 <= i < len(pieces.surface_sizes)], np.int64)
+                out.append(pieces.decode(known).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(step, "doc_id long, text string")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds expanded at a time.
 SLICE_BYTES = 4 << 20
@@ -94,6 +95,81 @@ def code_points(data: bytes) -> np.ndarray | None:
 
 def crc_mod(column: str, n: int):
     """crc32 of the key as text, modulo n."""
-    from pyspark.sql import functions as F
-
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+#: Most entries of a table that a task holds at a time.
+SHARD = 1 << 21
+#: Bytes of text that go through all shards together, where there are several.
+SHARDED_BYTES = 16 << 20
+
+
+class HashArray:
+    """Values by 64-bit key, in an array sorted by the keys' hashes (a bijection, so keys stay apart)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        hashes = self.hash(keys)
+        order = np.argsort(hashes)
+        self.values = values[order]
+        self.hashes = np.append(hashes[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.bits = max(1, int(len(keys)).bit_length())
+        counts = np.bincount((self.hashes[:-1] >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+    @staticmethod
+    def hash(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = keys * np.uint64(0x9E3779B97F4A7C15)
+            return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's place, and whether it is there."""
+        h = self.hash(keys)
+        at = self.starts[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
+        behind = np.flatnonzero(self.hashes[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.hashes[at[behind]] < h[behind]]
+        there = (self.hashes[at] == h) & (at < len(self.values))
+        return np.where(there, at, 0), there
+
+
+class Shards:
+    """A table of any size by 64-bit key, broadcast in shards of about SHARD entries; a task holds one at a time.
+
+    The driver holds one shard at a time as well: `rows` has a long column `key` and `columns`.
+    """
+
+    def __init__(self, rows: DataFrame, columns: list[str], kind=np.float32, most: int | None = None):
+        n = rows.count()
+        self.n = max(1, -(-n // (most or SHARD)))
+        context = rows.sparkSession.sparkContext
+        self.parts = []
+        for k in range(self.n):
+            own = (rows if self.n == 1 else rows.where(F.pmod("key", F.lit(self.n)) == k)).select("key", *columns).toArrow()
+            values = np.stack([own[c].to_numpy().astype(kind) for c in columns], axis=1) if columns else np.zeros((len(own), 0), kind)
+            self.parts.append(context.broadcast(HashArray(own["key"].to_numpy().view(np.uint64), values)))
+
+    def find(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each shard the indices of the keys that it holds, ascending, and their values."""
+        shard = (keys.view(np.int64) % self.n) if self.n > 1 else None
+        for k, part in enumerate(self.parts):
+            own = np.flatnonzero(shard == k) if self.n > 1 else slice(None)
+            table = part.value
+            at, there = table.find(keys[own])
+            hit = np.flatnonzero(there)
+            yield (own[hit] if self.n > 1 else hit), table.values[at[hit]]
+            if self.n > 1 and getattr(part, "_path", None):  # read again from the executor's disk when needed
+                part.__dict__.pop("_value", None)
+
+    @property
+    def batch_bytes(self) -> int:
+        """Bytes of text worth reading between two shards."""
+        return SLICE_BYTES if self.n == 1 else SHARDED_BYTES
+
+
+def added_by_owner(total: np.ndarray, owner: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of values to its owner's total; owners ascend."""
+    if len(owner):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        total[owner[first]] += np.add.reduceat(values, first, axis=0, dtype=np.float64)

@@ -2,19 +2,22 @@
 
 Texts become lower-case letters and single spaces. The models' highest order counts 4-grams of all
 training texts; lower orders count in how many contexts an n-gram occurs, each order interpolated
-with the next. All languages' n-grams of an order stand in one sorted array of 64-bit hashes (four
-16-bit symbols side by side; symbols past 16 bits are folded), with a row of log probabilities for
-each; a binary search finds a whole batch's n-grams, and those that no language has back off.
+with the next. Counts, discounts and probabilities are computed as tables, so no n-gram is left out
+however many there are. All languages' n-grams of an order (four 16-bit symbols side by side; symbols
+past 16 bits are folded) stand in one array sorted by their hashes, with a row of log probabilities
+for each; n-grams that no language has back off. An array of over SHARD entries is broadcast in parts
+that a task holds one after another, adding up its texts' log probabilities.
 
-The language with the lowest cross-entropy per symbol wins. It is rejected if that cross-entropy
-lies MARGIN plus Z standard errors above the model's own mean, which the training counts give.
-
-The highest order's table is held to MAX_GRAMS entries, the most frequent ones, which bounds the
-broadcast; the mass of others goes to the lower order.
+The language with the lowest cross-entropy per symbol wins. Rejection is calibrated on a training
+fold that the models have not seen (but for languages that occur in it alone): a text is rejected if its
+cross-entropy lies beyond Z standard errors above the model's mean and a room above that, twice what
+99.9 % of the language's calibration texts need and at least LEAST_ROOM.
 
 Cases: null text and text without letters is `und`, score 0, rejected; rows with null lang are not
-learned from; with nothing to learn from, all is `und`; repeated rows count as often as they occur
-and get equal results; a null doc_id counts as held out from learning; other columns are ignored.
+learned from; with nothing to learn from, all is `und`; a language without a calibration text has the
+least room; ties go to the first language in the order of names; repeated rows count as often as they
+occur and get equal results; a null doc_id counts as held out from learning; texts are read whole; an
+empty table gives no rows; other columns are ignored by `predict` and kept by `keep_known`.
 """
 
 from __future__ import annotations
@@ -26,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, slices, texts
+from .common import Shards, added_by_owner, crc_mod, materialize, shared_dir, slices, texts
 
 ORDER = 4
-#: Most 4-grams (over all languages) in the broadcast table.
-MAX_GRAMS = 1 << 21
-#: Rejection: nats above the language's mean cross-entropy, and standard errors.
-MARGIN, Z = 1.0, 6.0
-#: Learned from: documents whose crc32 modulo FOLDS is not 0.
-FOLDS = 5
+#: Rejection: standard errors above the language's mean cross-entropy, and least nats above those.
+Z, LEAST_ROOM = 6.0, 1.0
+#: The share of a language's calibration texts that its room is measured by, and nats of a bin.
+WITHIN, BIN = 0.999, 0.02
+#: Learned from: documents whose crc32 modulo FOLDS is not 0; the room is measured on fold CALIBRATED.
+FOLDS, CALIBRATED = 5, 1
 #: Distinct n-grams that a counting task holds before it merges them.
 HELD = 2 << 20
 
@@ -111,150 +114,177 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) of rows of (lang, text), pre-aggregated in each task."""
+    """(lang, gram, n, held) of rows of (lang, text, calibrating), pre-aggregated in each task; `held`: of n, those of calibrating texts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
 
-        def add(lang, keys, counts):
-            own = held.setdefault(lang, [])
+        def add(kind, keys, counts):
+            own = held.setdefault(kind, [])
             own.append((keys, counts))
             if len(own) > 1 and sum(len(k) for k, _ in own) > HELD:
-                held[lang] = [merged(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]))]
+                held[kind] = [merged(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]))]
 
         for batch in slices(batches):
-            langs = np.array(batch.column(0).to_pylist(), object)
+            kinds = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             docs_ = texts(batch.column(1))
-            for lang in sorted(set(langs)):
-                keys = predicted([d for d, own in zip(docs_, langs, strict=True) if own == lang])[0]
-                found, counts = np.unique(keys, return_counts=True)
-                add(lang, found, counts)
-        for lang, own in held.items():
+            for kind in sorted(set(kinds)):
+                add(kind, *np.unique(predicted([d for d, own in zip(docs_, kinds, strict=True) if own == kind])[0], return_counts=True))
+        for (lang, calibrating), own in held.items():
             keys, counts = merged(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]))
             for at in range(0, len(keys), 1 << 17):
-                k = keys[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(counts[at : at + (1 << 17)].astype(np.int64))], names=["lang", "gram", "n"])
+                k, c = keys[at : at + (1 << 17)], counts[at : at + (1 << 17)].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c), pa.array(c * calibrating)], names=["lang", "gram", "n", "held"])
 
-    return docs.select("lang", "text").mapInArrow(step, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = docs.select("lang", "text", "calibrating").mapInArrow(step, "lang string, gram long, n long, held long")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
-def discount(counts: np.ndarray) -> float:
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+def wide(counts: DataFrame, langs: list[str], n) -> DataFrame:
+    """(gram, n0, n1, ...) with a count for each language."""
+    return counts.where(n > 0).groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == x, n).otherwise(0)).cast("double").alias(f"n{j}") for j, x in enumerate(langs)))
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key's place in a sorted table, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return at, table[at] == keys
+class Models:
+    """The languages' models, from the counts of 4-grams (gram, n0, n1, ...).
 
+    logs[k]: n-grams of order k + 1 with a column for each language; backs[k]: their contexts' back-off weights.
+    """
 
-class Models:
-    """The languages' models. grams[k] and contexts[k]: sorted hashes of order k + 1; logs[k], backs[k]: a column for each language."""
-
-    def __init__(self, langs: list[str], keys: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs = langs
-        mask = [np.uint64((1 << 16 * k) - 1) for k in range(1, ORDER)] + [np.uint64(0xFFFFFFFFFFFFFFFF)]
-        orders = []  # for each order a (keys, counts) of each language
-        top = [merged(k.astype(np.uint64), c.astype(np.float64)) for k, c in zip(keys, counts, strict=True)]
-        orders.append(top)
+    def __init__(self, langs: list[str], top: DataFrame, folder: str):
+        self.langs, width = langs, len(langs)
+        levels = [top]  # the highest order first
         for k in range(ORDER - 1, 0, -1):
-            orders.append([merged(own & mask[k - 1], np.ones(len(own))) for own, _ in orders[-1]])
-        orders.reverse()
-        symbols_ = np.unique(np.concatenate([k for k, _ in orders[0]])) if langs else np.zeros(0, np.uint64)
-        self.floor = -np.log(len(symbols_) + 1.0)
-        self.grams, self.logs, self.contexts, self.backs = [], [], [], []
-        for k, own in enumerate(orders):
-            table = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in own)]))
-            parents = np.unique(table >> np.uint64(16))
-            logs = np.empty((len(table), len(langs)))
-            backs = np.zeros((len(parents), len(langs)))
-            for j, (have, n) in enumerate(own):
-                d = discount(n)
-                at, _ = find(parents, have >> np.uint64(16))
-                total = np.bincount(at, n, len(parents))
-                kinds = np.bincount(at, minlength=len(parents))
-                back = np.where(total > 0, d * kinds / np.maximum(total, 1e-300), 1.0)
-                backs[:, j] = np.log(np.maximum(back, 1e-12))
-                spot, _ = find(table, have)
-                to, _ = find(parents, table >> np.uint64(16))
-                seen = np.zeros(len(table))
-                seen[spot] = np.maximum(n - d, 0)
-                seen /= np.maximum(total[to], 1e-300)
-                lower = np.exp(self.score(k - 1, table & mask[k - 1], j)) if k else np.full(len(table), np.exp(self.floor))
-                logs[:, j] = np.log(np.maximum(seen + back[to] * lower, 1e-300))
-            self.grams.append(table)
-            self.logs.append(logs.astype(np.float32))
-            self.contexts.append(parents)
-            self.backs.append(backs.astype(np.float32))
+            lower = F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")
+            each = (F.sum((F.col(f"n{j}") > 0).cast("double")).alias(f"n{j}") for j in range(width))
+            levels.append(materialize(levels[-1].groupBy(lower).agg(*each), f"order{k}", folder))
+        levels.reverse()
+        self.floor = -float(np.log(levels[0].count() + 1.0))
+        self.logs: list[Shards] = []
+        self.backs: list[Shards] = []
+        below = None
+        for k, level in enumerate(levels):
+            ones = level.agg(*(F.sum((F.col(f"n{j}") == i).cast("long")) for i in (1, 2) for j in range(width))).first()
+            d = [one / (one + 2 * two) if one and two else 0.5 for one, two in zip(ones[:width], ones[width:], strict=True)]
+            context = F.shiftrightunsigned("gram", 16)
+            sums = [F.sum(f"n{j}").alias(f"t{j}") for j in range(width)] + [F.sum((F.col(f"n{j}") > 0).cast("double")).alias(f"k{j}") for j in range(width)]
+            contexts = level.groupBy(context.alias("context")).agg(*sums)
+            back = [F.when(F.col(f"t{j}") > 0, d[j] * F.col(f"k{j}") / F.col(f"t{j}")).otherwise(1.0).alias(f"b{j}") for j in range(width)]
+            contexts = materialize(contexts.select("context", *(f"t{j}" for j in range(width)), *back), f"contexts{k + 1}", folder)
+            rows = level.join(contexts, context == F.col("context"))
+            lower = [F.exp(F.lit(self.floor))] * width
+            if below is not None:
+                rows = rows.join(below, F.col("gram").bitwiseAND((1 << 16 * k) - 1) == F.col("low"))
+                lower = [F.exp(f"p{j}") for j in range(width)]
+            own = [F.when(F.col(f"n{j}") > d[j], (F.col(f"n{j}") - d[j]) / F.col(f"t{j}")).otherwise(0.0) for j in range(width)]
+            logs = [F.log(F.greatest(own[j] + F.col(f"b{j}") * lower[j], F.lit(1e-300))).alias(f"l{j}") for j in range(width)]
+            done = materialize(rows.select("gram", *(f"n{j}" for j in range(width)), *logs), f"logs{k + 1}", folder)
+            self.logs.append(Shards(done.withColumnRenamed("gram", "key"), [f"l{j}" for j in range(width)]))
+            weights = contexts.select(F.col("context").alias("key"), *(F.log(F.greatest(f"b{j}", F.lit(1e-12))).alias(f"b{j}") for j in range(width)))
+            self.backs.append(Shards(weights, [f"b{j}" for j in range(width)]))
+            below = done.select(F.col("gram").alias("low"), *(F.col(f"l{j}").alias(f"p{j}") for j in range(width)))
         # The mean and deviation of the cross-entropy per symbol, from the counts.
-        self.mean, self.deviation = np.zeros(len(langs)), np.zeros(len(langs))
-        for j, (have, n) in enumerate(top):
-            at, _ = find(self.grams[-1], have)
-            bits = -self.logs[-1][at, j].astype(float)
-            if n.sum():
-                self.mean[j] = (bits * n).sum() / n.sum()
-                self.deviation[j] = np.sqrt(((bits - self.mean[j]) ** 2 * n).sum() / n.sum())
-
-    def score(self, k: int, keys: np.ndarray, j: int | None = None) -> np.ndarray:
-        """Log probabilities of n-grams of order k + 1: a column for each language, or language j's."""
-        pick = slice(None) if j is None else j
-        at, there = find(self.grams[k], keys)
-        out = self.logs[k][at, pick]
-        miss = np.flatnonzero(~there)
-        if len(miss):
-            lost = keys[miss]
-            up, known = find(self.contexts[k], lost >> np.uint64(16))
-            back = self.backs[k][up, pick] if len(self.contexts[k]) else np.zeros((len(lost), len(self.langs)) if j is None else len(lost))
-            back = np.where(known if j is not None else known[:, None], back, 0)
-            low = self.score(k - 1, lost & np.uint64((1 << 16 * k) - 1), j) if k else self.floor
-            out[miss] = back + low
-        return out
+        moments = [F.sum(f"n{j}") for j in range(width)] + [F.sum(-F.col(f"n{j}") * F.col(f"l{j}")) for j in range(width)] + [F.sum(F.col(f"n{j}") * F.col(f"l{j}") * F.col(f"l{j}")) for j in range(width)]
+        n, first, second = np.array([x or 0.0 for x in done.agg(*moments).first()]).reshape(3, width)
+        self.mean = first / np.maximum(n, 1)
+        self.deviation = np.sqrt(np.maximum(second / np.maximum(n, 1) - self.mean**2, 0))
+        self.room = np.full(width, LEAST_ROOM)
+
+    def totals(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's log probabilities by language, its predicted symbols and its letters."""
+        keys, _, counts, letters = predicted(docs)
+        total = np.zeros((len(docs), len(self.langs)))
+        owner = np.repeat(np.arange(len(docs)), counts)
+        for k in range(ORDER - 1, -1, -1):
+            lost = np.ones(len(keys), bool)
+            for at, rows in self.logs[k].find(keys):
+                added_by_owner(total, owner[at], rows)
+                lost[at] = False
+            keys, owner = keys[lost], owner[lost]
+            for at, rows in self.backs[k].find(keys >> np.uint64(16)):
+                added_by_owner(total, owner[at], rows)
+            keys = keys & np.uint64((1 << 16 * k) - 1)
+        total += np.bincount(owner, minlength=len(docs))[:, None] * self.floor
+        return total, counts, letters
+
+    def excess(self, entropy: np.ndarray, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Nats by which cross-entropies lie beyond Z standard errors above a language's mean."""
+        return entropy - self.mean[which] - Z * self.deviation[which] / np.sqrt(np.maximum(counts, 1))
 
     def judged(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each text's best language (-1: none), its score, its cross-entropy, and whether it is rejected."""
-        n, width = len(docs), len(self.langs)
-        keys, first, counts, letters = predicted(docs)
-        total = np.zeros((n, width))
-        full = np.flatnonzero(counts)
-        if width and len(full):
-            logs = self.score(ORDER - 1, keys)
-            total[full] = np.add.reduceat(logs, first[full], axis=0, dtype=np.float64)
+        n = len(docs)
+        if not self.langs:
+            return np.full(n, -1), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+        total, counts, letters = self.totals(docs)
         entropy = -total / np.maximum(counts, 1)[:, None]
-        ok = (letters > 0) & (width > 0)
-        best = np.where(ok, entropy.argmin(axis=1) if width else -1, -1)
+        ok = letters > 0
+        best, least = entropy.argmin(axis=1), entropy.min(axis=1)
         # Neighbouring symbols depend on each other: the evidence grows with the root of the length.
-        weight = np.exp(-(entropy - entropy.min(axis=1, initial=np.inf)[:, None] if width else entropy) * np.sqrt(np.maximum(counts, 1))[:, None])
-        score = np.where(ok, 1 / np.maximum(weight.sum(axis=1), 1e-300), 0.0) if width else np.zeros(n)
-        least = np.where(ok, entropy.min(axis=1, initial=np.inf), np.nan)
-        limit = (self.mean[best] + MARGIN + Z * self.deviation[best] / np.sqrt(np.maximum(counts, 1))) if width else np.zeros(n)
-        return best, np.minimum(score, 1.0), least, ~ok | (np.nan_to_num(least, nan=np.inf) > limit)
+        weight = np.exp(-(entropy - least[:, None]) * np.sqrt(np.maximum(counts, 1))[:, None])
+        score = np.where(ok, np.minimum(1 / weight.sum(axis=1), 1.0), 0.0)
+        rejected = ~ok | (self.excess(least, best, counts) > self.room[best])
+        return np.where(ok, best, -1), score, np.where(ok, least, np.nan), rejected
+
+    @property
+    def batch_bytes(self) -> int:
+        return max([2 << 20, *(x.batch_bytes for x in (*self.logs, *self.backs) if x.n > 1)])
+
+
+def rooms(docs: DataFrame, models: Models) -> np.ndarray:
+    """Each language's room, from rows of (lang, text) that the models have not seen."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        place = {x: j for j, x in enumerate(own.langs)}
+        for batch in slices(batches, most=own.batch_bytes):
+            which = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()])
+            total, counts, letters = own.totals(texts(batch.column(1)))
+            at = np.flatnonzero((which >= 0) & (letters > 0))
+            over = own.excess(-total[at, which[at]] / np.maximum(counts[at], 1), which[at], counts[at])
+            found, n = np.unique(np.stack([which[at], np.maximum(np.ceil(over / BIN), 0).astype(np.int64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "bin", "n"])
+
+    found = docs.select("lang", "text").mapInArrow(step, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    out = np.full(len(models.langs), LEAST_ROOM)
+    histogram: dict[int, list] = {}
+    for r in sorted(found.collect()):  # a row for each language and bin
+        histogram.setdefault(r.lang, []).append((r.bin, r.n))
+    for j, own in histogram.items():
+        seen = np.cumsum([n for _, n in own])
+        out[j] = max(LEAST_ROOM, 2 * BIN * own[int(np.searchsorted(seen, WITHIN * seen[-1]))][0])
+    return out
+
+
+def untrained() -> Models:
+    """Models of no language."""
+    models = Models.__new__(Models)
+    models.langs, models.logs, models.backs, models.room = [], [], [], np.zeros(0)
+    return models
 
 
 def fit(docs: DataFrame) -> Models:
-    """The models of all rows of (lang, text) with a language."""
-    found = materialize(counted(docs.where("lang IS NOT NULL AND text IS NOT NULL")), "grams")
-    total = found.count()
-    if total > MAX_GRAMS:  # the least count that keeps the table within its bound
-        histogram = sorted(((r.n, r["count"]) for r in found.groupBy("n").count().collect()), reverse=True)
-        kept, least = 0, histogram[0][0] + 1
-        for n, number in histogram:
-            if kept + number > MAX_GRAMS:
-                break
-            kept, least = kept + number, n
-        found = found.where(F.col("n") >= least)
-    rows = found.select("lang", "gram", "n").toArrow()
-    names = np.array(rows["lang"].to_pylist(), object)
-    langs = sorted(set(names))
-    keys, counts = rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    return Models(langs, [keys[names == x] for x in langs], [counts[names == x] for x in langs])
+    """The models of all rows of (lang, text, calibrating) with a language."""
+    folder = shared_dir(docs.sparkSession)
+    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = materialize(counted(docs), "grams", folder)
+    # A row for each language; those that occur among calibration texts alone are learned from these.
+    learned = {r.lang: r.learned for r in counts.groupBy("lang").agg(F.max(F.col("n") > F.col("held")).alias("learned")).collect()}
+    if not learned:
+        return untrained()
+    langs = sorted(learned)
+    only = [x for x in langs if not learned[x]]
+    n = F.when(F.col("lang").isin(only), F.col("n")).otherwise(F.col("n") - F.col("held"))
+    models = Models(langs, materialize(wide(counts, langs, n), "top", folder), folder)
+    models.room = rooms(docs.where("calibrating").where(~F.col("lang").isin(only)), models)
+    return models
 
 
 def training(docs: DataFrame) -> DataFrame:
-    return docs.where(crc_mod("doc_id", FOLDS) != 0).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    """(lang, text, calibrating) of the documents that may be learned from."""
+    fold = crc_mod("doc_id", FOLDS)
+    return docs.where(fold != 0).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (fold == CALIBRATED).alias("calibrating"))
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
@@ -264,7 +294,7 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         names = np.array([*own.langs, "und"], object)
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=own.batch_bytes):
             best, score, entropy, rejected = own.judged(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)],
@@ -280,7 +310,7 @@ def keep_known(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=shared.value.batch_bytes):
             at = batch.schema.get_field_index("text")
             yield batch.filter(pa.array(~shared.value.judged(texts(batch.column(at)))[3]))
 

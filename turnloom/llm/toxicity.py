@@ -1,210 +1,284 @@
 """Toxicity by two class-conditional Kneser-Ney word models.
 
-A class's count of a word is, as Kneser and Ney have it, the number of different words that it
-follows, here at its first place in each document, so that copies and bursts count once. Counts are
-discounted by DISCOUNT and interpolated, with the weight SHARED, with counts over both classes
-together: an expression rare in both classes has the same likelihood under either. Words count by
-their first STEM bytes, so rare forms share the counts of their stem.
+A text's words (letters and digits; characters of scripts without spaces are words of their own) count
+by their stem, the first STEM letters, so that rare forms share the counts of their stem. Each class has
+a bigram model over stems. A bigram's count is the number of texts that hold it, at any place; a
+stem's count, as Kneser and Ney have it, is the number of different stems that it follows. Counts are
+discounted by DISCOUNT, and what that frees goes, with the same weight in both classes, to the next lower order:
 
-A text's evidence is the difference of its log-likelihoods under the two models per word, where
-each word's difference counts beyond MARGIN only (below, it reflects language and topic). A logistic
-curve, fitted on a fold that the models have not seen, turns evidence into a score from 0 to 1.
+    P(w | v, class) = (1 - b(v)) own(v, w) / own(v) + b(v) P(w | v, both) P(w, class) / P(w, both)
+    P(w, class)     = (1 - a) own(w) / own + a P(w, both)
 
-The models hold the MAX_WORDS most frequent stems, which bounds the broadcast; others are unseen.
+where own are a class's discounted counts, and a and b(v) the share that discounting frees in both classes
+together. So an expression that is rare in both classes, word or pair, has the same likelihood under either.
+
+A text's evidence is the difference of its log-likelihoods under the two models per word. Each word's
+difference counts beyond a margin only (below, it reflects language and topic). The margin, of MARGINS,
+and a logistic curve that turns evidence into a score from 0 to 1 are fitted on a fold that the models
+have not seen. The models are computed as tables; n-grams whose difference lies within the least margin
+would add nothing and are not broadcast, all others are, in shards that a task holds one after another.
 
 Cases: null and empty texts have no evidence and get the score of evidence 0; documents without a
 label, or with a null one, are not learned from; several labels of one document count as toxic if
 any does; without both classes in the labels nothing is evidence and the curve gives the share of
-toxic labels; a null doc_id counts as held out; ties and repeated rows get equal scores; an empty
-table gives no rows; other columns are ignored.
+toxic labels; a null doc_id counts as held out; ties and repeated rows get equal scores; texts are
+read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, slices, texts
+from .common import Shards, crc_mod, materialize, shared_dir, slices, texts
 
-#: Held out: documents whose crc32 modulo FOLDS is HELD_OUT; the curve is fitted on CALIBRATED.
+#: Held out: documents whose crc32 modulo FOLDS is HELD_OUT; margin and curve are fitted on CALIBRATED.
 FOLDS, HELD_OUT, CALIBRATED = 4, 2, 1
-STEM, DISCOUNT, SHARED, MARGIN = 7, 3.0, 0.3, 1.5
-MAX_WORDS = 1 << 20
-#: Up to this many labels are broadcast to the documents; beyond, the documents are shuffled to them.
-BROADCAST_LABELS = 1_000_000
+STEM, DISCOUNT = 6, 3
+#: Margins to choose from, in nats, the least first.
+MARGINS = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0)
 THRESHOLD = 0.3
-#: Pairs that a counting task holds before it merges them; words whose hashes a worker keeps.
-HELD, CACHE = 1 << 20, 500_000
+#: Pairs that a counting task holds before it merges them.
+HELD = 1 << 20
 #: The curve is over log(evidence + FLOOR), binned.
 FLOOR, BIN = 1e-3, 0.02
-
-SEPARATORS = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x5F else 0x20 for c in range(256))
-
-
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh32_intdigest(word[:STEM]) or 1
-        return h
-
-
-hashes = Hashes()
-
-
-def words(doc: bytes) -> np.ndarray:
-    """The 32-bit hash of each word's stem (never 0)."""
-    parts = doc.decode().lower().encode().translate(SEPARATORS).split()
-    return np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
-
-
-def first_pairs(own: np.ndarray) -> np.ndarray:
-    """(word before, word) as 64 bits, at each word's first place; the first word follows 0."""
-    found, at = np.unique(own, return_index=True)
-    before = np.where(at > 0, own[np.maximum(at, 1) - 1], 0) if len(own) else own
-    return before << np.uint64(32) | found
-
-
-def united(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, their marks joined by or."""
+#: The stem before a text's first.
+START = 1
+
+# Code points of scripts that put no spaces between words.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+_tables: list[np.ndarray] = []
+
+
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower-case form, and 0 (no part of a word), 1 (part of one) or 2 (a word of its own)."""
+    if not _tables:
+        low = np.arange(0x110000, dtype=np.uint32)
+        kind = np.zeros(0x110000, np.uint8)
+        for c in range(0x20000):
+            s = chr(c)
+            if s.isalnum() or unicodedata.category(s)[0] == "M":
+                kind[c] = 1
+                if len(t := s.lower()) == 1:
+                    low[c] = ord(t)
+        for a, b in UNSPACED:
+            kind[a : b + 1] = np.where(kind[a : b + 1] | (a >= 0x20000), 2, 0)
+        _tables.extend([low, kind])
+    return _tables[0], _tables[1]
+
+
+def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
+def words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit hashes (never 0 or START) of all texts' stems in a row, and the text of each."""
+    low, kind = tables()
+    decoded = [d.decode() for d in docs]
+    points = np.frombuffer(("\n".join(decoded) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(d) + 1 for d in decoded])
+    kinds = kind[points]
+    before = np.concatenate([np.zeros(1, np.uint8), kinds[:-1]])
+    starts = np.flatnonzero((kinds == 2) | ((kinds == 1) & (before != 1)))
+    # Letters of each word: up to where it ends or another starts.
+    stops = np.flatnonzero((kinds != 1) & (before == 1))
+    sizes = np.where(kinds[starts] == 2, 1, stops[np.minimum(np.searchsorted(stops, starts, side="right"), len(stops) - 1)] - starts) if len(stops) else np.ones(len(starts), np.int64)
+    h = np.full(len(starts), 0x51ED270B, np.uint64)
+    for k in range(STEM):
+        there = sizes > k
+        h = mixed(h, np.where(there, low[points[np.where(there, starts + k, 0)]], 0).astype(np.uint64))
+    return np.maximum(h >> np.uint64(32), START + 1), np.searchsorted(ends, starts, side="right")
+
+
+def pairs_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(stem before, stem) as 64 bits, at every place; the text of each."""
+    own, owner = words(docs)
+    before = np.concatenate([np.full(1, START, np.uint64), own[:-1]])
+    before[np.concatenate([np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]])] = START
+    return before[: len(own)] << np.uint64(32) | own, owner
+
+
+def united(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, the rows of their counts added up."""
     order = np.argsort(keys, kind="stable")
-    keys, marks = keys[order], marks[order]
+    keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], np.bitwise_or.reduceat(marks, first) if len(keys) else marks
+    return keys[first], np.add.reduceat(counts, first, axis=0) if len(keys) else counts
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(word, kt, ko): how many different words it follows in toxic and in ordinary texts."""
+    """(pair, kt, ko): in how many toxic and in how many ordinary texts each pair of stems occurs."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(keys, marks):
+        def out():
+            keys, counts = united(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            held.clear()
             for at in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 17)].view(np.int64)), pa.array(marks[at : at + (1 << 17)])], names=["pair", "mark"])
+                part = counts[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 17)].view(np.int64)), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["pair", "kt", "ko"])
 
         for batch in slices(batches):
-            found = [first_pairs(words(d)) for d in texts(batch.column(1))]
-            marks = np.repeat(np.array([1 if t else 2 for t in batch.column(0).to_pylist()], np.int32), [len(x) for x in found])
-            held.append(united(np.concatenate([*found, np.zeros(0, np.uint64)]), marks))
+            pairs, owner = pairs_of(texts(batch.column(1)))
+            order = np.lexsort((pairs, owner))
+            pairs, owner = pairs[order], owner[order]
+            new = np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])[: len(pairs)]
+            toxic = np.array(batch.column(0).to_pylist(), bool)[owner[new]]
+            held.append(united(pairs[new], np.stack([toxic, ~toxic], axis=1).astype(np.int64)))
             if sum(len(k) for k, _ in held) > HELD:
-                yield from out(*united(np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held])))
-                held = []
+                yield from out()
         if held:
-            yield from out(*united(np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held])))
+            yield from out()
 
-    found = rows.select("toxic", "text").mapInArrow(step, "pair long, mark int").groupBy("pair").agg(F.bit_or("mark").alias("mark"))
-    word = F.col("pair").bitwiseAND(0xFFFFFFFF).alias("word")
-    return found.groupBy(word).agg(F.sum(F.col("mark").bitwiseAND(1).cast("long")).alias("kt"), F.sum(F.shiftright("mark", 1).cast("long")).alias("ko"))
+    found = rows.select("toxic", "text").mapInArrow(step, "pair long, kt long, ko long")
+    return found.groupBy("pair").agg(F.sum("kt").alias("kt"), F.sum("ko").alias("ko"))
 
 
-def top(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """The rows with the highest counts, all of a count or none, at most `most`."""
-    histogram = sorted(((r[by], r["count"]) for r in rows.groupBy(by).count().collect()), reverse=True)
-    if sum(n for _, n in histogram) <= most:
-        return rows
-    kept, least = 0, histogram[0][0] + 1
-    for n, number in histogram:
-        if kept + number > most:
-            break
-        kept, least = kept + number, n
-    return rows.where(F.col(by) >= least)
+def over(column) -> F.Column:
+    """A count beyond the discount."""
+    return F.greatest(column - DISCOUNT, F.lit(0)).cast("double")
+
+
+def gains(rows: DataFrame) -> DataFrame:
+    """(key, gain): the difference of a stem's (32 bits) or a pair's (64 bits) log-likelihoods, where it is of weight."""
+    folder = shared_dir(rows.sparkSession)
+    pairs = materialize(counted(rows), "pairs", folder)
+    after, before = F.col("pair").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("pair", 32)
+    stems = pairs.groupBy(after.alias("w")).agg(F.sum((F.col("kt") > 0).cast("long")).alias("ut"), F.sum((F.col("ko") > 0).cast("long")).alias("uo"))
+    stems = materialize(stems, "stems", folder)
+    total = stems.agg(F.sum(F.col("ut") + F.col("uo")), F.sum(over(F.col("ut"))), F.sum(over(F.col("uo"))), F.sum(F.least("ut", F.lit(DISCOUNT)) + F.least("uo", F.lit(DISCOUNT))), F.sum("ut"), F.sum("uo")).first()
+    every, own_t, own_o, freed, ut, uo = [x or 0 for x in total]
+    if not ut or not uo:  # a class without words
+        return stems.select(F.col("w").alias("key"), F.lit(0.0).alias("gain")).where("key < 0")
+    a, both = freed / every, (F.col("ut") + F.col("uo")) / every
+
+    def of_class(count: str, own: float):
+        return ((1 - a) * over(F.col(count)) / own if own else F.lit(0.0)) + a * both
+
+    # Of a class without a count over the discount, all goes to the lower order.
+    stems = stems.select("w", both.alias("both"), (of_class("ut", own_t) if own_t else both).alias("pt"), (of_class("uo", own_o) if own_o else both).alias("po"))
+    stems = materialize(stems.withColumn("gain", F.log("pt") - F.log("po")), "likely", folder)
+
+    n = F.col("kt") + F.col("ko")
+    contexts = pairs.groupBy(before.alias("v")).agg(F.sum(n).alias("n"), F.sum(over(n)).alias("own"), F.sum(over(F.col("kt"))).alias("own_t"), F.sum(over(F.col("ko"))).alias("own_o"))
+    contexts = contexts.where("own_t + own_o > 0")
+    rich = pairs.where((F.col("kt") > DISCOUNT) | (F.col("ko") > DISCOUNT)).withColumn("v", before).withColumn("w", after)
+    rich = rich.join(contexts.withColumnRenamed("n", "seen"), "v").join(stems, "w")
+    b = 1 - F.col("own") / F.col("seen")
+    shared = (over(n) + b * F.col("seen") * F.col("both")) / F.col("seen")
+
+    def pair(count: str, own: str, stem: str):
+        base = shared * F.col(stem) / F.col("both")
+        return F.log(F.when(F.col(own) > 0, (1 - b) * over(F.col(count)) / F.col(own) + b * base).otherwise(base))
+
+    rich = rich.select(F.col("pair").alias("key"), (pair("kt", "own_t", "pt") - pair("ko", "own_o", "po")).alias("gain"), F.col("gain").alias("single"))
+    least = MARGINS[0]
+    # A pair within the margin matters only where its second stem alone would count.
+    rich = rich.where(f"abs(gain) > {least} OR abs(single) > {least}").select("key", "gain")
+    return rich.unionByName(stems.where(f"abs(gain) > {least}").select(F.col("w").alias("key"), "gain"))
 
 
 class Models:
-    """Each stem's log-likelihoods under both classes, as their difference beyond the margin."""
-
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        self.keys = keys
-        both = toxic + ordinary
-        shared = both / max(both.sum(), 1.0)
-        logs = []
-        for counts in (toxic, ordinary):
-            own = np.maximum(counts - DISCOUNT, 0)
-            logs.append(np.log((1 - SHARED) * own / max(own.sum(), 1.0) + SHARED * shared))
-        gain = logs[0] - logs[1] if toxic.sum() and ordinary.sum() else np.zeros(len(keys))
-        self.gain = np.sign(gain) * np.maximum(np.abs(gain) - MARGIN, 0)
-
-    def evidence(self, docs: list[bytes]) -> np.ndarray:
-        """Per text the difference of its log-likelihoods, per word."""
-        found = [words(d) for d in docs]
-        sizes = np.array([len(x) for x in found])
-        out = np.zeros(len(docs))
-        full = np.flatnonzero(sizes)
-        if len(full) and len(self.keys):
-            each = np.concatenate(found)
-            at = np.searchsorted(self.keys, each)
-            at[at == len(self.keys)] = 0
-            value = np.where(self.keys[at] == each, self.gain[at], 0)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            out[full] = np.add.reduceat(value, starts[full]) / sizes[full]
-        return out
+    """The differences of log-likelihoods by stem and by pair of stems, in one table."""
+
+    def __init__(self, rows: DataFrame):
+        self.table = Shards(rows, ["gain"], np.float64)
+
+    def differences(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's difference, 0 for those without weight; the text of each."""
+        pairs, owner = pairs_of(docs)
+        out = np.zeros(len(pairs))
+        alone = np.ones(len(pairs), bool)
+        for at, gain in self.table.find(pairs):
+            out[at] = gain[:, 0]
+            alone[at] = False
+        left = np.flatnonzero(alone)
+        for at, gain in self.table.find(pairs[left] & np.uint64(0xFFFFFFFF)):
+            out[left[at]] = gain[:, 0]
+        return out, owner
+
+    def evidence(self, docs: list[bytes], margins: tuple[float, ...]) -> np.ndarray:
+        """Per text, and for each margin, the difference of its log-likelihoods per word."""
+        value, owner = self.differences(docs)
+        sizes = np.maximum(np.bincount(owner, minlength=len(docs)), 1)
+        kept = [np.sign(value) * np.maximum(np.abs(value) - m, 0) for m in margins]
+        return np.stack([np.bincount(owner, x, len(docs)) / sizes for x in kept], axis=1)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(fold, toxic, text) of labelled documents outside the held-out fold."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    if labels.count() <= BROADCAST_LABELS:
-        labels = F.broadcast(labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), crc_mod("doc_id", FOLDS).alias("fold"))
     return rows.where((F.col("fold") != HELD_OUT) & F.col("text").isNotNull()).join(labels, "doc_id").select("fold", "toxic", "text")
 
 
-def fit_models(rows: DataFrame) -> Models:
-    found = materialize(counted(rows).withColumn("n", F.col("kt") + F.col("ko")), "words")
-    kept = top(found, "n", MAX_WORDS).select("word", "kt", "ko").toArrow().sort_by("word")
-    return Models(kept["word"].to_numpy().view(np.uint64), kept["kt"].to_numpy().astype(float), kept["ko"].to_numpy().astype(float))
-
-
 def height(evidence: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(evidence, 0) + FLOOR) - np.log(FLOOR)
 
 
-def fit_curve(rows: DataFrame, models: Models) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve, from the binned evidence of all rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            at = np.round(height(shared.value.evidence(texts(batch.column(1)))) / BIN).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0)], names=["bin", "toxic"])
-
-    found = rows.select("toxic", "text").mapInArrow(step, "bin long, toxic boolean").groupBy("bin", "toxic").count().collect()
-    if not found:
-        return 0.0, -20.0
-    z = np.array([[r["bin"] * BIN, 1.0] for r in found])
-    y = np.array([float(r["toxic"]) for r in found])
-    n = np.array([float(r["count"]) for r in found])
+def curve(bins: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """(log-likelihood, slope, offset) of the logistic curve of binned evidence."""
+    z = np.stack([bins * BIN, np.ones(len(bins))], axis=1)
     w = np.zeros(2)
     for _ in range(60):  # Newton's method with a little ridge
         p = 1 / (1 + np.exp(-z @ w))
-        step_ = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (n * (y - p)) - 1e-3 * w)
-        w += np.clip(step_, -2, 2)
-        if np.abs(step_).max() < 1e-9:
+        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (n * (toxic - p)) - 1e-3 * w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
             break
-    return max(float(w[0]), 0.0), float(w[1])
+    slope, offset = max(float(w[0]), 0.0), float(w[1])
+    p = np.clip(1 / (1 + np.exp(-(z[:, 0] * slope + offset))), 1e-12, 1 - 1e-12)
+    return float((n * (toxic * np.log(p) + (1 - toxic) * np.log(1 - p))).sum()), slope, offset
 
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """The models, and the curve's slope and offset."""
+def fit_curve(rows: DataFrame, models: Models) -> tuple[float, float, float]:
+    """(margin, slope, offset): those under which the labels of all rows are likeliest."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches, most=own.table.batch_bytes):
+            at = np.round(height(own.evidence(texts(batch.column(1)), MARGINS)) / BIN).astype(np.int64)
+            toxic = np.array(batch.column(0).to_pylist(), np.int64)
+            each = np.stack([np.tile(np.arange(len(MARGINS)), len(toxic)), at.ravel(), np.repeat(toxic, len(MARGINS))])
+            found, n = np.unique(each, axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(n.astype(np.int64))], names=["margin", "bin", "toxic", "n"])
+
+    found = rows.select("toxic", "text").mapInArrow(step, "margin long, bin long, toxic long, n long").groupBy("margin", "bin", "toxic").agg(F.sum("n").alias("n"))
+    found = np.array([tuple(r) for r in found.collect()], float).reshape(-1, 4)  # a row for each margin, bin and class
+    if not len(found):
+        return MARGINS[0], 0.0, -20.0
+    fits = [(curve(*found[found[:, 0] == k][:, 1:].T), m) for k, m in enumerate(MARGINS)]
+    (_, slope, offset), margin = max(fits, key=lambda x: x[0][0])
+    return margin, slope, offset
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Models, tuple[float, float, float]]:
+    """The models; the margin, and the curve's slope and offset."""
+    folder = shared_dir(docs.sparkSession)
     rows = labelled(docs, labels)
-    models = fit_models(rows.where(F.col("fold") != CALIBRATED))
+    models = Models(materialize(gains(rows.where(F.col("fold") != CALIBRATED)), "gains", folder))
     return models, fit_curve(rows.where(F.col("fold") == CALIBRATED), models)
 
 
-def predict(docs: DataFrame, models: Models, curve: tuple[float, float]) -> DataFrame:
-    """Per row of (doc_id, text): evidence, score, predicted."""
+def predict(docs: DataFrame, models: Models, fitted: tuple[float, float, float]) -> DataFrame:
+    """Per row of (doc_id, text): score, predicted, evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    slope, offset = curve
+    margin, slope, offset = fitted
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            evidence = shared.value.evidence(texts(batch.column(1)))
+        own = shared.value
+        for batch in slices(batches, most=own.table.batch_bytes):
+            evidence = own.evidence(texts(batch.column(1)), (margin,))[:, 0]
             score = 1 / (1 + np.exp(-np.clip(slope * height(evidence) + offset, -700, 700)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(evidence)],

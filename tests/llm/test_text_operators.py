@@ -323,6 +323,55 @@ def test_passages_are_found_and_clean_texts_left(spark):
     assert left[0] == dict(rows)[0] and left[100] == dict(rows)[100] and len(left[32]) < len(dict(rows)[32])
 
 
+def plain_passages(rows, within, least):
+    """Passages and what is left of each row, by position in `rows`."""
+    cut = [[(t.encode()[a:b], len(t.encode()[:a].decode()), len(t.encode()[:b].decode())) for a, b in zip(at, at[1:], strict=False)] if (at := chunks.bounds((t or "").encode())) else [] for _, t in rows]
+    places = {}
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r))
+    for r in order:
+        for piece, a, _ in cut[r]:
+            places.setdefault(piece, []).append((r, a))
+    found, left = [], []
+    for r, (_, t) in enumerate(rows):
+        def again(piece, own=within):
+            return len(places[piece]) > 1 and (own or len({x for x, _ in places[piece]}) > 1)
+        runs = [[]]
+        for c in cut[r]:
+            if again(c[0]):
+                runs[-1].append(c)
+            elif runs[-1]:
+                runs.append([])
+        runs = [x for x in runs if sum(len(p) for p, _, _ in x) >= least]
+        found.append([(x[0][1], x[-1][2]) for x in runs])
+        out = t
+        for p, a, b in reversed([c for x in runs for c in x]):
+            if places[p][0] != (r, a):
+                out = out[:a] + out[b:]
+        left.append(out)
+    return found, left
+
+
+def test_passages_match_a_plain_version(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdeéfghij日") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared = [text(60) for _ in range(3)]
+    rows = [(1, f"{text(40)} {shared[0]} {text(9)}"), (5, f"{shared[0]} {text(50)}"), (5, text(200)), (5, f"{text(20)}"), (None, f"{shared[1]} {text(9)}"), (None, f"{text(7)} {shared[1]}"), (None, text(90))]
+    rows += [(9, f"{shared[2]} {text(30)} {shared[2]} {text(5)} {shared[2]}"), (10, None), (11, ""), (12, "tiny"), (13, text(3000)), (14, f"{text(30)} {shared[0]}")]
+    found, left = plain_passages(rows, False, chunks.LEAST)
+    got = sorted(((r["doc_id"], r["spans"]) for r in chunks.by_document(docs(spark, rows)).collect()), key=repr)
+    assert got == sorted(((rows[r][0], ",".join(f"{a}:{b}" for a, b in x)) for r, x in enumerate(found) if x), key=repr) and [x for x, _ in got].count(None) == 2
+    found, left = plain_passages(rows, True, chunks.LEAST)
+    d = docs(spark, rows)
+    out = chunks.deduplicate(d)
+    assert out.columns == d.columns and len(found[7]) >= 1 and len(left[7]) < len(rows[7][1])
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(((i, t) for (i, _), t in zip(rows, left, strict=True)), key=repr)
+    # Rows that are equal in everything are copies of each other.
+    twice = [(3, shared[0]), (3, shared[0]), (None, shared[1]), (None, shared[1])]
+    assert len(chunks.by_document(docs(spark, twice)).collect()) == 4
+    assert sorted(len(r["text"]) > 100 for r in chunks.deduplicate(docs(spark, twice)).collect()) == [False, False, True, True]
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(1)
     s = "".join(rng.choice("abcdefghijklmnop é") for _ in range(5000)).encode()

@@ -1,19 +1,20 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over 16 bytes runs along every whole text (UTF-8); where its top bits are zero,
-and it was not so in the QUIET bytes before, a chunk ends. So cuts depend only on the bytes next to
-them, and text inserted elsewhere leaves them where they were. Chunks are deduplicated by 64-bit
-digest: a digest that occurs in two documents or more is repeated, and adjacent repeated chunks of
-at least LEAST bytes in all form a repeated passage. (A lone chunk is shorter than that as a rule,
-so a chance collision of digests makes no passage.) Each digest's first occurrence, by (doc_id,
-offset), is kept; others can be removed.
-
-Digests are first counted, with partial sums in each task; only chunks with a repeated digest are
-then grouped, so hot passages cost a row for each occurrence and no pairs are formed.
-
-Cases: null and empty texts have no chunk; exact copies are repeated as a whole; several rows of one
-doc_id are one document to the count; a null doc_id is a document of its own; texts without a cut
-are cut every MOST bytes; an empty table gives no rows; other columns are ignored by `passages`.
+and it was not so in the QUIET bytes before, a chunk ends. So cuts depend only on the bytes next to them, and text inserted elsewhere leaves them where they were. Chunks are deduplicated by 64-bit
+digest: a digest that occurs twice or more, in several rows or in one, is repeated, and adjacent repeated
+chunks of at least LEAST bytes in all form a repeated passage. (A lone chunk is shorter than that as a rule,
+so a chance collision of digests makes no passage.) Each digest's first occurrence, by (doc_id, offset), is
+kept; others can be removed.
+
+Chunks are written once, with a number for each row. Digests are counted, with partial sums in each task;
+only chunks with a repeated digest are then grouped, so hot passages cost a row for each occurrence and no
+pairs are formed.
+
+Cases: null and empty texts have no chunk; exact copies are repeated as a whole; every row is a document
+of its own, also those that share a doc_id or have none (a null doc_id is the last of all, and rows of one
+doc_id are ordered by their texts); texts without a cut are cut every MOST bytes; an empty table gives no
+rows; other columns are ignored by `passages` and kept by `deduplicate`, whatever their names (but `row_` and `gone_`).
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .common import code_points, materialize, shared_dir, slices, texts
 
 #: A cut where the hash's top BITS bits are zero and were not in the QUIET bytes before; at least every MOST bytes.
 BITS, QUIET, MOST = 4, 11, 512
-#: Bytes of adjacent repeated chunks that make a passage.
-LEAST = 100
+#: Bytes of adjacent repeated chunks that make a passage: of 50 words, less the chunks at both ends.
+LEAST = 200
 
 
 def gear() -> np.ndarray:
@@ -79,37 +80,19 @@ def digests(doc: bytes, at: list[int]) -> np.ndarray:
     return np.array([h(doc[a:b]) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)  # noqa: B905
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """(digest) of chunks that occur in two documents at least."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = [np.unique(digests(d, bounds(d))) for d in texts(batch.column(1))]
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            each = np.concatenate(own)
-            doc = np.repeat(ids, [len(x) for x in own])
-            order = np.argsort(each, kind="stable")
-            each, doc = each[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.zeros(0, int)
-            # Least and greatest document of each digest: they differ if and only if there are two.
-            if len(each):
-                yield pa.RecordBatch.from_arrays([pa.array(each[first]), pa.array(np.minimum.reduceat(doc, first)), pa.array(np.maximum.reduceat(doc, first))], names=["digest", "low", "high"])
-
-    found = rows_of(docs).mapInArrow(step, "digest long, low long, high long")
-    return found.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("digest")
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number `row_`, which holds for as long as the result is written before it is used twice."""
+    return docs.withColumn("row_", F.monotonically_increasing_id())
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, a, b) of all chunks, by offsets in code points; `size` in bytes."""
+    """(digest, row, key, doc_id, a, b, size) of all chunks of numbered rows, by offsets in code points; `size` in
+    bytes; `key` is the same for equal texts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, starts, ends, sizes, n = [], [], [], [], []
-            for doc in texts(batch.column(1)):
+            for doc in texts(batch.column(3)):
                 at = bounds(doc)
                 found.append(digests(doc, at))
                 places = np.array(at, np.int64)
@@ -120,60 +103,74 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 starts.append(places[:-1])
                 ends.append(places[1:])
                 n.append(len(at) - 1)
-            doc_ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found)), doc_ids, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32))],
-                names=["digest", "doc_id", "a", "b", "size"],
-            )
+            which = pa.array(np.repeat(np.arange(len(n)), n))
+            flat = [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(batch.column(i).take(which) for i in range(3)), *flat], names=["digest", "row", "key", "doc_id", "a", "b", "size"])
 
-    return rows_of(docs).mapInArrow(step, "digest long, doc_id long, a int, b int, size int")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("row_").alias("row"), F.xxhash64(text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text IS NOT NULL")
+    return rows.mapInArrow(step, "digest long, row long, key long, doc_id long, a int, b int, size int")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """All chunks with a repeated digest, each with its first occurrence (first_doc, first_a)."""
+    """All chunks of numbered rows whose digest occurs again, with `kept` (it is the digest's first occurrence),
+    `shared` (another row has it too) and first_doc."""
     # Sums are written before they are joined: a join whose sides both come from plain exchanges can split a hot digest.
     folder = shared_dir(docs.sparkSession)
-    rows = materialize(chunk_rows(docs).join(materialize(counted(docs), "digests", folder), "digest", "left_semi"), "repeated", folder)
-    first = materialize(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "a")).alias("first")), "first", folder)
-    return rows.join(first, "digest").select("doc_id", "a", "b", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.a").alias("first_a"))
-
-
-def passages(docs: DataFrame, least: int = LEAST, repeated: DataFrame | None = None) -> DataFrame:
-    """Repeated passages: (doc_id, start, end) in code points, bytes, first_doc (smallest document
-    that holds its first chunk), removable (characters whose first occurrence is elsewhere)."""
-    w = Window.partitionBy("doc_id").orderBy("a", "b")
-    # Repeated rows of one document hold the same chunks.
-    rows = (repeated_chunks(docs) if repeated is None else repeated).dropDuplicates(["doc_id", "a", "b"])
-    island = F.sum(F.when(F.col("a") == F.lag("b").over(w), 0).otherwise(1)).over(w)
-    rows = rows.withColumn("island", island)
-    kept = (F.col("first_doc").eqNullSafe(F.col("doc_id"))) & (F.col("first_a") == F.col("a"))
-    out = rows.groupBy("doc_id", "island").agg(
-        F.min("a").cast("long").alias("start"), F.max("b").cast("long").alias("end"), F.sum("size").alias("bytes"),
-        F.min("first_doc").alias("first_doc"), F.sum(F.when(kept, 0).otherwise(F.col("b") - F.col("a"))).cast("long").alias("removable"),
-    )
-    return out.where(F.col("bytes") >= least).drop("island")
+    rows = materialize(chunk_rows(docs), "chunks", folder)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row", "a")
+    found = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first"))
+    found = found.where("n > 1").select("digest", (F.col("low") < F.col("high")).alias("shared"), F.col("first.row").alias("first_row"), F.col("first.a").alias("first_a"), F.col("first.doc_id").alias("first_doc"))
+    out = rows.join(materialize(found, "digests", folder), "digest")
+    kept = (F.col("first_row") == F.col("row")) & (F.col("first_a") == F.col("a"))
+    return materialize(out.select("row", "doc_id", "a", "b", "size", "shared", "first_doc", kept.alias("kept")), "repeated", folder)
+
+
+def in_passages(chunks: DataFrame, least: int, within: bool) -> DataFrame:
+    """The repeated chunks that lie in passages, with `island` (which of its row's passages) and `bytes` (of the passage)."""
+    rows = chunks if within else chunks.where("shared")
+    w = Window.partitionBy("row").orderBy("a")
+    rows = rows.withColumn("island", F.sum(F.when(F.col("a") == F.lag("b").over(w), 0).otherwise(1)).over(w))
+    return rows.withColumn("bytes", F.sum("size").over(Window.partitionBy("row", "island"))).where(F.col("bytes") >= least)
+
+
+def passages(docs: DataFrame, least: int = LEAST, within: bool = True) -> DataFrame:
+    """Repeated passages: (row, doc_id, start, end) in code points, bytes, first_doc (smallest document that
+    holds one of its chunks), removable (characters whose first occurrence is elsewhere).
+
+    Without `within`, only what several rows share counts. Rows are numbered for this result alone.
+    """
+    found = in_passages(repeated_chunks(numbered(docs)), least, within)
+    return found.groupBy("row", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("a").cast("long").alias("start"), F.max("b").cast("long").alias("end"), F.first("bytes").alias("bytes"),
+        F.min("first_doc").alias("first_doc"), F.sum(F.when(F.col("kept"), 0).otherwise(F.col("b") - F.col("a"))).cast("long").alias("removable"),
+    ).drop("island")
 
 
 def by_document(docs: DataFrame) -> DataFrame:
-    """One row for each document that holds a repeated passage; its passages in order."""
-    found = passages(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_chars"), F.sum("removable").alias("removable_chars"),
+    """One row for each row that shares a passage with another one; its passages in order."""
+    found = passages(docs, within=False).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.count("*").alias("n_passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_chars"), F.sum("removable").alias("removable_chars"),
         F.min("first_doc").alias("first_doc_id"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"),
     )
-    return found.withColumn("spans", F.expr("array_join(transform(spans, s -> concat(s.start, ':', s.end)), ',')"))
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): all rows with text, without the chunks of passages whose first occurrence is elsewhere."""
-    every = repeated_chunks(docs)
-    rows = every.dropDuplicates(["doc_id", "a", "b"])
-    long = passages(docs, repeated=every).select(F.col("doc_id").alias("d"), "start", "end")
-    kept = F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_a") == F.col("a"))
-    gone = rows.where(~kept).join(long, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("a") >= F.col("start")) & (F.col("b") <= F.col("end")), "left_semi")
-    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone"))
-    joined = rows_of(docs).alias("l").join(gone.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
-    # A passage that repeats within its first document is cut there as well; the first place stays.
-    pieces = F.expr("""aggregate(gone, struct('' AS t, 0 AS at),
-        (s, g) -> struct(concat(s.t, substring(text, s.at + 1, g.a - s.at)) AS t, g.b AS at),
-        s -> concat(s.t, substring(text, s.at + 1)))""")
-    return joined.select(F.col("l.doc_id").alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(pieces).alias("text"))
+    return found.drop("row").withColumn("spans", F.expr("array_join(transform(spans, s -> concat(s.start, ':', s.end)), ',')"))
+
+
+def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """All rows and columns, texts without the chunks of passages whose first occurrence is elsewhere; null text stays null."""
+    columns = docs.columns
+    rows = materialize(numbered(docs), "rows")
+    gone = in_passages(repeated_chunks(rows), least, True).where("NOT kept")
+    gone = gone.groupBy(F.col("row").alias("row_")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone_"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at = batch.schema.get_field_index("text")
+            out = batch.column(at).to_pylist()
+            for i, cut in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if cut:
+                    ends = [0, *(c["b"] for c in cut)]
+                    out[i] = "".join(out[i][a:b] for a, b in zip(ends, [*(c["a"] for c in cut), len(out[i])], strict=True))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select(columns)
+
+    return rows.join(gone, "row_", "left").select(*(f"`{c}`" for c in columns), "gone_").mapInArrow(step, docs.schema)

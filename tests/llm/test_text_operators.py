@@ -74,10 +74,34 @@ def test_nested_binary_and_misaligned_layers_are_unwrapped(monkeypatch):
     assert secrets.all_spans(b"an ordinary sentence with ordinaryandratherlongwords in it", None)[1:] == (set(), 1, 0)
 
 
+def test_every_place_of_a_layer_is_mapped():
+    said = b"password=hunter2xyz"
+    blob, packed = base64.b64encode(said), base64.b64encode(gzip.compress(b"." * 50 + said))
+    for part in (blob, packed, blob.replace(b"=", b"%3D") + b"%20"):
+        text = b"one " + part + b" two " + part + b"\n" + part + b" %41 \\x41 end " + part
+        _, found, _, _ = secrets.all_spans(text, None)
+        at = [m.start() for m in re.finditer(re.escape(part), text)]
+        spans = [(a, b) for a, k, b in found if k == 0]
+        assert all(any(x <= a and b <= x + len(part) for a, b in spans) for x in at), part
+        assert b"hunter2" not in b"".join(x for x, *_ in [(secrets.masked(text, sorted(found), b"*"),)])
+        left = secrets.masked(text, [(a, k, b) for a, k, b in found], b"*")
+        assert not secrets.all_spans(left, None)[1]
+    exact = b"x=" + base64.b64encode(b"abc password=hunter2xyz tail")
+    assert {(a, b) for a, k, b in secrets.all_spans(exact, None)[1] if k == 0} == {(2 + 5, 2 + 31)}
+    lines = base64.b64encode(b"A" * 50 + said + b"B" * 60)
+    broken = b"\r\n".join(lines[i : i + 64] for i in range(0, len(lines), 64))
+    inside = [f for f in secrets.all_spans(b"key\r\n" + broken, None)[1] if f[1] == 0]
+    assert inside and all(5 <= a < b <= 5 + len(broken) for a, _, b in inside)
+    assert secrets.all_spans(base64.b64encode(gzip.compress(b"0" * (40 << 20) + said)), None)[3] == 1  # a bomb is read to its end
+    loop = b"%25" * 40 + b"41"
+    assert secrets.all_spans(loop, None)[2] > 2
+
+
 def test_redaction_keeps_columns_and_clean_rows(spark):
-    rows = [(1, "é my password: hunter2xyz ok"), (2, "clean"), (3, None)]
+    blob = base64.b64encode(b"password=hunter2xyz").decode()
+    rows = [(1, "é my password: hunter2xyz ok"), (2, "clean"), (3, None), (4, f"{blob} and {blob}")]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}
-    assert got == {1: "é my [secret] ok", 2: "clean", 3: None}
+    assert got == {1: "é my [secret] ok", 2: "clean", 3: None, 4: "[secret]== and [secret]=="}
     assert secrets.redact(docs(spark, rows)).columns == docs(spark, rows).columns
 
 

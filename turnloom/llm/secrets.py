@@ -3,9 +3,9 @@
 Each text is a first layer. A layer is scanned for three kinds of secret, then everything in it
 that is encoded (percent escapes, backslash escapes, base64 at any alignment, gzip or zlib data of
 any number of members at any place) is unwrapped into further layers, binary ones too, until none
-yields a new one. A layer whose digest has
-been seen for this text ends there, so cycles end. Every layer carries, byte by byte, the span of
-the original text that it came from, so that what is found in it points at the original.
+yields a new one. A layer whose digest has been seen at the same place of this text ends there, so cycles
+end, while copies at other places are all read. Every layer knows how its places map to those of the layer
+that held it, so that what is found in it points at the original text.
 
 Cases: null text is empty and has no span; an empty table gives an empty result; repeated rows
 give repeated rows; a null doc_id stays null; other columns of the input are not read by `scan`
@@ -20,7 +20,8 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 #: Bytes of decompressed data that are read at a time, and those that two such windows share.
-MAX_LAYER, OVERLAP = 64 << 20, 1 << 20
+MAX_LAYER, OVERLAP = 16 << 20, 1 << 20
 #: Bytes of compressed data that are fed at a time.
 PIECE = 1 << 16
 #: Shortest base64 run that is tried.
@@ -69,44 +70,63 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """Bytes, and for each the original byte span it came from (None: the original itself)."""
+    """Bytes, and how their places map to the layer that they were unwrapped from (none: the original text)."""
 
-    __slots__ = ("data", "start", "end")
+    __slots__ = ("data", "parent", "up")
 
-    def __init__(self, data: bytes, start: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.data, self.start, self.end = data, start, end
+    def __init__(self, data: bytes, parent: Layer | None = None, up: Callable[[int, int], tuple[int, int]] | None = None):
+        self.data, self.parent, self.up = data, parent, up
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
-        """The original span of this layer's bytes a to b."""
-        if self.start is None:
-            return a, b
-        return int(self.start[a:b].min()), int(self.end[a:b].max())
-
-    def maps(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.start is None:
-            at = np.arange(len(self.data), dtype=np.int64)
-            return at, at + 1
-        return self.start, self.end
+        """The original span that this layer's bytes a to b come from."""
+        layer = self
+        while layer.parent is not None:
+            a, b = layer.up(a, b)
+            layer = layer.parent
+        return a, b
 
     def rewritten(self, edits: list[tuple[int, int, bytes, int]]) -> Layer:
         """With (from, to, new bytes, old bytes for each new one or 0) applied."""
-        starts, ends = self.maps()
-        parts, s, e, at = [], [], [], 0
-        for a, b, new, step in edits:
+        parts, at, size = [], 0, 0
+        news, olds = [], []  # where each edit's new and old bytes start
+        for a, b, new, _ in edits:
             parts += [self.data[at:a], new]
-            s.append(starts[at:a])
-            e.append(ends[at:a])
-            if step:
-                s.append(starts[a:b:step])
-                e.append(ends[a + step - 1 : b : step])
-            else:
-                s.append(np.full(len(new), starts[a]))
-                e.append(np.full(len(new), ends[b - 1]))
+            news.append(size + a - at)
+            olds.append(a)
+            size = news[-1] + len(new)
             at = b
         parts.append(self.data[at:])
-        s.append(starts[at:])
-        e.append(ends[at:])
-        return Layer(b"".join(parts), np.concatenate(s), np.concatenate(e))
+
+        def old(place: int, last: bool) -> int:
+            """Where the old bytes for a new one start, or end."""
+            k = bisect_right(news, place) - 1
+            if k < 0:
+                return place + last
+            a, b, new, step = edits[k]
+            inside = place - news[k]
+            if inside >= len(new):
+                return b + inside - len(new) + last
+            if not step:
+                return b if last else a
+            return a + (inside + last) * step
+
+        return Layer(b"".join(parts), self, lambda a, b: (old(a, False), old(b - 1, True)) if b > a else (old(a, False),) * 2)
+
+    def whole(self, a: int, b: int, data: bytes) -> Layer:
+        """Data each of whose bytes comes from this layer's bytes a to b together."""
+        return Layer(data, self, lambda _a, _b: (a, b))
+
+    def unbased(self, places: list[tuple[int, int]], data: bytes) -> Layer:
+        """Data whose base64 letters are those at some places in a row."""
+        starts = [0]
+        for a, b in places:
+            starts.append(starts[-1] + b - a)
+
+        def letter(i: int) -> int:
+            k = min(bisect_right(starts, i) - 1, len(places) - 1)
+            return min(places[k][0] + i - starts[k], places[k][1] - 1)
+
+        return Layer(data, self, lambda a, b: (letter(a // 3 * 4 + a % 3), letter((b - 1) // 3 * 4 + (b - 1) % 3 + 1) + 1))
 
 
 def inflated(data: bytes, at: int) -> Iterator[tuple[bytes, bool, int]]:
@@ -147,12 +167,6 @@ def readable(data: bytes) -> bool:
     return bool(data) and not CONTROL.search(data)
 
 
-def spread(layer: Layer, a: int, b: int, data: bytes) -> Layer:
-    """Data each of whose bytes comes from the layer's bytes a to b as a whole."""
-    s, e = layer.origin(a, b)
-    return Layer(data, np.broadcast_to(np.int64(s), len(data)), np.broadcast_to(np.int64(e), len(data)))
-
-
 def compressed_layers(layer: Layer) -> Iterator[tuple[Layer, bool, bool]]:
     """What gzip or zlib data anywhere in the layer holds."""
     done = 0
@@ -161,7 +175,7 @@ def compressed_layers(layer: Layer) -> Iterator[tuple[Layer, bool, bool]]:
             continue
         for data, cut, end in inflated(layer.data, m.start()):
             done = max(done, end)
-            yield spread(layer, m.start(), end or len(layer.data), data), cut, end > 0 or readable(data)
+            yield layer.whole(m.start(), end or len(layer.data), data), cut, end > 0 or readable(data)
 
 
 def base64_runs(data: bytes) -> list[tuple[int, int]]:
@@ -169,23 +183,33 @@ def base64_runs(data: bytes) -> list[tuple[int, int]]:
     return sorted({m.span() for pattern in (BASE64, BASE64_URL) for m in pattern.finditer(data)})
 
 
+def wrapped(data: bytes, runs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Runs that are the lines of one, all but the last of the same length."""
+    i = 0
+    while i < len(runs):
+        k = i
+        size = runs[i][1] - runs[i][0]
+        while k + 1 < len(runs) and data[runs[k][1] - 1] != 0x3D and runs[k][1] - runs[k][0] == size and runs[k + 1][1] - runs[k + 1][0] <= size and data[runs[k][1] : runs[k + 1][0]] in (b"\n", b"\r\n"):
+            k += 1
+        if k > i:
+            yield runs[i : k + 1]
+        i = k + 1
+
+
 def base64_layers(layer: Layer, runs: list[tuple[int, int]] | None) -> Iterator[tuple[Layer, bool, bool]]:
-    """What base64 runs hold, read from each of their first four letters, as data may follow other letters."""
-    for a, b in base64_runs(layer.data) if runs is None else runs:
-        run = layer.data[a:b].rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
+    """What base64 runs hold, each alone and lines of one together, read from each of their first four letters,
+    as data may follow other letters."""
+    data = layer.data
+    runs = base64_runs(data) if runs is None else runs
+    for places in [*([r] for r in runs), *wrapped(data, runs)]:
+        run = b"".join(data[a:b] for a, b in places).rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
         for k in range(4):
-            part = run[k : len(run) - (len(run) - k) % 4] if (len(run) - k) % 4 == 1 else run[k:]
+            part = run[k : len(run) - ((len(run) - k) % 4 == 1)]
             if len(part) < BASE64_LEAST - 3:
                 break
             raw = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
-            at = np.arange(len(raw))
-            first = a + k + at // 3 * 4 + at % 3
-            last = np.minimum(first + 1, b - 1)
-            if layer.start is not None:
-                first, last = layer.start[first], layer.end[last]
-            else:
-                last = last + 1
-            yield Layer(raw, first, last), False, readable(raw)
+            (a, b), *others = places
+            yield layer.unbased([(a + k, b), *others], raw), False, readable(raw)
 
 
 def unwrapped(layer: Layer, runs: list[tuple[int, int]] | None = None) -> Iterator[tuple[Layer, bool, bool]]:
@@ -207,7 +231,7 @@ def unwrapped(layer: Layer, runs: list[tuple[int, int]] | None = None) -> Iterat
             yield layer.rewritten(edits), False, True
         if raw != edits:  # \\x may stand for a byte as well as for a character
             yield layer.rewritten(raw), False, True
-    if layer.start is not None:  # the original is UTF-8, which compressed data is not
+    if layer.parent is not None:  # the original is UTF-8, which compressed data is not
         yield from compressed_layers(layer)
     yield from base64_layers(layer, runs)
 
@@ -219,7 +243,7 @@ def all_spans(data: bytes, runs: list[tuple[int, int]] | None = None) -> tuple[l
     happen to be base64) count as layers only if something is found in them.
     """
     base = base_spans(data)
-    found, seen, n_layers, n_cut = set(base), {hashlib.blake2b(data, digest_size=16).digest()}, 1, 0
+    found, seen, n_layers, n_cut = set(base), {(hashlib.blake2b(data, digest_size=16).digest(), (0, len(data)))}, 1, 0
     work = [unwrapped(Layer(data), runs)]  # innermost last, so that one window of each is held
     while work:
         step = next(work[-1], None)
@@ -228,7 +252,8 @@ def all_spans(data: bytes, runs: list[tuple[int, int]] | None = None) -> tuple[l
             continue
         new, cut, sure = step
         n_cut += cut
-        key = hashlib.blake2b(new.data, digest_size=16).digest()
+        # Equal data from another place is another layer; equal data from the same place is a cycle, or known.
+        key = hashlib.blake2b(new.data, digest_size=16).digest(), new.origin(0, len(new.data))
         if key in seen:
             continue
         seen.add(key)

@@ -272,6 +272,14 @@ def test_best_path_of_a_tree(spark):
     assert got == {("t", 4): [("user", "q"), ("assistant", "a"), ("user", "c")], ("t", 5): [("user", "q"), ("assistant", "b"), ("user", "d")], ("u", 1): [("user", "alone")]}
 
 
+def test_repeated_messages_count_once_and_long_conversations_are_whole(spark):
+    ddl = "tree string, msg long, parent long, score double, role string, text string, leaf string, depth long"
+    rows = [("t", 1, None, 0.0, "user", "q", "x", 1), ("t", 2, 1, 1.0, "assistant", "a", "x", 1), ("t", 2, 1, 1.0, "assistant", "a", "x", 1), ("t", 3, 2, 2.0, "user", "b", "x", 1), ("t", 3, 2, 2.0, "user", "b", "y", 2), ("t", 3, 1, 1.0, "user", "other", "x", 1)]
+    rows += [("long", i, i - 1 if i else None, 0.0, "user", f"m{i}", None, None) for i in range(700)]
+    got = {(r["tree"], r["leaf"]): chat.parsed(r["text"]) for r in chat.conversations(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {("t", 3): [("user", "q"), ("assistant", "a"), ("user", "b")], ("long", 699): [("user", f"m{i}") for i in range(700)]}
+
+
 # --- near copies, substrings
 
 
@@ -469,6 +477,24 @@ def test_neighbours_recall_and_cases(spark, monkeypatch):
     assert abs(neighbours.chi_square_quantile(0.95, 10) - 18.307) < 0.01
 
 
+def test_neighbours_of_huge_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((45, 4))
+    x[7] = [1e200, -1e200, 1.0, 0.0]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(20, [9.0, 9.0, 9.0, 9.0]), (20, [9.0, 9.0, 9.0, 9.0]), (3, [5.0, 5.0, 5.0, 5.0])]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, key string, score int")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (0, 20, 40):
+        best = {}
+        for i, a in rows:
+            for j, b in rows:
+                if i == q and j != q:
+                    best[j] = max(best.get(j, -np.inf), float(np.dot(a, b)))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+        assert [j for j, _ in got[q]] == [j for j, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want], rtol=1e-12)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "x")]).where("doc_id < 0")
     bench = spark.createDataFrame([], "item_id long, text string")

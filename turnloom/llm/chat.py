@@ -11,8 +11,10 @@ Template: a turn is `### role: text</turn>` and a line end. In roles and texts a
 parsing restores them exactly.
 
 Cases: null text and null role are empty; a reply to a missing message, or to itself, is a root;
-messages in a cycle have no root and belong to no path; ties in score go to the smaller leaf;
-an empty table gives no conversation; other columns are ignored.
+messages in a cycle have no root and belong to no path; ties in score go to the smaller leaf; of rows
+that repeat a message one counts (turns of `from_turns` are all messages of their own, repeated or not);
+a conversation is formatted as a whole, however long; an empty table gives no conversation; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -73,11 +75,24 @@ def parsed(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """One row for each tree and msg: of several, that with the greatest score, then the first by its other columns."""
+    others = [c for c in ("parent", "role", "text") if c in messages.columns]
+    order = [F.col("score").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in others)]
+    found = messages.withColumn("nth_", F.row_number().over(Window.partitionBy("tree", "msg").orderBy(*order)))
+    return found.where("nth_ = 1").select(messages.columns)
+
+
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, leaf, rank, depth, msg) of the `top` best-scored root-to-leaf paths of each tree.
 
-    messages: tree, msg (unique within the tree), parent (null for a root), score.
+    messages: tree, msg, parent (null for a root), score; of rows with one tree and msg, the one that
+    `distinct_messages` keeps counts.
     """
+    return paths_of(distinct_messages(messages), top)
+
+
+def paths_of(messages: DataFrame, top: int) -> DataFrame:
     folder = shared_dir(messages.sparkSession)
     nodes = messages.select("tree", "msg", F.when(~F.col("parent").eqNullSafe(F.col("msg")), F.col("parent")).alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("msg").alias("m"))
@@ -127,7 +142,8 @@ def conversations(messages: DataFrame, top: int = 1) -> DataFrame:
 
     messages: tree, msg, parent, score, role, text. Returns tree, leaf, text, mask.
     """
-    paths = chosen_paths(messages, top)
+    messages = materialize(distinct_messages(messages.select("tree", "msg", "parent", "score", "role", "text")), "messages")
+    paths = paths_of(messages, top)
     said = messages.select(F.col("tree").alias("t"), F.col("msg").alias("m"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.join(said, paths.tree.eqNullSafe(said.t) & (paths.msg == said.m))
     turns = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))

@@ -41,11 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None, compression: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -149,6 +149,7 @@ class Shards:
             own = (rows if self.n == 1 else rows.where(F.pmod("key", F.lit(self.n)) == k)).select("key", *columns).toArrow()
             values = np.stack([own[c].to_numpy().astype(kind) for c in columns], axis=1) if columns else np.zeros((len(own), 0), kind)
             self.parts.append(context.broadcast(HashArray(own["key"].to_numpy().view(np.uint64), values)))
+            self.parts[-1].__dict__.pop("_value", None)  # the driver's copy is in a file
 
     def find(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each shard the indices of the keys that it holds, ascending, and their values."""

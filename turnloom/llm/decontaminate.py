@@ -4,9 +4,9 @@ The patterns are the benchmark's windows (10 consecutive words; a shorter item i
 For each pattern length a table gives, for every block of two words, how far the search may skip;
 a block that ends some pattern selects a bucket of patterns, and comparing the words confirms.
 
-The benchmark is taken in blocks of at most BLOCK_BYTES of text: one block's tables are broadcast,
-the documents pass one block after another, and hits of all blocks are united. So broadcasts are
-bounded however long the benchmark is.
+The benchmark is taken in blocks of at most BLOCK_BYTES of text, each of whose tables are broadcast on
+their own. One step passes a batch of documents along all blocks, of which a task holds one at a time,
+and unites their hits. So memory is bounded however long the benchmark is, and documents are read once.
 
 Cases: null or wordless text has no words and no hit; null or wordless items have no window; items
 with a null item_id mark words but are not counted or listed; an item_id that repeats counts once;
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import SHARDED_BYTES, SLICE_BYTES, slices, texts
 
 #: Words of a window.
 WINDOW = 10
@@ -126,48 +126,52 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple
         yield block
 
 
-def search_block(docs: DataFrame, block: list, first: bool) -> DataFrame:
-    """Adds one block's hits: `_spans` (flat starts and ends, in words) and `_items`."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(Automaton(block))
-    columns = docs.columns
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = model.value.hits
-        for batch in slices(batches):
-            data = {k: batch.column(batch.schema.get_field_index(k)) for k in columns}
-            n_words, spans, items = [], [], []
-            old_spans = data["_spans"].to_pylist() if not first else None
-            old_items = data["_items"].to_pylist() if not first else None
-            for i, doc in enumerate(texts(data["text"])):
-                words = words_of(doc)
-                found, names = search(words)
-                if not first:
-                    old = old_spans[i]
-                    found = merged(found + list(zip(old[::2], old[1::2], strict=True)))
-                    names |= set(old_items[i])
-                n_words.append(len(words))
-                spans.append([x for span in found for x in span])
-                items.append(sorted(x for x in names if x is not None))
-            out = data | {"_words": pa.array(n_words, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-    kept = [f for f in docs.schema.fields if f.name not in ("_words", "_spans", "_items")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_words long, _spans array<long>, _items array<string>"])
-    if not first:
-        order = [f.name for f in kept] + ["_words", "_spans", "_items"]
-        docs = docs.select(*order)
-        columns = order
-    return docs.mapInArrow(step, schema)
+class Searched:
+    """The benchmark's blocks, each a broadcast of its own."""
+
+    def __init__(self, benchmark: DataFrame):
+        context = benchmark.sparkSession.sparkContext
+        self.parts = []
+        for block in blocks(benchmark):
+            self.parts.append(context.broadcast(Automaton(block)))
+            self.parts[-1].__dict__.pop("_value", None)  # the driver's copy is in a file
+
+    def hits(self, docs: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[str | None]]]:
+        """For each text its merged intervals and its items, of all blocks."""
+        spans: list[list] = [[] for _ in docs]
+        names: list[set] = [set() for _ in docs]
+        for part in self.parts:
+            search = part.value.hits
+            for i, words in enumerate(docs):
+                found, own = search(words)
+                spans[i] += found
+                names[i] |= own
+            if len(self.parts) > 1:  # read again from the executor's disk when needed
+                part.__dict__.pop("_value", None)
+        return [merged(s) for s in spans] if len(self.parts) > 1 else spans, names
+
+    @property
+    def batch_bytes(self) -> int:
+        """Bytes of text worth reading between two blocks."""
+        return SLICE_BYTES if len(self.parts) < 2 else SHARDED_BYTES
 
 
 def searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents' columns with `_words`, `_spans` and `_items`."""
-    first = True
-    for block in blocks(benchmark):
-        docs = search_block(docs, block, first)
-        first = False
-    return search_block(docs, [], True) if first else docs
+    """The documents' columns with `_words`, `_spans` (flat starts and ends, in words) and `_items`."""
+    blocks_ = Searched(benchmark)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=blocks_.batch_bytes):
+            words = [words_of(doc) for doc in texts(batch.column(batch.schema.get_field_index("text")))]
+            spans, items = blocks_.hits(words)
+            columns = [
+                *batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([[x for span in s for x in span] for s in spans], pa.list_(pa.int64())),
+                pa.array([sorted(x for x in own if x is not None) for own in items], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_words", "_spans", "_items"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_words long, _spans array<long>, _items array<string>"])
+    return docs.mapInArrow(step, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -8,11 +8,15 @@ beyond projected distance d * sqrt(quantile(CONFIDENCE)) with probability 1 - CO
 the search walks the kd-tree's leaves by projected distance, verifies whole leaves with exact
 inner products in double precision, and stops at the first leaf beyond that.
 
-The tree's upper levels are fitted on a sample of at most SAMPLE vectors (those with the least key
-hashes) and cut space into cells; every vector is indexed in its cell, cells are cut into blocks of
-at most about BLOCK vectors, and each block builds its own lower levels. A first round searches each
-query's own cell; its k-th distances then say which other cells a second round must visit.
-Queries go in blocks of about QUERY_BLOCK, so no task holds more.
+The tree's upper levels are fitted on at most SAMPLE projected vectors (those with the least key hashes)
+and cut space into cells; every vector is indexed in its cell, cells of over BLOCK vectors are cut into
+blocks, and each block builds its own lower levels. A first round searches each query's own cell; its k-th
+distances then say which other cells a second round must visit. The queries that visit a cell go to it in
+parts of about QUERY_BLOCK, so no task holds more, and a block is sent as often as its cell has parts.
+
+Projections and distances are those of vectors scaled by a power of two, so that no finite component
+overflows a square; scores are those of the vectors as given (infinite where they exceed a double, and
+least of all where infinities cancel out).
 
 Equal vectors are searched once: of each, the k + 1 smallest ids stand for all, as no other can be
 among the k nearest.
@@ -20,7 +24,8 @@ among the k nearest.
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as
 queries or candidates; null ids neither; vectors are compared with those of their own length only;
 equal scores go to smaller ids; of rows with one id, every distinct vector counts and the best
-score is returned once; fewer candidates than k give fewer rows; other columns are ignored.
+score is returned once; fewer candidates than k give fewer rows; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from .common import materialize, shared_dir
 
 DIMS = 10
 CONFIDENCE = 0.97
-SAMPLE, CELL_SAMPLES = 20_000, 64
+SAMPLE, CELL_SAMPLES = 100_000, 16
 CELL, BLOCK, LEAF = 4096, 8192, 256
 QUERY_BLOCK = 8192
 SEED = 20_240_101
@@ -146,14 +151,28 @@ def leaves_of(points: np.ndarray, most: int = LEAF) -> list[np.ndarray]:
     return out
 
 
-def search_block(queries: np.ndarray, limits: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int, radius2: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def spots_of(queries: np.ndarray) -> np.ndarray:
+    """Projections of queries scaled to length 1."""
+    unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+    unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
+    return np.concatenate([unit, np.zeros((len(queries), 1))], axis=1) @ projection(queries.shape[1])
+
+
+def reach2(queries: np.ndarray, limit: np.ndarray, radius2: float, power: int) -> np.ndarray:
+    """The squared projected distance within which a vector of a score over the limit lies with probability CONFIDENCE.
+
+    The squared distance of a score is 2 R^2 - 2 R score / |q|, where the score is that of scaled vectors.
+    """
+    greatest = np.abs(queries).max(axis=1)
+    length = np.sqrt(np.einsum("ij,ij->i", queries / greatest[:, None], queries / greatest[:, None]))
+    scaled = np.ldexp(limit / greatest, -power) / length
+    return np.maximum(2 * radius2 - 2 * np.sqrt(radius2) * scaled, 0) * chi_square_quantile(CONFIDENCE, DIMS)
+
+
+def search_block(queries: np.ndarray, limits: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int, radius2: float, power: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the rows of up to k best vectors of a block with score >= its limit, and their scores."""
-    quantile = chi_square_quantile(CONFIDENCE, DIMS)
-    radius = np.sqrt(radius2)
-    length = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-    scaled = queries * (radius / length)[:, None]
-    points = projected(vectors, radius2)
-    spots = np.concatenate([scaled, np.zeros((len(queries), 1))], axis=1) @ projection(queries.shape[1])
+    points = projected(np.ldexp(vectors, -power), radius2)
+    spots = spots_of(queries) * np.sqrt(radius2)
     leaves = leaves_of(points)
     gaps = box_distances2(spots, np.array([points[r].min(axis=0) for r in leaves]), np.array([points[r].max(axis=0) for r in leaves]))
     order = np.argsort(gaps, axis=1, kind="stable")
@@ -163,15 +182,14 @@ def search_block(queries: np.ndarray, limits: np.ndarray, keys: np.ndarray, vect
     active = np.ones(len(queries), bool)
     for step in range(len(leaves)):
         now = order[:, step]
-        # Squared distance of the k-th best: 2 R^2 - 2 (R / |q|) score.
-        reach = np.maximum(2 * radius2 - 2 * radius / length * limit, 0) * quantile
-        active &= gaps[np.arange(len(queries)), now] <= reach
+        active &= gaps[np.arange(len(queries)), now] <= reach2(queries, limit, radius2, power)
         if not active.any():
             break
         for leaf in np.unique(now[active]):
             who = np.flatnonzero(active & (now == leaf))
             rows = leaves[leaf]
-            scores = queries[who] @ vectors[rows].T
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.nan_to_num(queries[who] @ vectors[rows].T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
             all_scores = np.concatenate([best_score[who], scores], axis=1)
             all_rows = np.concatenate([best_row[who], np.broadcast_to(rows, scores.shape)], axis=1)
             names = np.where(all_rows >= 0, keys[np.maximum(all_rows, 0)], np.iinfo(np.int64).max)
@@ -212,10 +230,12 @@ def search(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     asked = valid(rows).where(F.col("vec_id") % every == 0).distinct()
     asked = asked.join(groups.select("v", "key"), "v").select(F.col("vec_id").alias("query_id"), "key", F.size("v").alias("width"))
     asked = materialize(asked, "asked", folder)
-    lengths = groups.groupBy("width").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("r2")).collect()
+    greatest = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    lengths = groups.groupBy("width").agg(F.count("*").alias("n"), F.max(greatest).alias("greatest")).collect()  # a row for each length
     found = None
     for r in sorted(lengths):
-        own = search_width(groups.where(F.col("width") == r.width), asked.where(F.col("width") == r.width), r.width, r.n, r.r2, k, f"{folder}/{r.width}")
+        power = int(np.frexp(r.greatest)[1])
+        own = search_width(groups.where(F.col("width") == r.width), asked.where(F.col("width") == r.width), r.width, r.n, power, k, f"{folder}/{r.width}")
         found = own if found is None else found.unionByName(own)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -225,55 +245,64 @@ def search(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search_width(groups: DataFrame, asked: DataFrame, width: int, n: int, radius2: float, k: int, folder: str) -> DataFrame:
+def matrix(array: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(array.flatten()).reshape(-1, width).astype(float)
+
+
+def search_width(groups: DataFrame, asked: DataFrame, width: int, n: int, power: int, k: int, folder: str) -> DataFrame:
     """(q, vec_id, score): for each asked key its k + 1 best ids at least, among vectors of one length."""
     spark = groups.sparkSession
-    sample = groups.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    points = projected(np.asarray(sample.flatten()).reshape(-1, width).astype(float), radius2)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.ldexp(matrix(batch.column(0), width), -power)
+            yield pa.RecordBatch.from_arrays([pa.array(np.einsum("ij,ij->i", v, v))], names=["r2"])
+
+    radius2 = groups.select("v").mapInArrow(squares, "r2 double").agg(F.max("r2")).first()[0]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = projected(np.ldexp(matrix(batch.column(0), width), -power), radius2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(points), pa.list_(pa.float64()))], names=["point"])
+
+    sample = groups.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").mapInArrow(drawn, "point array<double>").toArrow()["point"].combine_chunks()
+    points = np.asarray(sample.flatten()).reshape(-1, DIMS)
     cells = spark.sparkContext.broadcast(Cells(points, min(max(1, n // CELL), max(1, len(points) // CELL_SAMPLES))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.asarray(batch.column(1).flatten()).reshape(-1, width).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cells.value.of(projected(v, radius2)))], names=["key", "v", "ids", "cell"])
+            own = cells.value.of(projected(np.ldexp(matrix(batch.column(1), width), -power), radius2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own)], names=["key", "v", "ids", "cell"])
 
     index = materialize(groups.select("key", "v", "ids").mapInArrow(place, "key long, v array<double>, ids array<long>, cell long"), "index", folder)
-    sizes = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}  # as many rows as cells
-    salts = {c: -(-x // BLOCK) for c, x in sizes.items()}
+    # As many rows as cells: SAMPLE / CELL_SAMPLES at most.
+    sizes = F.broadcast(materialize(index.groupBy("cell").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("salts")), "sizes", folder))
+    filled = [r.cell for r in sizes.select("cell").collect()]
     queries = materialize(groups.join(asked.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("q"), F.col("v").alias("qv")), "queries", folder)
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_salts = F.create_map(*(F.lit(x).cast("long") for pair in salts.items() for x in pair))
-    blocks = index.withColumn("salt", F.pmod(F.xxhash64("key"), n_salts[F.col("cell")])).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    quantile = chi_square_quantile(CONFIDENCE, DIMS)
+    blocks = index.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts"))).drop("salts")
 
     def visits(rows: DataFrame, first: bool) -> DataFrame:
-        """Adds the cells to visit: the nearest one, or all others within reach of the k-th score."""
+        """(q, qv, floor, cell): the nearest cell, or all others within reach of the k-th score."""
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = np.asarray(batch.column(1).flatten()).reshape(-1, width).astype(float)
-                length = np.sqrt(np.einsum("ij,ij->i", v, v))
-                radius = np.sqrt(radius2)
-                spots = np.concatenate([v * (radius / length)[:, None], np.zeros((len(v), 1))], axis=1) @ projection(width)
-                gaps = cells.value.distances2(spots)
-                filled = np.zeros(gaps.shape[1], bool)
-                filled[list(salts)] = True
-                gaps[:, ~filled] = np.inf
+            there = np.zeros(cells.value.count, bool)
+            there[filled] = True
+            for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+                v = matrix(batch.column(1), width)
+                gaps = cells.value.distances2(spots_of(v) * np.sqrt(radius2))
+                gaps[:, ~there] = np.inf
                 home = gaps.argmin(axis=1)
                 if first:
-                    to = [[int(c)] for c in home]
+                    to, limit = [[int(c)] for c in home], np.full(len(v), -np.inf)
                 else:
-                    kth = batch.column(2).to_numpy(zero_copy_only=False)
-                    reach = np.maximum(2 * radius2 - 2 * radius / length * kth, 0) * quantile
-                    near = (gaps <= reach[:, None]) & filled[None, :]
+                    limit = batch.column(2).to_numpy(zero_copy_only=False)
+                    near = (gaps <= reach2(v, limit, radius2, power)[:, None]) & there[None, :]
                     near[np.arange(len(v)), home] = False
                     to = [np.flatnonzero(x).tolist() for x in near]
-                limit = np.full(len(v), -np.inf) if first else kth
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(limit), pa.array(to, pa.list_(pa.int64()))], names=["q", "qv", "floor", "cells"])
 
         rows = rows.mapInArrow(step, "q long, qv array<double>, floor double, cells array<long>")
-        rows = rows.withColumn("cell", F.explode("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), n_salts[F.col("cell")] - 1)))
-        return rows.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).drop("cells")
+        return rows.withColumn("cell", F.explode("cells")).drop("cells")
 
     def searched(asked_: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -282,18 +311,27 @@ def search_width(groups: DataFrame, asked: DataFrame, width: int, n: int, radius
         vectors, keys = np.stack(block["v"].to_numpy()), block["key"].to_numpy()
         ids = block["ids"].to_numpy()
         q, out = asked_["q"].to_numpy(), []
-        for i, (rows, scores) in enumerate(search_block(np.stack(asked_["qv"].to_numpy()), asked_["floor"].to_numpy(), keys, vectors, k + 1, radius2)):
+        for i, (rows, scores) in enumerate(search_block(np.stack(asked_["qv"].to_numpy()), asked_["floor"].to_numpy(), keys, vectors, k + 1, radius2, power)):
             pairs = sorted((-s, int(x)) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for x in ids[r])[: k + 1]
             out += [(q[i], x, -s) for s, x in pairs]
         return pd.DataFrame(out, columns=["q", "vec_id", "score"]) if out else empty
 
-    def run(asked_: DataFrame) -> DataFrame:
-        return asked_.groupBy("cell", "salt", "part").cogroup(blocks.groupBy("cell", "salt", "part")).applyInPandas(searched, "q long, vec_id long, score double")
+    def run(rows: DataFrame, name: str) -> DataFrame:
+        rows = materialize(rows, name, folder)
+        parts = rows.groupBy("cell").agg(F.expr(f"(count(*) + {QUERY_BLOCK - 1}) div {QUERY_BLOCK}").alias("parts"))
+        parts = F.broadcast(materialize(parts, f"{name}_parts", folder))  # a row for each cell, as above
+        rows = rows.join(parts, "cell").join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
+        rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        sent = blocks.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        task = ["cell", "salt", "part"]
+        renamed = lambda x, names: x.select(*(F.col(c).alias(c) for c in (*task, *names)))  # noqa: E731  both come from some of the same tables
+        found = renamed(rows, ["q", "qv", "floor"]).groupBy(task).cogroup(renamed(sent, ["key", "v", "ids"]).groupBy(task))
+        return found.applyInPandas(searched, "q long, vec_id long, score double")
 
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     best = lambda found: found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    near = materialize(best(run(visits(queries, True))), "near", folder)
+    near = materialize(best(run(visits(queries, True), "visits")), "near", folder)
     kth = near.groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).alias("kth"))
     again = queries.join(kth, "q", "left").select("q", "qv", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-    far = run(visits(again, False))
+    far = run(visits(again, False), "visits_far")
     return best(near.drop("n").unionByName(far).dropDuplicates(["q", "vec_id", "score"])).select("q", "vec_id", "score")

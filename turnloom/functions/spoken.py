@@ -28,7 +28,7 @@ _UNICODE = {
 }
 _HEBREW = regex.compile("[֐-׿]")
 # Fillers that may repeat without being a repetition.
-BARE_FILLERS = frozenset("uh um erm er ah eh hmm mm mhm".split())
+BARE_FILLERS = frozenset(("uh", "um", "erm", "er", "ah", "eh", "hmm", "mm", "mhm"))
 #: Disfluencies that a smoothed source may have dropped.
 VERBATIM = frozenset(("filler", "partial_word", "repetition", "self_correction"))
 

@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -272,6 +271,7 @@ def scan_text(path: str, text: str, size: int) -> list[int]:
 
 CHUNK_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("left", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
 STATE = pa.struct([("s", pa.int64()), ("p", pa.string())])
+MATRICES = pa.list_(pa.struct([("i", STATE), ("j", STATE), ("w", pa.float64())]))
 MATRIX = "array<struct<i: struct<s: long, p: string>, j: struct<s: long, p: string>, w: double>>"
 
 
@@ -314,13 +314,11 @@ def held_matrix(entries) -> Matrix:
 
 def transfer(path: str, chunks: DataFrame) -> DataFrame:
     """(row, k, m): each chunk's transfer matrix."""
-    kind = pa.list_(pa.struct([("i", STATE), ("j", STATE), ("w", pa.float64())]))
-
     def step(batches):
         for batch in slices(batches):
             rows = batch.to_pylist()
             found = [shown_matrix(as_matrix(chunk_of(path, r).matrix())) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], names=["row", "k", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, MATRICES)], names=["row", "k", "m"])
 
     return chunks.mapInArrow(step, f"row long, k long, m {MATRIX}")
 
@@ -328,30 +326,39 @@ def transfer(path: str, chunks: DataFrame) -> DataFrame:
 def combined(matrices: DataFrame) -> DataFrame:
     """(row, k, m) of the next level: products of FAN neighbours."""
 
-    def step(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        tables = [held_matrix(m) for m in group.sort_values("k")["m"]]
-        whole = tables[0]
-        for m in tables[1:]:
-            whole = product(whole, m)
-        return pd.DataFrame({"row": [key[0]], "k": [key[1]], "m": [shown_matrix(whole)]})
-
-    return matrices.groupBy("row", F.expr(f"k div {FAN}").alias("up")).applyInPandas(step, f"row long, k long, m {MATRIX}")
-
+    def step(batches):
+        for batch in batches:
+            found = []
+            for own in batch.column(2).to_pylist():
+                tables = [held_matrix(x["m"]) for x in sorted(own, key=lambda x: x["k"])]
+                whole = tables[0]
+                for m in tables[1:]:
+                    whole = product(whole, m)
+                found.append(shown_matrix(whole))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, MATRICES)], names=["row", "k", "m"])
 
-EDGES = "row long, k long, entry struct<s: long, p: string>, leave struct<s: long, p: string>"
+    own = matrices.groupBy("row", F.expr(f"k div {FAN}").alias("up")).agg(F.collect_list(F.struct("k", "m")).alias("own"))
+    return own.mapInArrow(step, f"row long, k long, m {MATRIX}")
 
 
 def parted(matrices: DataFrame, parents: DataFrame) -> DataFrame:
     """(row, k, entry, leave) of a level, from its matrices and the edges of the level above."""
 
-    def step(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        first = group.iloc[0]
-        found = edges([held_matrix(m) for m in group["m"]], held_state(first["entry"]), held_state(first["leave"]))
-        return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": [shown_state(i) for i, _ in found], "leave": [shown_state(j) for _, j in found]})
+    def step(batches):
+        for batch in batches:
+            rows, places, entry, leave = [], [], [], []
+            for r in batch.to_pylist():
+                own = sorted(r["own"], key=lambda x: x["k"])
+                found = edges([held_matrix(x["m"]) for x in own], held_state(r["entry"]), held_state(r["leave"]))
+                rows += [r["row"]] * len(own)
+                places += [x["k"] for x in own]
+                entry += [shown_state(i) for i, _ in found]
+                leave += [shown_state(j) for _, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, pa.int64()), pa.array(entry, STATE), pa.array(leave, STATE)], names=["row", "k", "entry", "leave"])
 
-    own = matrices.withColumn("up", F.expr(f"k div {FAN}"))
-    return own.join(parents.withColumnRenamed("k", "up"), ["row", "up"]).groupBy("row", "up").applyInPandas(step, EDGES)
+    own = matrices.groupBy("row", F.expr(f"k div {FAN}").alias("up")).agg(F.collect_list(F.struct("k", "m")).alias("own"))
+    both = own.join(parents.withColumnRenamed("k", "up").hint("merge"), ["row", "up"]).select("row", "own", "entry", "leave")
+    return both.mapInArrow(step, "row long, k long, entry struct<s: long, p: string>, leave struct<s: long, p: string>")
 
 
 def chosen_edges(matrices: DataFrame, folder: str) -> DataFrame:
@@ -411,9 +418,10 @@ def encoded(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
             yield result(batch.column(0), np.concatenate(data), np.cumsum([len(x) for x in data]), batch.column(2).to_pylist(), with_ids)
 
     small = docs.where(F.length("text") < CHUNK).mapInArrow(alone, schema)  # with the leading space one chunk
-    chunks = materialize(chunked(path, docs.where(F.length("text") >= CHUNK)), "chunks", folder)
+    chunks = materialize(chunked(path, docs.where(F.length("text") >= CHUNK)), "chunks", folder, "zstd")
     states = chosen_edges(materialize(transfer(path, chunks), "matrices", folder), folder)
-    parts = traced(path, chunks.join(states, ["row", "k"]))
+    # States grow with the corpus and are not broadcast, however few they are here.
+    parts = traced(path, chunks.join(states.hint("merge"), ["row", "k"]))
     texts_ = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("restored").alias("restored"))
     return small.unionByName(texts_.select("doc_id", "parts", "restored").mapInArrow(together, schema))
 

@@ -199,7 +199,6 @@ def gap_marker(seconds: Column) -> Column:
 def time_label(seconds: Column) -> Column:
     """[HH:]MM:SS.ff, or --:-- for null."""
     hundredths = F.round(seconds * 100).cast("long")
-    h, m, s = F.expr("1"), None, None
     h = F.floor(hundredths / 360000)
     m = F.floor(hundredths / 6000) % 60
     s = (hundredths % 6000) / 100.0
@@ -209,14 +208,46 @@ def time_label(seconds: Column) -> Column:
 
 
 def size_label(n: Column) -> Column:
-    """Bytes as KiB with one decimal."""
-    return F.format_string("%.1f KiB", n / 1024.0)
+    """Bytes as KiB with one decimal; halves round to even."""
+    return F.format_string("%.1f KiB", F.bround(n / 1024.0, 1))
 
 
 def metric_label(x: Column) -> Column:
     return F.when(x.isNull(), "N/A").otherwise(F.format_string("%.3f", x.cast("double")))
 
 
+# How stages and items are written, words that end a stage, and its longest summary.
+STAGE, ITEM = r"(?i)\bStage\s+(\d+)/(\d+)\b", r"(?i)\bturn\s+(\d+)\s+of\s+(\d+)\b"
+DONE = (" complete", " finished", " removed")
+STAGES, SUMMARY_CHARS, UPDATE_SECONDS = 7, 150, 0.1
+
+
+def progress(line: Column) -> Column:
+    """struct(percent, label) of a line that reports a stage, else null.
+
+    A line that counts turns is that far in its stage, one that says that something is done has ended
+    it. Five or seven reported stages are seven in all.
+    """
+    number = lambda pattern, k: F.regexp_extract(line, pattern, k).try_cast("int")
+    stage, reported, item, items = number(STAGE, 1), number(STAGE, 2), number(ITEM, 1), number(ITEM, 2)
+    total = F.when(reported.isin(5, STAGES), STAGES).otherwise(reported)
+    ended = F.lit(False)
+    for word in DONE:
+        ended = ended | F.lower(line).contains(word)
+    share = F.when(items > 0, clamp(item / items)).when(items.isNull() & ended, 1.0).otherwise(0.0)
+    after = F.trim(F.when(F.instr(line, " - ") > 0, F.substring(line, F.instr(line, " - ") + 3, F.length(line))).otherwise(line))
+    short = F.when(F.length(after) > SUMMARY_CHARS, F.concat(F.rtrim(F.substring(after, 1, SUMMARY_CHARS - 3)), F.lit("..."))).otherwise(after)
+    label = F.format_string("Stage %d of %d: %s", stage, total, short)
+    percent = F.least(F.lit(100.0), (stage - 1 + share) / total * 100.0)
+    return F.when((stage > 0) & (total > 0), F.struct(percent.alias("percent"), label.alias("label")))
+
+
+def shows_progress(line: Column, elapsed: Column) -> Column:
+    """Whether a line is worth showing: the first and last of a count, else after UPDATE_SECONDS."""
+    item, items = F.regexp_extract(line, ITEM, 1).try_cast("int"), F.regexp_extract(line, ITEM, 2).try_cast("int")
+    return item.isNull() | (item <= 1) | (item >= items) | (elapsed >= UPDATE_SECONDS)
+
+
 def token_index(fraction: Column, tokens: Column) -> Column:
     """Where in a text of so many tokens a fraction lies; halves round to even."""
     return F.least(tokens, F.greatest(F.lit(0), F.bround(fraction * tokens).cast("int")))

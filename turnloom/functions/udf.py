@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import json
 
 from pyspark.sql import functions as F
 
@@ -19,3 +21,8 @@ def vectorized(kind: str):
         return call
 
     return wrap
+
+
+def digest(fields: dict) -> str:
+    """The SHA-256 of fields as JSON: names sorted, no spaces, UTF-8."""
+    return hashlib.sha256(json.dumps(fields, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

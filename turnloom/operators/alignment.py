@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import edits, names, spoken
 from ..functions import text as T
 from .spread import spread
+from . import intervals
 
 # Votes, the least similarity of texts without common times, and labels that say nothing here.
 EXACT, INEXACT, TIMED, SPEAKER = 4, 1, 3, 2
@@ -282,15 +283,27 @@ def first_turns(segments: DataFrame) -> DataFrame:
     return made.withColumns({c: nan(c) for c in ("start", "end", "model_confidence")})
 
 
-def nearest_turn(turns: DataFrame, moments: DataFrame) -> DataFrame:
-    """(project_id, moment_id, turn_id): the turn around each moment (most centred), else the nearest edge; ties: the earlier turn."""
-    t = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL").select("project_id", "turn_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    j = moments.join(t, "project_id")
-    inside = F.col("moment").between(F.col("s"), F.col("e"))
-    far = F.when(inside, F.abs(F.col("moment") - (F.col("s") + F.col("e")) / 2)).otherwise(F.least(F.abs(F.col("moment") - F.col("s")), F.abs(F.col("moment") - F.col("e"))))
-    return j.groupBy("project_id", "moment_id").agg(F.min_by("turn_id", F.struct((~inside).alias("o"), far.alias("f"), "turn_id")).alias("turn_id"))
-
+def nearest_turn(turns: DataFrame, moments: DataFrame, width: float = 600.0) -> DataFrame:
+    """(project_id, moment_id, turn_id): the turn around each moment (most centred), else the nearest edge; ties: the earlier turn.
 
-def pairwise_positions(turns: DataFrame) -> DataFrame:
-    """Turns with their place in their project, from 0."""
-    return turns.withColumn("idx", F.row_number().over(Window.partitionBy("project_id").orderBy("turn_id")) - 1)
+    Moments meet only the turns of their time bin (`width` seconds) and the edges next to them in sorted time.
+    """
+    t = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL").select("project_id", "turn_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    m = moments.select("project_id", "moment_id", "moment")
+    around = m.withColumn("bin", F.floor(F.col("moment") / width)).join(intervals.binned(t.where("e >= s"), "s", "e", width), ["project_id", "bin"]).where("moment BETWEEN s AND e")
+    middle = F.abs(F.col("moment") - (F.col("s") + F.col("e")) / 2)
+    held = around.groupBy("project_id", "moment_id").agg(F.min_by("turn_id", F.struct(middle.alias("f"), "turn_id")).alias("held"))
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    edges = t.select("project_id", F.explode(F.array("s", "e")).alias("at"), F.lit(0).alias("kind"), none("moment_id", m), "turn_id")
+    both = edges.unionAll(m.select("project_id", F.col("moment").alias("at"), F.lit(1).alias("kind"), "moment_id", none("turn_id", t)))
+    edge = F.when(F.col("kind") == 0, F.struct("at", "turn_id"))
+    back = F.when(F.col("kind") == 0, F.struct("at", (-F.col("turn_id")).alias("turn_id")))  # of equal edges the earlier turn is the greatest
+    rows = (Window.unboundedPreceding, 0)
+    up = Window.partitionBy("project_id").orderBy("at", "kind").rowsBetween(*rows)
+    down = Window.partitionBy("project_id").orderBy(F.col("at").desc(), "kind").rowsBetween(*rows)
+    near = both.withColumn("before", F.max(back).over(up)).withColumn("after", F.min(edge).over(down)).where("kind = 1")
+    one = F.struct((F.col("at") - F.col("before.at")).alias("far"), (-F.col("before.turn_id")).alias("turn_id"))
+    two = F.struct((F.col("after.at") - F.col("at")).alias("far"), F.col("after.turn_id").alias("turn_id"))
+    best = F.least(F.when(F.col("before").isNotNull(), one), F.when(F.col("after").isNotNull(), two))
+    out = near.join(held, ["project_id", "moment_id"], "left")
+    return out.select("project_id", "moment_id", F.coalesce("held", best["turn_id"]).alias("turn_id")).where("turn_id IS NOT NULL")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..functions import text as T
+from ..functions.spoken import normalized
+from ..functions.udf import digest, vectorized
 
 EVENT_TYPE, SOURCE = "grammar_preservation", "grammar_guard"
 LEARNERS = ("student", "learner", "pupil")
@@ -20,6 +23,20 @@ def ambiguous() -> Column:
     return any_
 
 
+@vectorized("string")
+def fingerprint(turn_id: pd.Series, found: pd.DataFrame) -> pd.Series:
+    """What tells a turn's evidence apart: its place and its words in comparable form."""
+    return pd.Series([
+        digest({
+            "turn_id": int(t), "operation": e.operation, "pattern": e.pattern,
+            "observed_fragment": normalized(e.baseline_fragment), "alternate_fragment": normalized(e.final_fragment),
+            "observed_token_span": [int(e.baseline_token_start), int(e.baseline_token_end)],
+            "anchors": [normalized(e.left_anchor), normalized(e.right_anchor)],
+        })
+        for t, e in zip(turn_id, found.itertuples(), strict=True)
+    ], dtype="object")
+
+
 def wanted(turns: DataFrame) -> DataFrame:
     """(project_id, turn_id, fingerprint, evidence, variants): distinct evidence of each turn.
 
@@ -32,9 +49,7 @@ def wanted(turns: DataFrame) -> DataFrame:
         F.expr("stack(4, 'quality_target', quality_target_text, 'model', model_text, 'chatgpt', chatgpt_text, 'zoom', zoom_text) AS (source, other)"),
     ).where(F.trim(T.text("other")) != "")
     e = long.select("project_id", "turn_id", "source", F.explode(grammar.grammar_evidence(F.col("final_text"), F.col("other"))).alias("e"))
-    place = ("operation", "pattern", "baseline_fragment", "final_fragment", "baseline_token_start", "baseline_token_end", "left_anchor", "right_anchor")
-    mark = F.sha2(F.concat_ws("\u001f", F.col("turn_id"), *(F.col(f"e.{c}") for c in place)), 256)
-    e = e.withColumn("fingerprint", mark)
+    e = e.withColumn("fingerprint", fingerprint(F.col("turn_id"), F.col("e")))
     return e.groupBy("project_id", "turn_id", "fingerprint").agg(
         F.min_by("e", F.struct("source", "e.final_token_start")).alias("evidence"),
         F.array_sort(F.collect_set(F.struct("source", F.col("e.final_fragment").alias("fragment")))).alias("variants"),
@@ -64,9 +79,12 @@ def stale(known: DataFrame, found: DataFrame) -> DataFrame:
     return known.join(found, ["project_id", "turn_id", "fingerprint"], "left_anti")
 
 
-def confirm(known: DataFrame, event_ids: list[int], decision: str) -> DataFrame:
-    hit = F.col("event_id").isin(*event_ids)
-    return known.withColumn("reviewed", F.col("reviewed") | hit).withColumn("decision", F.when(hit, decision).otherwise(F.col("decision")))
+def confirm(known: DataFrame, chosen: DataFrame, decision: str) -> DataFrame:
+    """Known evidence, that of `chosen` (project_id, event_id) reviewed with a decision; ids count within their project."""
+    hit = chosen.select("project_id", "event_id").distinct().withColumn("hit_", F.lit(True))
+    out = known.join(hit, ["project_id", "event_id"], "left").withColumn("hit_", F.coalesce("hit_", F.lit(False)))
+    out = out.withColumn("reviewed", F.col("reviewed") | F.col("hit_")).withColumn("decision", F.when(F.col("hit_"), decision).otherwise(F.col("decision")))
+    return out.select(*known.columns)
 
 
 def summary(found: DataFrame, most: int = 3) -> DataFrame:

@@ -46,7 +46,7 @@ def mark_overlaps(turns: DataFrame) -> DataFrame:
     return out.withColumn("overlapping_speech", F.coalesce("hit_", F.lit(False))).drop("hit_")
 
 
-def delay_owners(turns: DataFrame, delays: DataFrame) -> DataFrame:
+def delay_owners(turns: DataFrame, delays: DataFrame, width: float = 600.0) -> DataFrame:
     """Which turn each delay belongs to.
 
     turns: project_id, turn_id, start, end, label (normalized, '' if unknown); delays: project_id,
@@ -54,25 +54,36 @@ def delay_owners(turns: DataFrame, delays: DataFrame) -> DataFrame:
     previous_turn_id, following_turn_id. In this order: the first boundary between different known
     speakers inside the delay makes a response gap; the shortest (then most centred) turn around the
     delay's middle owns a pause; else the turn before owns it, unless speakers change or there is none.
+    Delays meet only the turns of their time bins (`width` seconds) and their neighbours in sorted time.
     """
     w = Window.partitionBy("project_id").orderBy("start", "end", "turn_id")
     timed = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL AND `end` >= `start`").select("project_id", "turn_id", "start", "end", "label")
     t = timed.withColumn("rn", F.row_number().over(w))
-    nxt = {c: F.lead(c).over(w).alias(f"n_{c}") for c in ("turn_id", "start", "label")}
-    # All that a delay may need of a project's turns, in one pass and one join.
-    t = t.select("*", *nxt.values())
+    t = t.select("*", *(F.lead(c).over(w).alias(f"n_{c}") for c in ("turn_id", "start", "label")))
     d = delays.select("project_id", "delay_id", F.col("start").alias("ds"), F.col("end").alias("de")).withColumn("mid", (F.col("ds") + F.col("de")) / 2)
-    j = d.join(t, "project_id", "left")
-    edge = (F.col("end") + F.col("n_start")) / 2
-    change = (F.col("end") <= F.col("n_start")) & edge.between(F.col("ds"), F.col("de")) & (F.col("label") != "") & (F.col("n_label") != "") & (F.col("label") != F.col("n_label"))
-    around = F.col("mid").between(F.col("start"), F.col("end"))
-    this = F.struct("turn_id", "label")
-    j = j.groupBy("project_id", "delay_id", "ds", "de").agg(
-        F.min_by(F.struct(F.col("turn_id").alias("p"), F.col("n_turn_id").alias("f")), F.when(change, F.col("rn"))).alias("r1"),
-        F.min_by("turn_id", F.when(around, F.struct(F.col("end") - F.col("start"), F.abs(F.col("mid") - (F.col("start") + F.col("end")) / 2), F.col("rn")))).alias("r2"),
-        F.max_by(this, F.when(F.col("end") <= F.col("mid"), F.col("rn"))).alias("prev"),
-        F.min_by(this, F.when(F.col("start") >= F.col("mid"), F.col("rn"))).alias("next"),
-    )
+    key = ["project_id", "bin"]
+    change = (F.col("end") <= F.col("n_start")) & (F.col("label") != "") & (F.col("n_label") != "") & (F.col("label") != F.col("n_label"))
+    edges = t.where(change).withColumn("edge", (F.col("end") + F.col("n_start")) / 2).withColumn("bin", F.floor(F.col("edge") / width))
+    inside = binned(d, "ds", "de", width).join(edges, key).where("edge BETWEEN ds AND de")
+    r1 = inside.groupBy("project_id", "delay_id").agg(F.min_by(F.struct(F.col("turn_id").alias("p"), F.col("n_turn_id").alias("f")), "rn").alias("r1"))
+    around = d.withColumn("bin", F.floor(F.col("mid") / width)).join(binned(t, "start", "end", width), key).where("mid BETWEEN `start` AND `end`")
+    off = F.abs(F.col("mid") - (F.col("start") + F.col("end")) / 2)
+    r2 = around.groupBy("project_id", "delay_id").agg(F.min_by("turn_id", F.struct(F.col("end") - F.col("start"), off, F.col("rn"))).alias("r2"))
+    # The last turn that ends by the middle and the first that starts from it on: two sweeps over sorted times.
+    this = F.struct("rn", "turn_id", "label")
+    none = F.lit(None).cast(t.select(this.alias("x")).schema["x"].dataType)
+    q = d.select("project_id", F.col("mid").alias("at"), F.lit(1).alias("kind"), none.alias("x"), "delay_id", "ds", "de")
+    blank = [F.lit(None).cast(q.schema[c].dataType).alias(c) for c in ("delay_id", "ds", "de")]
+
+    def swept(time: str) -> DataFrame:
+        return q.unionAll(t.select("project_id", F.col(time).alias("at"), F.lit(0).alias("kind"), this.alias("x"), *blank))
+
+    up = Window.partitionBy("project_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("project_id").orderBy(F.col("at").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    j = swept("end").withColumn("prev", F.max("x").over(up)).where("kind = 1").select("project_id", "delay_id", "ds", "de", "prev")
+    after = swept("start").withColumn("next", F.min("x").over(down)).where("kind = 1").select("project_id", "delay_id", "next")
+    for more in (after, r1, r2):
+        j = j.join(more, ["project_id", "delay_id"], "left")
     p, n = F.coalesce("prev.label", F.lit("")), F.coalesce("next.label", F.lit(""))
     gap = F.col("prev.turn_id").isNull() | ((p != "") & (n != "") & (p != n))
     kind = F.when(F.col("r1").isNotNull(), "speaker_boundary").when(F.col("r2").isNotNull(), "inside_turn").otherwise("between_turns")
@@ -133,15 +144,52 @@ def silent_runs(framed: DataFrame, threshold: float = -45.0, least: float = 0.3,
     )
 
 
-def signal_levels(signals: DataFrame, block: float = 0.05) -> DataFrame:
-    """(audio_id, interval_index, volume_dbfs, noise_snr_db): level of the interval, and above its quietest tenth of blocks."""
-    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x) / F.size("samples")
-    blocks = frames(signals, block).where("dbfs IS NOT NULL").withColumn("power", F.pow(F.lit(10.0), F.col("dbfs") / 20))
-    w = Window.partitionBy("audio_id", "interval_index")
-    ranked = blocks.withColumn("r", F.row_number().over(w.orderBy("power", "frame"))).withColumn("n", F.count("*").over(w))
-    noise = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10))).groupBy("audio_id", "interval_index").agg(F.avg("power").alias("noise"))
-    out = signals.where(F.size("samples") > 0).withColumn("rms", F.sqrt(total)).join(noise, ["audio_id", "interval_index"], "left")
-    return out.select("audio_id", "interval_index", dbfs(F.col("rms")).alias("volume_dbfs"), F.when((F.col("noise") > 0) & (F.col("rms") > 0), 20 * F.log10(F.col("rms") / F.col("noise"))).alias("noise_snr_db"))
+def signal_levels(signals: DataFrame, block: float = 0.05, least_block: int = 64) -> DataFrame:
+    """(audio_id, interval_index, volume_dbfs, noise_snr_db): level of the interval, and above its quietest tenth of blocks.
+
+    With a column `unit`, what one step of the recording's integers is, levels below it count as it.
+    """
+    n = F.size("samples")
+    size = F.greatest(F.lit(least_block), F.least(n, F.floor(F.col("rate") * block).cast("int")))
+    unit = F.col("unit") if "unit" in signals.columns else F.lit(0.0)
+
+    def rms(samples):
+        return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda s, x: s + x * x) / F.size(samples))
+
+    out = signals.where(n > 0).withColumn("rms", rms(F.col("samples"))).withColumn("size_", size).withColumn("unit_", unit)
+    starts = F.sequence(F.lit(1), n, F.col("size_"))
+    loud = F.array_sort(F.filter(F.transform(starts, lambda i: rms(F.slice("samples", i, F.col("size_")))), lambda x: x > 0))
+    out = out.withColumn("blocks", loud).withColumn("few", F.greatest(F.lit(1), F.floor(F.size("blocks") / 10).cast("int")))
+    noise = F.aggregate(F.slice("blocks", 1, F.col("few")), F.lit(0.0), lambda s, x: s + x) / F.col("few")
+    level, floor = F.greatest("rms", "unit_"), F.greatest(noise, F.col("unit_"))
+    return out.select(
+        "audio_id", "interval_index", dbfs(level).alias("volume_dbfs"), F.when((F.size("blocks") > 0) & (level > 0), 20 * F.log10(level / floor)).alias("noise_snr_db")
+    )
+
+
+def turn_levels(turns: DataFrame, audio: DataFrame, thin) -> DataFrame:
+    """Turns with `volume_dbfs` and `noise_snr_db` measured in their project's recording.
+
+    audio: project_id, rate, samples and perhaps unit; thin: bounds the samples that are looked at.
+    Turns without a time are measured over the whole recording, turns without a recording not at all.
+    """
+    total = F.size("samples")
+    a = F.floor(F.greatest(F.lit(0.0), F.coalesce("start", F.lit(0.0))) * F.col("rate")).cast("int")
+    b = F.least(total, F.coalesce(F.floor(F.greatest(F.coalesce("start", F.lit(0.0)), F.col("end")) * F.col("rate")).cast("int"), total))
+    part = F.slice("samples", a + 1, F.greatest(F.lit(0), b - a))
+    s = turns.select("project_id", "turn_id", "start", "end").join(audio, "project_id")
+    s = s.select(F.col("project_id").alias("audio_id"), F.col("turn_id").alias("interval_index"), "rate", part.alias("samples"), *(["unit"] if "unit" in audio.columns else []))
+    found = signal_levels(thin(s)).select(F.col("audio_id").alias("project_id"), F.col("interval_index").alias("turn_id"), "volume_dbfs", "noise_snr_db")
+    return turns.drop("volume_dbfs", "noise_snr_db").join(found, ["project_id", "turn_id"], "left")
+
+
+def detected_delays(audio: DataFrame, threshold: float = -45.0, least: float = 0.3) -> DataFrame:
+    """(project_id, delay_id, start, end): silences of each project's recording, in order of time."""
+    none = F.lit(None).cast("double")
+    whole = audio.select(F.col("project_id").alias("audio_id"), F.lit(0).alias("interval_index"), none.alias("start"), none.alias("end"), "rate", "samples")
+    runs = silent_runs(frames(whole), threshold, least)
+    nth = F.row_number().over(Window.partitionBy("audio_id").orderBy("start_seconds"))
+    return runs.select(F.col("audio_id").alias("project_id"), nth.alias("delay_id"), F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"))
 
 
 def labels(turns: DataFrame, speaker: Column) -> DataFrame:

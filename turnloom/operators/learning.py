@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits
 from ..functions import text as T
+from ..functions.udf import digest, vectorized
 from . import evaluation, quality
 
 # The record's version and target, least rows, the cap, and the shape of the models.
@@ -21,9 +23,26 @@ SCHEMA_VERSION, LABEL_TARGET = 4, "initial_transcript_wer"
 LEAST_ROWS, MOST_ROWS = 9, 5_000
 CLASSES = 3
 MODELS = ("Logistic Regression", "Support Vector Machine", "Random Forest", "Weighted Ensemble")
-EXAMPLE_FIELDS = (
-    "learner_id", "session_number", "title", "turn_id", "start", "end", "speaker_raw", "zoom_text", "chatgpt_text", "model_text", "quality_target_text", "gold_text",
-)
+#: What tells a record apart, by the names that it is hashed under, and their columns and types.
+EXAMPLE_FIELDS = {
+    "learner_id": ("learner_id", "string"), "session_number": ("session_number", "int"), "project_title": ("title", "string"), "turn_id": ("turn_id", "int"),
+    "start": ("start", "double"), "end": ("end", "double"), "speaker_raw": ("speaker_raw", "string"), "zoom_text": ("zoom_text", "string"),
+    "chatgpt_text": ("chatgpt_text", "string"), "model_text": ("model_text", "string"), "quality_target_text": ("quality_target_text", "string"),
+    "gold_text": ("gold_text", "string"),
+}
+
+
+@vectorized("string")
+def example_id(fields: pd.DataFrame) -> pd.Series:
+    """The digest of a record's fields; missing numbers are null."""
+    kinds = {name: kind for name, (_, kind) in EXAMPLE_FIELDS.items()}
+
+    def held(name: str, value):
+        if value is None or value != value:
+            return None
+        return {"string": str, "int": int, "double": float}[kinds[name]](value)
+
+    return pd.Series([digest({n: held(n, v) for n, v in r.items()}) for r in fields.to_dict("records")], dtype="object")
 
 
 def training_rows(turns: DataFrame, projects: DataFrame) -> DataFrame:
@@ -31,11 +50,11 @@ def training_rows(turns: DataFrame, projects: DataFrame) -> DataFrame:
     t = quality.features(quality.freeze_target(turns)).where((F.trim(T.text("gold_text")) != "") & (F.col("quality_target_text") != ""))
     meta = projects.select("project_id", *(c for c in ("learner_id", "session_number", "title") if c in projects.columns))
     t = t.join(meta, "project_id", "left").withColumn("target_wer", edits.word_error_rate(F.col("gold_text"), F.col("quality_target_text")))
-    key = F.to_json(F.struct(*(F.col(c) for c in sorted(EXAMPLE_FIELDS) if c in t.columns)), {"ignoreNullFields": "false"})
+    key = F.struct(*((F.col(c) if c in t.columns else F.lit(None)).cast(kind).alias(name) for name, (c, kind) in EXAMPLE_FIELDS.items()))
     return t.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(LABEL_TARGET).alias("label_target"), F.array(*(F.lit(n) for n in quality.FEATURES)).alias("feature_names"),
         F.array(*(F.col(f"features.{n}") for n in quality.FEATURES)).alias("features"), T.quality_class(F.col("target_wer")).alias("label"),
-        "target_wer", F.sha2(key, 256).alias("example_id"),
+        "target_wer", example_id(key).alias("example_id"),
     )
 
 
@@ -144,14 +163,20 @@ def fit(rows: DataFrame, trees: int = 31, iterations: int = 50) -> Fitted:
     means, deviations = scaler(rows)
     weights = class_weights(rows).select(F.col("label"), F.col("weight"))
     data = rows.join(F.broadcast(weights), "label").select(F.col("label").cast("double").alias("label"), "weight", array_to_vector(scaled(F.col("features"), means, deviations)).alias("x_")).coalesce(1).persist()
+    try:
+        return Fitted(means, deviations, fitted_models(data, trees, iterations))
+    finally:
+        data.unpersist()
+
+
+def fitted_models(data: DataFrame, trees: int, iterations: int) -> dict:
     common = {"featuresCol": "x_", "labelCol": "label", "weightCol": "weight"}
     svm = LinearSVC(maxIter=iterations, regParam=0.01, **common)
-    models = {
+    return {
         "lr": LogisticRegression(family="multinomial", regParam=0.005, maxIter=iterations, standardization=False, **common).fit(data),
         "svm": OneVsRest(classifier=svm, featuresCol="x_", labelCol="label", weightCol="weight").fit(data),
         "rf": RandomForestClassifier(numTrees=trees, maxDepth=5, minInstancesPerNode=3, featureSubsetStrategy="0.6", seed=9127, **common).fit(data),
     }
-    return Fitted(means, deviations, models)
 
 
 def scored(fitted: Fitted, rows: DataFrame) -> DataFrame:
@@ -182,16 +207,16 @@ def compare(rows: DataFrame, trees: int = 21, iterations: int = 50) -> tuple[Dat
         train, test = s.where("NOT held").drop("held"), s.where("held").drop("held")
         if train.select("label").distinct().count() < 2 or test.isEmpty():
             train = test = rows
-        parts.append(scored(fit(train, trees, iterations), test).persist())
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        parts += [tuple(x) for x in scored(fit(train, trees, iterations), test).collect()]  # four rows
+        s.unpersist()
+    every = rows.sparkSession.createDataFrame(parts, "model string, accuracy double, macro_f1 double, balanced_accuracy double, selection double")
     mean = every.groupBy("model").agg(*(F.avg(c).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy", "selection")))
     found = {x["model"]: x.asDict() for x in mean.collect()}  # four rows
     votes = {k: max(0.05, found[m]["selection"]) ** 2 for m, k in zip(MODELS, ("lr", "svm", "rf"), strict=False)}
     best = max(MODELS, key=lambda m: (found[m]["selection"], found[m]["macro_f1"], found[m]["accuracy"]))
     fitted = fit(rows, iterations=iterations)
     fitted.votes = votes
+    rows.unpersist()
     table = rows.sparkSession.createDataFrame(
         [(m, *(float(found[m][c]) for c in ("accuracy", "macro_f1", "balanced_accuracy", "selection")), m == best) for m in MODELS],
         "model string, accuracy double, macro_f1 double, balanced_accuracy double, selection double, selected boolean",
@@ -233,7 +258,3 @@ def load(path: str) -> Fitted:
     kinds = {"lr": LogisticRegressionModel, "svm": OneVsRestModel, "rf": RandomForestClassificationModel}
     return Fitted(meta["means"], meta["scales"], {k: c.load(f"{path}/{k}") for k, c in kinds.items()}, meta["votes"])
 
-
-def weighted_error(rows: DataFrame) -> DataFrame:
-    """Mean target error per class, for a look at the training data."""
-    return rows.groupBy("label").agg(F.count("*").alias("n"), evaluation.rate0(F.sum("target_wer"), F.count("*")).alias("mean_wer"))

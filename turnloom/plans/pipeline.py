@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as T
 from ..operators import alignment, evaluation, evidence, identity, intervals, learning, quality, turns as turn_ops
+from ..sources import audio
 
 
 @dataclass
 class Analysis:
-    """Tables of analysed projects."""
+    """Tables of analysed projects. Some are held in memory until `release`."""
 
     turns: DataFrame
     events: DataFrame
     evidence: DataFrame
     metrics: DataFrame
     by_source: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for x in self.held:
+            x.unpersist()
 
 
 def analyse(turns: DataFrame, events: DataFrame, projects: DataFrame, predicted: str | None = None, known: DataFrame | None = None) -> Analysis:
@@ -28,7 +34,7 @@ def analyse(turns: DataFrame, events: DataFrame, projects: DataFrame, predicted:
 
     Open pauses mark hesitation; open grammar evidence on a learner's turn asks for a review.
     """
-    t = quality.score(quality.freeze_target(schemas.turns(turns) if predicted is None else turns), predicted).drop("features").persist()
+    t = first = quality.score(quality.freeze_target(schemas.turns(turns) if predicted is None else turns), predicted).drop("features").persist()
     found = evidence.wanted(t)
     if known is not None:
         found = evidence.sync(known, found)
@@ -39,14 +45,16 @@ def analyse(turns: DataFrame, events: DataFrame, projects: DataFrame, predicted:
     t = t.join(paused, ["project_id", "turn_id"], "left").join(asked, ["project_id", "turn_id"], "left")
     t = t.withColumn("hesitation_or_repetition", F.col("hesitation_or_repetition") | F.coalesce("p_", F.lit(False)))
     t = t.withColumn("manual_review", F.col("manual_review") | F.coalesce("g_", F.lit(False))).drop("p_", "g_")
-    return Analysis(t, events, found, evaluation.evaluate(t), evaluation.by_source(t))
+    return Analysis(t, events, found, evaluation.evaluate(t), evaluation.by_source(t), (first, found))
 
 
-def transcribe(segments: DataFrame, projects: DataFrame, delays: DataFrame | None = None) -> Analysis:
+def transcribe(segments: DataFrame, projects: DataFrame, delays: DataFrame | None = None, recordings: DataFrame | None = None) -> Analysis:
     """From all sources' segments to analysed turns.
 
     segments: schemas.SEGMENTS with source 'model' and any of zoom, chatgpt, gold. projects:
     project_id, conversation_type, learner_id, speaker_mapping. delays: project_id, delay_id, start, end.
+    recordings: project_id, rate, samples and perhaps unit (see sources.audio); with them turns get
+    their levels, and silences are the delays if none are given.
     """
     first = schemas.turns(intervals.mark_overlaps(alignment.first_turns(segments)))
     aligned = alignment.align_all(first, segments)
@@ -58,12 +66,17 @@ def transcribe(segments: DataFrame, projects: DataFrame, delays: DataFrame | Non
     t = schemas.turns(t.drop("speaker_raw", "speaker", "gold_speaker").join(who, ["project_id", "turn_id"]))
     merged, _ = turn_ops.consolidate(t.withColumn("label_n_", T.normalized(F.col("speaker"))), F.col("label_n_"))
     merged = schemas.turns(intervals.mark_overlaps(merged.drop("label_n_"))).persist()
+    if recordings is not None:
+        merged = schemas.turns(intervals.turn_levels(merged, recordings, audio.thinned)).persist()
+        delays = delays if delays is not None else intervals.detected_delays(recordings)
     spark = segments.sparkSession
     events = spark.createDataFrame([], schemas.EVENTS)
     if delays is not None:
         named = F.coalesce(F.nullif("speaker", F.lit("")), F.col("speaker_raw"))
         events = turn_ops.delay_events(intervals.labels(merged.withColumn("who_", T.normalized(named)), F.col("who_")), delays)
-    return analyse(merged, events.persist(), projects)
+    out = analyse(merged, events.persist(), projects)
+    out.held += (merged, events)
+    return out
 
 
 def train(turns: DataFrame, projects: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, learning.Fitted]:

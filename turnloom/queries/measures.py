@@ -246,11 +246,13 @@ def a8_align(spark, sf):
     return alignment.align_source(_anchored(spark, sf), _segments(spark, sf))
 
 
-@query(f"""SELECT CAST(conv_id AS VARCHAR) AS project_id, CAST(sum(len({words_sql("text")})) AS BIGINT) AS words FROM conversations GROUP BY conv_id""")
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS project_id, md5(string_agg(array_to_string(w, ' '), ' ' ORDER BY turn)) AS words_md5
+  FROM (SELECT conv_id, turn, {words_sql("text")} AS w FROM conversations) WHERE len(w) > 0 GROUP BY conv_id""")
 def a8_words_kept(spark, sf):
-    """Every word of a source goes to exactly one turn."""
-    a = alignment.align_source(_anchored(spark, sf), _segments(spark, sf))
-    return a.groupBy("project_id").agg(F.sum(F.size(F.filter(F.split("text", " "), lambda x: x != "")).cast("long")).alias("words"))
+    """Every word of a source goes to exactly one turn, in order."""
+    a = alignment.align_source(_anchored(spark, sf), _segments(spark, sf)).where("trim(text) <> ''")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_id", "text"))), lambda x: x.text), " ")
+    return a.groupBy("project_id").agg(F.md5(said.cast("binary")).alias("words_md5"))
 
 
 @query()

@@ -176,9 +176,25 @@ def f36_quality_class(spark, sf):
     return table(spark, sf, "events").groupBy(T.quality_class(F.col("value") / 100).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_chars, format('{:.1f} KiB', n_chars / 1024.0) AS size FROM (SELECT DISTINCT n_chars FROM documents WHERE n_chars % 1024 = 0 OR n_chars % 512 = 0)""")
+@query("""SELECT doc_id, format('{:.1f} KiB', n_chars / 1024.0) AS size FROM documents""")
 def f39_size_label(spark, sf):
-    return table(spark, sf, "documents").where("n_chars % 512 = 0").select("n_chars").distinct().select("n_chars", T.size_label(F.col("n_chars")).alias("size"))
+    return table(spark, sf, "documents").select("doc_id", T.size_label(F.col("n_chars")).alias("size"))
+
+
+_LINE = """'Stage ' || (event_id % 9) || '/' || CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 7 ELSE 8 END || ' - ' || CASE event_id % 4 WHEN 0 THEN 'all finished' WHEN 1 THEN 'turn ' || (event_id % 11) || ' of 10' ELSE 'working - on it' END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 9 AS stage, CASE WHEN event_id % 3 < 2 THEN 7 ELSE 8 END AS total, {_LINE} AS line,
+    CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN least(1.0, (event_id % 11) / 10) ELSE 0.0 END AS share FROM events)
+  SELECT event_id, CASE WHEN stage > 0 THEN round(least(CAST(100 AS DOUBLE), (stage - 1 + CAST(share AS DOUBLE)) / total * 100), 9) END AS percent,
+    CASE WHEN stage > 0 THEN 'Stage ' || stage || ' of ' || total || ': ' || substr(line, 13) END AS label,
+    event_id % 4 <> 1 OR event_id % 11 <= 1 OR event_id % 11 >= 10 OR value >= 0.1 AS shown FROM e JOIN (SELECT event_id, value FROM events) USING (event_id)""")
+def f42_progress(spark, sf):
+    e = F.col("event_id")
+    what = F.when(e % 4 == 0, "all finished").when(e % 4 == 1, F.format_string("turn %d of 10", e % 11)).otherwise("working - on it")
+    line = F.concat(F.format_string("Stage %d/%d - ", e % 9, F.when(e % 3 == 0, 5).when(e % 3 == 1, 7).otherwise(8)), what)
+    p = T.progress(line)
+    return table(spark, sf, "events").select("event_id", F.round(p["percent"], 9).alias("percent"), p["label"].alias("label"), T.shows_progress(line, F.col("value")).alias("shown"))
 
 
 @query("""SELECT event_id, CASE WHEN (value - 10) - greatest(0.0, value - 50) > 0.01 THEN greatest(0.0, value - 50) END AS "start",
@@ -206,9 +222,9 @@ def s5_clean_markup(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(T.clean_markup(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-@query("""SELECT conv_id, turn, role AS speaker, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_md5 FROM conversations WHERE text NOT LIKE '%<%' AND trim(text) <> ''""")
+@query("""SELECT conv_id, turn, role AS speaker, md5(trim(regexp_replace(replace(regexp_replace(text, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g'))) AS text_md5 FROM conversations WHERE trim(text) <> ''""")
 def s6_voice(spark, sf):
-    c = table(spark, sf, "conversations").where("text NOT LIKE '%<%' AND trim(text) <> ''")
+    c = table(spark, sf, "conversations").where("trim(text) <> ''")
     v = T.voice(F.concat(F.lit("<v.x "), F.col("role"), F.lit(">"), F.col("text"), F.lit("</v>")))
     return c.withColumn("v", v).select("conv_id", "turn", "v.speaker", F.md5(F.col("v.text").cast("binary")).alias("text_md5"))
 
@@ -220,10 +236,10 @@ def s7_speaker_prefix(spark, sf):
     return c.withColumn("p", p).select("conv_id", "turn", "p.speaker", F.md5(F.col("p.text").cast("binary")).alias("text_md5"))
 
 
-@query("""SELECT doc_id, CAST(length(CASE WHEN length(t) > 32767 THEN substr(t, 1, 32767 - 24) || ' … [truncated for Excel]' ELSE t END) AS BIGINT) AS chars
+@query("""SELECT doc_id, md5(CASE WHEN length(t) > 32767 THEN substr(t, 1, 32767 - 24) || ' … [truncated for Excel]' ELSE t END) AS cell_md5
   FROM (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS t FROM documents)""")
 def k3_cell_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(files.cell_text("text")).cast("long").alias("chars"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(files.cell_text("text").cast("binary")).alias("cell_md5"))
 
 
 @query()
@@ -232,7 +248,9 @@ def d1_grammar_evidence(spark, sf):
     return t.select("project_id", "turn_id", "e.*").drop("rationale")
 
 
-@query("""SELECT event_id, CASE WHEN value >= 90 THEN '--:--' ELSE lpad(CAST(CAST(floor(value * 60) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.00' END AS label FROM events WHERE value < 60 OR value >= 90""")
+@query("""WITH e AS (SELECT event_id, value, CAST(floor(value * 60) AS BIGINT) AS s FROM events)
+  SELECT event_id, CASE WHEN value >= 90 THEN '--:--' ELSE CASE WHEN s >= 3600 THEN lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' ELSE '' END
+    || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || '.00' END AS label FROM e""")
 def v6_time_label(spark, sf):
-    e = table(spark, sf, "events").where("value < 60 OR value >= 90")
+    e = table(spark, sf, "events")
     return e.select("event_id", T.time_label(F.when(F.col("value") < 90, F.floor(F.col("value") * 60).cast("double"))).alias("label"))

@@ -56,13 +56,13 @@ def a3_source_chunks(spark, sf):
     return alignment.source_chunks(t).select("project_id", F.col("seg_idx").alias("turn_id"), "chunk", "text", "middle")
 
 
-@query(W + """, m AS (SELECT project_id, event_id AS moment_id, "start" + 1000 AS moment FROM intervals WHERE event_id % 7 = 0),
+@query(W + """, m AS (SELECT project_id, event_id AS moment_id, "start" + 1000 AS moment FROM intervals),
   j AS (SELECT m.project_id, moment_id, turn_id, moment BETWEEN "start" AND "end" AS inside,
     CASE WHEN moment BETWEEN "start" AND "end" THEN abs(moment - ("start" + "end") / 2) ELSE least(abs(moment - "start"), abs(moment - "end")) END AS far FROM m JOIN intervals t ON t.project_id = m.project_id)
   SELECT project_id, moment_id, turn_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id, moment_id ORDER BY NOT inside, far, turn_id) AS rn FROM j) WHERE rn = 1""")
 def a5_nearest_turn(spark, sf):
     t = intervals(spark, sf)
-    m = t.where("event_id % 7 = 0").select("project_id", F.col("event_id").alias("moment_id"), (F.col("start") + 1000).alias("moment"))
+    m = t.select("project_id", F.col("event_id").alias("moment_id"), (F.col("start") + 1000).alias("moment"))
     return alignment.nearest_turn(t, m)
 
 
@@ -163,7 +163,7 @@ def g17_dbfs(spark, sf):
   v AS (SELECT CAST(vec_id AS VARCHAR) AS audio_id, sqrt(list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), lambda a, b: a + b) / 64) AS rms FROM embeddings)
   SELECT audio_id, round(20 * log10(rms), 7) AS volume_dbfs, round(20 * log10(rms) - quiet, 7) AS noise_snr_db FROM v JOIN n USING (audio_id)""")
 def g16_signal_levels(spark, sf):
-    levels = I.signal_levels(signals(spark, sf), 0.02)
+    levels = I.signal_levels(signals(spark, sf), 0.02, 1)
     return levels.select("audio_id", F.round("volume_dbfs", 7).alias("volume_dbfs"), F.round("noise_snr_db", 7).alias("noise_snr_db"))
 
 

@@ -34,8 +34,14 @@ def samples(data: bytes, mono: bool = True) -> tuple[np.ndarray, int]:
     return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate
 
 
+def unit(data: bytes) -> float:
+    """What one step of a file's integers is, in units of full scale."""
+    with wave.open(io.BytesIO(data)) as f:
+        return 2.0 ** (1 - 8 * f.getsampwidth())
+
+
 def read(spark: SparkSession, path: str, intervals: DataFrame | None = None, mono: bool = True) -> DataFrame:
-    """(audio_id, interval_index, start, end, rate, samples) of WAV files.
+    """(audio_id, interval_index, start, end, rate, unit, samples) of WAV files.
 
     intervals: audio_id, interval_index, start, end; without it each file is one interval. A file is
     decoded once for all of its intervals.
@@ -47,14 +53,14 @@ def read(spark: SparkSession, path: str, intervals: DataFrame | None = None, mon
             out = []
             for r in batch.itertuples():
                 x, rate = samples(bytes(r.content), mono)
-                out.append((r.audio_id, rate, x))
-            yield pd.DataFrame(out, columns=["audio_id", "rate", "samples"])
+                out.append((r.audio_id, rate, unit(bytes(r.content)), x))
+            yield pd.DataFrame(out, columns=["audio_id", "rate", "unit", "samples"])
 
-    audio = files.mapInPandas(step, "audio_id string, rate int, samples array<double>")
+    audio = files.mapInPandas(step, "audio_id string, rate int, unit double, samples array<double>")
     if intervals is None:
         none = F.lit(None).cast("double")
-        return audio.select("audio_id", F.lit(0).alias("interval_index"), none.alias("start"), none.alias("end"), "rate", "samples")
-    return audio.join(intervals, "audio_id").select("audio_id", "interval_index", "start", "end", "rate", "samples")
+        return audio.select("audio_id", F.lit(0).alias("interval_index"), none.alias("start"), none.alias("end"), "rate", "unit", "samples")
+    return audio.join(intervals, "audio_id").select("audio_id", "interval_index", "start", "end", "rate", "unit", "samples")
 
 
 def thinned(signals: DataFrame) -> DataFrame:

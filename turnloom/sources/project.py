@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +40,38 @@ def problems(raw: object) -> list[str]:
     return found
 
 
+def parsed(text: str) -> tuple[object, list[str]]:
+    """A document's object, and what keeps it from being a project."""
+    try:
+        raw = json.loads(text.lstrip("\ufeff"))
+    except json.JSONDecodeError as e:
+        return None, [f"not JSON: {e}"]
+    return raw, problems(raw)
+
+
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of project documents below a path; ValueError names the first document that is not one."""
+    """The tables of project documents below a path; ValueError names a document that is not one."""
     files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    out: dict[str, list] = {k: [] for k in PARTS}
-    for r in files.toLocalIterator():  # a document is one conversation
-        try:
-            raw = json.loads(r["text"].lstrip("﻿"))
-        except json.JSONDecodeError as e:
-            raise ValueError(f"{r['path']}: not JSON: {e}") from e
-        if wrong := problems(raw):
-            raise ValueError(f"{r['path']}: {'; '.join(wrong)}")
-        key = raw["metadata"].get("project_id") or r["path"]
-        for part, schema in PARTS.items():
-            rows = [raw["metadata"]] if part == "metadata" else raw.get(part, [])
-            out[part] += [tuple(key if n == "project_id" else x.get(n) for n in schema.names) for x in rows]
-    return {k: spark.createDataFrame(v, PARTS[k], verifySchema=False) for k, v in out.items()}
+
+    def wrong(batches):
+        for batch in batches:
+            found = [(p, "; ".join(w)) for p, t in zip(batch["path"], batch["text"], strict=True) if (w := parsed(t)[1])]
+            yield pd.DataFrame(found, columns=["path", "problems"])
+
+    bad = files.mapInPandas(wrong, "path string, problems string").orderBy("path").first()
+    if bad:
+        raise ValueError(f"{bad['path']}: {bad['problems']}")
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for p, t in zip(batch["path"], batch["text"], strict=True):
+                raw = parsed(t)[0]
+                key = raw["metadata"].get("project_id") or p
+                for part in PARTS:
+                    own = [raw["metadata"]] if part == "metadata" else raw.get(part, [])
+                    out += [(part, json.dumps({**x, "project_id": key}, ensure_ascii=False)) for x in own]
+            yield pd.DataFrame(out, columns=["part", "row"])
+
+    every = files.mapInPandas(rows, "part string, row string")
+    return {part: every.where(F.col("part") == part).select(F.from_json("row", schema).alias("r")).select("r.*") for part, schema in PARTS.items()}

@@ -215,10 +215,13 @@ class Models:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fold, toxic, text) of labelled documents outside the held-out fold."""
+    """(fold, toxic, text) of labelled documents outside the held-out fold.
+
+    Labels grow with the corpus: they are never broadcast, so one plan serves all sizes.
+    """
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), crc_mod("doc_id", FOLDS).alias("fold"))
-    return rows.where((F.col("fold") != HELD_OUT) & F.col("text").isNotNull()).join(labels, "doc_id").select("fold", "toxic", "text")
+    return rows.where((F.col("fold") != HELD_OUT) & F.col("text").isNotNull()).join(labels.hint("merge"), "doc_id").select("fold", "toxic", "text")
 
 
 def height(evidence: np.ndarray) -> np.ndarray:

@@ -142,3 +142,78 @@ def test_whole_pipeline(spark):
     assert [e["event_type"] for e in a.events.orderBy("event_id").collect()] == ["response_gap", "silent_pause"]
     assert [e["evidence"]["pattern"] for e in a.evidence.collect()] == ["have_form_change"]
     assert a.metrics.first()["wer"] == 0.0 and a.by_source.where(F.col("source") == "Zoom").first()["substitutions"] == 1
+
+
+def test_confirmation_is_of_one_project(spark):
+    known = spark.createDataFrame([("p", 3, 1, "a", False, None), ("q", 3, 1, "b", False, None), ("q", 4, 2, "c", True, "kept")], "project_id string, event_id int, turn_id int, fingerprint string, reviewed boolean, decision string")
+    got = evidence.confirm(known, spark.createDataFrame([("p", 3), ("p", 3)], "project_id string, event_id int"), "confirmed")
+    assert got.columns == known.columns
+    assert {(r["project_id"], r["event_id"], r["reviewed"], r["decision"]) for r in got.collect()} == {("p", 3, True, "confirmed"), ("q", 3, False, None), ("q", 4, True, "kept")}
+
+
+def test_ids_are_digests_of_sorted_compact_json(spark):
+    import hashlib
+    import json
+
+    t = turns(spark, [dict(project_id="p", turn_id=1, start=1.0, end=2.5, speaker_raw="Ann", zoom_text="It has é", chatgpt_text="", model_text="It has é", gold_text="It has é", final_text="It have é", overlapping_speech=False)])
+    p = spark.createDataFrame([("p", "L1", 3, "T")], "project_id string, learner_id string, session_number int, title string")
+    want = {"learner_id": "L1", "session_number": 3, "project_title": "T", "turn_id": 1, "start": 1.0, "end": 2.5, "speaker_raw": "Ann", "zoom_text": "It has é",
+            "chatgpt_text": "", "model_text": "It has é", "quality_target_text": "It has é", "gold_text": "It has é"}
+    said = lambda d: hashlib.sha256(json.dumps(d, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert learning.training_rows(t, p).first()["example_id"] == said(want)
+    r = evidence.wanted(t).first()
+    e = r["evidence"]
+    assert r["fingerprint"] == said({
+        "turn_id": 1, "operation": e["operation"], "pattern": e["pattern"], "observed_fragment": spoken.normalized(e["baseline_fragment"]), "alternate_fragment": spoken.normalized(e["final_fragment"]),
+        "observed_token_span": [e["baseline_token_start"], e["baseline_token_end"]], "anchors": [spoken.normalized(e["left_anchor"]), spoken.normalized(e["right_anchor"])],
+    })
+
+
+def test_recordings_give_levels_and_delays(spark):
+    from turnloom.sources import audio
+
+    loud, quiet = [0.5, -0.5] * 400, [0.0] * 800  # two seconds each at 400 a second
+    rec = spark.createDataFrame([("p", 400, 2.0**-15, loud + quiet + loud)], "project_id string, rate int, unit double, samples array<double>")
+    assert [(r["delay_id"], round(r["start"], 2), round(r["end"], 2)) for r in intervals.detected_delays(rec).collect()] == [(1, 2.0, 4.0)]
+    t = schemas.turns(turns(spark, [dict(project_id="p", turn_id=1, start=0.0, end=2.0), dict(project_id="p", turn_id=2, start=2.0, end=4.0), dict(project_id="p", turn_id=3, start=1.0, end=3.0), dict(project_id="q", turn_id=1, start=0.0, end=1.0)]))
+    got = {(r["project_id"], r["turn_id"]): (r["volume_dbfs"], r["noise_snr_db"]) for r in intervals.turn_levels(t, rec, audio.thinned).collect()}
+    assert got["p", 1] == pytest.approx((-6.0206, 0.0), abs=1e-3) and got["q", 1] == (None, None)
+    assert got["p", 2][0] == pytest.approx(-90.309, abs=1e-3) and got["p", 2][1] is None  # silence is one step of the integers
+    assert got["p", 3][0] == pytest.approx(-9.031, abs=1e-3) and got["p", 3][1] == pytest.approx(3.01, abs=0.02)
+    long = spark.createDataFrame([("a", 0, 400, [float(i % 7) for i in range(900_000)])], "audio_id string, interval_index int, rate int, samples array<double>")
+    assert len(audio.thinned(long).first()["samples"]) == 225_000
+    seg = [("p", "model", 0, 0.0, 2.0, "Ann", "Hello there", 0.9), ("p", "model", 1, 4.0, 6.0, "Bob", "fine thanks", 0.8)]
+    p = spark.createDataFrame([("p", "AI", "", {})], "project_id string, conversation_type string, learner_id string, speaker_mapping map<string,string>")
+    a = pipeline.transcribe(spark.createDataFrame(seg, schemas.SEGMENTS), p, recordings=rec)
+    assert [r["volume_dbfs"] for r in a.turns.orderBy("turn_id").collect()] == pytest.approx([-6.0206, -6.0206], abs=1e-3)
+    assert [(e["event_type"], e["start"], e["end"]) for e in a.events.collect()] == [("response_gap", 2.0, 4.0)]
+    a.release()
+
+
+def test_editing_moves_text_and_time(spark):
+    rows = [dict(project_id="p", turn_id=i, start=float(i), end=i + 1.0, final_text=f"text {i} more", quality_target_text=f"text {i} more", zoom_text=f"z{i}", manual_review=i == 2) for i in (1, 2, 3)]
+    t = schemas.turns(turns(spark, rows))
+    m = TO.merge_two(t, "p", 1).orderBy("turn_id").collect()
+    assert [(r["turn_id"], r["start"], r["end"], r["final_text"], r["manual_review"]) for r in m] == [(1, 1.0, 3.0, "text 1 more text 2 more", True), (2, 3.0, 4.0, "text 3 more", False)]
+    s = TO.split_one(t, "p", 2, 6).orderBy("turn_id").collect()
+    assert [(r["turn_id"], r["final_text"], r["zoom_text"]) for r in s] == [(1, "text 1 more", "z1"), (2, "text 2", "z2"), (3, "more", ""), (4, "text 3 more", "z3")]
+    assert s[1]["end"] == s[2]["start"] == pytest.approx(2 + 6 / 11)
+
+
+def test_delays_know_their_recording(spark):
+    d = {"audio_source_path": "a.wav", "audio_source_size_bytes": "10", "audio_source_modified_time_ns": "7"}
+    rows = [("p", "automatic", d), ("p", "manual", {}), ("q", "automatic", {**d, "audio_source_size_bytes": "11"}), ("r", "manual", {})]
+    rows = [(a, TO.AUTOMATIC if b == "automatic" else b, c) for a, b, c in rows]
+    got = TO.same_audio(spark.createDataFrame(rows, "project_id string, source string, details map<string,string>"), "a.wav", 10, 7)
+    assert {r["project_id"]: r["same"] for r in got.collect()} == {"p": True, "q": False, "r": None}
+
+
+def test_recognizer_rows_and_sql_names(spark):
+    from turnloom.functions import register
+    from turnloom.sources import transcripts
+
+    rows = spark.createDataFrame([("p", 0, 0, 150, " hi ", 0.5), ("p", 1, 150, 200, " ", 0.5), ("p", 2, 200, 300, "x", float("nan")), ("p", 3, 300, 400, "y", 1.5)], "project_id string, idx int, t0 long, t1 long, text string, probability double")
+    got = transcripts.recognized(rows).collect()
+    assert [(r["seg_idx"], r["start"], r["end"], r["text"], r["confidence"]) for r in got] == [(0, 0.0, 1.5, "hi", 0.5), (2, 2.0, 3.0, "x", None), (3, 3.0, 4.0, "y", 1.0)]
+    assert "word_error_rate" in register.register(spark)
+    assert spark.sql("SELECT word_error_rate('I go to school', 'I went to school') AS x").first()["x"] == 0.25

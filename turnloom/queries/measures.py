@@ -69,10 +69,14 @@ def g7_by_source(spark, sf):
     return evaluation.by_source(_evaluated(spark, sf)).select("project_id", "source", "turns", "wer")
 
 
-@query()
+@query(_COUNTED + """ SELECT project_id, turn_id, CAST(len(range(6, n + 1, 6)) AS BIGINT) AS evaluated, CAST(n // 6 - len(list_filter(range(6, n + 1, 6), lambda i: i % 5 = 0)) AS BIGINT) AS preserved,
+    CAST(len(list_filter(range(6, n + 1, 6), lambda i: i % 5 = 0)) AS BIGINT) AS substituted, CAST(0 AS BIGINT) AS deleted FROM c""")
 def g8_grammar_words(spark, sf):
-    marked = F.array_join(F.transform("w", lambda x, i: F.when((i + 1) % 6 == 0, F.concat(x, F.lit("@!"))).otherwise(x)), " ")
-    t = turns(spark, sf).withColumn("g", edits.grammar_words(marked, F.col("cut")))
+    """Every sixth word is marked, every fifth is replaced."""
+    plain = F.transform("w", lambda x, i: F.concat(F.lit("w"), (i + 1).cast("string")))
+    marked = F.array_join(F.transform(plain, lambda x, i: F.when((i + 1) % 6 == 0, F.concat(x, F.lit("@!"))).otherwise(x)), " ")
+    hyp = F.array_join(F.transform(plain, lambda x, i: F.when((i + 1) % 5 == 0, "zzq").otherwise(x)), " ")
+    t = spread(turns(spark, sf).where("n > 0"), "project_id", "turn_id").withColumn("g", edits.grammar_words(marked, hyp))
     return t.select("project_id", "turn_id", "g.*")
 
 
@@ -92,9 +96,17 @@ def g10_vote(spark, sf):
     return evaluation.vote(e, ["user_id"], "event_type", "weight")
 
 
-@query()
+@query("WITH " + TURNS + """, x AS (SELECT project_id, turn_id, trim(speaker_raw) AS label, lead(trim(speaker_raw), 1) OVER w AS n1, lead(trim(speaker_raw), 2) OVER w AS n2 FROM turns
+    WINDOW w AS (PARTITION BY project_id ORDER BY turn_id)),
+  v AS (SELECT project_id, label, 'Maya' AS name, 7 AS weight FROM x WHERE turn_id % 5 = 1
+    UNION ALL SELECT project_id, CASE WHEN n1 <> label THEN n1 WHEN n2 <> label THEN n2 END, 'Dana', 3 FROM x WHERE turn_id % 5 = 2)
+  SELECT project_id, label, name, CAST(sum(weight) AS BIGINT) AS weight FROM v WHERE label IS NOT NULL GROUP BY ALL""")
 def g11_name_votes(spark, sf):
-    return identity.name_votes(_evaluated(spark, sf))
+    """Every fifth turn introduces its speaker, every fifth thanks another."""
+    k = F.col("turn_id") % 5
+    said = F.when(k == 1, "and my name is Maya.").when(k == 2, "ok then, thanks Dana.").otherwise("so it goes on")
+    t = turns(spark, sf).select("project_id", "turn_id", "speaker_raw", said.alias("final_text"), *(F.lit("").alias(c) for c in ("zoom_text", "chatgpt_text", "model_text")))
+    return identity.name_votes(t).groupBy("project_id", "label", "name").agg(F.sum("weight").alias("weight"))
 
 
 @query("WITH " + TURNS + """ SELECT project_id, speaker_raw AS label, min(turn_id) AS first_turn, CAST(count(*) AS BIGINT) AS turns, CAST(sum(n) AS BIGINT) AS words FROM turns GROUP BY ALL""")
@@ -131,13 +143,17 @@ def g15_scores(spark, sf):
     return learning.confusion_scores(p).select(*(F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy", "selection")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE WHEN event_id % 4 <> 0 THEN value / 100 END AS c, CAST(event_id % 5 AS BIGINT) AS n FROM events),
+  f AS (SELECT user_id, k, c, n FROM e WHERE k = 1
+    UNION ALL SELECT f.user_id, e.k, CASE WHEN f.c IS NULL THEN e.c WHEN e.c IS NULL THEN f.c ELSE (f.c * greatest(1, f.n) + e.c * greatest(1, e.n)) / (greatest(1, f.n) + greatest(1, e.n)) END, f.n + e.n
+    FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+  SELECT user_id, round(arg_max(coalesce(c, -1), k), 9) AS confidence FROM f GROUP BY user_id""")
 def g18_confidence(spark, sf):
     from ..operators.turns import folded_confidence
 
     e = table(spark, sf, "events").withColumn("c", F.when(F.col("event_id") % 4 != 0, F.col("value") / 100))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: F.struct(x.c.alias("c"), (x.event_id % 5).cast("int").alias("n")))
-    return e.groupBy("user_id").agg(folded_confidence(parts).alias("confidence"))
+    return e.groupBy("user_id").agg(F.round(F.coalesce(folded_confidence(parts), F.lit(-1.0)), 9).alias("confidence"))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS project_id, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS pauses, CAST(coalesce(sum(2.0) FILTER (event_type = 'view'), 0) AS DOUBLE) AS pause_seconds,

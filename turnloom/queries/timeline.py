@@ -76,19 +76,26 @@ def a12_scaffold(spark, sf):
 
 #: Every 9th interval of the second half of a day as a delay, the others as turns.
 _SPLIT = "event_id % 9 = 0"
-_OWNERS = W + f""", t AS (SELECT *, row_number() OVER w AS rn, lead(turn_id) OVER w AS n_id, lead("start") OVER w AS n_start, lead(speaker) OVER w AS n_speaker FROM intervals WHERE NOT {_SPLIT}
+
+
+def _owners_sql(n: str = "", turns_where: str = f"NOT {_SPLIT}") -> str:
+    """Tables of delays and their owners among some turns; `n` ends the tables' names."""
+    return f""", t{n} AS (SELECT *, row_number() OVER w AS rn, lead(turn_id) OVER w AS n_id, lead("start") OVER w AS n_start, lead(speaker) OVER w AS n_speaker FROM intervals WHERE {turns_where}
     WINDOW w AS (PARTITION BY project_id ORDER BY "start", "end", turn_id)),
-  d AS (SELECT project_id, event_id AS delay_id, "start" - 3000 AS ds, "start" + 3000 AS de, "start" AS mid FROM intervals WHERE {_SPLIT}),
-  r1 AS (SELECT delay_id, arg_min(t.turn_id, rn) AS p, arg_min(n_id, rn) AS f FROM d JOIN t ON d.project_id = t.project_id WHERE t."end" <= n_start AND (t."end" + n_start) / 2 BETWEEN ds AND de AND t.speaker <> n_speaker GROUP BY delay_id),
-  r2 AS (SELECT delay_id, turn_id FROM (SELECT delay_id, turn_id, row_number() OVER (PARTITION BY delay_id ORDER BY t."end" - t."start", abs(mid - (t."start" + t."end") / 2), rn) AS k FROM d JOIN t ON d.project_id = t.project_id WHERE mid BETWEEN t."start" AND t."end") WHERE k = 1),
-  pv AS (SELECT delay_id, arg_max(turn_id, rn) AS id, arg_max(speaker, rn) AS sp FROM d JOIN t ON d.project_id = t.project_id WHERE t."end" <= mid GROUP BY delay_id),
-  nx AS (SELECT delay_id, arg_min(turn_id, rn) AS id, arg_min(speaker, rn) AS sp FROM d JOIN t ON d.project_id = t.project_id WHERE t."start" >= mid GROUP BY delay_id),
-  o AS (SELECT d.project_id, d.delay_id, ds, de, CASE WHEN r1.delay_id IS NOT NULL THEN 'speaker_boundary' WHEN r2.delay_id IS NOT NULL THEN 'inside_turn' ELSE 'between_turns' END AS association,
+  d{n} AS (SELECT project_id, event_id AS delay_id, "start" - 3000 AS ds, "start" + 3000 AS de, "start" AS mid FROM intervals WHERE {_SPLIT}),
+  r1{n} AS (SELECT delay_id, arg_min(t.turn_id, rn) AS p, arg_min(n_id, rn) AS f FROM d{n} d JOIN t{n} t ON d.project_id = t.project_id WHERE t."end" <= n_start AND (t."end" + n_start) / 2 BETWEEN ds AND de AND t.speaker <> n_speaker GROUP BY delay_id),
+  r2{n} AS (SELECT delay_id, turn_id FROM (SELECT delay_id, turn_id, row_number() OVER (PARTITION BY delay_id ORDER BY t."end" - t."start", abs(mid - (t."start" + t."end") / 2), rn) AS k FROM d{n} d JOIN t{n} t ON d.project_id = t.project_id WHERE mid BETWEEN t."start" AND t."end") WHERE k = 1),
+  pv{n} AS (SELECT delay_id, arg_max(turn_id, rn) AS id, arg_max(speaker, rn) AS sp FROM d{n} d JOIN t{n} t ON d.project_id = t.project_id WHERE t."end" <= mid GROUP BY delay_id),
+  nx{n} AS (SELECT delay_id, arg_min(turn_id, rn) AS id, arg_min(speaker, rn) AS sp FROM d{n} d JOIN t{n} t ON d.project_id = t.project_id WHERE t."start" >= mid GROUP BY delay_id),
+  o{n} AS (SELECT d.project_id, d.delay_id, ds, de, CASE WHEN r1.delay_id IS NOT NULL THEN 'speaker_boundary' WHEN r2.delay_id IS NOT NULL THEN 'inside_turn' ELSE 'between_turns' END AS association,
     r2.turn_id AS t2, r1.p, r1.f, pv.id AS prev, nx.id AS next, pv.id IS NULL OR (nx.id IS NOT NULL AND pv.sp <> nx.sp) AS gap
-    FROM d LEFT JOIN r1 USING (delay_id) LEFT JOIN r2 USING (delay_id) LEFT JOIN pv USING (delay_id) LEFT JOIN nx USING (delay_id)),
-  owned AS (SELECT project_id, delay_id, ds AS "start", de AS "end", CASE association WHEN 'inside_turn' THEN t2 WHEN 'between_turns' THEN CASE WHEN NOT gap THEN prev END END AS owner,
+    FROM d{n} d LEFT JOIN r1{n} r1 USING (delay_id) LEFT JOIN r2{n} r2 USING (delay_id) LEFT JOIN pv{n} pv USING (delay_id) LEFT JOIN nx{n} nx USING (delay_id)),
+  owned{n} AS (SELECT project_id, delay_id, ds AS "start", de AS "end", CASE association WHEN 'inside_turn' THEN t2 WHEN 'between_turns' THEN CASE WHEN NOT gap THEN prev END END AS owner,
     CASE WHEN association = 'speaker_boundary' OR (association = 'between_turns' AND gap) THEN 'response_gap' ELSE 'silent_pause' END AS event_type, association,
-    CASE association WHEN 'speaker_boundary' THEN p WHEN 'between_turns' THEN prev END AS previous_turn_id, CASE association WHEN 'speaker_boundary' THEN f WHEN 'between_turns' THEN next END AS following_turn_id FROM o)"""
+    CASE association WHEN 'speaker_boundary' THEN p WHEN 'between_turns' THEN prev END AS previous_turn_id, CASE association WHEN 'speaker_boundary' THEN f WHEN 'between_turns' THEN next END AS following_turn_id FROM o{n})"""
+
+
+_OWNERS = W + _owners_sql()
 
 
 def _owned(spark, sf):
@@ -115,10 +122,14 @@ def e1_delay_events(spark, sf):
     return _delay_events(spark, sf)[1].select("project_id", "event_id", "turn_id", "event_type", "start", "end", "token_start")
 
 
-@query(_OWNERS + """ SELECT project_id, CAST(count(*) FILTER (event_type = 'silent_pause') AS BIGINT) AS pauses, CAST(count(*) FILTER (event_type = 'response_gap') AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS invalidated FROM owned GROUP BY project_id""")
+@query(_OWNERS + _owners_sql("2", f"NOT {_SPLIT} AND event_id % 4 <> 1") + """, x AS (SELECT project_id, delay_id, a.event_type AS k1, b.event_type AS k2, a.owner AS o1, b.owner AS o2,
+    CASE a.event_type WHEN 'silent_pause' THEN a.owner ELSE a.following_turn_id END AS g1, CASE b.event_type WHEN 'silent_pause' THEN b.owner ELSE b.following_turn_id END AS g2 FROM owned a JOIN owned2 b USING (project_id, delay_id))
+  SELECT project_id, CAST(count(*) FILTER (k2 = 'silent_pause') AS BIGINT) AS pauses, CAST(count(*) FILTER (k2 = 'response_gap') AS BIGINT) AS gaps,
+    CAST(count(*) FILTER (k1 <> k2 OR o1 IS DISTINCT FROM o2 OR g1 IS DISTINCT FROM g2) AS BIGINT) AS invalidated FROM x GROUP BY project_id""")
 def e2_reassociate(spark, sf):
+    """Owners found anew after every fourth turn has gone."""
     t, e = _delay_events(spark, sf)
-    r = TO.reassociate(e, t)
+    r = TO.reassociate(e, t.where("event_id % 4 <> 1"))
     return r.groupBy("project_id").agg(F.count_if(F.col("event_type") == "silent_pause").alias("pauses"), F.count_if(F.col("event_type") == "response_gap").alias("gaps"), F.count_if("invalidated").alias("invalidated"))
 
 

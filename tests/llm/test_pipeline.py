@@ -24,7 +24,7 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
 
     known = [(i, t) for i, t in rows if t and re.search("[a-z]", t)]
-    root = plain_components(known)
+    root = plain_components(known, 5, 80)
     first = [(i, t) for i, t in known if root[i][1] == i]
     clean = {x[0] for x in plain_contamination(first, items) if not x[2]}
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))

@@ -283,11 +283,11 @@ def test_repeated_messages_count_once_and_long_conversations_are_whole(spark):
 # --- near copies, substrings
 
 
-def plain_components(rows):
+def plain_components(rows, width=3, percent=90):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
     root = {i: i for i in sets}
 
     def top(x):
@@ -299,7 +299,7 @@ def plain_components(rows):
     for a in ids:
         for b in ids:
             x, y = sets[a], sets[b]
-            if a < b and x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if a < b and x and y and 100 * len(x & y) >= percent * len(x | y):
                 ra, rb = top(a), top(b)
                 root[max(ra, rb)] = min(ra, rb)
     return {i: (len(sets[i]), top(i)) for i in sets}
@@ -315,12 +315,19 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch):
             w[rng.randrange(len(w))] = rng.choice(["new", "Ax", "q"])
         rows.append((len(rows), (" " if rng.random() < 0.5 else "\n").join(w).upper() if rng.random() < 0.2 else " ".join(w)))
     rows += [(500, None), (501, ""), (502, " \t ")]
-    want = plain_components(rows)
-    for paired, block in ((24, 1024), (2, 8)):
+    for paired, block, bits, width, percent in ((24, 1024, 20, 3, 90), (2, 8, 21, 3, 90), (2, 4, 22, 5, 80), (24, 3, 20, 2, 70)):
         monkeypatch.setattr(jaccard, "PAIRED", paired)
         monkeypatch.setattr(jaccard, "BLOCK", block)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs(spark, rows)).collect()}
-        assert got == want
+        monkeypatch.setattr(jaccard, "LEAST_BITS", bits)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs(spark, rows), width, percent).collect()}
+        assert got == plain_components(rows, width, percent)
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, True, "x"), (2, "a b c d e f", 2, None, "y"), (3, "p q r s t u", 3, None, None), (3, "p q r s t u", 3, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept_ long, own_0 boolean, `a.b` string")
+    out = jaccard.representatives(d)
+    assert out.columns == d.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
 
 def test_jaccard_join_tells_rows_without_an_id_apart(spark):

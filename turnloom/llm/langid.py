@@ -77,7 +77,7 @@ def symbols(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(ORDER - 1):
         sym[begins + k] = START
         keep[begins + k] = True
-    # A text's last run of letters may end at the next padding; then no space follows.
+    keep[-1] = False  # no space follows a text's last run of letters, wherever the text stands
     kept = np.concatenate([[0], np.cumsum(keep)])
     heard = np.concatenate([[0], np.cumsum(is_letter)])
     ends = begins + (ORDER - 1) + sizes

@@ -513,3 +513,24 @@ def test_empty_tables(spark):
     ):
         assert out.count() == 0
     assert json.dumps([r.asDict() for r in chat.read_back(chat.conversations(chat.from_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).collect()]) == "[]"
+
+
+def test_other_columns_of_any_name_do_no_harm(spark):
+    names = ["row", "key", "digest", "node", "family", "n", "prefix", "token", "gid", "root", "k", "a", "b", "start", "end", "size", "first", "fold", "toxic", "pair", "gain", "lang", "label", "spans", "items", "words", "score", "rank", "ids", "left", "last", "text_key", "count", "salt", "block", "sets", "evidence", "held_out"]
+    plain = [(i, " ".join(f"w{(i // 2 * 7 + j * j) % 50}" for j in range(60))) for i in range(12)]
+    d = spark.createDataFrame([(*r, *["x"] * len(names)) for r in plain], ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names)]))
+    bare = d.select("doc_id", "text", "lang")
+    labels = spark.createDataFrame([(i, 1, i % 2, "x", "y") for i in range(12)], "doc_id long, quality int, toxic int, text string, fold string")
+    bench = spark.createDataFrame([(1, plain[3][1], "x", "y")], "item_id long, text string, doc_id string, words string")
+    piece, byte = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json")
+    for run in (
+        secrets.scan, lambda x: decontaminate.contamination(x, bench), lambda x: toxicity.rate(x, labels), jaccard.join, langid.identify, chunks.by_document,
+        lambda x: tokenfiles.digest(x, byte, 2), lambda x: sentencepieces.digest(x, piece),
+    ):
+        assert sorted(map(repr, run(d).collect())) == sorted(map(repr, run(bare).collect()))
+    for run in (secrets.redact, lambda x: decontaminate.decontaminate(x, bench), jaccard.representatives, chunks.deduplicate, lambda x: langid.keep_known(x, langid.fit(langid.training(x)))):
+        assert run(d).columns == d.columns and run(d).count() > 0
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x", 1), (1, 1, "assistant", "yo", "y", 2)], "conv_id long, turn long, role string, text string, tree string, depth int")
+    assert chat.read_back(chat.conversations(chat.from_turns(turns))).first()["n_turns"] == 2
+    near = spark.createDataFrame([(i, [float(i), 1.0], "x", 0.5, 2) for i in range(25)], "vec_id long, embedding array<double>, v string, score double, cell int")
+    assert neighbours.search(near).count() == 40

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices
+from .common import discard, materialize, shared_dir, slices
 
 # The template's control strings and what stands for them inside a text.
 HEAD, MIDDLE, END = "### ", ": ", "</turn>\n"
@@ -119,6 +119,7 @@ def paths_of(messages: DataFrame, top: int) -> DataFrame:
         up = level.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("msg").alias("m"), "up")
         more = marked.join(up, marked.tree.eqNullSafe(up.t) & (marked.msg == up.m)).select("tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("msg"))
         marked = materialize(marked.unionByName(more), f"marked{k}", folder)  # else the plan doubles each time
+    discard(messages.sparkSession, folder, f"marked{len(levels) - 2}" if len(levels) > 1 else "marked")
     return marked
 
 

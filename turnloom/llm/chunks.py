@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, materialize, shared_dir, slices, texts
+from .common import code_points, discard, materialize, shared_dir, slices, texts
 
 #: A cut where the hash's top BITS bits are zero and were not in the QUIET bytes before; at least every MOST bytes.
 BITS, QUIET, MOST = 4, 11, 512
@@ -123,7 +123,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     found = found.where("n > 1").select("digest", (F.col("low") < F.col("high")).alias("shared"), F.col("first.row").alias("first_row"), F.col("first.a").alias("first_a"), F.col("first.doc_id").alias("first_doc"))
     out = rows.join(materialize(found, "digests", folder), "digest")
     kept = (F.col("first_row") == F.col("row")) & (F.col("first_a") == F.col("a"))
-    return materialize(out.select("row", "doc_id", "a", "b", "size", "shared", "first_doc", kept.alias("kept")), "repeated", folder)
+    out = materialize(out.select("row", "doc_id", "a", "b", "size", "shared", "first_doc", kept.alias("kept")), "repeated", folder)
+    discard(docs.sparkSession, folder, "repeated")
+    return out
 
 
 def in_passages(chunks: DataFrame, least: int, within: bool) -> DataFrame:

@@ -49,6 +49,15 @@ def materialize(df: DataFrame, name: str, folder: str | None = None, compression
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, *kept: str) -> None:
+    """Deletes the tables of a folder that no result reads, all but those named."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.listStatus(at) if fs.exists(at) else ():
+        if found.getPath().getName() not in kept:
+            fs.delete(found.getPath(), True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about `most` bytes of `column`, or one row."""
     for batch in batches:

@@ -42,14 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices, texts
+from .common import discard, materialize, shared_dir, slices, texts
 
 #: Words of a shingle, and the similarity in percent, of the query.
 WIDTH, PERCENT = 3, 90
 #: Counters of the sketch: one for so many bytes of the input's files, within these bounds.
 COUNTED_BYTES, LEAST_BITS, MOST_BITS, SKETCH_SLICES = 512, 20, 26, 32
 PAIRED, BLOCK = 24, 512
-CACHE = 500_000
+CACHE = 300_000
 #: Stands for a null doc_id: the last of all.
 NO_ID = (1 << 63) - 1
 
@@ -283,8 +283,9 @@ def joined(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame
     own = sets.select("digest", "doc_id", "text_key", "node").join(found, "node", "left")
     own = materialize(own.select("digest", "doc_id", "text_key", F.coalesce("root", "node").alias("root")), "roots", folder)
     first = own.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    own = own.join(materialize(first, "firsts", folder), "root")
-    return rows.drop("prefix"), materialize(own, "own", folder), copies
+    own = materialize(own.join(materialize(first, "firsts", folder), "root"), "own", folder)
+    discard(docs.sparkSession, folder, "prefixes", "own", "copies")
+    return rows.drop("prefix"), own, copies
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shards, added_by_owner, crc_mod, materialize, shared_dir, slices, texts
+from .common import Shards, added_by_owner, crc_mod, discard, materialize, shared_dir, slices, texts
 
 ORDER = 4
 #: Rejection: standard errors above the language's mean cross-entropy, and least nats above those.
@@ -278,6 +278,7 @@ def fit(docs: DataFrame) -> Models:
     n = F.when(F.col("lang").isin(only), F.col("n")).otherwise(F.col("n") - F.col("held"))
     models = Models(langs, materialize(wide(counts, langs, n), "top", folder), folder)
     models.room = rooms(docs.where("calibrating").where(~F.col("lang").isin(only)), models)
+    discard(docs.sparkSession, folder)
     return models
 
 

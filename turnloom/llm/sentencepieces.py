@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices, texts
+from .common import discard, materialize, shared_dir, slices, texts
 from .tokens import Pieces, loaded
 
 #: A chunk's characters, and matrices that are combined at a time.
 CHUNK = 1 << 13
 FAN = 64
 #: Answers that a worker's lattice keeps of each kind.
-KNOWN = 300_000
+KNOWN = 100_000
 
 NEVER = float("-inf")
 SPACE = "▁"
@@ -369,6 +369,7 @@ def chosen_edges(matrices: DataFrame, folder: str) -> DataFrame:
     found = levels.pop().select("row", "k", F.expr("m[0].i").alias("entry"), F.expr("m[0].j").alias("leave"))
     while levels:
         found = materialize(parted(levels.pop(), found), f"edges{len(levels)}", folder)
+    discard(matrices.sparkSession, folder, "chunks", "matrices", "edges0")
     return found
 
 

@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks whose ids a worker keeps, in two generations of half as many. Bounds memory, not results.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 400_000
 #: Chunks that the library is asked for at a time, and chunks that it is given as one text.
-ASKED, JOINED = 20_000, 400
+ASKED, JOINED = 20_000, 100
+
+#: First bytes of characters that are surely no white space.
+VISIBLE = [c > 0x20 and c not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for c in range(256)]
 
 
 def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,23 +95,27 @@ class ByteLevel(ChunkIds):
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def asked(self, chunks: list[bytes]) -> list[bytes]:
-        """The library's ids. Chunks that start with a space and a visible ASCII character are asked for in a row, as
-        the texts that they make are cut there; how many bytes each id stands for tells them apart."""
+        """The library's ids. Chunks that start with a space and what is surely visible are asked for in a row, as the
+        texts that they make are cut there; how many bytes each id stands for tells them apart."""
+        order = sorted(range(len(chunks)), key=lambda i: self.joins(chunks[i]), reverse=True)
+        joined = sum(map(self.joins, chunks))
+        bounds = [*range(0, joined, JOINED), *range(joined, len(chunks) + 1)]
+        texts = [b"".join([chunks[i] for i in order[a:b]]).decode() for a, b in zip(bounds, bounds[1:], strict=False)]
+        found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in found])
+        ends = np.cumsum([len(chunks[i]) for i in order])
+        last = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.dtype.itemsize
+        raw, at = ids.tobytes(), 0
         out: list[bytes] = [b""] * len(chunks)
-        alone = [i for i, c in enumerate(chunks) if not (len(c) > 1 and c[0] == 0x20 and 0x20 < c[1] < 0x7F)]
-        taken = set(alone)
-        rows = [i for i in range(len(chunks)) if i not in taken]
-        groups = [rows[a : a + JOINED] for a in range(0, len(rows), JOINED)] + [[i] for i in alone]
-        found = self.plain.encode_batch_fast([b"".join([chunks[i] for i in g]).decode() for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, found, strict=True):
-            ids = np.array(e.ids, self.dtype)
-            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunks[i]) for i in g])) + 1
-            raw, at = ids.tobytes(), 0
-            for i, to in zip(g, (last * self.dtype.itemsize).tolist(), strict=True):
-                out[i] = raw[at:to]
-                at = to
+        for i, to in zip(order, last.tolist(), strict=True):
+            out[i] = raw[at:to]
+            at = to
         return out
 
+    @staticmethod
+    def joins(chunk: bytes) -> bool:
+        return len(chunk) > 1 and chunk[0] == 0x20 and VISIBLE[chunk[1]]
+
     @staticmethod
     def starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
         """Where chunks start: at each text, and at each space that a visible character of its text follows."""

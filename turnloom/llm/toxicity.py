@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shards, crc_mod, materialize, shared_dir, slices, texts
+from .common import Shards, crc_mod, discard, materialize, shared_dir, slices, texts
 
 #: Held out: documents whose crc32 modulo FOLDS is HELD_OUT; margin and curve are fitted on CALIBRATED.
 FOLDS, HELD_OUT, CALIBRATED = 4, 2, 1
@@ -148,9 +148,8 @@ def over(column) -> F.Column:
     return F.greatest(column - DISCOUNT, F.lit(0)).cast("double")
 
 
-def gains(rows: DataFrame) -> DataFrame:
+def gains(rows: DataFrame, folder: str) -> DataFrame:
     """(key, gain): the difference of a stem's (32 bits) or a pair's (64 bits) log-likelihoods, where it is of weight."""
-    folder = shared_dir(rows.sparkSession)
     pairs = materialize(counted(rows), "pairs", folder)
     after, before = F.col("pair").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("pair", 32)
     stems = pairs.groupBy(after.alias("w")).agg(F.sum((F.col("kt") > 0).cast("long")).alias("ut"), F.sum((F.col("ko") > 0).cast("long")).alias("uo"))
@@ -269,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Models, tuple[float, float,
     """The models; the margin, and the curve's slope and offset."""
     folder = shared_dir(docs.sparkSession)
     rows = labelled(docs, labels)
-    models = Models(materialize(gains(rows.where(F.col("fold") != CALIBRATED)), "gains", folder))
+    models = Models(materialize(gains(rows.where(F.col("fold") != CALIBRATED), folder), "gains", folder))
+    discard(docs.sparkSession, folder)
     return models, fit_curve(rows.where(F.col("fold") == CALIBRATED), models)
 
 

@@ -405,7 +405,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
 
     def alone(batches):
         pieces = loaded(Pieces, path)
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=6 << 20):
             data = texts(batch.column(1))
             ids, ends = pieces.encode(data)
             said, id_ends = pieces.surface(ids)

@@ -35,7 +35,7 @@ from .tokens import ByteLevel, loaded
 SPREAD = 2.0
 LEVELS = 48
 #: Bytes of text that are encoded at a time, and keys that are read at a time.
-ENCODED_BYTES, READ_KEYS = 8 << 20, 4096
+ENCODED_BYTES, READ_KEYS = 6 << 20, 1024
 MAGIC = b"TLIX1\0\0\0"
 NULL_KEY = -(1 << 63)
 

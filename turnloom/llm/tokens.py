@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks whose ids a worker keeps, in two generations of half as many. Bounds memory, not results.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 #: Chunks that the library is asked for at a time, and chunks that it is given as one text.
 ASKED, JOINED = 20_000, 100
 
@@ -27,7 +27,10 @@ def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.nda
     ends = np.cumsum(each)
     if not len(ends):
         return flat[:0], ends
-    return flat[np.repeat(begins[at] - (ends - each), each) + np.arange(ends[-1])], ends
+    kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
+    places = np.repeat((begins[at] - (ends - each)).astype(kind), each)
+    places += np.arange(ends[-1], dtype=kind)
+    return flat[places], ends
 
 
 class ChunkIds:
@@ -97,13 +100,14 @@ class ByteLevel(ChunkIds):
     def asked(self, chunks: list[bytes]) -> list[bytes]:
         """The library's ids. Chunks that start with a space and what is surely visible are asked for in a row, as the
         texts that they make are cut there; how many bytes each id stands for tells them apart."""
-        order = sorted(range(len(chunks)), key=lambda i: self.joins(chunks[i]), reverse=True)
-        joined = sum(map(self.joins, chunks))
-        bounds = [*range(0, joined, JOINED), *range(joined, len(chunks) + 1)]
-        texts = [b"".join([chunks[i] for i in order[a:b]]).decode() for a, b in zip(bounds, bounds[1:], strict=False)]
-        found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
+        joins = [len(c) > 1 and c[0] == 0x20 and VISIBLE[c[1]] for c in chunks]
+        order = [i for i, j in enumerate(joins) if j]
+        bounds = [*range(0, len(order), JOINED), *range(len(order), len(chunks) + 1)]
+        order += [i for i, j in enumerate(joins) if not j]
+        ordered = [chunks[i] for i in order]
+        found = self.plain.encode_batch_fast([b"".join(ordered[a:b]).decode() for a, b in zip(bounds, bounds[1:], strict=False)], add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, self.dtype) for e in found])
-        ends = np.cumsum([len(chunks[i]) for i in order])
+        ends = np.cumsum(np.fromiter(map(len, ordered), np.int64, len(ordered)))
         last = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.dtype.itemsize
         raw, at = ids.tobytes(), 0
         out: list[bytes] = [b""] * len(chunks)
@@ -112,10 +116,6 @@ class ByteLevel(ChunkIds):
             at = to
         return out
 
-    @staticmethod
-    def joins(chunk: bytes) -> bool:
-        return len(chunk) > 1 and chunk[0] == 0x20 and VISIBLE[chunk[1]]
-
     @staticmethod
     def starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
         """Where chunks start: at each text, and at each space that a visible character of its text follows."""

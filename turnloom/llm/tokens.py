@@ -1,8 +1,8 @@
 """Token ids of whole texts, through the distinct chunks between their spaces.
 
 Both tokenizers split a text before a space that a word follows in any case, so a text's ids are its
-chunks' ids in a row. The chunks of a batch of texts are told apart by Arrow, the ids of distinct ones
-come from the library or from a worker's bounded cache, and NumPy gathers them into texts again.
+chunks' ids in a row. Arrow tells the chunks of a batch of texts apart, the library encodes the distinct
+ones, and NumPy gathers their ids into texts again.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import pyarrow as pa
 
 #: Chunks whose ids a worker keeps, in two generations of half as many. Bounds memory, not results.
 CACHE_ENTRIES = 100_000
-#: Chunks that the library is asked for at a time, and chunks that it is given as one text.
-ASKED, JOINED = 20_000, 100
+#: Chunks that the library is given as one text, and such texts (or chunks) that it is asked for at a time.
+JOINED, ASKED_TEXTS, ASKED = 100, 200, 20_000
 
 #: First bytes of characters that are surely no white space.
-VISIBLE = [c > 0x20 and c not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for c in range(256)]
+VISIBLE = np.array([c > 0x20 and c not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for c in range(256)])
 
 
 def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +33,12 @@ def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.nda
     return flat[places], ends
 
 
+def told_apart(whole: bytes, starts: np.ndarray) -> pa.DictionaryArray:
+    """The chunks of some text, that start at ascending places from 0 on."""
+    offsets = np.append(starts, len(whole)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)]).dictionary_encode()
+
+
 class ChunkIds:
     """Ids of chunks, kept from batch to batch. Subclasses ask their library for new ones."""
 
@@ -68,9 +74,7 @@ class ChunkIds:
         """The ids of all chunks in a row, and where each chunk's end; `starts` ascend from 0."""
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        offsets = np.append(starts, len(whole)).astype(np.int64)
-        array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
-        told = array.dictionary_encode()
+        told = told_apart(whole, starts)
         ids = self.known(told.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         return gathered(np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes, sizes, told.indices.to_numpy())
@@ -81,11 +85,10 @@ def per_text(ends: np.ndarray, chunks_before: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], ends])[chunks_before]
 
 
-class ByteLevel(ChunkIds):
+class ByteLevel:
     """A byte-level BPE tokenizer file (tokenizers library)."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -97,24 +100,31 @@ class ByteLevel(ChunkIds):
             self.bytes_of[i] = len(token)  # a letter for each byte
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def asked(self, chunks: list[bytes]) -> list[bytes]:
-        """The library's ids. Chunks that start with a space and what is surely visible are asked for in a row, as the
-        texts that they make are cut there; how many bytes each id stands for tells them apart."""
-        joins = [len(c) > 1 and c[0] == 0x20 and VISIBLE[c[1]] for c in chunks]
-        order = [i for i, j in enumerate(joins) if j]
-        bounds = [*range(0, len(order), JOINED), *range(len(order), len(chunks) + 1)]
-        order += [i for i, j in enumerate(joins) if not j]
-        ordered = [chunks[i] for i in order]
-        found = self.plain.encode_batch_fast([b"".join(ordered[a:b]).decode() for a, b in zip(bounds, bounds[1:], strict=False)], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, self.dtype) for e in found])
-        ends = np.cumsum(np.fromiter(map(len, ordered), np.int64, len(ordered)))
-        last = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.dtype.itemsize
-        raw, at = ids.tobytes(), 0
-        out: list[bytes] = [b""] * len(chunks)
-        for i, to in zip(order, last.tolist(), strict=True):
-            out[i] = raw[at:to]
-            at = to
-        return out
+    def of_chunks(self, whole: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and where each chunk's end; `starts` ascend from 0.
+
+        The distinct chunks lie in a row, so the library is given many as one text, which it cuts before a chunk that
+        starts with a space and what is surely visible; how many bytes each id stands for tells their ids apart.
+        """
+        if not len(starts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        told = told_apart(whole, starts)
+        distinct = told.dictionary
+        at = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, 8 * distinct.offset)
+        row = distinct.buffers()[2].to_pybytes()[at[0] : at[-1]]
+        at = at - at[0]
+        data = np.frombuffer(row, np.uint8)
+        sizes = np.diff(at)
+        joins = (sizes > 1) & (data[at[:-1]] == 0x20) & VISIBLE[data[np.minimum(at[:-1] + 1, len(data) - 1)]]
+        bounds = np.append(at[:-1][~joins | (np.arange(len(sizes)) % JOINED == 0)], len(row)).tolist()
+        parts = []
+        for k in range(0, len(bounds) - 1, ASKED_TEXTS):
+            asked = [row[a:b].decode() for a, b in zip(bounds[k : k + ASKED_TEXTS], bounds[k + 1 : k + 1 + ASKED_TEXTS], strict=False)]
+            parts += [np.array(e.ids, self.dtype) for e in self.plain.encode_batch_fast(asked, add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), at[1:]) + 1
+        counts = np.diff(ends, prepend=0)
+        return gathered(ids, ends - counts, counts, told.indices.to_numpy())
 
     @staticmethod
     def starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:

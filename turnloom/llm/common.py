@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds expanded at a time.
 SLICE_BYTES = 4 << 20
+#: Spark's bound on the bytes of an Arrow batch, and what it is while tables are written.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,15 @@ def materialize(df: DataFrame, name: str, folder: str | None = None, compression
     """Writes a table to the shared folder and reads it back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{name}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))  # rows may be long: their number bounds no memory
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -146,12 +156,11 @@ class HashArray:
 class Shards:
     """A table of any size by 64-bit key, broadcast in shards of about SHARD entries; a task holds one at a time.
 
-    The driver holds one shard at a time as well: `rows` has a long column `key` and `columns`.
+    The driver holds one shard at a time as well: `rows` has a long column `key` and `columns`, and `n` rows at most.
     """
 
-    def __init__(self, rows: DataFrame, columns: list[str], kind=np.float32, most: int | None = None):
-        n = rows.count()
-        self.n = max(1, -(-n // (most or SHARD)))
+    def __init__(self, rows: DataFrame, columns: list[str], n: int, kind=np.float32):
+        self.n = max(1, -(-n // SHARD))
         context = rows.sparkSession.sparkContext
         self.parts = []
         for k in range(self.n):

@@ -159,12 +159,15 @@ class Models:
             each = (F.sum((F.col(f"n{j}") > 0).cast("double")).alias(f"n{j}") for j in range(width))
             levels.append(materialize(levels[-1].groupBy(lower).agg(*each), f"order{k}", folder))
         levels.reverse()
-        self.floor = -float(np.log(levels[0].count() + 1.0))
+        # How many n-grams of each order there are, and how many of each language occur once and twice.
+        few = [F.sum((F.col(f"n{j}") == i).cast("long")) for i in (1, 2) for j in range(width)]
+        seen = [level.agg(F.count("*"), *few).first() for level in levels]
+        self.floor = -float(np.log(seen[0][0] + 1.0))
         self.logs: list[Shards] = []
         self.backs: list[Shards] = []
         below = None
         for k, level in enumerate(levels):
-            ones = level.agg(*(F.sum((F.col(f"n{j}") == i).cast("long")) for i in (1, 2) for j in range(width))).first()
+            n, ones = seen[k][0], seen[k][1:]
             d = [one / (one + 2 * two) if one and two else 0.5 for one, two in zip(ones[:width], ones[width:], strict=True)]
             context = F.shiftrightunsigned("gram", 16)
             sums = [F.sum(f"n{j}").alias(f"t{j}") for j in range(width)] + [F.sum((F.col(f"n{j}") > 0).cast("double")).alias(f"k{j}") for j in range(width)]
@@ -179,9 +182,9 @@ class Models:
             own = [F.when(F.col(f"n{j}") > d[j], (F.col(f"n{j}") - d[j]) / F.col(f"t{j}")).otherwise(0.0) for j in range(width)]
             logs = [F.log(F.greatest(own[j] + F.col(f"b{j}") * lower[j], F.lit(1e-300))).alias(f"l{j}") for j in range(width)]
             done = materialize(rows.select("gram", *(f"n{j}" for j in range(width)), *logs), f"logs{k + 1}", folder)
-            self.logs.append(Shards(done.withColumnRenamed("gram", "key"), [f"l{j}" for j in range(width)]))
+            self.logs.append(Shards(done.withColumnRenamed("gram", "key"), [f"l{j}" for j in range(width)], n))
             weights = contexts.select(F.col("context").alias("key"), *(F.log(F.greatest(f"b{j}", F.lit(1e-12))).alias(f"b{j}") for j in range(width)))
-            self.backs.append(Shards(weights, [f"b{j}" for j in range(width)]))
+            self.backs.append(Shards(weights, [f"b{j}" for j in range(width)], n))  # no more contexts than n-grams
             below = done.select(F.col("gram").alias("low"), *(F.col(f"l{j}").alias(f"p{j}") for j in range(width)))
         # The mean and deviation of the cross-entropy per symbol, from the counts.
         moments = [F.sum(f"n{j}") for j in range(width)] + [F.sum(-F.col(f"n{j}") * F.col(f"l{j}")) for j in range(width)] + [F.sum(F.col(f"n{j}") * F.col(f"l{j}") * F.col(f"l{j}")) for j in range(width)]

@@ -190,7 +190,7 @@ class Models:
     """The differences of log-likelihoods by stem and by pair of stems, in one table."""
 
     def __init__(self, rows: DataFrame):
-        self.table = Shards(rows, ["gain"], np.float64)
+        self.table = Shards(rows, ["gain"], rows.count(), np.float64)
 
     def differences(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's difference, 0 for those without weight; the text of each."""

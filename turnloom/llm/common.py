@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds expanded at a time.
 SLICE_BYTES = 4 << 20
-#: Spark's bound on the bytes of an Arrow batch, and what it is while tables are written.
+#: Spark's bound on the bytes of an Arrow batch, and what operators set it to.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
@@ -26,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares (`spark.checkpoint.dir`).
 
     Where the setting is missing, only a local session gets a temporary folder: on a cluster
-    other machines could not see it.
+    other machines could not see it. The session's Arrow batches are bounded by bytes as well: texts may be
+    long, and the number of rows bounds no memory.
     """
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -47,15 +50,7 @@ def materialize(df: DataFrame, name: str, folder: str | None = None, compression
     """Writes a table to the shared folder and reads it back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{name}"
-    before = spark.conf.get(BATCH_SETTING, None)
-    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))  # rows may be long: their number bounds no memory
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(BATCH_SETTING)
-        else:
-            spark.conf.set(BATCH_SETTING, before)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,6 +63,19 @@ def discard(spark: SparkSession, folder: str, *kept: str) -> None:
             fs.delete(found.getPath(), True)
 
 
+#: How workers empty what they keep between batches.
+CACHES: list[Callable[[], None]] = []
+
+
+def at_rest() -> None:
+    """Gives back memory when a task has read its last batch, as idle workers stay beside those of later stages."""
+    for clear in CACHES:
+        clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about `most` bytes of `column`, or one row."""
     for batch in batches:
@@ -81,6 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    at_rest()
 
 
 def value_sizes(array: pa.Array) -> np.ndarray:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shared_dir, slices, texts
+from .common import CACHES, discard, materialize, shared_dir, slices, texts
 
 #: Words of a shingle, and the similarity in percent, of the query.
 WIDTH, PERCENT = 3, 90
@@ -63,6 +63,7 @@ class Hashes(dict):
 
 
 hashes = Hashes()
+CACHES.append(hashes.clear)
 
 
 @dataclass(frozen=True)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shared_dir, slices, texts
+from .common import CACHES, discard, materialize, shared_dir, slices, texts
 from .tokens import Pieces, loaded
 
 #: A chunk's characters, and matrices that are combined at a time.
@@ -50,6 +50,7 @@ class Lattice:
         self.scores, self.longest = self.pieces.scores, self.pieces.longest
         self.known: dict[tuple[str, str], bool] = {}
         self.wholes: dict[str, bool] = {}
+        CACHES.extend((self.known.clear, self.wholes.clear))
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text: best-scored merge first, leftmost of equals."""

@@ -12,6 +12,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .common import CACHES
+
 #: Chunks whose ids a worker keeps, in two generations of half as many. Bounds memory, not results.
 CACHE_ENTRIES = 100_000
 #: Chunks that the library is given as one text, and such texts (or chunks) that it is asked for at a time.
@@ -47,6 +49,10 @@ class ChunkIds:
     def __init__(self):
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        CACHES.append(self.clear)
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
     def asked(self, chunks: list[bytes]) -> list[bytes]:
         raise NotImplementedError

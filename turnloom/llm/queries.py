@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunks, decontaminate, jaccard, langid, neighbours, secrets, sentencepieces, tokenfiles, toxicity
+from . import articles, chat, chunks, compaction, decontaminate, jaccard, langid, neighbours, runs, secrets, sentencepieces, tokenfiles, toxicity
 from .common import table
 
 #: The id that ends each document in the token files.
@@ -60,9 +60,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.by_document(table(spark, sf_dir, "documents"))
 
 
+def op11_compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.document_plan(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.extract(table(spark, sf_dir, "pages"))
+
+
 ALL = (
     op1_neighbours, op2_secret_scan, op3_token_files, op4_decontamination, op5_toxicity,
     op6_jaccard_join, op7_language_id, op8_sentencepiece, op9_chat_format, op10_substring_dedup,
+    op11_compaction_plan, op12_periodic_runs, op13_main_text,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
@@ -103,4 +116,25 @@ _OP9 = f"""WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
   FROM f GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {op4_decontamination.__name__: _OP4, op6_jaccard_join.__name__: _OP6, op9_chat_format.__name__: _OP9}
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(a, b)), 4294967295))"""
+
+_OP11 = f"""WITH RECURSIVE d AS (SELECT coalesce(source, '') AS source, doc_id, coalesce(text, '') AS text, doc_id // 2000 AS block, coalesce({_CRC32.format("doc_id")}, 0) AS h FROM documents),
+  e AS (SELECT *, least(h % 8, h // 8 % 8) AS slot, h // 64 % 100 < 9 * ((least(h % 8, h // 8 % 8) + block) % 8) AS gone FROM d),
+  f AS (SELECT source, block, slot, count(*) AS n, count(*) FILTER (gone) AS g, sum(strlen(text)) AS bytes, count(*) FILTER (NOT gone) AS live_rows, coalesce(sum(strlen(text)) FILTER (NOT gone), 0) AS live_bytes FROM e GROUP BY ALL),
+  l AS (SELECT *, 100 * g >= 50 * n AS dirty, row_number() OVER (PARTITION BY source ORDER BY block, slot) AS i FROM f WHERE 100 * g >= 50 * n OR 4 * bytes < 3 * 131072),
+  r AS (SELECT source, i, block, slot, live_bytes AS c, block AS fb, slot AS fs FROM l WHERE i = 1
+    UNION ALL SELECT l.source, l.i, l.block, l.slot, CASE WHEN c + live_bytes > 131072 THEN live_bytes ELSE c + live_bytes END,
+      CASE WHEN c + live_bytes > 131072 THEN l.block ELSE fb END, CASE WHEN c + live_bytes > 131072 THEN l.slot ELSE fs END FROM r JOIN l ON l.source = r.source AND l.i = r.i + 1),
+  q AS (SELECT r.source, fb, fs, count(*) AS n_files, sum(live_rows) AS live_rows, sum(bytes) AS bytes, sum(live_bytes) AS live_bytes FROM r JOIN l USING (source, i) GROUP BY ALL HAVING count(*) >= 2 OR bool_or(dirty)),
+  o AS (SELECT *, row_number() OVER w - 1 AS k, sum(bytes) OVER w AS upto, sum(bytes) OVER () AS whole FROM q WINDOW w AS (ORDER BY n_files DESC, bytes, source, fb, fs)),
+  c AS (SELECT * FROM o WHERE 100 * upto <= 30 * whole),
+  m AS (SELECT r.source, r.block, r.slot, c.fb, c.fs FROM r JOIN c ON r.source = c.source AND r.fb = c.fb AND r.fs = c.fs),
+  u AS (SELECT source, fb AS block, fs AS slot, n_files, live_rows, bytes, bytes + live_bytes + 4096 * n_files AS cost, k // 4 AS wave FROM c
+    UNION ALL SELECT source, block, slot, 1, live_rows, bytes, NULL, NULL FROM f WHERE (source, block, slot) NOT IN (SELECT (source, block, slot) FROM m)),
+  s AS (SELECT e.source, coalesce(fb, e.block) AS block, coalesce(fs, e.slot) AS slot, sha256(string_agg(doc_id || ':' || text || chr(10), '' ORDER BY doc_id, text)) AS h
+    FROM e LEFT JOIN m ON e.source = m.source AND e.block = m.block AND e.slot = m.slot WHERE NOT gone GROUP BY ALL)
+  SELECT u.source, CAST(u.block AS BIGINT) AS block, CAST(u.slot AS BIGINT) AS slot, CAST(n_files AS BIGINT) AS n_files, CAST(live_rows AS BIGINT) AS live_rows, CAST(bytes AS BIGINT) AS bytes,
+    CAST(cost AS BIGINT) AS cost, CAST(wave AS BIGINT) AS wave, coalesce(s.h, sha256('')) AS live_sha256 FROM u LEFT JOIN s ON u.source = s.source AND u.block = s.block AND u.slot = s.slot"""
+
+ORACLE_SQL: dict[str, str] = {op11_compaction_plan.__name__: _OP11, op4_decontamination.__name__: _OP4, op6_jaccard_join.__name__: _OP6, op9_chat_format.__name__: _OP9}

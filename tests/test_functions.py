@@ -1,6 +1,10 @@
 import random
+import time
+from difflib import SequenceMatcher
 
-from turnloom.functions import edits, grammar, names, spoken
+import pytest
+
+from turnloom.functions import blocks, edits, grammar, names, spoken
 from turnloom.functions import text as T
 from turnloom.sources import transcripts
 
@@ -31,6 +35,58 @@ def test_edit_counts_match_the_plain_table():
         assert edits.edit_counts(a, b)[:4] == plain_edits(a, b)
 
 
+def changed(rng, a, alphabet, share):
+    """The items with about a share dropped, inserted or replaced."""
+    out = []
+    for x in a:
+        r = rng.random() / share
+        if r < 2 / 3:
+            out.append(rng.randrange(alphabet))
+        if not 1 / 3 <= r < 1:
+            out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("band", [0, 1, 5, 62])
+def test_edit_counts_do_not_depend_on_the_first_band(monkeypatch, band):
+    monkeypatch.setattr(edits, "BAND", band)
+    rng = random.Random(band)
+    for _ in range(400):
+        k = rng.choice([1, 2, 3, 30])
+        a = [rng.randrange(k) for _ in range(rng.randint(0, 40))]
+        b = changed(rng, a, k + 1, rng.choice([0.05, 0.3, 0.9])) if rng.random() < 0.6 else [rng.randrange(k) for _ in range(rng.randint(0, 40))]
+        assert edits.edit_counts(a, b)[:4] == plain_edits(a, b), (a, b)
+    assert edits.edit_counts([1] * 70, [2] * 3 + [1] * 60)[:4] == plain_edits([1] * 70, [2] * 3 + [1] * 60)
+
+
+@pytest.mark.parametrize("few", [0, 3, 12])
+def test_blocks_equal_those_of_difflib(monkeypatch, few):
+    monkeypatch.setattr(blocks, "FEW", few)
+    rng = random.Random(few)
+    for i in range(2500):
+        k = rng.choice([1, 2, 3, 5, 20])
+        a = [rng.randrange(k) for _ in range(rng.randint(0, 30))]
+        b = changed(rng, a, k, 0.3) if i % 2 else [rng.randrange(k) for _ in range(rng.randint(0, 30))]
+        if i % 3 == 0:
+            a = a[:3] * rng.randint(1, 12)
+        if i % 7 == 0:
+            b = a[:2] * rng.randint(1, 12)
+        s = SequenceMatcher(None, a, b, autojunk=False)
+        assert blocks.matching(a, b) == [tuple(x) for x in s.get_matching_blocks()][:-1], (a, b)
+        assert (blocks.steps(a, b), blocks.ratio(a, b)) == (s.get_opcodes(), s.ratio())
+
+
+def test_blocks_of_long_and_periodic_texts_take_seconds():
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(20_000)}" for _ in range(100_000)]
+    began = time.time()
+    every = blocks.matching(words, ["-" if i % 10 == 9 else w for i, w in enumerate(words)])
+    assert sum(k for _, _, k in every) == 90_000
+    assert sum(k for _, _, k in blocks.matching(words, [w for i, w in enumerate(words) if i % 7])) > 85_000
+    assert blocks.matching([1, 2] * 50_000, [1, 2] * 20_000 + [3] + [2, 1] * 30_000) == [(0, 0, 1), (1, 40_001, 60_000)]
+    assert time.time() - began < 60
+
+
 def test_error_rates():
     assert edits.word_error("I go to school", "I went to school") == 0.25
     assert edits.word_error("it's fine", "it’s fine") == 0

@@ -7,13 +7,12 @@ MOST_CELLS of the table they come from longest common blocks and say so.
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import regex
 
-from . import spoken
+from . import blocks, spoken
 from .udf import vectorized
 
 #: Cells of an edit table (reference length times hypothesis length) that are computed exactly.
@@ -24,10 +23,6 @@ _MARK = regex.compile(r"(?<=[\p{L}\p{N}_])@!")
 _ANNOTATED = regex.compile(r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)(@!)?")
 
 
-def matcher(a, b) -> SequenceMatcher:
-    return SequenceMatcher(None, a, b, autojunk=False)
-
-
 def token_overlap(a: str, b: str) -> float:
     from collections import Counter
 
@@ -47,7 +42,7 @@ def difference_rate(a: str, b: str) -> float:
 def similarity(a: str | None, b: str | None) -> float:
     """0.65 of the ratio of matching characters plus 0.35 of the words' Jaccard; not symmetric."""
     x, y = spoken.normalized(a), spoken.normalized(b)
-    return 0.65 * matcher(x, y).ratio() + 0.35 * token_overlap(x, y) if x and y else 0.0
+    return 0.65 * blocks.ratio(x, y) + 0.35 * token_overlap(x, y) if x and y else 0.0
 
 
 def agreement(texts: list[str]) -> float:
@@ -71,66 +66,84 @@ def encoded(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
 def edit_counts(ref, hyp) -> tuple[int, int, int, int, int]:
     """(substitutions, deletions, insertions, correct, approximate) that turn ref into hyp.
 
-    One row of the table is kept. A cell is one integer, (cost, substitutions, insertions) side by
-    side; the rest follows, since substitutions + deletions + correct = len(ref). Rows are handled as
-    vectors: substitutions and deletions come from the row above, insertions as a running minimum.
+    Only a band of diagonals is computed. A path of cost t leaves it neither by its deletions nor by its insertions, so a
+    result of at most t is final; else the band doubles. All cells of cheapest paths are exact then, and a cell outside
+    of them can only look dearer, so ties fall as in the whole table.
     """
     n, m = len(ref), len(hyp)
     if n * m > MOST_CELLS:
         return *block_counts(ref, hyp), 1
     if not n or not m:
         return 0, n, m, 0, 0
-    a, b = encoded(ref, hyp)
-    cost, subs, ins = np.arange(m + 1), np.zeros(m + 1, np.int64), np.arange(m + 1)
-    place = np.arange(m + 1)
-    for i in range(n):
-        equal = b == a[i]
-        # From above: the diagonal where equal, else the better of diagonal and deletion (ties: diagonal).
-        down = cost[1:] + 1
-        diagonal = cost[:-1] + ~equal
-        slant = equal | (diagonal <= down)
-        base = np.empty(m + 1, np.int64)
-        base[0], base[1:] = cost[0] + 1, np.where(slant, diagonal, down)
-        s = np.empty(m + 1, np.int64)
-        s[0], s[1:] = subs[0], np.where(slant, subs[:-1] + ~equal, subs[1:])
-        k = np.empty(m + 1, np.int64)
-        k[0], k[1:] = ins[0], np.where(slant, ins[:-1], ins[1:])
-        # An insertion wins only if it costs strictly less; equal items never insert.
-        level = base - place
-        fixed = np.concatenate([[True], equal])
-        best = running_minimum(level, fixed)
-        cost = level[best] + place
-        subs, ins = s[best], k[best] + (place - best)
-    return int(subs[m]), int(n - m + ins[m]), int(ins[m]), int(m - subs[m] - ins[m]), 0
-
-
-def running_minimum(level: np.ndarray, fixed: np.ndarray) -> np.ndarray:
-    """For each place the one that its value comes from: itself, or by insertions the nearest before with a smaller level.
-
-    Where `fixed` (equal items), the place itself counts whatever stands before.
+    t = max(BAND, abs(n - m))
+    while True:
+        deletions, insertions = min(n, (t + n - m) // 2), min(m, (t + m - n) // 2)
+        cost, rows = band(ref, hyp, deletions, insertions)
+        if cost <= t or deletions == n and insertions == m:
+            return *walked(ref, hyp, deletions, rows), 0
+        t = 2 * t + 1
+
+
+#: Errors for which the first band is wide enough.
+BAND = 62
+
+
+def band(ref, hyp, left: int, right: int) -> tuple[int, list[tuple[int, int]]]:
+    """The cost, and the rows of the table of edits, on diagonals from -left to right.
+
+    A row is two integers. Bit k stands for hypothesis item i - left + k beside reference item i (both from 1): in the one, whether
+    the cell costs what the one before both costs; in the other, whether it costs one more than the cell above. Rows follow
+    from each other by a few operations on whole integers (Myers's and Hyyro's rules). Before the first item of the hypothesis
+    the table is as if nothing there were equal.
     """
-    n = len(level)
-    out = np.empty(n, np.int64)
-    if fixed.sum() == 1:
-        low = np.minimum.accumulate(level)
-        new = np.concatenate([[True], level[1:] <= low[:-1]])
-        return np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    starts = np.flatnonzero(fixed)
-    # A minimum that starts anew at each fixed place: levels are shifted so that later runs lie lower.
-    run = np.cumsum(fixed)
-    span = int(level.max() - level.min()) + 1
-    shifted = level - run * span
-    low = np.minimum.accumulate(shifted)
-    new = np.concatenate([[True], shifted[1:] <= low[:-1]])
-    new[starts] = True
-    np.maximum.accumulate(np.where(new, np.arange(n), 0), out=out)
-    return out
+    width, m = left + right + 1, len(hyp)
+    whole = (1 << width) - 1
+    places: dict = {}
+    for j, x in enumerate(hyp):
+        places[x] = places.get(x, 0) | 1 << j
+    # Whether a cell costs one more, or one less, than the one to its left; aligned with the next row.
+    more, less = whole & ~((1 << left) - 1), 0
+    rows, lowest = [], 0
+    for i, x in enumerate(ref):
+        at = places.get(x, 0)
+        at = (at >> i - left if i >= left else at << left - i) & whole
+        same = ((((at & more) + more) ^ more) | at | less) & whole
+        above = less | whole ^ (same | more)
+        below = same & more
+        lowest += not same & 1
+        more, less = below | whole ^ (same >> 1 | above), same >> 1 & above
+        rows.append((same, above))
+    upto = (1 << m - len(ref) + left) - 1
+    return lowest + (more & upto).bit_count() - (less & upto).bit_count(), rows
+
+
+def walked(ref, hyp, left: int, rows: list[tuple[int, int]]) -> tuple[int, int, int, int]:
+    """(substitutions, deletions, insertions, correct) along the path from the ends: equal items and substitutions first, then deletions."""
+    i, j = len(ref), len(hyp)
+    s = d = c = 0
+    while i and j:
+        if ref[i - 1] == hyp[j - 1]:
+            c += 1
+            i, j = i - 1, j - 1
+            continue
+        same, above = rows[i - 1]
+        bit = 1 << j - i + left
+        if not same & bit:
+            s += 1
+            i, j = i - 1, j - 1
+        elif above & bit:
+            d += 1
+            i -= 1
+        else:
+            j -= 1
+    d += i
+    return s, d, len(hyp) - s - c, c
 
 
 def block_counts(ref, hyp) -> tuple[int, int, int, int]:
     """Counts by longest common blocks: of unequal stretches, the shorter side counts as substitutions."""
     s = d = i = c = 0
-    for tag, a, b, x, y in matcher(ref, hyp).get_opcodes():
+    for tag, a, b, x, y in blocks.steps(ref, hyp):
         left, right = b - a, y - x
         if tag == "equal":
             c += left
@@ -199,8 +212,8 @@ def event_matches(ref: str | None, hyp: str | None) -> tuple[int, int, int]:
     left, right = spoken.events(ref), spoken.events(hyp)
     a, b = spoken.words(ref), spoken.words(hyp)
     to = np.full(len(a) + 1, -1)
-    for block in matcher(a, b).get_matching_blocks():
-        to[block.a : block.a + block.size] = np.arange(block.b, block.b + block.size)
+    for i, j, k in blocks.matching(a, b):
+        to[i : i + k] = np.arange(j, j + k)
     aligned = np.flatnonzero(to[:-1] >= 0) if len(a) else np.zeros(0, int)
     free = dict(enumerate(right))
     matched = 0
@@ -295,7 +308,7 @@ def different_spans(a: str | None, b: str | None) -> list[tuple[int, int, int, i
         at = found[i].start() if i < len(found) else len(s or "")
         return at, at
 
-    codes = matcher([m[0].casefold() for m in x], [m[0].casefold() for m in y]).get_opcodes()
+    codes = blocks.steps([m[0].casefold() for m in x], [m[0].casefold() for m in y])
     return [(*span(x, i, j, a), *span(y, k, m, b)) for tag, i, j, k, m in codes if tag != "equal"]
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import edits, names, spoken
+from ..functions import blocks, edits, names, spoken
 from ..functions import text as T
 from .spread import spread
 from . import intervals
@@ -77,7 +77,7 @@ def word_owners(source: list[str], target: list[str], owners: list[int]) -> list
     out: list[tuple[int, int] | None] = [None] * len(source)
     if not target:
         return out
-    for tag, a, b, x, y in edits.matcher(source, target).get_opcodes():
+    for tag, a, b, x, y in blocks.steps(source, target):
         for i in range(a, b):
             if tag == "equal":
                 out[i] = owners[x + i - a], EXACT

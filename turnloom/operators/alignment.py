@@ -283,14 +283,14 @@ def first_turns(segments: DataFrame) -> DataFrame:
     return made.withColumns({c: nan(c) for c in ("start", "end", "model_confidence")})
 
 
-def nearest_turn(turns: DataFrame, moments: DataFrame, width: float = 600.0) -> DataFrame:
+def nearest_turn(turns: DataFrame, moments: DataFrame) -> DataFrame:
     """(project_id, moment_id, turn_id): the turn around each moment (most centred), else the nearest edge; ties: the earlier turn.
 
-    Moments meet only the turns of their time bin (`width` seconds) and the edges next to them in sorted time.
+    Moments meet only the turns of their index cells and the edges next to them in sorted time.
     """
     t = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL").select("project_id", "turn_id", F.col("start").alias("s"), F.col("end").alias("e"))
     m = moments.select("project_id", "moment_id", "moment")
-    around = m.withColumn("bin", F.floor(F.col("moment") / width)).join(intervals.binned(t.where("e >= s"), "s", "e", width), ["project_id", "bin"]).where("moment BETWEEN s AND e")
+    around = intervals.at_cells(m, "moment").join(intervals.in_cells(t.where("e >= s"), "s", "e"), ["project_id", *intervals.CELLS]).where("moment BETWEEN s AND e")
     middle = F.abs(F.col("moment") - (F.col("s") + F.col("e")) / 2)
     held = around.groupBy("project_id", "moment_id").agg(F.min_by("turn_id", F.struct(middle.alias("f"), "turn_id")).alias("held"))
     none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)

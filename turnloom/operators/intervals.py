@@ -1,6 +1,6 @@
 """Intervals: overlaps of turns, owners of delays, framed signals and runs of silence.
 
-Range conditions always come with an equality (the project, and where intervals are many a time bin),
+Range conditions always come with an equality (the project, and cells of a time index of several levels),
 so that joins are hash or sort-merge joins and never nested loops over everything.
 """
 
@@ -22,21 +22,69 @@ def time_iou(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(whole, F.greatest(F.lit(0.0), F.least(b, d) - F.greatest(a, c)) / hull).otherwise(0.0)
 
 
-def binned(df: DataFrame, start: str, end: str, width: float, name: str = "bin") -> DataFrame:
-    """A row for each time bin that an interval touches."""
-    first, last = F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width)
-    return df.withColumn(name, F.explode(F.sequence(first, last)))
+#: Seconds of an index cell of the lowest level, cells that one of the next level holds, levels, and seconds that times are cut to.
+CELL, FAN, LEVELS, FARTHEST = 600.0, 64, 5, 1e13
 
 
-def overlapping_ids(turns: DataFrame, key: str = "turn_id", speaker: str = "speaker_raw", width: float = 600.0) -> DataFrame:
+def leaf(x: Column) -> Column:
+    """The cell of the lowest level that holds a moment."""
+    return F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), x)) / CELL)
+
+
+def covering(start: Column, end: Column) -> Column:
+    """Index cells (level, cell) that cover an interval, start and end included.
+
+    Cells are as large as fits, so even the longest intervals have less than 2 * FAN of a level. Each moment
+    of the interval lies in one of its cells exactly.
+    """
+    none = F.array().cast("array<bigint>")
+    cells = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+
+    def of_level(k: int, first: Column, last: Column) -> Column:
+        # What is made of whole cells of this level, and of the next.
+        a, b = (F.ceil(first / FAN**k), F.floor((last + 1) / FAN**k) - 1) if k else (first, last)
+        c, d = F.ceil(first / FAN ** (k + 1)), F.floor((last + 1) / FAN ** (k + 1)) - 1
+        own = cells(a, b) if k == LEVELS - 1 else F.when(c > d, cells(a, b)).otherwise(F.concat(cells(a, c * FAN - 1), cells((d + 1) * FAN, b)))
+        return F.transform(own, lambda x: F.struct(F.lit(k).alias("level"), x.alias("cell")))
+
+    # Bound once by a lambda, so that what times are computed from is not repeated for each level.
+    ends = F.array(F.struct(leaf(start).alias("first"), leaf(F.greatest(start, end)).alias("last")))
+    return F.get(F.transform(ends, lambda x: F.concat(*(of_level(k, x["first"], x["last"]) for k in range(LEVELS)))), 0)
+
+
+def holding(moment: Column) -> Column:
+    """Index cells (level, cell) that hold a moment, one of each level."""
+    return F.transform(F.array(*(F.lit(k) for k in range(LEVELS))), lambda k: F.struct(k.alias("level"), F.floor(leaf(moment) / F.pow(F.lit(float(FAN)), k)).alias("cell")))
+
+
+def located(df: DataFrame, cells: Column, *more: str) -> DataFrame:
+    """A row for each cell (level_, cell_)."""
+    return df.select("*", F.inline(cells).alias(*CELLS, *more))
+
+
+def in_cells(df: DataFrame, start: str, end: str) -> DataFrame:
+    return located(df, covering(F.col(start), F.col(end)))
+
+
+def at_cells(df: DataFrame, moment: str) -> DataFrame:
+    return located(df, holding(F.col(moment)))
+
+
+#: What moments and intervals are joined by, besides the project.
+CELLS = ["level_", "cell_"]
+
+
+def overlapping_ids(turns: DataFrame, key: str = "turn_id", speaker: str = "speaker_raw") -> DataFrame:
     """(project_id, key) of timed turns that share more than OVERLAP seconds with another speaker's."""
-    timed = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL").select("project_id", key, speaker, F.col("start").alias("s"), F.col("end").alias("e"))
-    # Turns that share time share the bin of the later start.
-    a = binned(timed.where("e > s"), "s", "e", width)
-    b = a.select("project_id", "bin", F.col(key).alias("k2"), F.col(speaker).alias("w2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    hit = (F.col(key) != F.col("k2")) & ~F.col(speaker).eqNullSafe(F.col("w2")) & (F.least("e", "e2") - F.greatest("s", "s2") > OVERLAP)
-    joined = a.alias("a").join(b.alias("b"), (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.bin") == F.col("b.bin")) & hit, "left_semi")
-    return joined.select("project_id", key).distinct()
+    timed = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL AND `end` > `start`").select("project_id", key, speaker, F.col("start").alias("s"), F.col("end").alias("e"))
+    # Of two turns that share time, one holds the start of the other: cells about a turn (0) meet cells of starts (1).
+    kind = lambda cells, k: F.transform(cells, lambda c: F.struct(c["level"].alias("level"), c["cell"].alias("cell"), F.lit(k).alias("kind")))
+    cells = located(timed, F.concat(kind(covering(F.col("s"), F.col("e")), 0), kind(holding(F.col("s")), 1)), "kind_")
+    same = F.col("a.kind_") == 1 - F.col("b.kind_")
+    for c in ("project_id", *CELLS):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    hit = (F.col(f"a.{key}") != F.col(f"b.{key}")) & ~F.col(f"a.{speaker}").eqNullSafe(F.col(f"b.{speaker}")) & (F.least("a.e", "b.e") - F.greatest("a.s", "b.s") > OVERLAP)
+    return cells.alias("a").join(cells.alias("b"), same & hit, "left_semi").select("project_id", key).distinct()
 
 
 def mark_overlaps(turns: DataFrame) -> DataFrame:
@@ -46,7 +94,7 @@ def mark_overlaps(turns: DataFrame) -> DataFrame:
     return out.withColumn("overlapping_speech", F.coalesce("hit_", F.lit(False))).drop("hit_")
 
 
-def delay_owners(turns: DataFrame, delays: DataFrame, width: float = 600.0) -> DataFrame:
+def delay_owners(turns: DataFrame, delays: DataFrame) -> DataFrame:
     """Which turn each delay belongs to.
 
     turns: project_id, turn_id, start, end, label (normalized, '' if unknown); delays: project_id,
@@ -54,19 +102,19 @@ def delay_owners(turns: DataFrame, delays: DataFrame, width: float = 600.0) -> D
     previous_turn_id, following_turn_id. In this order: the first boundary between different known
     speakers inside the delay makes a response gap; the shortest (then most centred) turn around the
     delay's middle owns a pause; else the turn before owns it, unless speakers change or there is none.
-    Delays meet only the turns of their time bins (`width` seconds) and their neighbours in sorted time.
+    Delays meet only the turns of their index cells and their neighbours in sorted time.
     """
     w = Window.partitionBy("project_id").orderBy("start", "end", "turn_id")
     timed = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL AND `end` >= `start`").select("project_id", "turn_id", "start", "end", "label")
     t = timed.withColumn("rn", F.row_number().over(w))
     t = t.select("*", *(F.lead(c).over(w).alias(f"n_{c}") for c in ("turn_id", "start", "label")))
     d = delays.select("project_id", "delay_id", F.col("start").alias("ds"), F.col("end").alias("de")).withColumn("mid", (F.col("ds") + F.col("de")) / 2)
-    key = ["project_id", "bin"]
+    key = ["project_id", *CELLS]
     change = (F.col("end") <= F.col("n_start")) & (F.col("label") != "") & (F.col("n_label") != "") & (F.col("label") != F.col("n_label"))
-    edges = t.where(change).withColumn("edge", (F.col("end") + F.col("n_start")) / 2).withColumn("bin", F.floor(F.col("edge") / width))
-    inside = binned(d, "ds", "de", width).join(edges, key).where("edge BETWEEN ds AND de")
+    edges = at_cells(t.where(change).withColumn("edge", (F.col("end") + F.col("n_start")) / 2), "edge")
+    inside = in_cells(d, "ds", "de").join(edges, key).where("edge BETWEEN ds AND de")
     r1 = inside.groupBy("project_id", "delay_id").agg(F.min_by(F.struct(F.col("turn_id").alias("p"), F.col("n_turn_id").alias("f")), "rn").alias("r1"))
-    around = d.withColumn("bin", F.floor(F.col("mid") / width)).join(binned(t, "start", "end", width), key).where("mid BETWEEN `start` AND `end`")
+    around = at_cells(d, "mid").join(in_cells(t, "start", "end"), key).where("mid BETWEEN `start` AND `end`")
     off = F.abs(F.col("mid") - (F.col("start") + F.col("end")) / 2)
     r2 = around.groupBy("project_id", "delay_id").agg(F.min_by("turn_id", F.struct(F.col("end") - F.col("start"), off, F.col("rn"))).alias("r2"))
     # The last turn that ends by the middle and the first that starts from it on: two sweeps over sorted times.
@@ -99,6 +147,16 @@ def delay_owners(turns: DataFrame, delays: DataFrame, width: float = 600.0) -> D
     )
 
 
+def frame_bounds(spans: DataFrame, samples: Column, seconds: float) -> DataFrame:
+    """Intervals (start, end in seconds, null: the ends; rate) cut to the recording, `lo` to `hi`, as samples `a` to `b`, and the `size` of a frame."""
+    total = samples / F.col("rate")
+    lo = F.least(total, F.greatest(F.lit(0.0), F.coalesce("start", F.lit(0.0))))
+    hi = F.least(total, F.greatest(F.lit(0.0), F.coalesce("end", total)))
+    a, b = F.ceil(lo * F.col("rate")), F.floor(hi * F.col("rate"))
+    size = F.greatest(F.lit(1), F.bround(F.lit(seconds) * F.col("rate")).cast("long"))
+    return spans.select("*", lo.alias("lo"), hi.alias("hi"), a.alias("a"), b.alias("b"), size.alias("size")).where("hi > lo AND b > a")
+
+
 def frames(signals: DataFrame, seconds: float = 0.02) -> DataFrame:
     """(audio_id, interval_index, frame, start_frame, end_frame, dbfs) of interval signals.
 
@@ -106,12 +164,7 @@ def frames(signals: DataFrame, seconds: float = 0.02) -> DataFrame:
     in units of full scale. The interval is cut to the recording, rounded inwards to samples and cut
     into frames; the last may be shorter. Digital silence has null dbfs.
     """
-    total = F.size("samples") / F.col("rate")
-    lo = F.least(total, F.greatest(F.lit(0.0), F.coalesce("start", F.lit(0.0))))
-    hi = F.least(total, F.greatest(F.lit(0.0), F.coalesce("end", total)))
-    a, b = F.ceil(lo * F.col("rate")), F.floor(hi * F.col("rate"))
-    step = F.greatest(F.lit(1), F.bround(F.lit(seconds) * F.col("rate")).cast("long"))
-    out = signals.select("*", lo.alias("lo"), hi.alias("hi"), a.alias("a"), b.alias("b"), step.alias("step")).where("hi > lo AND b > a")
+    out = frame_bounds(signals, F.size("samples"), seconds).withColumnRenamed("size", "step")
     out = out.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a") - 1) / F.col("step")))))
     out = out.withColumn("start_frame", F.col("a") + F.col("frame") * F.col("step")).withColumn("end_frame", F.least(F.col("b"), F.col("start_frame") + F.col("step")))
     part = F.slice("samples", (F.col("start_frame") + 1).cast("int"), (F.col("end_frame") - F.col("start_frame")).cast("int"))
@@ -124,15 +177,36 @@ def dbfs(rms: Column) -> Column:
     return F.when(rms > 0, 20 * F.log10(rms))
 
 
-def silent_runs(framed: DataFrame, threshold: float = -45.0, least: float = 0.3, edges: bool = False, padding: float = 0.05) -> DataFrame:
-    """Runs of silent frames that last long enough, away from the interval's edges unless `edges`."""
-    w = Window.partitionBy("audio_id", "interval_index").orderBy("frame")
+#: Frames of a stretch that is searched for runs by itself; stretches whose runs are merged by themselves.
+STRETCH, STRETCHES = 4096, 4096
+
+
+def silent_runs(
+    framed: DataFrame, threshold: float = -45.0, least: float = 0.3, edges: bool = False, padding: float = 0.05, stretch: int = STRETCH, stretches: int = STRETCHES
+) -> DataFrame:
+    """Runs of silent frames that last long enough, away from the interval's edges unless `edges`.
+
+    Stretches of frames are searched apart. What goes on across the border of stretches is merged for
+    many stretches at a time, and then across these; so no window holds a whole recording's frames or runs.
+    """
+    key = ["audio_id", "interval_index"]
     silent = F.col("dbfs").isNull() | (F.col("dbfs") <= threshold)
-    f = framed.withColumn("silent", silent).withColumn("rn", F.row_number().over(w))
-    f = f.where("silent").withColumn("run", F.col("rn") - F.row_number().over(w))
-    runs = f.groupBy("audio_id", "interval_index", "lo", "hi", "rate", "run").agg(
-        F.min("start_frame").alias("sf"), F.max("end_frame").alias("ef"), F.max("dbfs").alias("loudest_frame_dbfs")
-    )
+    f = framed.where(silent).withColumn("node", F.floor(F.col("frame") / stretch))
+    island = F.col("frame") - F.row_number().over(Window.partitionBy(*key, "node").orderBy("frame"))
+    figures = [F.min("sf").alias("sf"), F.max("ef").alias("ef"), F.max("loudest_frame_dbfs").alias("loudest_frame_dbfs"), F.min("first").alias("first"), F.max("last").alias("last")]
+    runs = f.select(*key, "lo", "hi", "rate", "node", island.alias("run"), F.col("start_frame").alias("sf"), F.col("end_frame").alias("ef"), F.col("dbfs").alias("loudest_frame_dbfs"), F.col("frame").alias("first"), F.col("frame").alias("last"))
+    runs = runs.groupBy(*key, "lo", "hi", "rate", "node", "run").agg(*figures)
+    size = stretch
+    for up in (stretches, None):
+        # Runs that touch a border of their stretch may go on; the others are each by themselves.
+        low = F.col("node") * size
+        touches = F.coalesce((F.col("first") == low) | (F.col("last") == low + size - 1), F.lit(False))
+        node = F.lit(0).cast("long") if up is None else F.floor(F.col("node") / up)
+        runs = runs.withColumns({"node": F.when(touches, node), "alone": F.when(~touches, F.col("first"))})
+        w = Window.partitionBy(*key, "node", "alone").orderBy("first")
+        runs = runs.withColumn("run", F.coalesce(F.lag("last").over(w) + 1 != F.col("first"), F.lit(True)).cast("long")).withColumn("run", F.sum("run").over(w))
+        runs = runs.groupBy(*key, "lo", "hi", "rate", "node", "alone", "run").agg(*figures).drop("alone")
+        size *= up or 1
     runs = runs.withColumn("start_seconds", F.col("sf") / F.col("rate")).withColumn("end_seconds", F.col("ef") / F.col("rate"))
     runs = runs.withColumn("duration_seconds", F.col("end_seconds") - F.col("start_seconds"))
     runs = runs.where(F.col("duration_seconds") + 0.5 / F.col("rate") >= least)
@@ -159,7 +233,12 @@ def signal_levels(signals: DataFrame, block: float = 0.05, least_block: int = 64
     out = signals.where(n > 0).withColumn("rms", rms(F.col("samples"))).withColumn("size_", size).withColumn("unit_", unit)
     starts = F.sequence(F.lit(1), n, F.col("size_"))
     loud = F.array_sort(F.filter(F.transform(starts, lambda i: rms(F.slice("samples", i, F.col("size_")))), lambda x: x > 0))
-    out = out.withColumn("blocks", loud).withColumn("few", F.greatest(F.lit(1), F.floor(F.size("blocks") / 10).cast("int")))
+    return levels_of_blocks(out.withColumn("blocks", loud))
+
+
+def levels_of_blocks(found: DataFrame) -> DataFrame:
+    """Levels from `rms` of intervals, the ascending `blocks` of levels above silence, and `unit_`, below which none counts."""
+    out = found.withColumn("few", F.greatest(F.lit(1), F.floor(F.size("blocks") / 10).cast("int")))
     noise = F.aggregate(F.slice("blocks", 1, F.col("few")), F.lit(0.0), lambda s, x: s + x) / F.col("few")
     level, floor = F.greatest("rms", "unit_"), F.greatest(noise, F.col("unit_"))
     return out.select(
@@ -187,7 +266,11 @@ def detected_delays(audio: DataFrame, threshold: float = -45.0, least: float = 0
     """(project_id, delay_id, start, end): silences of each project's recording, in order of time."""
     none = F.lit(None).cast("double")
     whole = audio.select(F.col("project_id").alias("audio_id"), F.lit(0).alias("interval_index"), none.alias("start"), none.alias("end"), "rate", "samples")
-    runs = silent_runs(frames(whole), threshold, least)
+    return as_delays(silent_runs(frames(whole), threshold, least))
+
+
+def as_delays(runs: DataFrame) -> DataFrame:
+    """Silent runs as a project's delays, in order of time."""
     nth = F.row_number().over(Window.partitionBy("audio_id").orderBy("start_seconds"))
     return runs.select(F.col("audio_id").alias("project_id"), nth.alias("delay_id"), F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"))
 

@@ -53,8 +53,8 @@ def transcribe(segments: DataFrame, projects: DataFrame, delays: DataFrame | Non
 
     segments: schemas.SEGMENTS with source 'model' and any of zoom, chatgpt, gold. projects:
     project_id, conversation_type, learner_id, speaker_mapping. delays: project_id, delay_id, start, end.
-    recordings: project_id, rate, samples and perhaps unit (see sources.audio); with them turns get
-    their levels, and silences are the delays if none are given.
+    recordings: project_id and what sources.audio.recordings gives, or, of short ones, rate, samples and perhaps
+    unit; with them turns get their levels, and silences are the delays if none are given.
     """
     first = schemas.turns(intervals.mark_overlaps(alignment.first_turns(segments)))
     aligned = alignment.align_all(first, segments)
@@ -67,8 +67,9 @@ def transcribe(segments: DataFrame, projects: DataFrame, delays: DataFrame | Non
     merged, _ = turn_ops.consolidate(t.withColumn("label_n_", T.normalized(F.col("speaker"))), F.col("label_n_"))
     merged = schemas.turns(intervals.mark_overlaps(merged.drop("label_n_"))).persist()
     if recordings is not None:
-        merged = schemas.turns(intervals.turn_levels(merged, recordings, audio.thinned)).persist()
-        delays = delays if delays is not None else intervals.detected_delays(recordings)
+        files = "path" in recordings.columns
+        merged = schemas.turns(audio.turn_levels(merged, recordings) if files else intervals.turn_levels(merged, recordings, audio.thinned)).persist()
+        delays = delays if delays is not None else (audio if files else intervals).detected_delays(recordings)
     spark = segments.sparkSession
     events = spark.createDataFrame([], schemas.EVENTS)
     if delays is not None:

@@ -115,7 +115,7 @@ def test_languages_do_not_depend_on_shards(languages, monkeypatch):
 # --- toxicity
 
 
-def plain_stems(text):
+def plain_words(text):
     out, word = [], ""
     for c in (text or "").lower() + "\n":
         own = any(a <= ord(c) <= b for a, b in toxicity.UNSPACED) and c.isalnum()
@@ -123,50 +123,47 @@ def plain_stems(text):
             word += c
             continue
         if word:
-            out.append(word[: toxicity.STEM])
+            out.append(word)
         word = ""
         if own:
             out.append(c)
     return out
 
 
-def plain_gains(rows, labels):
-    counts = [Counter(), Counter()]
-    for i, text in rows:
-        if i in labels and text is not None and fold(i, 4) not in (toxicity.HELD_OUT, toxicity.CALIBRATED):
-            s = plain_stems(text)
-            counts[0 if labels[i] else 1].update(set(zip(["^", *s], s, strict=False)))
-    over = lambda n: max(n - toxicity.DISCOUNT, 0)
-    single = [Counter(w for _, w in c) for c in counts]
-    every = sum(map(len, counts))
-    own = [sum(over(n) for n in c.values()) for c in single]
-    a = sum(min(n, toxicity.DISCOUNT) for c in single for n in c.values()) / every
-    both = {w: (single[0][w] + single[1][w]) / every for w in single[0] | single[1]}
-    p = [{w: (1 - a) * over(c[w]) / o + a * both[w] if o else both[w] for w in both} for c, o in zip(single, own, strict=True)]
-    seen, kept, mine = Counter(), Counter(), [Counter(), Counter()]
-    for pair in counts[0] | counts[1]:
-        n = counts[0][pair] + counts[1][pair]
-        seen[pair[0]] += n
-        kept[pair[0]] += over(n)
-        for k in (0, 1):
-            mine[k][pair[0]] += over(counts[k][pair])
-
-    def gain(v, w):
-        if w not in both:
-            return 0.0
-        out = math.log(p[0][w] / p[1][w])
-        n = counts[0][v, w] + counts[1][v, w]
-        if max(counts[0][v, w], counts[1][v, w]) > toxicity.DISCOUNT:
-            b = 1 - kept[v] / seen[v]
-            shared = (over(n) + b * seen[v] * both[w]) / seen[v]
-            logs = []
-            for k in (0, 1):
-                base = shared * p[k][w] / both[w]
-                logs.append(math.log((1 - b) * over(counts[k][v, w]) / mine[k][v] + b * base if mine[k][v] else base))
-            out = logs[0] - logs[1]
-        return out
-
-    return gain
+class PlainModels:
+    """Both class's distributions, as the module defines them, word by word."""
+
+    def __init__(self, rows, labels):
+        self.counts = [Counter(), Counter()]
+        for i, text in rows:
+            if i in labels and text is not None and fold(i, 4) not in (toxicity.HELD_OUT, toxicity.CALIBRATED):
+                s = plain_words(text)
+                self.counts[0 if labels[i] else 1].update(set(zip(["^", *s], s, strict=False)))
+        self.follows = [Counter(w for _, w in c) for c in self.counts]
+        self.vocabulary = sorted(self.follows[0] | self.follows[1])
+        self.contexts = sorted({v for c in self.counts for v, _ in c})
+        n = sum(map(len, self.counts))
+        self.both = {w: (self.follows[0][w] + self.follows[1][w]) / n for w in self.vocabulary}
+        self.a = sum(min(x, toxicity.DISCOUNT) for c in self.follows for x in c.values()) / n
+
+    @staticmethod
+    def kept(n):
+        return max(n - toxicity.DISCOUNT, 0)
+
+    def word(self, w, k):
+        own = sum(map(self.kept, self.follows[k].values()))
+        return (1 - self.a) * self.kept(self.follows[k][w]) / own + self.a * self.both[w] if own else self.both[w]
+
+    def distribution(self, v, k):
+        n = {w: self.counts[0][v, w] + self.counts[1][v, w] for w in self.vocabulary}
+        seen = sum(n.values())
+        b = 1 - sum(map(self.kept, n.values())) / seen if seen else 1.0
+        shared = {w: (self.kept(n[w]) / seen if seen else 0.0) + b * self.both[w] for w in self.vocabulary}
+        tilted = {w: shared[w] * self.word(w, k) / self.both[w] for w in self.vocabulary}
+        z, own = sum(tilted.values()), sum(self.kept(self.counts[k][v, w]) for w in self.vocabulary)
+        if not own:
+            return {w: tilted[w] / z for w in self.vocabulary}
+        return {w: (1 - b) * self.kept(self.counts[k][v, w]) / own + b * tilted[w] / z for w in self.vocabulary}
 
 
 @pytest.fixture(scope="module")
@@ -178,7 +175,7 @@ def speech(spark):
         w = [rng.choice(plain) + rng.choice(["", "s", "x"]) for _ in range(rng.randint(5, 60))]
         bad = i % 5 == 0
         for _ in range(4 if bad else 0):
-            # A word, words with a common stem, and a pair of words that are ordinary apart.
+            # A word, words with a common start, and a pair of words that are ordinary apart.
             w.insert(rng.randrange(len(w) + 1), rng.choice(["scumbag", "numbskull" + rng.choice("abcdef"), "shut up", "馬鹿"]))
         for _ in range(2 if not bad and i % 3 == 0 else 0):
             w.insert(rng.randrange(len(w) + 1), rng.choice(["shut alpha", "beta up"]))
@@ -194,12 +191,20 @@ def speech(spark):
 def test_evidence_matches_a_plain_version(speech):
     rows, labels, d, lab = speech
     models, fitted = toxicity.fit(d, lab)
-    gain = plain_gains(dict((i, t) for i, t in rows if i is not None).items(), labels)
+    plain = PlainModels(dict((i, t) for i, t in rows if i is not None).items(), labels)
+    given = {v: [plain.distribution(v, k) for k in (0, 1)] for v in [*plain.contexts, "?"]}
+    for both in given.values():
+        assert all(sum(p.values()) == pytest.approx(1, abs=1e-9) for p in both)
+
+    def gain(v, w):
+        toxic, ordinary = given.get(v, given["?"])
+        return math.log(toxic[w] / ordinary[w]) if w in toxic else 0.0
+
     got = {r["doc_id"]: r for r in toxicity.predict(d, models, fitted).collect()}
     margin = fitted[0]
     assert margin in toxicity.MARGINS
     for i, text in rows:
-        s = plain_stems(text)
+        s = plain_words(text)
         each = [gain(v, w) for v, w in zip(["^", *s], s, strict=False)]
         want = sum(math.copysign(max(abs(x) - margin, 0), x) for x in each) / max(len(each), 1)
         assert got[i]["evidence"] == pytest.approx(want, abs=1e-9)

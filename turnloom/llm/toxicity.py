@@ -1,22 +1,24 @@
 """Toxicity by two class-conditional Kneser-Ney word models.
 
-A text's words (letters and digits; characters of scripts without spaces are words of their own) count
-by their stem, the first STEM letters, so that rare forms share the counts of their stem. Each class has
-a bigram model over stems. A bigram's count is the number of texts that hold it, at any place; a
-stem's count, as Kneser and Ney have it, is the number of different stems that it follows. Counts are
-discounted by DISCOUNT, and what that frees goes, with the same weight in both classes, to the next lower order:
+A text's words are whole runs of letters and digits; characters of scripts without spaces are words of their own. Each class has
+a bigram model. A bigram's count is the number of texts that hold it, at any place; a word's count, as Kneser and Ney have it,
+is the number of different words that it follows. Counts are discounted by DISCOUNT, and what that frees goes, with the same weight
+in both classes, to the next lower order, which the classes share, tilted by the class's words:
 
-    P(w | v, class) = (1 - b(v)) own(v, w) / own(v) + b(v) P(w | v, both) P(w, class) / P(w, both)
+    P(w | v, class) = (1 - b(v)) own(v, w) / own(v) + b(v) P(w | v, both) P(w, class) / P(w, both) / Z(v, class)
+    P(w | v, both)  = both(v, w) / all(v) + b'(v) P(w, both)
     P(w, class)     = (1 - a) own(w) / own + a P(w, both)
 
-where own are a class's discounted counts, and a and b(v) the share that discounting frees in both classes
-together. So an expression that is rare in both classes, word or pair, has the same likelihood under either.
+where own and both are discounted counts of the class and of both together, and a, b and b' the shares that discounting frees; Z makes
+the tilted part sum to 1, so each is a distribution over the words seen (b is 1 for a class without discounted counts). An
+expression that is rare in both classes, word or pair, has about the same likelihood under either.
 
 A text's evidence is the difference of its log-likelihoods under the two models per word. Each word's
 difference counts beyond a margin only (below, it reflects language and topic). The margin, of MARGINS,
 and a logistic curve that turns evidence into a score from 0 to 1 are fitted on a fold that the models
-have not seen. The models are computed as tables; n-grams whose difference lies within the least margin
-would add nothing and are not broadcast, all others are, in shards that a task holds one after another.
+have not seen. Without a margin a text's few telling words drown in the noise of all others (README has figures). DISCOUNT was chosen on that fold, too. The models
+are computed as tables. A pair that has no discounted count of its own in either class differs by what its word and what its
+context differ, so tables hold words, contexts and the other pairs; pairs that lie within the least margin either way are left out. A task holds one shard of them after another.
 
 Cases: null and empty texts have no evidence and get the score of evidence 0; documents without a
 label, or with a null one, are not learned from; several labels of one document count as toxic if
@@ -39,7 +41,8 @@ from .common import Shards, crc_mod, discard, materialize, shared_dir, slices, t
 
 #: Held out: documents whose crc32 modulo FOLDS is HELD_OUT; margin and curve are fitted on CALIBRATED.
 FOLDS, HELD_OUT, CALIBRATED = 4, 2, 1
-STEM, DISCOUNT = 6, 3
+#: The most that discounts estimated from counts of one and two can be (here they are 0.88 to 0.90).
+DISCOUNT = 1
 #: Margins to choose from, in nats, the least first.
 MARGINS = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0)
 THRESHOLD = 0.3
@@ -47,12 +50,14 @@ THRESHOLD = 0.3
 HELD = 1 << 20
 #: The curve is over log(evidence + FLOOR), binned.
 FLOOR, BIN = 1e-3, 0.02
-#: The stem before a text's first.
-START = 1
+#: The word before a text's first, and the one that stands for a context as a whole.
+START, ANY = 1, 0
 
 # Code points of scripts that put no spaces between words.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
+BASE = 0x9E3779B97F4A7C55
+INVERSE = pow(BASE, -1, 1 << 64)
 _tables: list[np.ndarray] = []
 
 
@@ -80,7 +85,7 @@ def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 32-bit hashes (never 0 or START) of all texts' stems in a row, and the text of each."""
+    """The 32-bit hashes (never ANY or START) of all texts' words in a row, and the text of each."""
     low, kind = tables()
     decoded = [d.decode() for d in docs]
     points = np.frombuffer(("\n".join(decoded) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -91,15 +96,18 @@ def words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # Letters of each word: up to where it ends or another starts.
     stops = np.flatnonzero((kinds != 1) & (before == 1))
     sizes = np.where(kinds[starts] == 2, 1, stops[np.minimum(np.searchsorted(stops, starts, side="right"), len(stops) - 1)] - starts) if len(stops) else np.ones(len(starts), np.int64)
-    h = np.full(len(starts), 0x51ED270B, np.uint64)
-    for k in range(STEM):
-        there = sizes > k
-        h = mixed(h, np.where(there, low[points[np.where(there, starts + k, 0)]], 0).astype(np.uint64))
+    # A polynomial of each word's letters, from sums over all letters: powers of an odd number have inverses.
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(points) + 1, BASE, np.uint64))
+        back = np.cumprod(np.full(len(points) + 1, INVERSE, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low[points].astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+        h = (sums[starts + sizes] - sums[starts]) * back[starts]
+    h = mixed(h, np.uint64(0x51ED270B))
     return np.maximum(h >> np.uint64(32), START + 1), np.searchsorted(ends, starts, side="right")
 
 
 def pairs_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(stem before, stem) as 64 bits, at every place; the text of each."""
+    """(word before, word) as 64 bits, at every place; the text of each."""
     own, owner = words(docs)
     before = np.concatenate([np.full(1, START, np.uint64), own[:-1]])
     before[np.concatenate([np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]])] = START
@@ -115,7 +123,7 @@ def united(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(pair, kt, ko): in how many toxic and in how many ordinary texts each pair of stems occurs."""
+    """(pair, kt, ko): in how many toxic and in how many ordinary texts each pair of words occurs."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -149,45 +157,54 @@ def over(column) -> F.Column:
 
 
 def gains(rows: DataFrame, folder: str) -> DataFrame:
-    """(key, gain): the difference of a stem's (32 bits) or a pair's (64 bits) log-likelihoods, where it is of weight."""
+    """(key, gain): differences of log-likelihoods: of a word (32 bits), of a context (64 bits, of ANY word), and of pairs with a count of their own."""
     pairs = materialize(counted(rows), "pairs", folder)
     after, before = F.col("pair").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("pair", 32)
-    stems = pairs.groupBy(after.alias("w")).agg(F.sum((F.col("kt") > 0).cast("long")).alias("ut"), F.sum((F.col("ko") > 0).cast("long")).alias("uo"))
-    stems = materialize(stems, "stems", folder)
-    total = stems.agg(F.sum(F.col("ut") + F.col("uo")), F.sum(over(F.col("ut"))), F.sum(over(F.col("uo"))), F.sum(F.least("ut", F.lit(DISCOUNT)) + F.least("uo", F.lit(DISCOUNT))), F.sum("ut"), F.sum("uo")).first()
+    words = pairs.groupBy(after.alias("w")).agg(F.sum((F.col("kt") > 0).cast("long")).alias("ut"), F.sum((F.col("ko") > 0).cast("long")).alias("uo"))
+    words = materialize(words, "words", folder)
+    total = words.agg(F.sum(F.col("ut") + F.col("uo")), F.sum(over(F.col("ut"))), F.sum(over(F.col("uo"))), F.sum(F.least("ut", F.lit(DISCOUNT)) + F.least("uo", F.lit(DISCOUNT))), F.sum("ut"), F.sum("uo")).first()
     every, own_t, own_o, freed, ut, uo = [x or 0 for x in total]
     if not ut or not uo:  # a class without words
-        return stems.select(F.col("w").alias("key"), F.lit(0.0).alias("gain")).where("key < 0")
+        return words.select(F.col("w").alias("key"), F.lit(0.0).alias("gain")).where("key < 0")
     a, both = freed / every, (F.col("ut") + F.col("uo")) / every
 
-    def of_class(count: str, own: float):
-        return ((1 - a) * over(F.col(count)) / own if own else F.lit(0.0)) + a * both
+    def tilt(count: str, own: float):
+        """A class's likelihood of a word over that of both."""
+        return (1 - a) * over(F.col(count)) / own / both + a if own else F.lit(1.0)
 
-    # Of a class without a count over the discount, all goes to the lower order.
-    stems = stems.select("w", both.alias("both"), (of_class("ut", own_t) if own_t else both).alias("pt"), (of_class("uo", own_o) if own_o else both).alias("po"))
-    stems = materialize(stems.withColumn("gain", F.log("pt") - F.log("po")), "likely", folder)
+    words = materialize(words.select("w", both.alias("both"), tilt("ut", own_t).alias("rt"), tilt("uo", own_o).alias("ro")), "likely", folder)
+    single = F.log("rt") - F.log("ro")
 
     n = F.col("kt") + F.col("ko")
-    contexts = pairs.groupBy(before.alias("v")).agg(F.sum(n).alias("n"), F.sum(over(n)).alias("own"), F.sum(over(F.col("kt"))).alias("own_t"), F.sum(over(F.col("ko"))).alias("own_o"))
-    contexts = contexts.where("own_t + own_o > 0")
-    rich = pairs.where((F.col("kt") > DISCOUNT) | (F.col("ko") > DISCOUNT)).withColumn("v", before).withColumn("w", after)
-    rich = rich.join(contexts.withColumnRenamed("n", "seen"), "v").join(stems, "w")
-    b = 1 - F.col("own") / F.col("seen")
-    shared = (over(n) + b * F.col("seen") * F.col("both")) / F.col("seen")
+    told = pairs.withColumn("v", before).withColumn("w", after).join(words.hint("merge"), "w")
+    contexts = told.groupBy("v").agg(
+        F.sum(n).alias("seen"), F.sum(over(n)).alias("kept"), F.sum(over(F.col("kt"))).alias("own_t"), F.sum(over(F.col("ko"))).alias("own_o"),
+        F.sum(over(n) * F.col("rt")).alias("zt"), F.sum(over(n) * F.col("ro")).alias("zo"),
+    ).where("kept > 0")
+    rest = 1 - F.col("kept") / F.col("seen")
+    contexts = contexts.select("v", "seen", "own_t", "own_o", rest.alias("b"), (F.col("zt") / F.col("seen") + rest).alias("zt"), (F.col("zo") / F.col("seen") + rest).alias("zo"))
+
+    def lower(own: str, z: str):
+        """What a class gives to the lower order in a context, over what that sums to."""
+        return F.when(F.col(own) > 0, F.col("b")).otherwise(1.0) / F.col(z)
+
+    contexts = materialize(contexts.withColumn("lt", lower("own_t", "zt")).withColumn("lo", lower("own_o", "zo")).withColumn("about", F.log("lt") - F.log("lo")), "contexts", folder)
+
+    rich = told.where((F.col("kt") > DISCOUNT) | (F.col("ko") > DISCOUNT)).join(contexts.hint("merge"), "v")
+    shared = over(n) / F.col("seen") + F.col("b") * F.col("both")
 
-    def pair(count: str, own: str, stem: str):
-        base = shared * F.col(stem) / F.col("both")
-        return F.log(F.when(F.col(own) > 0, (1 - b) * over(F.col(count)) / F.col(own) + b * base).otherwise(base))
+    def pair(count: str, own: str, r: str, share: str):
+        return F.log(F.when(F.col(own) > 0, (1 - F.col("b")) * over(F.col(count)) / F.col(own)).otherwise(0.0) + F.col(share) * shared * F.col(r))
 
-    rich = rich.select(F.col("pair").alias("key"), (pair("kt", "own_t", "pt") - pair("ko", "own_o", "po")).alias("gain"), F.col("gain").alias("single"))
-    least = MARGINS[0]
-    # A pair within the margin matters only where its second stem alone would count.
-    rich = rich.where(f"abs(gain) > {least} OR abs(single) > {least}").select("key", "gain")
-    return rich.unionByName(stems.where(f"abs(gain) > {least}").select(F.col("w").alias("key"), "gain"))
+    rich = rich.select(F.col("pair").alias("key"), (pair("kt", "own_t", "rt", "lt") - pair("ko", "own_o", "ro", "lo")).alias("gain"), (single + F.col("about")).alias("without"))
+    # A pair within the margin matters only where its word and context alone would count.
+    rich = rich.where(f"abs(gain) > {MARGINS[0]} OR abs(without) > {MARGINS[0]}").select("key", "gain")
+    context = F.shiftleft("v", 32).alias("key")
+    return rich.unionByName(words.select(F.col("w").alias("key"), single.alias("gain"))).unionByName(contexts.select(context, F.col("about").alias("gain")))
 
 
 class Models:
-    """The differences of log-likelihoods by stem and by pair of stems, in one table."""
+    """The differences of log-likelihoods by word, by context and by pair, in one table."""
 
     def __init__(self, rows: DataFrame):
         self.table = Shards(rows, ["gain"], rows.count(), np.float64)
@@ -201,8 +218,13 @@ class Models:
             out[at] = gain[:, 0]
             alone[at] = False
         left = np.flatnonzero(alone)
-        for at, gain in self.table.find(pairs[left] & np.uint64(0xFFFFFFFF)):
-            out[left[at]] = gain[:, 0]
+        for part in (pairs[left] & np.uint64(0xFFFFFFFF), pairs[left] >> np.uint64(32) << np.uint64(32)):
+            for at, gain in self.table.find(part):
+                out[left[at]] += gain[:, 0]
+        known = np.zeros(len(left), bool)
+        for at, _ in self.table.find(pairs[left] & np.uint64(0xFFFFFFFF)):
+            known[at] = True
+        out[left[~known]] = 0  # a word that no model knows says nothing
         return out, owner
 
     def evidence(self, docs: list[bytes], margins: tuple[float, ...]) -> np.ndarray:

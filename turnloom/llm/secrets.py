@@ -1,8 +1,9 @@
 """Secret scans: a recursive decoding worklist over every whole text.
 
 Each text is a first layer. A layer is scanned for three kinds of secret, then everything in it
-that is encoded (percent escapes, backslash escapes, base64 at any alignment, gzip or zlib data of
-any number of members at any place) is unwrapped into further layers, binary ones too, until none
+that is encoded (percent escapes, backslash escapes, character references, letters of two bytes in either order,
+base64 at any alignment, gzip, zlib, bz2 or xz data at any place, of any number of members where gzip, and layers that
+are bare deflate data) is unwrapped into further layers, binary ones too, until none
 yields a new one. A layer whose digest has been seen at the same place of this text ends there, so cycles
 end, while copies at other places are all read. Every layer knows how its places map to those of the layer
 that held it, so that what is found in it points at the original text.
@@ -17,7 +18,10 @@ windows is read in parts.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
+import html
+import lzma
 import re
 import zlib
 from bisect import bisect_right
@@ -69,6 +73,13 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+
+#: Character references; letters of two bytes each; where bz2 and xz data starts.
+ENTITY = re.compile(rb"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
+WIDE_LITTLE, WIDE_BIG = re.compile(rb"(?:[\x09-\x7e]\0){6,}"), re.compile(rb"(?:\0[\x09-\x7e]){6,}")
+OTHER_PACKED = re.compile(rb"BZh[1-9]1AY&SY|\xfd7zXZ\0")
+
+
 class Layer:
     """Bytes, and how their places map to the layer that they were unwrapped from (none: the original text)."""
 
@@ -178,6 +189,39 @@ def compressed_layers(layer: Layer) -> Iterator[tuple[Layer, bool, bool]]:
             yield layer.whole(m.start(), end or len(layer.data), data), cut, end > 0 or readable(data)
 
 
+def streamed(unpack, data: bytes, at: int) -> Iterator[tuple[bytes, bool, bool]]:
+    """What a decompressor of bz2, xz or bare deflate data makes of it, in windows as above; whether it is of two or more, and whether it came to its end."""
+    held, windows, n = bytearray(), 0, len(data)
+    try:
+        while not unpack.eof and (at < n or not getattr(unpack, "needs_input", True)):
+            rest = data[at : at + PIECE]
+            at += len(rest)
+            while True:
+                held += unpack.decompress(rest, MAX_LAYER - len(held))
+                rest = getattr(unpack, "unconsumed_tail", b"")
+                if len(held) >= MAX_LAYER:
+                    windows += 1
+                    yield bytes(held), windows == 2, False
+                    del held[:-OVERLAP]
+                if unpack.eof or not (rest or not getattr(unpack, "needs_input", True)):
+                    break
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        pass
+    if held and (not windows or len(held) > OVERLAP):
+        yield bytes(held), windows == 1, unpack.eof
+
+
+def other_packed_layers(layer: Layer) -> Iterator[tuple[Layer, bool, bool]]:
+    """What bz2 and xz data anywhere in the layer holds, and the layer as a whole if it is bare deflate data."""
+    for m in OTHER_PACKED.finditer(layer.data):
+        for data, cut, ended in streamed(bz2.BZ2Decompressor() if m[0][:1] == b"B" else lzma.LZMADecompressor(memlimit=1 << 26), layer.data, m.start()):
+            yield layer.whole(m.start(), len(layer.data), data), cut, ended or readable(data)
+    if layer.data[:1] and layer.data[0] & 6 != 6:  # a block of a known kind
+        for data, cut, ended in streamed(zlib.decompressobj(-15), layer.data, 0):
+            if len(data) >= BASE64_LEAST // 2:
+                yield layer.whole(0, len(layer.data), data), cut, ended and readable(data)
+
+
 def base64_runs(data: bytes) -> list[tuple[int, int]]:
     """The maximal runs of either base64 alphabet."""
     return sorted({m.span() for pattern in (BASE64, BASE64_URL) for m in pattern.finditer(data)})
@@ -231,8 +275,22 @@ def unwrapped(layer: Layer, runs: list[tuple[int, int]] | None = None) -> Iterat
             yield layer.rewritten(edits), False, True
         if raw != edits:  # \\x may stand for a byte as well as for a character
             yield layer.rewritten(raw), False, True
+    if b"&" in layer.data:
+        edits = []
+        for m in ENTITY.finditer(layer.data):
+            new = html.unescape(m[0].decode()).encode("utf-8", "replace")
+            if new != m[0]:
+                edits.append((*m.span(), new, 0))
+        if edits:
+            yield layer.rewritten(edits), False, True
+    if b"\0" in layer.data:  # text of two bytes a letter, in either order
+        for pattern, first in ((WIDE_LITTLE, 0), (WIDE_BIG, 1)):
+            edits = [(*m.span(), m[0][first::2], 2) for m in pattern.finditer(layer.data)]
+            if edits:
+                yield layer.rewritten(edits), False, True
     if layer.parent is not None:  # the original is UTF-8, which compressed data is not
         yield from compressed_layers(layer)
+        yield from other_packed_layers(layer)
     yield from base64_layers(layer, runs)
 
 
@@ -306,7 +364,7 @@ def suspects(array: pa.Array) -> np.ndarray:
         pc.match_substring_regex(array, r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
         pc.match_substring(array, "AKIA"),
         pc.match_substring_regex(array, "[0-9a-f]{24}"),
-        pc.match_substring_regex(array, r"%[0-9A-Fa-f]{2}|\\[uUx]"),
+        pc.match_substring_regex(array, r"%[0-9A-Fa-f]{2}|\\[uUx]|&#?[A-Za-z0-9]{1,31};|\x00"),
     ]
     out = marks[0]
     for m in marks[1:]:

@@ -1,7 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import re
 import zlib
@@ -53,6 +55,25 @@ def test_layers_are_unwrapped_and_mapped():
     assert secrets.all_spans(b"100%25%25 plain %zz \\u12", None)[0] == []
 
 
+def test_wide_letters_references_and_other_packers_are_unwrapped(spark):
+    said = "password=hunter2xyz"
+    b64, bare = base64.b64encode, zlib.compressobj(9, zlib.DEFLATED, -15)
+    deflated = bare.compress(said.encode() * 3) + bare.flush()
+    for wrapped in (
+        b64(said.encode("utf-16-le")), b64(said.encode("utf-16-be")), b64(said.encode("utf-16")), said.encode("utf-16-le"), b64(gzip.compress(said.encode("utf-16-be"))),
+        b"pass&#119;ord&#x3d;hunter2xyz", b"password&equals;hunter2xyz", b64(b"password&#61;hunter2xyz"), b"password&#37;3Dhunter2xyz",
+        b64(bz2.compress(said.encode())), b64(b"head" + bz2.compress(said.encode())), b64(lzma.compress(said.encode())), b64(deflated), b64(b64(deflated)),
+    ):
+        base, found, _, _ = secrets.all_spans(b"x: " + wrapped + b" .", None)
+        inside = [f for f in found - set(base) if f[1] == 0]
+        assert inside and all(3 <= a < b <= 3 + len(wrapped) for a, _, b in inside), wrapped
+    for plain in (b"AT&T; a &b; &#; &#xfffffff; R&D", b"a\0b\0", b64(bytes(range(256)))):
+        assert secrets.all_spans(plain, None)[1] == set()
+    rows = [(1, "a pass&#119;ord&#x3d;hunter2xyz b"), (2, "\0".join("token=abcdefgh") + "\0"), (3, "x &amp; y"), (4, b64(said.encode("utf-16-le")).decode())]
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}
+    assert kept[3] == "x &amp; y" and "hunter2xyz" not in kept[1] and "hunter" not in kept[1] and "a\0b\0c" not in kept[2] and kept[4] != rows[3][1]
+
+
 def test_nested_binary_and_misaligned_layers_are_unwrapped(monkeypatch):
     said = b"password=hunter2xyz"
     pack, b64 = gzip.compress, base64.b64encode
@@ -516,7 +537,7 @@ def test_empty_tables(spark):
 
 
 def test_other_columns_of_any_name_do_no_harm(spark):
-    names = ["row", "key", "digest", "node", "family", "n", "prefix", "token", "gid", "root", "k", "a", "b", "start", "end", "size", "first", "fold", "toxic", "pair", "gain", "lang", "label", "spans", "items", "words", "score", "rank", "ids", "left", "last", "text_key", "count", "salt", "block", "sets", "evidence", "held_out"]
+    names = ["row", "key", "digest", "node", "family", "n", "prefix", "token", "gid", "root", "k", "a", "b", "start", "end", "size", "first", "fold", "toxic", "pair", "gain", "lang", "label", "spans", "items", "words", "score", "rank", "ids", "left", "last", "text_key", "count", "salt", "block", "sets", "evidence", "held_out", "row_", "gone_", "own_0", "own_1"]
     plain = [(i, " ".join(f"w{(i // 2 * 7 + j * j) % 50}" for j in range(60))) for i in range(12)]
     d = spark.createDataFrame([(*r, *["x"] * len(names)) for r in plain], ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names)]))
     bare = d.select("doc_id", "text", "lang")

@@ -14,7 +14,7 @@ pairs are formed.
 Cases: null and empty texts have no chunk; exact copies are repeated as a whole; every row is a document
 of its own, also those that share a doc_id or have none (a null doc_id is the last of all, and rows of one
 doc_id are ordered by their texts); texts without a cut are cut every MOST bytes; an empty table gives no
-rows; other columns are ignored by `passages` and kept by `deduplicate`, whatever their names (but `row_` and `gone_`).
+rows; other columns are ignored by `passages` and kept by `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, discard, materialize, shared_dir, slices, texts
+from .common import code_points, discard, free_names, materialize, shared_dir, slices, texts
 
 #: A cut where the hash's top BITS bits are zero and were not in the QUIET bytes before; at least every MOST bytes.
 BITS, QUIET, MOST = 4, 11, 512
@@ -80,9 +80,14 @@ def digests(doc: bytes, at: list[int]) -> np.ndarray:
     return np.array([h(doc[a:b]) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)  # noqa: B905
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number `row_`, which holds for as long as the result is written before it is used twice."""
-    return docs.withColumn("row_", F.monotonically_increasing_id())
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """The rows with a number, which holds for as long as the result is written before it is used twice."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def plain_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): what chunks are made of."""
+    return numbered(docs.select("doc_id", "text"))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(batch.column(i).take(which) for i in range(3)), *flat], names=["digest", "row", "key", "doc_id", "a", "b", "size"])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("row_").alias("row"), F.xxhash64(text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text IS NOT NULL")
+    rows = docs.select("row", F.xxhash64(text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text IS NOT NULL")
     return rows.mapInArrow(step, "digest long, row long, key long, doc_id long, a int, b int, size int")
 
 
@@ -142,7 +147,7 @@ def passages(docs: DataFrame, least: int = LEAST, within: bool = True) -> DataFr
 
     Without `within`, only what several rows share counts. Rows are numbered for this result alone.
     """
-    found = in_passages(repeated_chunks(numbered(docs)), least, within)
+    found = in_passages(repeated_chunks(plain_rows(docs)), least, within)
     return found.groupBy("row", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("a").cast("long").alias("start"), F.max("b").cast("long").alias("end"), F.first("bytes").alias("bytes"),
         F.min("first_doc").alias("first_doc"), F.sum(F.when(F.col("kept"), 0).otherwise(F.col("b") - F.col("a"))).cast("long").alias("removable"),
@@ -161,9 +166,10 @@ def by_document(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """All rows and columns, texts without the chunks of passages whose first occurrence is elsewhere; null text stays null."""
     columns = docs.columns
-    rows = materialize(numbered(docs), "rows")
-    gone = in_passages(repeated_chunks(rows), least, True).where("NOT kept")
-    gone = gone.groupBy(F.col("row").alias("row_")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone_"))
+    row, cut_out = free_names(docs, 2)
+    rows = materialize(numbered(docs, row), "rows")
+    gone = in_passages(repeated_chunks(rows.select(F.col(row).alias("row"), "doc_id", "text")), least, True).where("NOT kept")
+    gone = gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(cut_out))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -175,4 +181,4 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     out[i] = "".join(out[i][a:b] for a, b in zip(ends, [*(c["a"] for c in cut), len(out[i])], strict=True))
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select(columns)
 
-    return rows.join(gone, "row_", "left").select(*(f"`{c}`" for c in columns), "gone_").mapInArrow(step, docs.schema)
+    return rows.join(gone, row, "left").select(*(f"`{c}`" for c in columns), cut_out).mapInArrow(step, docs.schema)

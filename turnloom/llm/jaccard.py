@@ -33,7 +33,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -42,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, discard, materialize, shared_dir, slices, texts
+from .common import CACHES, discard, free_names, materialize, shared_dir, slices, texts
 
 #: Words of a shingle, and the similarity in percent, of the query.
 WIDTH, PERCENT = 3, 90
@@ -375,12 +374,6 @@ def verified(docs: DataFrame, families: DataFrame, copies: DataFrame, folder: st
     return links.unionAll(third.select("a", "b"))
 
 
-def free_names(df: DataFrame, n: int) -> list[str]:
-    """Names of columns that a table does not have."""
-    names = (f"own_{i}" for i in count())
-    return list(islice((x for x in names if x not in {c.lower() for c in df.columns}), n))
-
-
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """All columns of one row of each component: one of those with the smallest doc_id, if any has one.
 

@@ -75,3 +75,4 @@ def test_training_append(tmp_path, spark):
     new = spark.createDataFrame([row, row, row[:3] + ([float("nan")] * 15,) + row[4:6] + ("b",)], schemas.TRAINING)
     path = f"file://{tmp_path}/t"
     assert files.append_training(path, new) == 1 and files.append_training(path, new) == 0
+    assert [r["example_id"] for r in spark.read.format("versioned").load(path).collect()] == ["a"]

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ MARGINS = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0)
 THRESHOLD = 0.3
 #: Pairs that a counting task holds before it merges them.
 HELD = 1 << 20
+#: Bytes of text that are scored together at most.
+MOST_BYTES = 6 << 20
 #: The curve is over log(evidence + FLOOR), binned.
 FLOOR, BIN = 1e-3, 0.02
 #: The word before a text's first, and the one that stands for a context as a whole.
@@ -56,8 +59,8 @@ START, ANY = 1, 0
 # Code points of scripts that put no spaces between words.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
-BASE = 0x9E3779B97F4A7C55
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Letters of a word that are hashed one by one.
+LETTERS = 64
 _tables: list[np.ndarray] = []
 
 
@@ -96,13 +99,16 @@ def words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # Letters of each word: up to where it ends or another starts.
     stops = np.flatnonzero((kinds != 1) & (before == 1))
     sizes = np.where(kinds[starts] == 2, 1, stops[np.minimum(np.searchsorted(stops, starts, side="right"), len(stops) - 1)] - starts) if len(stops) else np.ones(len(starts), np.int64)
-    # A polynomial of each word's letters, from sums over all letters: powers of an odd number have inverses.
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(points) + 1, BASE, np.uint64))
-        back = np.cumprod(np.full(len(points) + 1, INVERSE, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low[points].astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-        h = (sums[starts + sizes] - sums[starts]) * back[starts]
-    h = mixed(h, np.uint64(0x51ED270B))
+    # A letter of all words at a time, for those that have as many; the rest of endless ones in one go.
+    h = np.full(len(starts), 0x51ED270B, np.uint64)
+    left = np.arange(len(starts))
+    for k in range(LETTERS):
+        left = left[sizes[left] > k]
+        if not len(left):
+            break
+        h[left] = mixed(h[left], low[points[starts[left] + k]].astype(np.uint64))
+    for i in left[sizes[left] > LETTERS].tolist():
+        h[i] = mixed(h[i], np.uint64(xxhash.xxh3_64_intdigest(low[points[starts[i] + LETTERS : starts[i] + sizes[i]]].tobytes())))
     return np.maximum(h >> np.uint64(32), START + 1), np.searchsorted(ends, starts, side="right")
 
 
@@ -218,13 +224,13 @@ class Models:
             out[at] = gain[:, 0]
             alone[at] = False
         left = np.flatnonzero(alone)
-        for part in (pairs[left] & np.uint64(0xFFFFFFFF), pairs[left] >> np.uint64(32) << np.uint64(32)):
-            for at, gain in self.table.find(part):
-                out[left[at]] += gain[:, 0]
         known = np.zeros(len(left), bool)
-        for at, _ in self.table.find(pairs[left] & np.uint64(0xFFFFFFFF)):
+        for at, gain in self.table.find(pairs[left] & np.uint64(0xFFFFFFFF)):
+            out[left[at]] = gain[:, 0]
             known[at] = True
-        out[left[~known]] = 0  # a word that no model knows says nothing
+        left = left[known]  # a word that no model knows says nothing
+        for at, gain in self.table.find(pairs[left] >> np.uint64(32) << np.uint64(32)):
+            out[left[at]] += gain[:, 0]
         return out, owner
 
     def evidence(self, docs: list[bytes], margins: tuple[float, ...]) -> np.ndarray:
@@ -270,7 +276,7 @@ def fit_curve(rows: DataFrame, models: Models) -> tuple[float, float, float]:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, most=own.table.batch_bytes):
+        for batch in slices(batches, most=min(own.table.batch_bytes, MOST_BYTES)):
             at = np.round(height(own.evidence(texts(batch.column(1)), MARGINS)) / BIN).astype(np.int64)
             toxic = np.array(batch.column(0).to_pylist(), np.int64)
             each = np.stack([np.tile(np.arange(len(MARGINS)), len(toxic)), at.ravel(), np.repeat(toxic, len(MARGINS))])
@@ -302,7 +308,7 @@ def predict(docs: DataFrame, models: Models, fitted: tuple[float, float, float])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, most=own.table.batch_bytes):
+        for batch in slices(batches, most=min(own.table.batch_bytes, MOST_BYTES)):
             evidence = own.evidence(texts(batch.column(1)), (margin,))[:, 0]
             score = 1 / (1 + np.exp(-np.clip(slope * height(evidence) + offset, -700, 700)))
             yield pa.RecordBatch.from_arrays(

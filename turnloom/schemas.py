@@ -38,7 +38,8 @@ TRAINING = ddl(
 )
 PROJECTS = ddl(
     "project_id string, title string, learner_id string, session_number string, conversation_type string, audio_file string, "
-    "zoom_file string, chatgpt_file string, gold_file string, created string, updated string"
+    "zoom_file string, chatgpt_file string, gold_file string, transcription_model string, detect_speech_delays boolean, minimum_pause_seconds double, "
+    "created_at string, updated_at string"
 )
 
 # Text sources in their order, quality labels, and defaults of a turn.

@@ -224,8 +224,17 @@ def _(rows, t):
 
 @checks("d8_sync")
 def _(rows, t):
-    n = {r["state"]: r["n"] for r in rows}
-    assert set(n) == {"kept", "new"} and 0 <= n["new"] - n["kept"] <= len(t["turns"])  # every second id of a project is known
+    for own in by(rows, "project_id").values():
+        n = len(own)
+        assert len({(r["turn_id"], r["fingerprint"]) for r in own}) == n
+        kept = sorted((r for r in own if r["state"] == "kept"), key=lambda r: r["event_id"])
+        new = sorted((r for r in own if r["state"] == "new"), key=lambda r: r["event_id"])
+        assert [r["event_id"] for r in kept] == list(range(2, n + 1, 2))
+        last = kept[-1]["event_id"] if kept else 0
+        assert [r["event_id"] for r in new] == list(range(last + 1, last + 1 + n - len(kept)))
+        for part in (kept, new):  # ids go by turn
+            assert [r["turn_id"] for r in part] == sorted(r["turn_id"] for r in part)
+        assert all((r["reviewed"], r["decision"]) == ((True, "confirmed") if r["state"] == "kept" and r["event_id"] % 4 == 0 else (False, None)) for r in own)
 
 
 def words_by_project(t):

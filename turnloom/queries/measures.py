@@ -294,7 +294,9 @@ def d7_evidence(spark, sf):
 def d8_sync(spark, sf):
     found = evidence.wanted(_evaluated(spark, sf))
     first = evidence.sync(spark.createDataFrame([], "project_id string, event_id int, turn_id int, fingerprint string, reviewed boolean, decision string"), found)
-    return evidence.sync(first.where("event_id % 2 = 0").select("project_id", "event_id", "turn_id", "fingerprint", "reviewed", "decision"), found).groupBy("state").agg(F.count("*").alias("n"))
+    # Every second id is known, every fourth is decided.
+    known = first.where("event_id % 2 = 0").select("project_id", "event_id", "turn_id", "fingerprint", (F.col("event_id") % 4 == 0).alias("reviewed"), F.when(F.col("event_id") % 4 == 0, "confirmed").alias("decision"))
+    return evidence.sync(known, found).select("project_id", "event_id", "turn_id", "fingerprint", "reviewed", "decision", "state")
 
 
 @query(f"SELECT CAST(conv_id AS VARCHAR) AS project_id, CAST(turn + 1 AS INTEGER) AS turn_id, md5(array_to_string({words_sql('text')}, ' ')) AS anchor_md5 FROM conversations")

@@ -66,12 +66,15 @@ def a5_nearest_turn(spark, sf):
     return alignment.nearest_turn(t, m)
 
 
-@query(W + """ SELECT project_id, CASE WHEN bool_or(speaker = 'click') THEN 'zoom' WHEN bool_or(speaker = 'view') THEN 'gold' ELSE 'chatgpt' END AS source, TRUE AS timed
-  FROM intervals WHERE speaker IN ('click', 'view', 'error') GROUP BY project_id""")
+@query(W + """, s AS (SELECT project_id, CASE WHEN speaker IN ('click', 'signup') THEN 'zoom' WHEN speaker = 'view' THEN 'gold' ELSE 'chatgpt' END AS source, CAST(bool_or(speaker <> 'signup') AS INTEGER) AS timed
+    FROM intervals WHERE speaker <> 'purchase' GROUP BY ALL)
+  SELECT project_id, arg_max(source, 10 * timed + CASE source WHEN 'zoom' THEN 3 WHEN 'gold' THEN 2 ELSE 1 END) AS source, max(timed) = 1 AS timed FROM s GROUP BY project_id""")
 def a12_scaffold(spark, sf):
-    t = intervals(spark, sf).where("speaker IN ('click', 'view', 'error')")
-    name = F.when(F.col("speaker") == "click", "zoom").when(F.col("speaker") == "view", "gold").otherwise("chatgpt")
-    return alignment.scaffold(t.withColumn("source", name))
+    """Clicks are one source and signups more of it, without times; purchases are the recogniser's, which is no scaffold."""
+    kind = F.col("speaker")
+    name = F.when(kind.isin("click", "signup"), "zoom").when(kind == "view", "gold").when(kind == "error", "chatgpt").otherwise("model")
+    t = intervals(spark, sf)
+    return alignment.scaffold(t.withColumns({"source": name, "start": F.when(kind != "signup", F.col("start")), "end": F.when(kind != "signup", F.col("end"))}))
 
 
 #: Every 9th interval of the second half of a day as a delay, the others as turns.

@@ -32,57 +32,51 @@ def leaf(x: Column) -> Column:
 
 
 def covering(start: Column, end: Column) -> Column:
-    """Index cells (level, cell) that cover an interval, start and end included.
+    """Index cells that cover an interval, start and end included; a cell is its number times LEVELS, plus its level.
 
     Cells are as large as fits, so even the longest intervals have less than 2 * FAN of a level. Each moment
     of the interval lies in one of its cells exactly.
     """
+    first, last = leaf(start), leaf(F.greatest(start, end))
     none = F.array().cast("array<bigint>")
-    cells = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    found = []
+    for k in range(LEVELS):
+        def cells(a, b, k=k):
+            return F.when(a <= b, F.sequence(a * LEVELS + k, b * LEVELS + k, F.lit(LEVELS).cast("long"))).otherwise(none)
 
-    def of_level(k: int, first: Column, last: Column) -> Column:
         # What is made of whole cells of this level, and of the next.
         a, b = (F.ceil(first / FAN**k), F.floor((last + 1) / FAN**k) - 1) if k else (first, last)
         c, d = F.ceil(first / FAN ** (k + 1)), F.floor((last + 1) / FAN ** (k + 1)) - 1
-        own = cells(a, b) if k == LEVELS - 1 else F.when(c > d, cells(a, b)).otherwise(F.concat(cells(a, c * FAN - 1), cells((d + 1) * FAN, b)))
-        return F.transform(own, lambda x: F.struct(F.lit(k).alias("level"), x.alias("cell")))
-
-    # Bound once by a lambda, so that what times are computed from is not repeated for each level.
-    ends = F.array(F.struct(leaf(start).alias("first"), leaf(F.greatest(start, end)).alias("last")))
-    return F.get(F.transform(ends, lambda x: F.concat(*(of_level(k, x["first"], x["last"]) for k in range(LEVELS)))), 0)
+        found.append(cells(a, b) if k == LEVELS - 1 else F.when(c > d, cells(a, b)).otherwise(F.concat(cells(a, c * FAN - 1), cells((d + 1) * FAN, b))))
+    return F.concat(*found)
 
 
 def holding(moment: Column) -> Column:
-    """Index cells (level, cell) that hold a moment, one of each level."""
-    return F.transform(F.array(*(F.lit(k) for k in range(LEVELS))), lambda k: F.struct(k.alias("level"), F.floor(leaf(moment) / F.pow(F.lit(float(FAN)), k)).alias("cell")))
+    """Index cells that hold a moment, one of each level."""
+    return F.array(*(F.floor(leaf(moment) / FAN**k) * LEVELS + k for k in range(LEVELS)))
 
 
-def located(df: DataFrame, cells: Column, *more: str) -> DataFrame:
-    """A row for each cell (level_, cell_)."""
-    return df.select("*", F.inline(cells).alias(*CELLS, *more))
+#: What moments and intervals are joined by, besides the project.
+CELLS = ["cell_"]
 
 
 def in_cells(df: DataFrame, start: str, end: str) -> DataFrame:
-    return located(df, covering(F.col(start), F.col(end)))
+    """A row for each index cell that covers a part of an interval."""
+    return df.select("*", F.explode(covering(F.col(start), F.col(end))).alias(*CELLS))
 
 
 def at_cells(df: DataFrame, moment: str) -> DataFrame:
-    return located(df, holding(F.col(moment)))
-
-
-#: What moments and intervals are joined by, besides the project.
-CELLS = ["level_", "cell_"]
+    """A row for each index cell that holds a moment."""
+    return df.select("*", F.explode(holding(F.col(moment))).alias(*CELLS))
 
 
 def overlapping_ids(turns: DataFrame, key: str = "turn_id", speaker: str = "speaker_raw") -> DataFrame:
     """(project_id, key) of timed turns that share more than OVERLAP seconds with another speaker's."""
     timed = turns.where("`start` IS NOT NULL AND `end` IS NOT NULL AND `end` > `start`").select("project_id", key, speaker, F.col("start").alias("s"), F.col("end").alias("e"))
     # Of two turns that share time, one holds the start of the other: cells about a turn (0) meet cells of starts (1).
-    kind = lambda cells, k: F.transform(cells, lambda c: F.struct(c["level"].alias("level"), c["cell"].alias("cell"), F.lit(k).alias("kind")))
-    cells = located(timed, F.concat(kind(covering(F.col("s"), F.col("e")), 0), kind(holding(F.col("s")), 1)), "kind_")
-    same = F.col("a.kind_") == 1 - F.col("b.kind_")
-    for c in ("project_id", *CELLS):
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), covering(F.col("s"), F.col("e")).alias("cells")), F.struct(F.lit(1).alias("kind"), holding(F.col("s")).alias("cells")))
+    cells = timed.select("*", F.inline(kinds).alias("kind_", "cells_")).select("project_id", key, speaker, "s", "e", "kind_", F.explode("cells_").alias(*CELLS))
+    same = (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.cell_") == F.col("b.cell_")) & (F.col("a.kind_") == 1 - F.col("b.kind_"))
     hit = (F.col(f"a.{key}") != F.col(f"b.{key}")) & ~F.col(f"a.{speaker}").eqNullSafe(F.col(f"b.{speaker}")) & (F.least("a.e", "b.e") - F.greatest("a.s", "b.s") > OVERLAP)
     return cells.alias("a").join(cells.alias("b"), same & hit, "left_semi").select("project_id", key).distinct()
 

@@ -23,3 +23,24 @@ def test_overlaps_are_running_values_and_join_nothing(spark):
     found = I.overlapping_ids(spark.createDataFrame(rows, "project_id string, turn_id int, speaker_raw string, start double, end double"))
     assert {tuple(r) for r in found.collect()} == want and 0 < len(want) < len(timed)
     assert "Join" not in plan(found) and "Generate" not in plan(found)
+
+
+def test_repetitions_find_their_words_once_a_row(spark):
+    import time
+
+    from turnloom.functions import spoken
+    from turnloom.functions import text as T
+
+    rng = random.Random(6)
+    texts = [None, "", "a", "a a", "um um", "um a um a", "a b c d a b c d", "Go, GO on", "x y z x y"] + [" ".join(rng.choice(["um", "a", "b", "straße", "d’or", "e"]) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", T.has_repetition("t").alias("r")).collect()}
+
+    def plain(w):
+        return any(w[i : i + n] == w[i + n : i + 2 * n] and not spoken.BARE_FILLERS.issuperset(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - 2 * n + 1))
+
+    assert got == {i: plain(spoken.words(x)) for i, x in enumerate(texts)}
+    long = spark.createDataFrame([(" ".join(f"w{i}" for i in range(8000)),)], "t string")
+    at = time.time()
+    assert long.select(T.has_repetition("t").alias("r"), T.repetition_rate("t").alias("q")).collect()[0] == (False, 0.0)
+    assert time.time() - at < 20  # a search of the text for each of its words took minutes

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -114,19 +115,20 @@ def partial_words(c) -> Column:
     return F.regexp_extract_all(text(c), F.lit(PARTIAL_WORD), F.lit(0))
 
 
+def once(c: Column, f) -> Column:
+    """f of a value that is made once a row: what f's own lambdas name would else be made anew for every element that they see."""
+    return F.transform(F.array(c), f)[0]
+
+
 def has_repetition(c, longest: int = 4) -> Column:
     """Whether some run of 1 to `longest` words follows itself, unless only fillers repeat."""
-    w = words(c)
     bare = F.array(*(F.lit(x) for x in ("uh", "um", "erm", "er", "ah", "eh", "hmm", "mm", "mhm")))
 
-    def at(n: int) -> Column:
+    def at(w: Column, n: int) -> Column:
         starts = F.when(F.size(w) >= 2 * n, F.sequence(F.lit(1), F.size(w) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
         return F.exists(starts, lambda i: (F.slice(w, i, n) == F.slice(w, i + n, n)) & ~F.forall(F.slice(w, i, n), lambda x: F.array_contains(bare, x)))
 
-    out = at(1)
-    for n in range(2, longest + 1):
-        out = out | at(n)
-    return out
+    return once(words(c), lambda w: reduce(lambda a, b: a | b, (at(w, n) for n in range(1, longest + 1))))
 
 
 def matches_self_correction(c) -> Column:
@@ -135,9 +137,12 @@ def matches_self_correction(c) -> Column:
 
 def repetition_rate(c) -> Column:
     """Adjacent equal words over n - 1; 0 for fewer than two."""
-    w = words(c)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: (a == b).cast("int"))
-    return F.when(F.size(w) < 2, 0.0).otherwise(F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / (F.size(w) - 1))
+
+    def rate(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: (a == b).cast("int"))
+        return F.when(F.size(w) < 2, 0.0).otherwise(F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / (F.size(w) - 1))
+
+    return once(words(c), rate)
 
 
 def common_words(a: Column, b: Column) -> Column:

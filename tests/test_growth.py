@@ -44,3 +44,42 @@ def test_repetitions_find_their_words_once_a_row(spark):
     at = time.time()
     assert long.select(T.has_repetition("t").alias("r"), T.repetition_rate("t").alias("q")).collect()[0] == (False, 0.0)
     assert time.time() - at < 20  # a search of the text for each of its words took minutes
+
+
+def variants(n: int) -> tuple[str, str, str]:
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+    join = " ".join
+    return join(words), join(w for i, w in enumerate(words) if (i + 1) % 7), join("zzq" if (i + 1) % 5 == 0 else w for i, w in enumerate(words))
+
+
+def test_blocks_of_like_texts_are_found_by_few_pieces(monkeypatch):
+    from difflib import SequenceMatcher
+
+    from turnloom.functions import blocks
+
+    looked = []
+    pairs, automaton = blocks.by_pairs, blocks.by_automaton
+    monkeypatch.setattr(blocks, "by_pairs", lambda a, b: looked.append(len(a) * len(b)) or pairs(a, b))
+    monkeypatch.setattr(blocks, "by_automaton", lambda a, b: looked.append(len(a) * len(b)) or automaton(a, b))
+    whole, *others = variants(300)
+    for other in others:
+        for a, b in ((whole, other), (other, whole), (whole.split(), other.split()), (whole[200:300], whole)):
+            looked.clear()
+            assert blocks.matching(a, b) == [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]]
+            assert sum(looked) < 20 * (len(a) + len(b))
+
+
+def test_blocks_do_not_depend_on_how_pieces_are_searched(monkeypatch):
+    from turnloom.functions import blocks
+
+    rng = random.Random(8)
+    for _ in range(1500):
+        k = rng.choice([1, 2, 3, 26])
+        a = "".join(chr(97 + rng.randrange(k)) for _ in range(rng.randint(0, 90)))
+        b = "".join(x for x in a if rng.random() < 0.9) if rng.random() < 0.6 else "".join(chr(97 + rng.randrange(k)) for _ in range(rng.randint(0, 90)))
+        found = set()
+        for single, tiny, few in ((0, 0, 12), (128, 32, 12), (128, 10**9, 0), (3, 0, 1)):
+            monkeypatch.setattr(blocks, "SINGLE", single), monkeypatch.setattr(blocks, "TINY", tiny), monkeypatch.setattr(blocks, "FEW", few)
+            found.add(tuple(blocks.matching(a, b)))
+        assert len(found) == 1, (a, b)

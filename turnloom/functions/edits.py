@@ -7,13 +7,15 @@ MOST_CELLS of the table they come from longest common blocks and say so.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import regex
 
 from . import blocks, spoken
-from .udf import vectorized
+from .udf import short, vectorized
 
 #: Cells of an edit table (reference length times hypothesis length) that are computed exactly.
 MOST_CELLS = 2_000_000
@@ -23,17 +25,21 @@ _MARK = regex.compile(r"(?<=[\p{L}\p{N}_])@!")
 _ANNOTATED = regex.compile(r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)(@!)?")
 
 
-def token_overlap(a: str, b: str) -> float:
-    from collections import Counter
+@short(1 << 10)
+def word_counts(s: str) -> Counter:
+    return Counter(spoken.words(s))
 
-    x, y = Counter(spoken.words(a)), Counter(spoken.words(b))
-    return (x & y).total() / (x | y).total() if x and y else 0.0
 
+def token_overlap(a: str, b: str) -> float:
+    x, y = word_counts(a), word_counts(b)
+    if not x or not y:
+        return 0.0
+    common = sum(min(n, y[w]) for w, n in x.items() if w in y)
+    return common / (x.total() + y.total() - common)
 
-def difference_rate(a: str, b: str) -> float:
-    from collections import Counter
 
-    x, y = Counter(spoken.words(a)), Counter(spoken.words(b))
+def difference_rate(a: str, b: str) -> float:
+    x, y = word_counts(a), word_counts(b)
     if not x and not y:
         return 0.0
     return min(1.0, ((x - y).total() + (y - x).total()) / max(1, x.total(), y.total()))
@@ -45,10 +51,10 @@ def similarity(a: str | None, b: str | None) -> float:
     return 0.65 * blocks.ratio(x, y) + 0.35 * token_overlap(x, y) if x and y else 0.0
 
 
-def agreement(texts: list[str]) -> float:
+def agreement(texts: list[str], alike=similarity) -> float:
     """Mean similarity of each two present texts; 0 for fewer than two."""
     have = [t for t in texts if t.strip()]
-    pairs = [similarity(have[i], have[j]) for i in range(len(have)) for j in range(i + 1, len(have))]
+    pairs = [alike(have[i], have[j]) for i in range(len(have)) for j in range(i + 1, len(have))]
     return sum(pairs) / len(pairs) if pairs else 0.0
 
 
@@ -332,14 +338,12 @@ def initial_text(model: str, chatgpt: str, zoom: str) -> str:
         votes = sum(spoken.normalized(have[i]) == spoken.normalized(t) for t in have)
         return sum(others) / len(others), votes, -i
 
-    chosen = have[max(range(len(have)), key=support)]
-    count = lambda t: sum(e[0] in spoken.VERBATIM for e in spoken.events(t))
-    plain, base = spoken.skeleton(chosen), count(chosen)
-    fuller = []
-    for i, t in enumerate(have):
-        if count(t) > base and (close := similarity(spoken.skeleton(t), plain)) >= 0.65:
-            fuller.append((count(t), close, -i, t))
-    return max(fuller)[3] if fuller else chosen
+    best = max(range(len(have)), key=support)
+    counts = [sum(e[0] in spoken.VERBATIM for e in spoken.events(t)) for t in have]
+    more = [i for i, n in enumerate(counts) if n > counts[best]]
+    plain = spoken.skeleton(have[best]) if more else ""
+    fuller = [(counts[i], close, -i) for i in more if (close := similarity(spoken.skeleton(have[i]), plain)) >= 0.65]
+    return have[-max(fuller)[2]] if fuller else have[best]
 
 
 @vectorized("string")
@@ -355,9 +359,10 @@ def source_agreement(zoom: pd.Series, chatgpt: pd.Series, model: pd.Series) -> p
         have = [t for t in (z, c, m) if t.strip()]
         rates = [difference_rate(have[i], have[j]) for i in range(len(have)) for j in range(i + 1, len(have))]
         forms = [f for f in map(spoken.normalized, have) if f]
+        alike = cache(similarity)  # the agreement is of the same pairs
         rows.append((
-            agreement(have), similarity(z, m) if z.strip() else 0.0, similarity(c, m) if c.strip() else 0.0,
-            similarity(z, c) if z.strip() and c.strip() else 0.0, sum(rates) / len(rates) if rates else 1.0,
+            agreement(have, alike), alike(z, m) if z.strip() else 0.0, alike(c, m) if c.strip() else 0.0,
+            alike(z, c) if z.strip() and c.strip() else 0.0, sum(rates) / len(rates) if rates else 1.0,
             bool(forms) and max(forms.count(f) for f in forms) >= 2, len(have),
         ))
     out = pd.DataFrame(rows, columns=["agreement", "zoom_model", "chatgpt_model", "zoom_chatgpt", "disagreement", "exact_majority", "present"])

@@ -23,6 +23,20 @@ def vectorized(kind: str):
     return wrap
 
 
+#: Characters of a text up to which what is made of it may be kept.
+LONG = 4096
+
+
+def short(size: int):
+    """Keeps the last results for short texts; long ones are made anew, so what is kept is bounded in bytes."""
+
+    def wrap(f):
+        kept = functools.lru_cache(size)(f)
+        return functools.wraps(f)(lambda s: kept(s) if s is None or len(s) <= LONG else f(s))
+
+    return wrap
+
+
 def digest(fields: dict) -> str:
     """The SHA-256 of fields as JSON: names sorted, no spaces, UTF-8."""
     return hashlib.sha256(json.dumps(fields, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

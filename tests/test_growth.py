@@ -83,3 +83,25 @@ def test_blocks_do_not_depend_on_how_pieces_are_searched(monkeypatch):
             monkeypatch.setattr(blocks, "SINGLE", single), monkeypatch.setattr(blocks, "TINY", tiny), monkeypatch.setattr(blocks, "FEW", few)
             found.add(tuple(blocks.matching(a, b)))
         assert len(found) == 1, (a, b)
+
+
+def test_lists_of_structs_become_arrow_a_few_rows_at_a_time(spark, monkeypatch):
+    from turnloom.functions import spoken, udf
+
+    texts = [None, "", "Um, wan- I mean I went went"] * 300 + ["’tis"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r["i"]: r for r in df.select("i", spoken.word_spans(F.col("t")).alias("w"), spoken.located_events(F.col("t")).alias("e")).collect()}
+    for i, x in enumerate(texts):
+        assert [tuple(w) for w in got[i]["w"]] == spoken.spans(x) and [tuple(e) for e in got[i]["e"]] == spoken.events(x)
+    assert df.where("i < 0").select(spoken.word_spans(F.col("t"))).collect() == []
+    assert 0 < udf.AT_ONCE <= 1024 and "ArrowEvalPython" in plan(df.select(spoken.word_spans(F.col("t"))))
+
+
+def test_what_is_kept_of_texts_is_bounded():
+    from turnloom.functions import spoken, udf
+
+    seen = []
+    count = udf.short(2)(lambda s: seen.append(s) or len(s))
+    long = "x" * (udf.LONG + 1)
+    assert [count("a"), count("a"), count(long), count(long)] == [1, 1, udf.LONG + 1, udf.LONG + 1] and len(seen) == 3
+    assert spoken.normalized("Don’t  STOP") == "don't stop" and spoken.normalized(None) == ""

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from . import edits, grammar, spoken, text
 
-#: SQL name: (function of pandas Series, type).
+#: SQL name: (function, type).
 NAMED = {
     "normalize_text": (text.normalized, "string"),
     "text_similarity": (edits.text_similarity, "double"),
@@ -23,6 +22,6 @@ NAMED = {
 
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions callable from SQL; returns their names."""
-    for name, (call, kind) in NAMED.items():
-        spark.udf.register(name, F.pandas_udf(call.function, kind))
+    for name, (call, _) in NAMED.items():
+        spark.udf.register(name, call.udf())
     return sorted(NAMED)

@@ -105,3 +105,13 @@ def test_what_is_kept_of_texts_is_bounded():
     long = "x" * (udf.LONG + 1)
     assert [count("a"), count("a"), count(long), count(long)] == [1, 1, udf.LONG + 1, udf.LONG + 1] and len(seen) == 3
     assert spoken.normalized("Don’t  STOP") == "don't stop" and spoken.normalized(None) == ""
+
+
+def test_intervals_take_three_cells_at_most_of_their_own_size(spark):
+    rng = random.Random(9)
+    many = [(0.0, 1e9), (-1e9, 1e9), (599.9, 600.0), (0.0, 0.0)] + [(s, s + rng.choice([0, 1, 500, 7000, 10**5, 10**7])) for s in (rng.uniform(-1e6, 1e6) for _ in range(60))]
+    moments = sorted({x for p in many for x in p} | {rng.uniform(-2e6, 2e6) for _ in range(200)})
+    t = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(many)], "i int, s double, e double").select("*", F.explode(I.sized(F.col("s"), F.col("e"))).alias("c"))
+    assert max(r["count"] for r in t.groupBy("i").count().collect()) <= 3
+    m = spark.createDataFrame([(x,) for x in moments], "x double").select("x", F.explode(I.sizes_at(F.col("x"))).alias("c"))
+    assert sorted((r["i"], r["x"]) for r in t.join(m, "c").where("x BETWEEN s AND e").collect()) == sorted((i, x) for i, (a, b) in enumerate(many) for x in moments if a <= x <= b)
